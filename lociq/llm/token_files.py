@@ -13,6 +13,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from lociq.llm.storage import new_path, settle
 
 ROWS = 64
-CACHED_WORDS = 800_000
+CACHED_WORDS = 600_000
 SHORT_WORD = 10
 SLICE = 512
 
@@ -66,6 +67,12 @@ class WordEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str, width: str) -> WordEncoder:
+    """One for each Python worker, which serves many tasks."""
+    return WordEncoder(path, width)
+
+
 class TokenWriter:
     """Writes one pair of files, a document at a time."""
 
@@ -156,7 +163,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, seq
     width = "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, writer = WordEncoder(tokenizer_path, width), None
+        encode, writer = word_encoder(tokenizer_path, width), None
         end = np.array([end_id], width).tobytes()
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         fs, folder = open_store(path)
@@ -195,4 +202,5 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row for each file, not for each document
     based = manifest.select("file", F.coalesce(before, F.lit(0)).cast("long").alias("base"), F.col("part"))
-    return based.repartition("part").select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, offset long")
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few small rows still become many tasks
+    return based.repartition(tasks, "part").select("file", "base").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, offset long")
