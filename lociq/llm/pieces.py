@@ -12,6 +12,7 @@ import re
 import struct
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-CACHED_SEGMENTS = 700_000
+CACHED_SEGMENTS = 500_000
 SHORT_SEGMENT = 10
 SLICE = 128
 
@@ -165,6 +166,12 @@ class PieceCodec:
         return self.whole.decode(ids, num_threads=1) if ids else []
 
 
+@lru_cache(maxsize=1)
+def piece_codec(path: str) -> PieceCodec:
+    """One for each Python worker, which serves many tasks."""
+    return PieceCodec(path)
+
+
 def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, ids, begins, ends (byte spans in the original text) and decoded, for every row.
 
@@ -174,7 +181,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model_path)
+        codec = piece_codec(model_path)
         ints = lambda arrays: pa.ListArray.from_arrays(np.cumsum([0, *map(len, arrays)], dtype=np.int32), np.concatenate(arrays))
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
