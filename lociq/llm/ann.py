@@ -23,7 +23,8 @@ SAMPLE = 16_384
 MAX_LISTS = 512
 SUBSPACES = 16
 CODES = 64
-PROBES = 24
+TARGET = 0.97
+TRIALS = 64
 CELL_ROWS = 4_096
 CELL_QUERIES = 2_048
 REFINE = 48
@@ -73,7 +74,7 @@ class Quantizer:
         return at, np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self._parts(), self.books, strict=True)], axis=1).astype(np.uint8)
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        n = min(n, len(self.coarse))
+        """The n nearest lists of each row, nearest first."""
         return np.argsort(distances(x, self.coarse), axis=1, kind="stable")[:, :n]
 
     def code_distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
@@ -108,20 +109,50 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PROBES, refine: int = REFINE, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
+def probes_needed(index: DataFrame, asked: DataFrame, shared, k: int, target: float) -> int:
+    """How many lists hold ``target`` of the true neighbours of TRIALS queries, found by brute force over the
+    whole index: one linear pass that keeps k rows for each query and batch."""
+    some = asked.orderBy(F.xxhash64("query_id", "q"), "query_id").limit(TRIALS).toArrow()
+    if not len(some):
+        return 1
+    names, q = some.column(0).to_numpy(), unit(_matrix(some.column(1).combine_chunks()))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                ids, lists = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                near = q @ unit(_matrix(batch.column(1))).T
+                near[names[:, None] == ids[None, :]] = -np.inf
+                top = np.argsort(-near, axis=1, kind="stable")[:, :k]
+                which = np.repeat(np.arange(len(q), dtype=np.int32), top.shape[1])
+                flat = top.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array(ids[flat]), pa.array(near[which, flat]), pa.array(lists[flat])], names=["q", "vec_id", "score", "list"])
+
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    found = index.select("vec_id", "v", "list").mapInArrow(best, "q int, vec_id long, score double, list int").where("score >= -1")
+    true = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "list").collect()  # TRIALS * k rows
+    if not true:
+        return 1
+    places = np.argsort(shared.value.probes(q, len(shared.value.coarse)), axis=1)
+    return int(np.quantile([places[r["q"], r["list"]] for r in true], target, method="higher")) + 1
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = TARGET, refine: int = REFINE, sample: int = SAMPLE, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of queries its k nearest rows of vectors by cosine, itself
     (the same vec_id) left out.
 
     Both frames have ``vec_id`` and ``embedding`` of one length; other columns are ignored. Vectors that are
     null, zero or hold null or non-finite components take no part on either side. Ties go to the smaller
     vec_id, among equal codes too. Equal ids are separate candidates. An empty side gives no rows. Only
-    fitting uses a sample (``sample`` rows by hash of the id); the index holds every row. If the lists that
-    a query probes hold fewer than k others, it probes all.
+    fitting uses a sample (``sample`` rows by hash of the id); the index holds every row. Each query probes
+    as many lists as ``target`` of true neighbours ask for in a trial, and on until they hold 2 k rows.
+    Vectors of another length than most take no part.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable(F.col("v")))
     rows = pick(vectors)
-    n = rows.count()
+    n, dims = rows.agg(F.count("*"), F.mode(F.size("v"))).first()
+    rows = rows.where(F.size("v") == dims) if n else rows
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
@@ -138,17 +169,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, probes: int = PRO
                 at, codes = shared.value.encode(unit(_matrix(batch.column(1))))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "code"])
 
+    index = settle(rows.mapInArrow(encode, "vec_id long, v array<double>, list int, code binary"), "ann-index")
+    asked = pick(queries).where(F.size("v") == dims).toDF("query_id", "q").distinct()
+    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
+    probes = probes_needed(index, asked, shared, k, target)
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.array([sizes.get(c, 0) for c in range(len(shared.value.coarse))])
         for batch in batches:
             if batch.num_rows:
-                lists = shared.value.probes(unit(_matrix(batch.column(1))), probes)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(lists.astype(np.int32)))], names=["query_id", "q", "lists"])
+                lists = shared.value.probes(unit(_matrix(batch.column(1))), len(held)).astype(np.int32)
+                enough = (np.cumsum(held[lists], axis=1) < 2 * k + 1).sum(axis=1) + 1
+                picked = [row[: max(probes, m)] for row, m in zip(lists, enough, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(picked, pa.list_(pa.int32()))], names=["query_id", "q", "lists"])
 
-    index = settle(rows.mapInArrow(encode, "vec_id long, v array<double>, list int, code binary"), "ann-index")
-    asked = pick(queries)
     probed = settle(asked.mapInArrow(probe, "query_id long, q array<double>, lists array<int>"), "ann-queries")
-
-    sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
     wanted = probed.select("query_id", "q", F.explode("lists").alias("list"))
     asking = {r["list"]: r["n"] for r in wanted.groupBy("list").agg(F.count("*").alias("n")).collect()}
     cuts = [(c, -(-sizes[c] // CELL_ROWS), -(-asking.get(c, 1) // CELL_QUERIES)) for c in sizes]
