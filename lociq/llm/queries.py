@@ -37,11 +37,13 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociq.llm.sharding import cut_shards, shuffle_records
 
     text = F.coalesce("text", F.lit(""))
-    sharded = cut_shards(shuffle_records(table(spark, sf_dir, "documents")), 16)
-    return sharded.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
+    digest = shuffle_records(table(spark, sf_dir, "documents")).select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "_bucket", "_place"
+    )
+    return cut_shards(digest, 16).select(
+        "doc_id",
+        "size",
+        "text_crc32",
         F.lit("rows").alias("law"),
         F.col("_shard").alias("shard"),
         F.col("_slot").alias("slot"),
@@ -49,6 +51,12 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.llm.suffixes import passages
+
+    return passages(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_repeated", "n_later", "first_doc_id")
+
+
 def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociq.llm.ann import search
 
@@ -82,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_urls": op3_urls,
     "op4_shards": op4_shards,
+    "op5_passages": op5_passages,
     "op6_ann": op6_ann,
     "op7_decontaminate": op7_decontaminate,
     "op10_pieces": op10_pieces,
@@ -103,4 +112,15 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op7_decontaminate": DECONTAMINATE}
+PASSAGES = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+run AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS r FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+told AS (SELECT *, count(*) OVER (PARTITION BY r) AS n, first_value(doc_id) OVER (PARTITION BY r ORDER BY doc_id, i) AS f, row_number() OVER (PARTITION BY r ORDER BY doc_id, i) AS k FROM run),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeated FROM (SELECT doc_id, unnest(generate_series(i, i + 49)) AS p FROM told WHERE n > 1) GROUP BY doc_id),
+lat AS (SELECT doc_id, count(DISTINCT p) AS n_later, min(f) AS f FROM (SELECT doc_id, f, unnest(generate_series(i, i + 49)) AS p FROM told WHERE k > 1) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, n_repeated::BIGINT AS n_repeated, coalesce(n_later, 0)::BIGINT AS n_later, CASE WHEN whole < doc_id THEN whole ELSE f END AS first_doc_id
+FROM d JOIN rep USING (doc_id) LEFT JOIN lat USING (doc_id) JOIN (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS whole FROM documents) USING (doc_id)
+"""
+
+
+SQL: dict[str, str] = {"op5_passages": PASSAGES, "op7_decontaminate": DECONTAMINATE}
