@@ -13,9 +13,9 @@ BASE = 0x9E3779B97F4A7C15 | 1
 class WordHasher:
     """Hashes of the words of some texts, by way of a bounded cache of short words."""
 
-    cache: dict[str, int] = {}
+    cache: dict[bytes, int] = {}
 
-    def __call__(self, texts: list[list[str]]) -> list[np.ndarray]:
+    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         known = WordHasher.cache
         if len(known) > CACHED_WORDS:
             known.clear()

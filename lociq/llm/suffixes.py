@@ -35,7 +35,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def selected(hashes: np.ndarray, min_words: int, seed: int, anchor: int) -> np.ndarray:
     """Places of the minimisers: least seed hash of a window of min_words - anchor + 1 places (equal hashes
     are all taken), with the anchor words still within the text."""
-    window = min_words - anchor + 1
+    window = min_words - anchor + 1  # as many as a passage of min_words words holds
     seeds = runs_of(hashes, seed)[: max(0, len(hashes) - anchor + 1)]
     if len(seeds) < window:
         return np.zeros(0, np.int64)
@@ -64,6 +64,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("tie"), text.alias("text"))
 
 
+def first_least(x: np.ndarray, n: int) -> np.ndarray:
+    """For each n values in a row the place of the least, the first of equal ones."""
+    at, size = np.arange(len(x)), 1
+    pick = lambda a, b: np.where(x[a] <= x[b], a, b)
+    while 2 * size <= n:
+        at = pick(at[:-size], at[size:])
+        size *= 2
+    return pick(at[: len(at) - (n - size)], at[n - size :]) if n > size else at
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """doc, tie, of: documents whose text another holds too, and which holds it first (itself for the first)."""
     text = docs.select(*KEY, F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"), F.length("text").alias("c"))
@@ -84,7 +94,7 @@ def kept_suffixes(docs: DataFrame, min_words: int, seed: int, anchor: int) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                hashes = hasher([WORD.findall(t) for t in piece.column(2).to_pylist()])
+                hashes = hasher([t.encode().split() for t in piece.column(2).to_pylist()])  # bytes.split parts at the same characters
                 places = [selected(h, min_words, seed, anchor) for h in hashes]
                 prefixes = [runs_of(h, anchor)[p].view(np.int64) for h, p in zip(hashes, places, strict=True)]
                 n_words = pa.array([len(h) for h in hashes], pa.int64())
@@ -103,9 +113,10 @@ def with_neighbour(suffixes: DataFrame) -> DataFrame:
     return told.groupBy(KEY).agg(F.collect_set("place").alias("places"))  # no longer than the text
 
 
-def extended(docs: DataFrame, candidates: DataFrame, min_words: int, anchor: int) -> DataFrame:
-    """doc, tie, run (hash of min_words words), salt, start: all runs around the candidates. Runs around a
-    prefix in more than HOT places get a salt above 0 by document, others 0; equal runs agree on which."""
+def extended(docs: DataFrame, candidates: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
+    """doc, tie, run (hash of min_words words), salt, start: all runs around the candidates. Runs whose own
+    minimiser has a prefix in more than HOT places get a salt above 0 by document, others 0. Which it is
+    follows from the words of the run, so equal runs agree."""
     reach = min_words - anchor
 
     def around(places: np.ndarray, last: int) -> np.ndarray:
@@ -119,13 +130,15 @@ def extended(docs: DataFrame, candidates: DataFrame, min_words: int, anchor: int
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                words = hasher([WORD.findall(t) for t in piece.column(2).to_pylist()])
+                words = hasher([t.encode().split() for t in piece.column(2).to_pylist()])  # bytes.split parts at the same characters
                 starts, salts = [], []
                 for hashes, told, doc, tie in zip(words, piece.column(3).to_pylist(), piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     told, last = np.array(told), len(hashes) - min_words
-                    hot = around(-1 - told[told < 0], last)
+                    hot = np.zeros(len(hashes), bool)
+                    hot[-1 - told[told < 0]] = True
+                    own = first_least(runs_of(hashes, seed)[: len(hashes) - anchor + 1], reach + 1)
                     starts.append(np.flatnonzero(around(np.where(told < 0, -1 - told, told), last)))
-                    salts.append(np.where(hot[starts[-1]], 1 + (doc * 31 + tie) % SALTS, 0))
+                    salts.append(np.where(hot[own[starts[-1]]], 1 + (doc * 31 + tie) % SALTS, 0))
                 hashed = [runs_of(h, min_words)[s].view(np.int64) for h, s in zip(words, starts, strict=True)]
                 which = pa.array(np.repeat(np.arange(len(starts)), [len(x) for x in starts]))
                 rest = [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((hashed, "i8"), (salts, "i4"), (starts, "i4"))]
@@ -185,7 +198,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, ancho
     same = settle(copies(docs), "copies")
     others = same.where("doc != of_doc or tie != of_tie")
     candidates = settle(with_neighbour(suffixes.join(others, KEY, "left_anti")), "suffix-neighbours")
-    found = extended(docs, candidates, min_words, anchor)
+    found = extended(docs, candidates, min_words, seed, anchor)
     told = found.repartition("run", "salt").sortWithinPartitions("run", "salt", *KEY, "start").mapInArrow(compared, f"{KEYS}, start int, of long, run long, more boolean")
     later = F.when(F.col("of").isNotNull(), F.col("start"))
     heads = F.when(F.col("run").isNotNull(), F.struct("run", "start", "more"))
