@@ -70,6 +70,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.llm.jaccard import similar_components
+
+    found = similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+    plain = lambda c: F.nullif(c, F.lit(-(1 << 63)))
+    return found.select(plain(F.col("node.doc")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), plain(F.col("component.doc")).alias("component_id"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_passages": op5_passages,
     "op6_ann": op6_ann,
     "op7_decontaminate": op7_decontaminate,
+    "op8_jaccard": op8_jaccard,
     "op10_pieces": op10_pieces,
 }
 
@@ -123,4 +132,15 @@ FROM d JOIN rep USING (doc_id) LEFT JOIN lat USING (doc_id) JOIN (SELECT doc_id,
 """
 
 
-SQL: dict[str, str] = {"op5_passages": PASSAGES, "op7_decontaminate": DECONTAMINATE}
+JACCARD = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+meet AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM meet JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+"""
+
+SQL: dict[str, str] = {"op8_jaccard": JACCARD, "op5_passages": PASSAGES, "op7_decontaminate": DECONTAMINATE}
