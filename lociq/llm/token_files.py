@@ -15,6 +15,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,24 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width
         self.cache: dict[str, bytes] = {"": b""}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word. Words of letters alone go in one text and come apart behind the tokens that end a
+        word; a count that differs (letters that change into others) sends them in one by one."""
+        plain = list(map(str.isalpha, words))
+        letters = list(compress(words, plain))
+        rest = [w for w, p in zip(words, plain, strict=True) if not p]
+        together = np.array(self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, self.width)
+        cuts = np.flatnonzero(self.ends[together]) + 1
+        if len(cuts) != len(letters):
+            letters, rest, cuts = [], words, cuts[:0]
+        raw, at = together.tobytes(), (cuts * together.itemsize).tolist()
+        found = {w: raw[a:b] for w, a, b in zip(letters, [0, *at], at)}
+        one_by_one = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        found.update((w, np.array(x.ids, self.width).tobytes()) for w, x in zip(rest, one_by_one, strict=True))
+        return [found[w] for w in words]
 
     @staticmethod
     def plain(text: str) -> str:
@@ -65,14 +84,15 @@ class WordEncoder:
         if len(self.cache) > CACHED_WORDS:
             self.cache = {"": b""}
         known = self.cache
-        new = list({w for words in split for w in words}.difference(known))
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        known.update((w, np.array(x.ids, dtype=self.width).tobytes()) for w, x in zip(new, found, strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > SHORT_WORD:
-                del known[w]
-        return out
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [[i for i, x in enumerate(ids) if x is None] for ids in found]
+        new = list({words[i] for words, places in zip(split, gaps, strict=True) for i in places})
+        own = dict(zip(new, self.ids(new), strict=True))
+        for words, ids, places in zip(split, found, gaps, strict=True):
+            for i in places:
+                ids[i] = own[words[i]]
+        known.update((w, x) for w, x in own.items() if len(w) <= SHORT_WORD)
+        return list(map(b"".join, found))
 
 
 @lru_cache(maxsize=1)
