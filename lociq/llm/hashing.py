@@ -5,27 +5,11 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-CACHED_WORDS = 500_000
-SHORT_WORD = 10
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
-class WordHasher:
-    """Hashes of the words of some texts, by way of a bounded cache of short words."""
-
-    cache: dict[bytes, int] = {}
-
-    def __call__(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        known = WordHasher.cache
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        new = {w for words in texts for w in words}.difference(known)
-        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        out = [np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) for words in texts]
-        for w in new:
-            if len(w) > SHORT_WORD:
-                del known[w]
-        return out
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def powers(n: int, base: int = BASE) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.components import components
-from lociq.llm.hashing import WordHasher, mixed, runs_of
+from lociq.llm.hashing import mixed, runs_of, word_hashes
 from lociq.llm.storage import settle
 
 SKETCH_BITS = 18
@@ -37,9 +37,9 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(runs_of(words, min(k, len(words)))) if len(words) else words
 
 
-def shingle_sets(texts: list[str], k: int, hasher: WordHasher) -> list[np.ndarray]:
+def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Words are runs without blanks, A-Z lower-cased: bytes.lower and bytes.split do just that."""
-    return [shingles(words, k) for words in hasher([t.encode().lower().split() for t in texts])]
+    return [shingles(word_hashes(t.encode().lower().split()), k) for t in texts]
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -57,12 +57,12 @@ def describe(base: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """(node, n, a, b) of each row: the size of its set and a 128-bit hash of it; and the count sketch."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, sketch = WordHasher(), np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                sets = shingle_sets(piece.column(2).to_pylist(), k, hasher)
+                sets = shingle_sets(piece.column(2).to_pylist(), k)
                 sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(-1, 2)
                 sizes = pa.array([len(s) for s in sets], pa.int32())
@@ -86,11 +86,10 @@ def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataF
     shared = base.sparkSession.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS counts
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                sets = shingle_sets(piece.column(2).to_pylist(), k, hasher)
+                sets = shingle_sets(piece.column(2).to_pylist(), k)
                 rows = []
                 for s in sets:
                     order = np.lexsort((s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
@@ -146,11 +145,10 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     """The pairs (u, v) whose sets reach the threshold, by exact comparison of whole sets."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                sets = shingle_sets(piece.column(2).to_pylist(), k, hasher)
+                sets = shingle_sets(piece.column(2).to_pylist(), k)
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tie", "set"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

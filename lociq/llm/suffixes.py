@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.hashing import WordHasher, runs_of
+from lociq.llm.hashing import runs_of, word_hashes
 from lociq.llm.storage import settle
 
 MIN_WORDS = 50
@@ -90,11 +90,10 @@ def kept_suffixes(docs: DataFrame, min_words: int, seed: int, anchor: int) -> Da
     """For each document its kept suffixes: doc, tie, n_words, prefixes (hashes of the first anchor words), places."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                hashes = hasher([t.encode().split() for t in piece.column(2).to_pylist()])  # bytes.split parts at the same characters
+                hashes = [word_hashes(t.encode().split()) for t in piece.column(2).to_pylist()]  # bytes.split parts at the same characters
                 places = [selected(h, min_words, seed, anchor) for h in hashes]
                 prefixes = [runs_of(h, anchor)[p].view(np.int64) for h, p in zip(hashes, places, strict=True)]
                 n_words = pa.array([len(h) for h in hashes], pa.int64())
@@ -126,11 +125,10 @@ def extended(docs: DataFrame, candidates: DataFrame, min_words: int, seed: int,
         return np.cumsum(near)[: last + 1] > 0
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                words = hasher([t.encode().split() for t in piece.column(2).to_pylist()])  # bytes.split parts at the same characters
+                words = [word_hashes(t.encode().split()) for t in piece.column(2).to_pylist()]  # bytes.split parts at the same characters
                 starts, salts = [], []
                 for hashes, told, doc, tie in zip(words, piece.column(3).to_pylist(), piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
                     told, last = np.array(told), len(hashes) - min_words
