@@ -78,6 +78,12 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(plain(F.col("node.doc")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), plain(F.col("component.doc")).alias("component_id"))
 
 
+def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.llm.hmm import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_decontaminate": op7_decontaminate,
     "op8_jaccard": op8_jaccard,
+    "op9_hmm": op9_hmm,
     "op10_pieces": op10_pieces,
 }
 
