@@ -128,3 +128,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Dat
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+    """The rows of docs without any window of the benchmark, with the columns they came with. Rows are told apart by id and
+    text; null ids and null texts stay unless they hold a window."""
+    windows = settle(benchmark_windows(benchmark, n), "benchmark-windows")
+    terms = windows.select(F.explode("win").alias("term")).distinct()
+    looked_up = settle(pivots(windows, count_terms(docs, terms)), "benchmark-pivots")
+    index = settle(build_index(docs, looked_up.select("term").distinct(), n).where(F.size("postings") > 0), "postings")
+    found = phrase_matches(index, looked_up).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).distinct()
+    bad = settle(found, "contaminated")
+    same = F.equal_null(F.col("doc_id").cast("long"), F.col("_doc")) & (F.xxhash64("text") == F.col("_tie"))
+    return docs.join(bad, same, "left_anti")
