@@ -86,8 +86,18 @@ def _lists(values: list[np.ndarray], kind: str) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(flat))
 
 
+def _nested(values: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """Lists of lists: of each document the values and where its inner lists begin and end."""
+    counts = [len(edges) - 1 for _, edges in values]
+    sizes = np.concatenate([np.zeros(0, np.int64), *(np.diff(edges) for _, edges in values)])
+    flat = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in values)]).astype("i4")
+    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), inner)
+
+
 def kept_suffixes(docs: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
-    """For each document its kept suffixes: doc, tie, n_words, prefixes (hashes of the first anchor words), places."""
+    """For each document its kept suffixes: doc, tie, n_words, prefixes (different hashes of the first anchor
+    words), places (of each prefix: a text that repeats itself has many)."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,21 +105,28 @@ def kept_suffixes(docs: DataFrame, min_words: int, seed: int, anchor: int) -> Da
                 piece = batch.slice(at, SLICE)
                 hashes = [word_hashes(t.encode().split()) for t in piece.column(2).to_pylist()]  # bytes.split parts at the same characters
                 places = [selected(h, min_words, seed, anchor) for h in hashes]
-                prefixes = [runs_of(h, anchor)[p].view(np.int64) for h, p in zip(hashes, places, strict=True)]
+                prefixes = []
+                for i, h in enumerate(hashes):
+                    prefix = runs_of(h, anchor)[places[i]].view(np.int64)
+                    order = np.argsort(prefix, kind="stable")
+                    different, first = np.unique(prefix[order], return_index=True)
+                    prefixes.append(different)
+                    places[i] = (places[i][order], np.append(first, len(order)))
                 n_words = pa.array([len(h) for h in hashes], pa.int64())
-                yield pa.RecordBatch.from_arrays([*piece.columns[:2], n_words, _lists(prefixes, "i8"), _lists(places, "i4")], names=["doc", "tie", "n_words", "prefixes", "places"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], n_words, _lists(prefixes, "i8"), _nested(places)], names=["doc", "tie", "n_words", "prefixes", "places"])
 
-    return docs.mapInArrow(keep, f"{KEYS}, n_words long, prefixes array<long>, places array<int>")
+    return docs.mapInArrow(keep, f"{KEYS}, n_words long, prefixes array<long>, places array<array<int>>")
 
 
 def with_neighbour(suffixes: DataFrame) -> DataFrame:
     """doc, tie, places of the suffixes whose prefix another shares: in order of the prefix they are neighbours.
     A place is told as -1 - place if more than HOT suffixes share the prefix. Each task counts its own
     suffixes first, so a prefix that a third of all share arrives as one row from each."""
-    one = suffixes.select(*KEY, F.inline(F.arrays_zip("prefixes", "places"))).toDF(*KEY, "prefix", "place")
-    shared = one.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", (F.col("n") > HOT).alias("hot"))
-    told = one.join(shared, "prefix").select(*KEY, F.when(F.col("hot"), -1 - F.col("place")).otherwise(F.col("place")).alias("place"))
-    return told.groupBy(KEY).agg(F.collect_set("place").alias("places"))  # no longer than the text
+    one = suffixes.select(*KEY, F.inline(F.arrays_zip("prefixes", "places"))).toDF(*KEY, "prefix", "places")
+    shared = one.groupBy("prefix").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("prefix", (F.col("n") > HOT).alias("hot"))
+    places = F.when(F.col("hot"), F.transform("places", lambda p: -1 - p)).otherwise(F.col("places"))
+    told = one.join(shared, "prefix").select(*KEY, places.alias("places"))
+    return told.groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))  # no longer than the text
 
 
 def extended(docs: DataFrame, candidates: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
