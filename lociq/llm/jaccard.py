@@ -30,6 +30,7 @@ SKETCH_BITS = 18
 CHUNKS = 64
 SLICE = 256
 LARGEST_LIGHT = 200
+BROADCAST_ROWS = 200_000
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -48,6 +49,10 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("tie"), text.alias("text"))
 
 
+def bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def need(n: int | np.ndarray, percent: int) -> int | np.ndarray:
     """The least overlap of a set of n with any partner at the threshold."""
     return -(-n * percent // 100)
@@ -63,7 +68,7 @@ def describe(base: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
                 sets = shingle_sets(piece.column(2).to_pylist(), k)
-                sketch += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
+                sketch += np.bincount(bucket(np.concatenate(sets)), minlength=len(sketch))
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(-1, 2)
                 sizes = pa.array([len(s) for s in sets], pa.int32())
                 yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), sizes, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
@@ -82,7 +87,9 @@ def describe(base: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
 
 def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """node, n, first: the first size - need + 2 shingles of each set in the global order."""
+    """node, n, first, load: the first size - need + 2 shingles of each set in the global order, and how many sets
+    the sketch expects to meet in the lists of all but the last."""
+    usual = sketch.mean()
     shared = base.sparkSession.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS counts
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,21 +97,22 @@ def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataF
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
                 sets = shingle_sets(piece.column(2).to_pylist(), k)
-                rows = []
+                rows, loads = [], []
                 for s in sets:
-                    order = np.lexsort((s, shared.value[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]))
-                    rows.append(s[order[: len(s) - need(len(s), percent) + 2]].view(np.int64))
+                    counts = shared.value[bucket(s)]
+                    order = np.lexsort((s, counts))[: len(s) - need(len(s), percent) + 2]
+                    rows.append(s[order].view(np.int64))
+                    loads.append(float(np.maximum(counts[order[:-1]] - usual, 1).sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([len(s) for s in sets], pa.int32()), lists], names=["doc", "tie", "n", "first"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(loads)], names=["doc", "tie", "n", "first", "load"])
 
-    found = base.mapInArrow(first, "doc long, tie int, n int, first array<long>")
-    return found.select(F.struct("doc", "tie").alias("node"), "n", "first").where("n > 0")
+    found = base.mapInArrow(first, "doc long, tie int, n int, first array<long>, load double")
+    return found.select(F.struct("doc", "tie").alias("node"), "n", "first", "load").where("n > 0")
 
 
 def boundary(first: DataFrame, percent: int) -> int:
-    """The largest size whose subsets cost no more than scanning its lists, at the mean length of a list."""
-    lists = first.select(F.explode(F.slice("first", 1, F.size("first") - 1)).alias("s")).groupBy("s").agg(F.count("*").alias("c"))
-    length = lists.agg(F.sum(F.col("c").cast("double") ** 2) / F.sum("c")).first()[0] or 1.0
+    """The largest size whose subsets cost no more than scanning its lists, at the mean expected length of a list."""
+    length = first.agg(F.sum("load") / F.sum(F.greatest(F.size("first") - 1, F.lit(1)))).first()[0] or 1.0
     size = 0
     for n in range(1, LARGEST_LIGHT + 1):
         p = n - need(n, percent) + 1
@@ -141,6 +149,29 @@ def near_in_size(a: str, b: str, percent: int) -> F.Column:
     return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
 
 
+def within_bounds(pairs: DataFrame, first: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
+    """The pairs (u, v) whose first shingles don't rule them out. What precedes the last of the other's first shingles
+    and isn't among them isn't in the other set at all; too many of these leave too small an overlap."""
+    shared = first.sparkSession.sparkContext.broadcast(sketch)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
+                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
+                every = np.unique(np.concatenate([x, y]))
+                rank = np.empty(len(every), np.int64)
+                rank[np.lexsort((every, shared.value[bucket(every)]))] = np.arange(len(every))
+                x, y = rank[np.searchsorted(every, x)], rank[np.searchsorted(every, y)]
+                apart = (~np.isin(x[x <= y.max()], y)).sum() + (~np.isin(y[y <= x.max()], x)).sum()
+                keep.append(apart <= n + m - 2 * -(-(n + m) * percent // (100 + percent)))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda end, n, f: first.select(F.col("node").alias(end), F.col("n").alias(n), F.col("first").alias(f))
+    both = pairs.join(side("u", "n", "x"), "u").join(side("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
+    return both.mapInArrow(bound, "u struct<doc:long,tie:int>, v struct<doc:long,tie:int>")
+
+
 def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold, by exact comparison of whole sets."""
 
@@ -160,8 +191,10 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
                 linked.append(100 * common >= percent * (len(s) + len(t) - common))
             yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
-    wanted = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().select("node.doc", "node.tie")
-    sets = settle(base.join(wanted, ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set binary").select(F.struct("doc", "tie").alias("node"), "set").dropDuplicates(["node"]), "sets-to-compare")
+    wanted = settle(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().select("node.doc", "node.tie"), "documents-to-compare")
+    few = wanted.count() <= BROADCAST_ROWS  # then no text is shuffled
+    sets = base.join(F.broadcast(wanted) if few else wanted, ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set binary")
+    sets = settle(sets.select(F.struct("doc", "tie").alias("node"), "set"), "sets-to-compare")
     centres = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
     with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("t")), "v")
     with_u = with_v.join(centres.select(F.col("node").alias("u"), F.col("set").alias("s")), "u")
@@ -182,22 +215,24 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("node").alias("least"))
     of_class = settle(sets.join(classes, ["a", "b", "n"], "left").select("node", "n", F.coalesce("least", "node").alias("least")), "classes")
     copies = of_class.where("node != least").select("node").distinct()
-    first = settle(prefixes(base, sketch, k, percent).join(copies, "node", "left_anti").dropDuplicates(["node"]), "prefixes")
+    first = settle(prefixes(base, sketch, k, percent).join(copies, "node", "left_anti"), "prefixes")
     posted = settle(postings(first, boundary(first, percent), percent), "postings")
 
-    heads = posted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.max("node").alias("last")).where("head.node != last")
-    starred = posted.join(heads, "key").select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n")
-    stars = settle(starred.where((F.col("u") != F.col("v")) & near_in_size("n_u", "n", percent)).select("u", "v").distinct(), "stars")
-    links = settle(verified(base, stars, k, percent), "star-links")
+    heads = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("head")).where("c > 1").select("key", "head")
+    met = settle(posted.join(heads, "key"), "shared-postings")
+    stars = met.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n")
+    stars = stars.where((F.col("u") != F.col("v")) & near_in_size("n_u", "n", percent)).select("u", "v").distinct()
+    stars = settle(stars, "stars")
+    links = settle(verified(base, settle(within_bounds(stars, first, sketch, percent), "star-pairs"), k, percent), "star-links")
     found = components(links)
 
-    member = posted.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed_keys = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    member = settle(member.join(mixed_keys, "key", "left_semi"), "second-round")
+    member = met.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
+    member = settle(member.join(several, "key", "left_semi"), "second-round")
     other = member.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
     rest = member.join(other, "key").where((F.col("component") < F.col("c_v")) & near_in_size("n", "n_v", percent))
     rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = verified(base, settle(rest, "second-pairs"), k, percent)
+    more = verified(base, settle(within_bounds(rest, first, sketch, percent), "second-pairs"), k, percent)
     final = components(links.union(more)).select(F.col("node").alias("least"), "component")
     return of_class.join(final, "least", "left").select("node", "n", F.coalesce("component", "least").alias("component"))
 
