@@ -90,8 +90,17 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(LOCAL_COUNTS).collect()  # bounded
-    held = {r["word"].encode(): r["c"] for r in top}
+    # the commonest words by steps of their count, as many whole steps as LOCAL_COUNTS words fill
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()  # at most 16 for each bit
+    lowest, room = None, LOCAL_COUNTS
+    for r in sizes:
+        room -= r["n"]
+        if room < 0:
+            break
+        lowest = r["step"]
+    top = counts.where(step >= lowest).collect() if lowest is not None else []
+    held = {r["word"].encode(): r["c"] for r in sorted(top, key=lambda r: (-r["c"], r["word"]))}
     ends = counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     own = [w for w in held if w][:OWN_ROWS]
     used = sum(held[w] for w in own) + ends
