@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
@@ -59,16 +60,54 @@ def z_from_p_sql(p: str, effect: str) -> str:
     return f"(CASE WHEN {p} = 1 THEN {_number('0')} WHEN {p} > 0 AND {p} < 1 AND {effect} IS NOT NULL THEN (CASE WHEN {effect} < 0 THEN -1 ELSE 1 END) * -{probit_sql(f'({p} / 2)')} END)"
 
 
-def probit(p: str) -> Column:
-    return F.expr(probit_sql(p))
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x evaluated once: the optimiser copies an expression wherever its alias is used, and these
+    polynomials, copied into filters, would outgrow what the JVM compiles as one method."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
-def norm_sf(x: str) -> Column:
-    return F.expr(norm_sf_sql(x))
+def _polynomial(coefficients: tuple[str, ...], x: Column) -> Column:
+    out = F.lit(float(coefficients[-1]))
+    for c in coefficients[-2::-1]:
+        out = out * x + float(c)
+    return out
+
+
+def probit(p: str | Column) -> Column:
+    """The standard normal quantile; null outside (0, 1)."""
+    p = F.col(p) if isinstance(p, str) else p
+
+    def tail(r: Column) -> Column:
+        near = let(r - 1.6, lambda t: _polynomial(C, t) / _polynomial(D, t))
+        return F.when(r <= 5, near).otherwise(let(r - 5, lambda t: _polynomial(E, t) / _polynomial(G, t)))
+
+    def inside(q: Column) -> Column:
+        middle = let(0.180625 - q * q, lambda t: q * _polynomial(A, t) / _polynomial(B, t))
+        size = let(F.sqrt(-F.ln(F.when(q < 0, q + 0.5).otherwise(0.5 - q))), tail)
+        return F.when(F.abs(q) <= 0.425, middle).otherwise(F.when(q < 0, -size).otherwise(size))
+
+    def small(x: Column) -> Column:  # q + 0.5 loses what lies below 1e-16
+        return -let(F.sqrt(-F.ln(x)), tail)
+
+    return let(p, lambda x: F.when((x > 0) & (x < 0.075), small(x)).when((x > 0) & (x < 1), let(x - 0.5, inside)))
+
+
+def norm_sf(x: str | Column) -> Column:
+    """The upper tail of the standard normal distribution."""
+    x = F.col(x) if isinstance(x, str) else x
+
+    def tail(a: Column) -> Column:
+        bell = F.exp(-a * a / 2)
+        outer = bell / (a + 1 / (a + 2 / (a + 3 / (a + 4 / (a + 0.65))))) / 2.506628274631
+        return F.when(a > 37, 0.0).when(a < 7.07106781186547, bell * _polynomial(NUMERATOR, a) / _polynomial(DENOMINATOR, a)).otherwise(outer)
+
+    return let(x, lambda v: F.when(v >= 0, let(F.abs(v), tail)).otherwise(1 - let(F.abs(v), tail)))
 
 
 def z_from_p(p: str = "P", effect: str = "EFFECT") -> Column:
-    return F.expr(z_from_p_sql(p, effect))
+    """The signed Z of a two-sided p-value; zero for p = 1, null for p outside (0, 1]."""
+    sign = F.when(F.col(effect) < 0, -1.0).when(F.col(effect).isNotNull(), 1.0)
+    return F.when(F.col(p) == 1, 0.0).when((F.col(p) > 0) & (F.col(p) < 1), sign * -probit(F.col(p) / 2))
 
 
 def chi2_sf(x: np.ndarray | float, df: np.ndarray | float) -> np.ndarray:

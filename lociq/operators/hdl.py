@@ -140,7 +140,7 @@ def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_
     jackknife over pieces."""
     k = len(traits)
     sizes = [sample_sizes(t) for t in traits]
-    rho = {(i, j): z_slope(traits[j], traits[i]) for j, i in vech_index(k) if i != j}
+    rho = {(i, j): z_slope(traits[i], traits[j]) for j, i in vech_index(k) if i != j}
     effects = None
     for t, gwas in enumerate(traits):
         one = bhat(pieces, gwas, t)
@@ -156,7 +156,7 @@ def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_
                 own = [fit_piece(ldsc, lam, v, b[t], sizes[t][0], n_ref) for t in range(k)]
                 for u, (i, j) in enumerate(vech_index(k)):
                     n0 = min(sizes[i][1], sizes[j][1])
-                    got = own[i] if i == j else fit_pair(ldsc, lam, v, b[j], b[i], sizes[j][0], sizes[i][0], n0, n_ref, rho[j, i] if (j, i) in rho else rho[i, j], own[j], own[i])
+                    got = own[i] if i == j else fit_pair(ldsc, lam, v, b[j], b[i], sizes[j][0], sizes[i][0], n0, n_ref, rho[j, i], own[j], own[i])
                     rows.append((r["piece"], u, float(got[0]), float(got[1])))
             yield pd.DataFrame(rows, columns=["piece", "cell", "h", "intercept"])
 

@@ -106,7 +106,8 @@ def qtrait(spark: SparkSession, c: Covariance, indicators: Sequence[str], traits
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([one_trait(c, measured, t, names, len(traits), limits) for t in batch["trait"]], columns=columns)
+            rows = [one_trait(c, measured, t, names, len(traits), limits) for t in batch["trait"]]
+            yield pd.DataFrame([[r.get(x) for x in columns] for r in rows], columns=columns, dtype=object)
 
     dealt = spark.createDataFrame([(t,) for t in traits], "trait string").repartition(min(len(traits), spark.sparkContext.defaultParallelism))
     return dealt.mapInPandas(run, RESULT)

@@ -45,4 +45,7 @@ def gene_effects(table: DataFrame, name: str, n: float, binary: bool, perm: bool
 def read_fusion(tables: Sequence[DataFrame], names: Sequence[str], n: Sequence[float], binary: Sequence[bool], perm: bool = False) -> DataFrame:
     """All traits' effects by Gene and Panel, HSQ as the first has it; rows with nulls and repeated rows go."""
     each = [gene_effects(t, *x, perm) for t, *x in zip(tables, names, n, binary, strict=True)]
-    return reduce(lambda a, b: a.join(b.drop("HSQ"), ["Gene", "Panel"]), each).dropna().dropDuplicates().select("HSQ", "Panel", "Gene", *(f"`{c}.{x}`" for x in names for c in ("beta", "se")))
+    merged = reduce(lambda a, b: a.join(b.drop("HSQ"), ["Gene", "Panel"]), each)
+    columns = ["HSQ", "Panel", "Gene", *(f"{c}.{x}" for x in names for c in ("beta", "se"))]
+    known = reduce(lambda a, b: a & b, (F.col(f"`{c}`").isNotNull() for c in columns))
+    return merged.where(known).select(*(f"`{c}`" for c in columns)).distinct()
