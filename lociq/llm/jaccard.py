@@ -7,7 +7,7 @@ of c = 2 of these; heavy ones scan the inverted lists of single shingles (c = 1)
 be a heavy set's partner stand too. The boundary is where the subsets of a set begin to cost more than its lists.
 
 Documents with equal sets are one class from the start. Within a list or subset every class is first compared
-with the least one alone; only pairs that these links leave in different components are compared in a
+with one alone, that which has the fewest rare shingles of its own; only pairs that these links leave in different components are compared in a
 second round. So every link counts, and copies are never paired among themselves.
 """
 
@@ -122,31 +122,39 @@ def boundary(first: DataFrame, percent: int) -> int:
 
 
 def postings(first: DataFrame, light: int, percent: int) -> DataFrame:
-    """node, n, key: subsets of two of light sets; single shingles of heavy sets, of those that may be a heavy
-    set's partner, and of sets too small for subsets with all that may be theirs."""
+    """node, n, key, left: subsets of two of light sets; single shingles of heavy sets, of those that may be a heavy
+    set's partner, and of sets too small for subsets with all that may be theirs. left is the largest overlap with a set
+    that shares nothing before the key in the global order."""
     tiny = max([n for n in range(1, LARGEST_LIGHT) if need(n, percent) < 2], default=0)
     reach = tiny * 100 // percent
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, left = [], []
             for n, shingle in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                s, mine = shingle.values.to_numpy().view(np.uint64), []
+                s, mine, rest = shingle.values.to_numpy().view(np.uint64), [], []
                 if n * 100 > light * percent or n <= reach:
                     mine.append(mixed(s[: n - need(n, percent) + 1]))
+                    rest.append(n - np.arange(len(mine[-1])))
                 if n <= light and need(n, percent) >= 2:
                     i, j = np.triu_indices(len(s), 1)
                     with np.errstate(over="ignore"):
                         mine.append(mixed(mixed(np.minimum(s[i], s[j])) + np.uint64(3) * np.maximum(s[i], s[j])))
+                    rest.append(n - j + 1)
                 found.append(np.concatenate([np.zeros(0, np.uint64), *mine]).view(np.int64))
+                left.append(np.concatenate([np.zeros(0, np.int64), *rest]))
             which = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["node", "n", "key"])
+            columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(kind)) for x, kind in ((found, "i8"), (left, "i4"))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names=["node", "n", "key", "left"])
 
-    return first.mapInArrow(keys, "node struct<doc:long,tie:int>, n int, key long")
+    return first.mapInArrow(keys, "node struct<doc:long,tie:int>, n int, key long, left int")
 
 
-def near_in_size(a: str, b: str, percent: int) -> F.Column:
-    return F.least(a, b).cast("long") * 100 >= F.greatest(a, b).cast("long") * percent
+def possible(n: str, m: str, left_n: str, left_m: str, percent: int) -> F.Column:
+    """Whether two sets that meet first at a key can reach the threshold: near enough in size, and enough left of both."""
+    overlap = F.ceil((F.col(n) + F.col(m)).cast("long") * percent / F.lit(100.0 + percent) - 1e-9)
+    sizes = F.least(n, m).cast("long") * 100 >= F.greatest(n, m).cast("long") * percent
+    return sizes & (F.least(left_n, left_m) >= overlap)
 
 
 def within_bounds(pairs: DataFrame, first: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
@@ -218,19 +226,19 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     first = settle(prefixes(base, sketch, k, percent).join(copies, "node", "left_anti"), "prefixes")
     posted = settle(postings(first, boundary(first, percent), percent), "postings")
 
-    heads = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", "n")).alias("head")).where("c > 1").select("key", "head")
+    heads = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left")).alias("head")).where("c > 1").select("key", "head")
     met = settle(posted.join(heads, "key"), "shared-postings")
-    stars = met.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n")
-    stars = stars.where((F.col("u") != F.col("v")) & near_in_size("n_u", "n", percent)).select("u", "v").distinct()
-    stars = settle(stars, "stars")
+    stars = met.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n", F.col("head.left").alias("left_u"), "left")
+    stars = stars.where((F.col("u") != F.col("v")) & possible("n_u", "n", "left_u", "left", percent))
+    stars = settle(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
     links = settle(verified(base, settle(within_bounds(stars, first, sketch, percent), "star-pairs"), k, percent), "star-links")
     found = components(links)
 
-    member = met.select("key", "node", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = met.select("key", "node", "n", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     member = settle(member.join(several, "key", "left_semi"), "second-round")
-    other = member.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("component").alias("c_v"))
-    rest = member.join(other, "key").where((F.col("component") < F.col("c_v")) & near_in_size("n", "n_v", percent))
+    other = member.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("left").alias("left_v"), F.col("component").alias("c_v"))
+    rest = member.join(other, "key").where((F.col("component") < F.col("c_v")) & possible("n", "n_v", "left", "left_v", percent))
     rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     more = verified(base, settle(within_bounds(rest, first, sketch, percent), "second-pairs"), k, percent)
     final = components(links.union(more)).select(F.col("node").alias("least"), "component")
