@@ -157,6 +157,12 @@ def possible(n: str, m: str, left_n: str, left_m: str, percent: int) -> F.Column
     return sizes & (F.least(left_n, left_m) >= overlap)
 
 
+def few_or_shuffled(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it has at most BROADCAST_ROWS rows, so that the texts or lists it
+    is joined to stay where they are; else joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def within_bounds(pairs: DataFrame, first: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """The pairs (u, v) whose first shingles don't rule them out. What precedes the last of the other's first shingles
     and isn't among them isn't in the other set at all; too many of these leave too small an overlap."""
@@ -200,8 +206,7 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
             yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
 
     wanted = settle(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().select("node.doc", "node.tie"), "documents-to-compare")
-    few = wanted.count() <= BROADCAST_ROWS  # then no text is shuffled
-    sets = base.join(F.broadcast(wanted) if few else wanted, ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set binary")
+    sets = base.join(few_or_shuffled(wanted), ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set binary")
     sets = settle(sets.select(F.struct("doc", "tie").alias("node"), "set"), "sets-to-compare")
     centres = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
     with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("t")), "v")
@@ -222,12 +227,14 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     sets, sketch = describe(base, k)
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("node").alias("least"))
     of_class = settle(sets.join(classes, ["a", "b", "n"], "left").select("node", "n", F.coalesce("least", "node").alias("least")), "classes")
-    copies = of_class.where("node != least").select("node").distinct()
-    first = settle(prefixes(base, sketch, k, percent).join(copies, "node", "left_anti"), "prefixes")
+    copies = settle(of_class.where("node != least").select("node").distinct(), "copies")
+    first = settle(prefixes(base, sketch, k, percent).join(few_or_shuffled(copies), "node", "left_anti"), "prefixes")
     posted = settle(postings(first, boundary(first, percent), percent), "postings")
 
-    heads = posted.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left")).alias("head")).where("c > 1").select("key", "head")
-    met = settle(posted.join(heads, "key"), "shared-postings")
+    shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    shared = settle(posted.join(shared, "key", "left_semi"), "shared-postings")
+    heads = shared.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left")).alias("head"))
+    met = settle(shared.join(heads, "key"), "met")
     stars = met.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n", F.col("head.left").alias("left_u"), "left")
     stars = stars.where((F.col("u") != F.col("v")) & possible("n_u", "n", "left_u", "left", percent))
     stars = settle(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
