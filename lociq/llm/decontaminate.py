@@ -75,7 +75,7 @@ def build_index(docs: DataFrame, pivot_terms: DataFrame, n: int = WINDOW) -> Dat
         placed = base.withColumn("places", F.filter(marked, lambda i: i.isNotNull()))
         return placed.select("doc_id", "tie", F.size("w").cast("long").alias("n_words"), F.transform("places", posting).alias("postings"))
     base = base.withColumn("row", F.monotonically_increasing_id())
-    spread = base.select("row", F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - 1), posting))).where("term is not null")
+    spread = base.where(F.size("w") > 0).select("row", F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - 1), posting)))
     kept = spread.join(pivot_terms, "term", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "term", "from", "around")).alias("postings"))
     none = F.array().cast("array<struct<at:int,term:string,from:int,around:array<string>>>")
     return base.join(kept, "row", "left").select("doc_id", "tie", F.size("w").cast("long").alias("n_words"), F.coalesce("postings", none).alias("postings"))
