@@ -194,24 +194,17 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
                 sets = shingle_sets(piece.column(2).to_pylist(), k)
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "tie", "set"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            linked = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                s, t = (np.frombuffer(b.as_buffer(), np.uint64) for b in (x, y))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                linked.append(100 * common >= percent * (len(s) + len(t) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(linked, pa.bool_()))
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), lists], names=["doc", "tie", "set"])
 
     wanted = settle(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().select("node.doc", "node.tie"), "documents-to-compare")
-    sets = base.join(few_or_shuffled(wanted), ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set binary")
+    sets = base.join(few_or_shuffled(wanted), ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set array<long>")
     sets = settle(sets.select(F.struct("doc", "tie").alias("node"), "set"), "sets-to-compare")
     centres = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
     with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("t")), "v")
     with_u = with_v.join(centres.select(F.col("node").alias("u"), F.col("set").alias("s")), "u")
-    return with_u.select("u", "v", "s", "t").mapInArrow(compare, "u struct<doc:long,tie:int>, v struct<doc:long,tie:int>")
+    common = F.size(F.array_intersect("s", "t"))
+    return with_u.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v")
 
 
 def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

@@ -23,6 +23,7 @@ RIDGE = 1e-4
 WIDTH = 1.0
 SEED = 7
 GRID = 2048
+SLICE = 256
 
 #: Kinds of bytes: 0 other symbols, 1 a-z, 2 A-Z, 3 digits, 4 blanks, 5 line ends, 6 stops and commas, 7 beyond ASCII.
 KINDS = np.zeros(256, np.uint8)
@@ -63,11 +64,18 @@ def statistics(text: str) -> list[float]:
     ]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SLICE rows at a time, so that few texts are held as Python strings."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def document_statistics(docs: DataFrame) -> DataFrame:
     """doc_id and its statistics, one row for each row of docs. A null text counts as empty."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [statistics(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
@@ -201,7 +209,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             stats = [statistics(t or "") for t in batch.column(at).to_pylist()]
             good = shared.value.score(np.array(stats).reshape(-1, len(STATISTICS))) >= threshold
             yield batch.filter(pa.array(good))
