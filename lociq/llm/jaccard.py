@@ -182,7 +182,8 @@ def within_bounds(pairs: DataFrame, first: DataFrame, sketch: np.ndarray, percen
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda end, n, f: first.select(F.col("node").alias(end), F.col("n").alias(n), F.col("first").alias(f))
-    both = pairs.join(side("u", "n", "x"), "u").join(side("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
+    asked = few_or_shuffled(pairs)
+    both = side("u", "n", "x").join(asked, "u").join(side("v", "m", "y").join(asked, "v"), ["u", "v"]).select("u", "v", "n", "m", "x", "y")
     return both.mapInArrow(bound, "u struct<doc:long,tie:int>, v struct<doc:long,tie:int>")
 
 
@@ -201,7 +202,7 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     sets = base.join(few_or_shuffled(wanted), ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set array<long>")
     sets = settle(sets.select(F.struct("doc", "tie").alias("node"), "set"), "sets-to-compare")
     centres = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
-    with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("t")), "v")
+    with_v = sets.select(F.col("node").alias("v"), F.col("set").alias("t")).join(few_or_shuffled(pairs), "v")
     with_u = with_v.join(centres.select(F.col("node").alias("u"), F.col("set").alias("s")), "u")
     common = F.size(F.array_intersect("s", "t"))
     return with_u.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v")
@@ -232,14 +233,15 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     stars = stars.where((F.col("u") != F.col("v")) & possible("n_u", "n", "left_u", "left", percent))
     stars = settle(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
     links = settle(verified(base, settle(within_bounds(stars, first, sketch, percent), "star-pairs"), k, percent), "star-links")
-    found = components(links)
+    found = settle(components(links), "star-components")
 
-    member = met.select("key", "node", "n", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = met.select("key", "node", "n", "left").join(few_or_shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     member = settle(member.join(several, "key", "left_semi"), "second-round")
     other = member.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("left").alias("left_v"), F.col("component").alias("c_v"))
     rest = member.join(other, "key").where((F.col("component") < F.col("c_v")) & possible("n", "n_v", "left", "left_v", percent))
     rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    rest = settle(rest, "more-pairs")
     more = verified(base, settle(within_bounds(rest, first, sketch, percent), "second-pairs"), k, percent)
     final = components(links.union(more)).select(F.col("node").alias("least"), "component")
     return of_class.join(final, "least", "left").select("node", "n", F.coalesce("component", "least").alias("component"))
