@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.storage import settle
+from lociq.llm.storage import few_or_shuffled, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -140,4 +140,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) ->
     found = phrase_matches(index, looked_up).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).distinct()
     bad = settle(found, "contaminated")
     same = F.equal_null(F.col("doc_id").cast("long"), F.col("_doc")) & (F.xxhash64("text") == F.col("_tie"))
-    return docs.join(bad, same, "left_anti")
+    return docs.join(few_or_shuffled(bad), same, "left_anti")

@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 
 from lociq.llm.components import components
 from lociq.llm.hashing import mixed, runs_of, word_hashes
-from lociq.llm.storage import settle
+from lociq.llm.storage import few_or_shuffled, settle
 
 SKETCH_BITS = 18
 CHUNKS = 64
 SLICE = 256
 LARGEST_LIGHT = 200
-BROADCAST_ROWS = 200_000
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -157,12 +156,6 @@ def possible(n: str, m: str, left_n: str, left_m: str, percent: int) -> F.Column
     return sizes & (F.least(left_n, left_m) >= overlap)
 
 
-def few_or_shuffled(keys: DataFrame) -> DataFrame:
-    """A written table of keys, to be broadcast if it has at most BROADCAST_ROWS rows, so that the texts or lists it
-    is joined to stay where they are; else joined by a shuffle."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-
-
 def within_bounds(pairs: DataFrame, first: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
     """The pairs (u, v) whose first shingles don't rule them out. What precedes the last of the other's first shingles
     and isn't among them isn't in the other set at all; too many of these leave too small an overlap."""
@@ -249,12 +242,15 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with the row of the least id of each component; rows without a word all stay. Columns stay as they are."""
-    kept = similar_components(docs, k, percent).where("node != component").select("node.doc", "node.tie").distinct().toDF("_doc", "_tie")
+    told = settle(similar_components(docs, k, percent), "components")
+    flat = lambda nodes: nodes.select("node.doc", "node.tie").toDF("_doc", "_tie")
+    copies = settle(flat(told.where("node != component").select("node").distinct()), "copies-to-drop")
+    repeated = settle(flat(told.where("n > 0").groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")), "repeated-rows")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": F.hash(text)}
-    rows = docs.withColumns(keys).join(kept, ["_doc", "_tie"], "left_anti")
-    wordless = F.trim(F.translate(text, "\t\n\x0b\f\r", "     ")) == ""
-    told = rows.withColumn("_row", F.when(wordless, F.monotonically_increasing_id()))
-    return told.dropDuplicates(["_doc", "_tie", "_row"]).select(docs.columns)
-
-
+    rows = docs.withColumns(keys).join(few_or_shuffled(copies), ["_doc", "_tie"], "left_anti")
+    if not repeated.isEmpty():  # of rows with equal ids and texts one stays
+        several = few_or_shuffled(repeated)
+        once = rows.join(several, ["_doc", "_tie"], "left_semi").dropDuplicates(["_doc", "_tie"])
+        rows = rows.join(several, ["_doc", "_tie"], "left_anti").unionByName(once)
+    return rows.select(docs.columns)

@@ -8,8 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,3 +37,9 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def few_or_shuffled(keys: DataFrame) -> DataFrame:
+    """A written table of narrow rows, to be broadcast if it has at most BROADCAST_ROWS of them, so that the texts or
+    lists it is joined to stay where they are; else joined by a shuffle."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.hashing import runs_of, word_hashes
-from lociq.llm.storage import settle
+from lociq.llm.storage import BROADCAST_ROWS, few_or_shuffled, settle
 
 MIN_WORDS = 50
 SEED = 8
@@ -294,26 +294,37 @@ def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = settle(repeats(base, min_words), "repeats")
     names, at = docs.columns, docs.columns.index("text")
     known = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    later = found.where(F.size("later") > 0).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), F.col("later").alias("_later"))
-    joined = known.join(later, ["_doc", "_tie"], "left").select(*names, "_later")
+
+    def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [[x for ab in stretches(cover(later, min_words, n)) for x in ab] for n, later in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cuts, pa.list_(pa.int32()))], names=["_doc", "_tie", "_cuts"])
+
+    later = found.where(F.size("later") > 0).select(*KEY, "n_words", "later").distinct()
+    cuts = settle(later.mapInArrow(stretch, "_doc long, _tie int, _cuts array<int>"), "cuts")
+    if (cuts.agg(F.sum(F.size("_cuts"))).first()[0] or 0) <= 8 * BROADCAST_ROWS:
+        cuts = few_or_shuffled(cuts)
+    joined = known.join(cuts, ["_doc", "_tie"], "left").select(*names, "_cuts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True)
-            kept = [without(text, later, min_words) for text, later in pairs]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if i == at else batch.column(i) for i in range(len(names))], names=names)
+            for i in range(0, batch.num_rows, SLICE):
+                piece = batch.slice(i, SLICE)
+                pairs = zip(piece.column(at).to_pylist(), piece.column(len(names)).to_pylist(), strict=True)
+                kept = pa.array([without(text, cuts) for text, cuts in pairs], pa.string())
+                yield pa.RecordBatch.from_arrays([kept if c == at else piece.column(c) for c in range(len(names))], names=names)
 
     out = joined.mapInArrow(cut, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
-def without(text: str | None, later: list[int] | None, size: int) -> str | None:
-    """The text without the words of runs of ``size`` words that begin at ``later``."""
-    if not later:
+def without(text: str | None, cuts: list[int] | None) -> str | None:
+    """The text without the words of some stretches, given as begin, end, begin, end ..."""
+    if not cuts:
         return text
     words = list(WORD.finditer(text or ""))
     parts, last = [], 0
-    for a, b in stretches(cover(later, size, len(words))):
+    for a, b in zip(cuts[::2], cuts[1::2], strict=True):
         parts.append(text[last : words[a].start()])
         last = words[b].start() if b < len(words) else len(text)
     return "".join([*parts, text[last:]])
