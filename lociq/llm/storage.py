@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +15,42 @@ SETTING = "spark.checkpoint.dir"
 BROADCAST_ROWS = 200_000
 
 
+_own: dict[str, str] = {}
+_swept: set[str] = set()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir. Where it is unset (single-machine tests) a new
     temporary folder takes its place for as long as the process lives."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
-        found = tempfile.mkdtemp(prefix="lociq-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set(SETTING, found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="lociq-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
+        found = _own[app]
     return found.rstrip("/")
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_folder(spark)}/lociq/{label}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other call gets. It belongs to the application: when the driver's
+    Python ends in the ordinary way, all of them are removed."""
+    app = f"{shared_folder(spark)}/lociq/{spark.sparkContext.applicationId}"
+    if app not in _swept:
+        _swept.add(app)
+        atexit.register(_remove, app)
+    return f"{app}/{label}-{uuid.uuid4().hex}"
+
+
+def _remove(folder: str) -> None:
+    fs, path = open_store(folder)
+    if fs.get_file_info(path).type == pafs.FileType.Directory:
+        fs.delete_dir(path)
+
+
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI or an absolute local path, and the path in it."""
+    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

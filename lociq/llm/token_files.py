@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lociq.llm.storage import new_path, settle
+from lociq.llm.storage import new_path, open_store, settle
 
 ROWS = 64
 CACHED_WORDS = 900_000
@@ -35,11 +35,6 @@ SLICE = 512
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
 
 
-def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a URI or an absolute local path, and the path in it."""
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
-
-
 class WordEncoder:
     """Ids of whole texts as little-endian bytes, by way of a bounded cache of words.
 
