@@ -8,6 +8,7 @@ into shards of equal counts (the law ``rows``).
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,17 @@ def shuffle_records(docs: DataFrame, seed: int = 17, bucket_bytes: int = BUCKET_
     keyed = docs.withColumn("_input", F.monotonically_increasing_id()).withColumn("_tie", F.xxhash64("text"))
     keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_tie", "_input"), F.lit(buckets)).cast("int"))
 
-    def shuffle(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("_tie", "ascending"), ("_input", "ascending")]))
-        rows = rows.take(pa.array(permutation(len(rows), seed, key[0].as_py())))
-        return rows.drop_columns(["_tie", "_input"]).append_column("_place", pa.array(np.arange(len(rows))))
+    def shuffle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:  # the partition is one bucket
+            rows = pa.Table.from_batches(parts)
+            rows = rows.take(pc.sort_indices(rows, [("doc_id", "ascending"), ("_tie", "ascending"), ("_input", "ascending")]))
+            rows = rows.take(pa.array(permutation(len(rows), seed, rows.column("_bucket")[0].as_py())))
+            rows = rows.drop_columns(["_tie", "_input"]).append_column("_place", pa.array(np.arange(len(rows))))
+            yield from rows.to_batches(max_chunksize=2_000)
 
     schema = docs.withColumn("_bucket", F.lit(0)).withColumn("_place", F.lit(0).cast("long")).schema
-    keyed.groupBy("_bucket").applyInArrow(shuffle, schema).write.parquet(path)
+    keyed.repartitionById(buckets, "_bucket").mapInArrow(shuffle, schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
