@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm.components import components
 from lociq.llm.hashing import mixed, runs_of, word_hashes
-from lociq.llm.storage import few_or_shuffled, settle
+from lociq.llm.storage import discard, few_or_shuffled, settle
 
 SKETCH_BITS = 18
 CHUNKS = 64
@@ -198,7 +198,9 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     with_v = sets.select(F.col("node").alias("v"), F.col("set").alias("t")).join(few_or_shuffled(pairs), "v")
     with_u = with_v.join(centres.select(F.col("node").alias("u"), F.col("set").alias("s")), "u")
     common = F.size(F.array_intersect("s", "t"))
-    return with_u.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v")
+    links = settle(with_u.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v"), "links-found")
+    discard(wanted, sets)
+    return links
 
 
 def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -220,15 +222,15 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     shared = settle(posted.join(shared, "key", "left_semi"), "shared-postings")
+    discard(posted)
     heads = shared.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left")).alias("head"))
-    met = settle(shared.join(heads, "key"), "met")
-    stars = met.select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n", F.col("head.left").alias("left_u"), "left")
+    stars = shared.join(heads, "key").select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n", F.col("head.left").alias("left_u"), "left")
     stars = stars.where((F.col("u") != F.col("v")) & possible("n_u", "n", "left_u", "left", percent))
     stars = settle(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
-    links = settle(verified(base, settle(within_bounds(stars, first, sketch, percent), "star-pairs"), k, percent), "star-links")
+    links = verified(base, settle(within_bounds(stars, first, sketch, percent), "star-pairs"), k, percent)
     found = settle(components(links), "star-components")
 
-    member = met.select("key", "node", "n", "left").join(few_or_shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    member = shared.select("key", "node", "n", "left").join(few_or_shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     member = settle(member.join(several, "key", "left_semi"), "second-round")
     other = member.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("left").alias("left_v"), F.col("component").alias("c_v"))

@@ -62,6 +62,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Remove the files of written tables that nothing will read any more."""
+    for folder in {f.rsplit("/", 1)[0] for df in written for f in df.inputFiles()}:
+        fs, path = open_store(folder)
+        fs.delete_dir(path)
+
+
 def few_or_shuffled(keys: DataFrame) -> DataFrame:
     """A written table of narrow rows, to be broadcast if it has at most BROADCAST_ROWS of them, so that the texts or
     lists it is joined to stay where they are; else joined by a shuffle."""

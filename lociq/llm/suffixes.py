@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.llm.hashing import runs_of, word_hashes
-from lociq.llm.storage import BROADCAST_ROWS, few_or_shuffled, settle
+from lociq.llm.storage import BROADCAST_ROWS, discard, few_or_shuffled, settle
 
 MIN_WORDS = 50
 SEED = 8
@@ -219,6 +219,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, ancho
     heads = F.when(F.col("run").isNotNull(), F.struct("run", "start", "more"))
     sure = F.when(F.col("run").isNull() | F.col("more"), F.col("start"))
     of_doc = settle(told.groupBy(KEY).agg(F.collect_set(sure).alias("starts"), F.collect_set(later).alias("later"), F.collect_set("of").alias("sources"), F.collect_set(heads).alias("heads")), "runs-told")
+    discard(candidates)
 
     salted = of_doc.select(*KEY, F.inline("heads"))
     ends = salted.groupBy("run").agg(F.min(F.struct(*KEY, "start")).alias("first"), F.max(F.struct(*KEY, "start")).alias("last")).where("first != last")
