@@ -5,7 +5,7 @@ from lociq.llm.storage import discard, few_or_shuffled, new_path, settle, shared
 
 def test_written_tables(spark):
     a = settle(spark.range(5), "some")
-    assert a.count() == 5 and a.schema == spark.range(1).schema
+    assert a.count() == 5 and a.dtypes == spark.range(1).dtypes
     assert new_path(spark, "x") != new_path(spark, "x") and new_path(spark, "x").startswith(shared_folder(spark))
     folder = a.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
     assert os.path.isdir(folder)
