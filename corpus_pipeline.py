@@ -18,6 +18,20 @@ from lociq.llm.storage import settle
 from lociq.llm.suffixes import dedup_passages
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def _small_batches(stage):
+    """The stage with batches of at most 500 rows between Spark and Python: documents are long, and both
+    sides hold whole batches of them."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set(BATCH, "500")
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, taught by ``labels``, doesn't reject."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -44,7 +58,7 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-STAGES = [("quality", quality), ("near_copies", near_copies), ("passages", passages), ("leaks", leaks), ("pieces", pieces)]
+STAGES = [(stage.__name__, _small_batches(stage)) for stage in (quality, near_copies, passages, leaks, pieces)]
 
 #: The quality classifier and the piece encoder can't be told in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
