@@ -233,9 +233,10 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     member = shared.select("key", "node", "n", "left").join(few_or_shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
     member = settle(member.join(several, "key", "left_semi"), "second-round")
-    other = member.select("key", F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("left").alias("left_v"), F.col("component").alias("c_v"))
-    rest = member.join(other, "key").where((F.col("component") < F.col("c_v")) & possible("n", "n_v", "left", "left_v", percent))
-    rest = rest.select(F.least("node", "v").alias("u"), F.greatest("node", "v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    member = member.select("key", "node", "n", "left", "component")
+    one, other = (member.toDF("key", *(f"{c}_{end}" for c in member.columns[1:])) for end in "uv")  # alike, so that one shuffle serves both
+    rest = one.join(other, "key").where((F.col("component_u") < F.col("component_v")) & possible("n_u", "n_v", "left_u", "left_v", percent))
+    rest = rest.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
     rest = settle(rest, "more-pairs")
     more = verified(base, settle(within_bounds(rest, first, sketch, percent), "second-pairs"), k, percent)
     final = components(links.union(more)).select(F.col("node").alias("least"), "component")
