@@ -159,6 +159,8 @@ def extended(docs: DataFrame, candidates: DataFrame, min_words: int, seed: int,
                 rest = [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((hashed, "i8"), (salts, "i4"), (starts, "i4"))]
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(which), piece.column(1).take(which), *rest], names=["doc", "tie", "run", "salt", "start"])
 
+    if (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) <= 8 * BROADCAST_ROWS:
+        candidates = few_or_shuffled(candidates)  # then no text is shuffled
     return docs.join(candidates, KEY).select(*KEY, "text", "places").mapInArrow(runs, f"{KEYS}, run long, salt int, start int")
 
 
