@@ -154,23 +154,35 @@ def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_
                 ldsc, lam, v = np.asarray(r["ldsc"], float), np.asarray(r["lam"], float), np.stack(r["v"]).astype(float)
                 b = np.stack(r["bhats"]).astype(float)
                 own = [fit_piece(ldsc, lam, v, b[t], sizes[t][0], n_ref) for t in range(k)]
-                for u, (i, j) in enumerate(vech_index(k)):
+                cells = []
+                for i, j in vech_index(k):
                     n0 = min(sizes[i][1], sizes[j][1])
-                    got = own[i] if i == j else fit_pair(ldsc, lam, v, b[j], b[i], sizes[j][0], sizes[i][0], n0, n_ref, rho[j, i], own[j], own[i])
-                    rows.append((r["piece"], u, float(got[0]), float(got[1])))
-            yield pd.DataFrame(rows, columns=["piece", "cell", "h", "intercept"])
-
-    fitted = pieces.join(by_piece, "piece").mapInPandas(run, "piece string, cell int, h double, intercept double").toPandas()  # pieces times cells
-    table = fitted.pivot(index="piece", columns="cell", values="h").sort_index().to_numpy()
-    n = len(table)
-    total = table.sum(axis=0)
-    pseudo = n / (n - 1) * (total - table)
-    V = np.atleast_2d(np.cov(pseudo.T)) * (n - 1)
-    means = fitted.groupby("cell")["intercept"].mean().to_numpy()
+                    cells.append(own[i] if i == j else fit_pair(ldsc, lam, v, b[j], b[i], sizes[j][0], sizes[i][0], n0, n_ref, rho[j, i], own[j], own[i]))
+                rows.append((len(ldsc), [float(c[0]) for c in cells], [float(c[1]) for c in cells]))
+            yield pd.DataFrame(rows, columns=["m", "h", "intercept"])
+
+    cells = range(k * (k + 1) // 2)
+    pairs = [(u, w) for u in cells for w in cells if u <= w]
+    # fits take far longer than their bytes tell, so each task gets its share of the pieces; by a hash, as a second shuffle by piece would be left out
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fitted = pieces.join(by_piece, "piece").repartition(parts, F.xxhash64("piece")).mapInPandas(run, "m long, h array<double>, intercept array<double>")
+    h, intercept = (lambda u: F.col("h")[u]), (lambda u: F.col("intercept")[u])
+    sums = fitted.agg(
+        F.count("*").alias("n"),
+        F.sum("m").alias("m"),
+        F.array(*(F.sum(h(u)) for u in cells)).alias("total"),
+        F.array(*(F.avg(intercept(u)) for u in cells)).alias("mean"),
+        F.array(*(F.covar_samp(h(u), h(w)) for u, w in pairs)).alias("spread"),
+    ).first()  # one row, whatever the pieces
+    # a piece left out gives n / (n - 1) * (total - h), so the covariance of these is that of h times (n / (n - 1))^2
+    n = sums["n"]
+    V = np.zeros((len(cells), len(cells)))
+    for (u, w), c in zip(pairs, sums["spread"], strict=True):
+        V[u, w] = V[w, u] = c * n**2 / (n - 1)
     S, I = np.zeros((k, k)), np.zeros((k, k))  # noqa: E741
     for u, (i, j) in enumerate(vech_index(k)):
-        S[i, j] = S[j, i] = total[u]
-        I[i, j] = I[j, i] = means[u]
+        S[i, j] = S[j, i] = sums["total"][u]
+        I[i, j] = I[j, i] = sums["mean"][u]
     S, V = rescale(S, V, np.sqrt([liability(p) for p in prevalences or [Prevalence()] * k]))
     n_cells = np.array([np.sqrt(sizes[i][0] * sizes[j][0]) for i, j in vech_index(k)])
-    return Covariance(list(names), S, V, I, n_cells, float(pieces.agg(F.sum(F.size("snps"))).first()[0]))
+    return Covariance(list(names), S, V, I, n_cells, float(sums["m"]))

@@ -548,7 +548,7 @@ def q_qtrait(spark, sf_dir):
 def q_hdl(spark, sf_dir):
     from lociq.operators.hdl import hdl, load_gwas
 
-    v = variants(spark, sf_dir).where("pk < 160").withColumn("piece", F.concat(F.lit("p"), F.floor(F.col("pk") / 40)))
+    v = variants(spark, sf_dir).withColumn("piece", F.concat(F.lit("p"), F.floor(F.col("pk") / 40)))
     at = F.array_sort(F.collect_list(F.struct("pk", "SNP", "A2", "L2")))
     pieces = v.groupBy("piece").agg(at.alias("s")).select("piece", F.col("s.SNP").alias("snps"), F.col("s.A2").alias("a2"), F.col("s.L2").alias("ldsc"), F.transform("s", lambda x: 1 + x["L2"] / 10).alias("lam"), F.transform("s", lambda x, i: F.transform("s", lambda y, j: F.when(i == j, 1.0).otherwise(0.0))).alias("v"))
     c = hdl(pieces, [load_gwas(trait(spark, sf_dir, t)) for t in (0, 1)], ["t0", "t1"])

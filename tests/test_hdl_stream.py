@@ -37,6 +37,27 @@ def test_pieces(spark):
     assert some.bhat[1] == 0.0 and abs(some.bhat[0] - z[0][3] * -1 / np.sqrt(n)) < 1e-12
 
 
+def test_query_takes_every_variant(spark, tmp_path, monkeypatch):
+    """Pieces of 40 SNPs, as many as the table asks for; S, V and m are those of all pieces, told here piece by piece."""
+    from lociq.operators import hdl as module
+    from lociq.plans import registry, views
+
+    n = 250
+    spark.range(1, n + 1).selectExpr("id AS p_partkey", "'b' AS p_brand", "'t' AS p_type", "CAST(id % 7 AS INT) AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    lines = spark.range(n * 12).selectExpr("1 + id % 250 AS l_partkey", "(id DIV 250) % 3 AS l_suppkey", "1.0D + pmod(xxhash64(id), 50) AS l_quantity", "0.05D AS l_discount", "0.02D AS l_tax")
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    seen = {}
+    monkeypatch.setattr(module, "hdl", lambda *a, f=module.hdl, **k: seen.setdefault("c", seen.update(pieces=a[0], traits=a[1]) or f(*a, **k)))
+    assert registry.q_hdl(spark, str(tmp_path)).count() == 13
+    c, pieces = seen["c"], seen["pieces"].collect()
+    assert c.m == n and sorted(s for p in pieces for s in p.snps) == sorted(f"rs{i}" for i in range(1, n + 1))
+    size = module.sample_sizes(seen["traits"][0])[0]
+    effects = {r.piece: r.bhat for r in bhat(seen["pieces"], load_gwas(views.trait(spark, str(tmp_path), 0)), 0).collect()}
+    own = np.array([fit_piece(np.array(p.ldsc), np.array(p.lam), np.array(p.v), np.array(effects[p.piece]), size, 335_265) for p in pieces])
+    left = len(own) / (len(own) - 1) * (own[:, 0].sum() - own[:, 0])
+    assert np.isclose(c.S[0, 0], own[:, 0].sum()) and np.isclose(c.I[0, 0], own[:, 1].mean()) and np.isclose(c.V[0, 0], left.var(ddof=1) * (len(own) - 1))
+
+
 def test_last_duplicate_stays(spark):
     df = spark.createDataFrame([("a", 1.0, "G", 1.0), ("a", 1.0, "G", 2.0)], "SNP string, N double, A2 string, Z double").coalesce(1)
     assert load_gwas(df).first().Z == 2.0
