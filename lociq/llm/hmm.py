@@ -1,23 +1,26 @@
 """Hidden Markov language model: Baum-Welch on all training documents, exact likelihood by scaled forward recursion.
 
-The commonest words have emission rows of their own; all others share one symbol, within which a word has its
-share of the training tokens (add-one, one part for all unknown words). So the model is of fixed size
-while counts, statistics and scores cover every token. Each round's expected counts are summed in each
-partition and added up by Spark; the driver gets sums of fixed size.
+The commonest words have emission rows in the model that is broadcast. Every other training word has a row of its own too,
+in a table: its share of the other words' common symbol in each state, over its share of the training tokens (add-one, one
+part for all unknown words), which is its gain. Each round's expected counts of these words go, by hash of the word, to the
+buckets that add them up, and come back as gains to the chunks of documents that hold the words. The counts of the model
+that is broadcast are summed in each partition and added up by Spark; the driver gets sums of fixed size.
 """
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.storage import settle
+from lociq.llm.storage import discard, settle
 
 STATES = 6
 OWN_ROWS = 16_384
@@ -27,7 +30,9 @@ SEGMENT = 128
 SEGMENTS = 1024
 PARTS = 16
 FLUSH = 250_000
-SLICE = 512
+CHUNK_TOKENS = 1_000_000
+BUCKETS = 256
+BUCKET_ROWS = 2_000_000
 SEED = 3
 
 
@@ -107,34 +112,53 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(total, distinct, {w: i for i, w in enumerate(own)}, held | {b"": ends}, total - used, distinct - len(own) - (ends > 0))
 
 
+DOCS = "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, within double, words array<string>, times array<int>"
+CHUNKS = f"chunk long, docs array<struct<{DOCS.replace(' ', ':').replace(',:', ',')}>>, symbols binary, tail binary, hashes binary"
+
+
 def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
-    """One row for each row of docs: doc_id, held_out, row (a number), n_tokens, symbols (16-bit, the end's last), sums over the
-    words whose counts are known here, and the words whose counts are not, with how often they occur."""
+    """Chunks of CHUNK_TOKENS tokens or a little more: chunk (the first row's number), docs (doc_id, held_out, row, n_tokens, sums over
+    the words whose counts are known here, and the words whose counts are not, with how often they occur), symbols (16-bit, each
+    document's end last), hashes (64-bit, rising: of the words that share a symbol) and tail (32-bit: which of these, at each place of that symbol)."""
     shared = docs.sparkSession.sparkContext.broadcast(words)  # LOCAL_COUNTS words
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("symbols", pa.binary()), ("known", pa.int64())]
+    doc = pa.struct(
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64())]
         + [("base", pa.float64()), ("within", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))]
     )
+    schema = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(doc)), ("symbols", pa.binary()), ("tail", pa.binary()), ("hashes", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         own, counts, other, end = v.own.get, v.counts.get, v.other, v.counts[b""]
+        rows, parts, tail, size, places = [], [], [], 0, {}
+
+        def out() -> pa.RecordBatch:
+            hashes = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in places), "<u8")
+            rising, where = np.unique(hashes, return_inverse=True)
+            at = where.astype("<i4")[np.array(tail, np.int64)] if tail else np.zeros(0, "<i4")
+            return pa.RecordBatch.from_pylist([{"chunk": rows[0]["row"], "docs": rows, "symbols": b"".join(parts), "tail": at.tobytes(), "hashes": rising.tobytes()}], schema=schema)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                piece, rows = batch.slice(at, SLICE), []
-                for text in piece.column(3).to_pylist():
-                    found = words_of(text)
-                    symbols = np.fromiter((own(w, other) for w in found), "<u2", len(found))
-                    c = np.fromiter((counts(w, -1) for w in found), np.int64, len(found))
-                    here = np.append(c[c >= 0], end)
-                    far = Counter(w for w, n in zip(found, c.tolist(), strict=True) if n < 0)
-                    within = v.within(c[(c >= 0) & (symbols == other)]).sum()
-                    rows.append((len(found) + 1, symbols.tobytes() + np.array([v.end], "<u2").tobytes(), int((here > 0).sum()), float(v.base(here).sum()), float(within), [w.decode() for w in far], list(far.values())))
-                columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[3:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], *columns], schema=schema)
+            for doc_id, held, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = words_of(text)
+                symbols = np.fromiter((own(w, other) for w in found), "<u2", len(found))
+                c = np.fromiter((counts(w, -1) for w in found), np.int64, len(found))
+                here = np.append(c[c >= 0], end)
+                far = Counter(w for w, n in zip(found, c.tolist(), strict=True) if n < 0)
+                within = v.within(c[(c >= 0) & (symbols == other)]).sum()
+                tail += [places.setdefault(found[i], len(places)) for i in np.flatnonzero(symbols == other).tolist()]
+                parts += [symbols.tobytes(), np.array([v.end], "<u2").tobytes()]
+                numbers = {"n_tokens": len(found) + 1, "known": int((here > 0).sum()), "base": float(v.base(here).sum()), "within": float(within)}
+                rows.append({"doc_id": doc_id, "held_out": held, "row": row, **numbers, "words": [w.decode() for w in far], "times": list(far.values())})
+                size += len(found) + 1
+                if size >= CHUNK_TOKENS:
+                    yield out()
+                    rows, parts, tail, size, places = [], [], [], 0, {}
+        if rows:
+            yield out()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), left_out().alias("held_out"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(read, "doc_id long, held_out boolean, row long, n_tokens long, symbols binary, known long, base double, within double, words array<string>, times array<int>")
+    return base.mapInArrow(read, CHUNKS)
 
 
 class Model:
@@ -148,13 +172,18 @@ class Model:
         self.move = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
         emit = self.prior[:, None] * np.exp(rng.normal(0, 0.5, (len(counts), states)))
         self.emit = emit / emit.sum(axis=0)
+        self.common = np.zeros(states)
 
-    def expect(self, segments: np.ndarray, real: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    def expect(self, segments: np.ndarray, real: np.ndarray, begins: np.ndarray, tail: np.ndarray | None = None, gains: np.ndarray | None = None, found: np.ndarray | None = None) -> np.ndarray:
         """Expected counts of equal-length segments (rows; ``real`` tells tokens from padding): one row for each
-        symbol, then those of the starts, the starts of later segments, and the moves, by state."""
+        symbol, then those of the starts, the starts of later segments, and the moves, by state. ``tail`` tells which word
+        with a gain stands at a place (-1: none); such words' own expected counts are added to ``found``."""
         n, length = segments.shape
         k = len(self.start)
         e = np.where(real.T[:, :, None], self.emit[segments.T], 1.0)
+        has = tail.T >= 0 if tail is not None else None
+        if gains is not None:
+            e[has] *= gains[tail.T[has]]
         alpha, scale = np.empty((length, n, k)), np.empty((length, n, 1))
         now = np.where(begins[:, None], self.start, self.middle) * e[0]
         for t in range(length):
@@ -172,6 +201,9 @@ class Model:
             gamma[t] = alpha[t] * beta
         moves *= self.move
         gamma *= real.T[:, :, None]
+        if found is not None:
+            which, part = tail.T[has], gamma[has]
+            found += np.stack([np.bincount(which, part[:, s], len(found)) for s in range(k)], axis=1)
         symbols = segments.T.ravel()
         words = np.stack([np.bincount(symbols, gamma[:, :, s].ravel(), len(self.emit)) for s in range(k)], axis=1)
         return np.vstack([words, gamma[0][begins].sum(axis=0), gamma[0][~begins].sum(axis=0), moves])
@@ -184,17 +216,21 @@ class Model:
         self.start, self.middle = ((x + 0.1) / (x + 0.1).sum() for x in (start, middle))
         self.move = (move + 0.1) / (move + 0.1).sum(axis=1, keepdims=True)
 
-    def likelihood(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of whole sequences, each of one symbol at least."""
+    def likelihood(self, sequences: list[np.ndarray], tails: list[np.ndarray] | None = None, gains: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of whole sequences, each of one symbol at least; ``tails`` as for expect."""
         order = np.argsort([-len(s) for s in sequences], kind="stable")
         sizes = np.array([len(sequences[i]) for i in order])
         flat = np.concatenate([sequences[i] for i in order])
         at = np.cumsum(sizes) - sizes
+        which = np.concatenate([tails[i] for i in order]) if gains is not None else None
         total, now, active = np.zeros(len(sizes)), self.start, len(sizes)
         for t in range(sizes[0]):
             while sizes[active - 1] <= t:
                 active -= 1
             e = self.emit[flat[at[:active] + t]]
+            if which is not None:
+                w = which[at[:active] + t]
+                e[w >= 0] *= gains[w[w >= 0]]
             now = self.start * e if t == 0 else (now[:active] @ self.move) * e
             scale = now.sum(axis=1)
             total[:active] += np.log10(scale)
@@ -204,45 +240,114 @@ class Model:
         return out
 
 
-def segments_of(symbols: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segments, real, begins) of some documents; the last of each is padded."""
-    flat = np.frombuffer(b"".join(symbols), "<u2").astype(np.int64)
-    sizes = np.array([len(s) // 2 for s in symbols])
+def places_of(flat: np.ndarray, tail: bytes, other: int) -> np.ndarray:
+    """Which word with a gain stands at each place; -1 where the symbol isn't the common one."""
+    out = np.full(len(flat), -1, np.int32)
+    out[flat == other] = np.frombuffer(tail, "<i4")
+    return out
+
+
+def segments_of(flat: np.ndarray, tail: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(segments, real, begins, tail) of some documents; the last of each is padded."""
     n = -(-sizes // SEGMENT)
     first = np.cumsum(n) - n
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(first * SEGMENT, sizes)
     segments, real, begins = np.zeros(n.sum() * SEGMENT, np.int64), np.zeros(n.sum() * SEGMENT, bool), np.zeros(n.sum(), bool)
-    segments[place], real[place], begins[first] = flat, True, True
-    return segments.reshape(-1, SEGMENT), real.reshape(-1, SEGMENT), begins
+    places = np.full(n.sum() * SEGMENT, -1, np.int32)
+    segments[place], real[place], begins[first], places[place] = flat, True, True, tail
+    return segments.reshape(-1, SEGMENT), real.reshape(-1, SEGMENT), begins, places.reshape(-1, SEGMENT)
+
+
+def gains_of(counts: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Gains of words (rows) by their expected counts: the share (E + r) / (sum of E + r (distinct + 1)) in a state that holds a part
+    r of all their tokens, over the share (c + 1) / (total + distinct + 1) in any. One for words that training hasn't seen."""
+    part = np.maximum(states / max(states.sum(), 1e-300), 1e-300)
+    return (counts / part + 1) / (counts.sum(axis=1, keepdims=True) + 1)
+
 
+def first_gains(hashes: np.ndarray, states: int) -> np.ndarray:
+    """What tells the states apart before the first round, by hash of the word: as uneven as the first emissions of Model."""
+    odd = np.random.default_rng(SEED).integers(1 << 62, 1 << 63, states, dtype=np.uint64) | np.uint64(1)
+    return np.exp((((hashes[:, None] * odd) >> np.uint64(56)).astype(float) - 127.5) / 73.9 * 0.5)
 
-def fit(train: DataFrame, symbols: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> Model:
-    """Baum-Welch over all rows of (symbols binary), in segments of SEGMENT tokens. ``symbols`` are the
-    training counts of each symbol. Without rows the model stays as it began."""
-    model = Model(symbols, states)
+
+def packed(counts: np.ndarray) -> bytes:
+    """Expected counts on their way between tasks: roots in 16 bits, which holds counts up to 4e9 to a relative error of 0.0005."""
+    return np.sqrt(counts).astype("<f2").tobytes()
+
+
+def unpacked(counts: bytes, states: int) -> np.ndarray:
+    return np.square(np.frombuffer(counts, "<f2").astype(float)).reshape(-1, states)
+
+
+def by_chunk(told: DataFrame) -> DataFrame:
+    """chunk, counts: of its words in the order of their hashes, joined from the buckets."""
+    parts = told.where("part >= 0").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("part", "counts"))).alias("g"))
+    return parts.select("chunk", F.unhex(F.array_join(F.transform("g", lambda x: F.hex(x["counts"])), "")).alias("counts"))
+
+
+def fit(chunks: DataFrame, symbols: np.ndarray, rounds: int = ROUNDS, states: int = STATES) -> tuple[Model, DataFrame | None]:
+    """Baum-Welch over the documents of chunks (see encode) that aren't held out, in segments of SEGMENT tokens; and the expected
+    counts of each chunk's words, where there are any. ``symbols`` are the training counts of each symbol. Without rows the model stays
+    as it began."""
+    model, other, spark = Model(symbols, states), len(symbols) - 2, chunks.sparkSession
+    pairs = chunks.agg(F.coalesce(F.sum(F.octet_length("hashes") / 8), F.lit(0.0))).first()[0]
+    bits = (max(BUCKETS, int(pairs // BUCKET_ROWS) + 1) - 1).bit_length()
+    held, told = chunks.select(F.col("docs.n_tokens").alias("sizes"), F.col("docs.held_out").alias("held"), "chunk", "symbols", "tail", "hashes"), None
     for _ in range(rounds):
-        shared = train.sparkSession.sparkContext.broadcast(model)  # OWN_ROWS rows
+        shared = spark.sparkContext.broadcast(model)  # OWN_ROWS rows
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names = ["part", "chunk", "hashes", "sums"]
             sums = 0
             for batch in batches:
-                if batch.num_rows:
-                    segments, real, begins = segments_of(batch.column(0).to_pylist())
-                    for i in range(0, len(begins), SEGMENTS):
-                        sums = sums + shared.value.expect(*(x[i : i + SEGMENTS] for x in (segments, real, begins)))
+                for r in batch.to_pylist():
+                    sizes, train = np.array(r["sizes"]), ~np.array(r["held"], bool)
+                    flat = np.frombuffer(r["symbols"], "<u2").astype(np.int64)
+                    hashes, tail, pick = np.frombuffer(r["hashes"], "<u8"), places_of(flat, r["tail"], other), np.repeat(train, sizes)
+                    gains = gains_of(unpacked(r["counts"], states), shared.value.common) if r.get("counts") else first_gains(hashes, states)
+                    found = np.zeros((len(hashes), states))
+                    if train.any():
+                        segments, real, begins, places = segments_of(flat[pick], tail[pick], sizes[train])
+                        for i in range(0, len(begins), SEGMENTS):
+                            sums = sums + shared.value.expect(*(x[i : i + SEGMENTS] for x in (segments, real, begins, places)), gains, found)
+                    # every bucket with a word of this chunk, seen in training or not: its gains come back by the same way
+                    edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
+                    some = np.flatnonzero(np.diff(edges))
+                    cut = lambda x, as_bytes, some=some, edges=edges: pa.array([as_bytes(x[edges[b] : edges[b + 1]]) for b in some], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r["chunk"]] * len(some), pa.int64()), cut(hashes, np.ndarray.tobytes), cut(found, packed)], names=names)
             if not isinstance(sums, int):
                 parts = [x.astype("<f4").tobytes() for x in np.array_split(sums, PARTS)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["part", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array(range(-PARTS, 0), pa.int32()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(parts, pa.binary())], names=names)
 
         def add(key: tuple, parts: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x, "<f4").astype(float) for x in parts.column("sums").to_pylist())
-            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-        got = train.mapInArrow(expect, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()  # of fixed size
+            """Sums of the model's part, or of a bucket's words: these for each chunk that holds the word."""
+            given, sums = parts.column("hashes").to_pylist(), parts.column("sums").to_pylist()
+            if key[0].as_py() < 0:
+                total = sum(np.frombuffer(x, "<f4").astype(float) for x in sums)
+                return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.nulls(1, pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
+            counts = unpacked(b"".join(sums), states)
+            word, at = np.unique(np.frombuffer(b"".join(given), "<u8"), return_inverse=True)
+            total = np.stack([np.bincount(at, counts[:, s], len(word)) for s in range(states)], axis=1)[at]
+            ends = np.cumsum([len(x) // 8 for x in given])
+            cut = [packed(total[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            return pa.table({"part": parts.column("part"), "chunk": parts.column("chunk"), "counts": pa.array(cut, pa.binary())})
+
+        gc.collect()  # shuffle files go with the frames that nothing holds any more
+        spark.sparkContext._jvm.System.gc()
+        source = held if told is None else held.join(by_chunk(told), "chunk", "left")
+        sums = source.mapInArrow(expect, "part int, chunk long, hashes binary, sums binary")
+        last, told = told, settle(sums.groupBy("part").applyInArrow(add, "part int, chunk long, counts binary"), "expected")
+        del source, sums
+        if last is not None:
+            discard(last)
+        got = told.where("part < 0").select("part", "counts").collect()  # of fixed size
         if not got:
-            break
-        model.update(np.concatenate([np.frombuffer(r["sums"]) for r in sorted(got)]).reshape(-1, states))
-    return model
+            return model, None
+        sums = np.concatenate([np.frombuffer(r["counts"]) for r in sorted(got)]).reshape(-1, states)
+        model.update(sums)
+        model.common = sums[other]
+    return model, None if told is None else by_chunk(told)
 
 
 def score_texts(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) -> DataFrame:
@@ -255,26 +360,33 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) ->
     """
     counts = settle(count_words(docs.where(~left_out()).select(F.col("text").cast("string").alias("text"))), "word-counts")
     words = vocabulary(counts)
-    rows = settle(encode(docs, words), "encoded")
+    chunks = settle(encode(docs, words), "encoded")
     symbols = np.array([*(words.counts[w] for w in words.own), words.other_total, words.counts[b""]], float)
-    model = fit(rows.where(~F.col("held_out")).select("symbols"), symbols, rounds, states)
+    model, found = fit(chunks, symbols, rounds, states)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    columns = ["doc_id", "held_out", "row", "n_tokens", "known", "base"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                got = shared.value.likelihood([np.frombuffer(s, "<u2") for s in batch.column(6).to_pylist()]) + batch.column(7).to_numpy()
-                yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(got)], names=["doc_id", "held_out", "row", "n_tokens", "known", "base", "score"])
+            for r in batch.to_pylist():
+                edges = np.cumsum([d["n_tokens"] for d in r["docs"]])[:-1]
+                flat = np.frombuffer(r["symbols"], "<u2")
+                gains = gains_of(unpacked(r["counts"], states), shared.value.common) if r.get("counts") else None
+                tails = np.split(places_of(flat, r["tail"], len(shared.value.emit) - 2), edges)
+                got = shared.value.likelihood(np.split(flat, edges), tails, gains) + np.array([d["within"] for d in r["docs"]])
+                yield pa.RecordBatch.from_arrays([*(pa.array([d[c] for d in r["docs"]], pa.bool_() if c == "held_out" else pa.float64() if c == "base" else pa.int64()) for c in columns), pa.array(got)], names=[*columns, "score"])
 
     # of each word whose count is far away: how often in which row; then what it adds to that row
-    far = rows.select("row", F.inline(F.arrays_zip("words", "times"))).toDF("row", "word", "times")
+    far = chunks.select(F.explode("docs").alias("d")).select("d.row", F.inline(F.arrays_zip("d.words", "d.times"))).toDF("row", "word", "times")
     c = F.coalesce("c", F.lit(0))
     base = F.log10((c + 1) / F.lit(float(words.total + words.distinct + 1)))
     within = F.log10((c + 1) / F.lit(float(words.other_total + words.other_distinct + 1)))
     added = far.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("known2"), F.sum(F.col("times") * base).alias("base2"), F.sum(F.col("times") * within).alias("within2")
     )
-    scored = rows.select("doc_id", "held_out", "row", "n_tokens", "known", "base", "symbols", "within")
+    told = F.transform("docs", lambda d: F.struct(*(d[c].alias(c) for c in [*columns, "within"]))).alias("docs")
+    scored = chunks.select("chunk", told, "symbols", "tail")
+    scored = scored if found is None else scored.join(found, "chunk", "left")
     forward = scored.mapInArrow(score, "doc_id long, held_out boolean, row long, n_tokens long, known long, base double, score double")
     joined = forward.join(added, "row", "left")
     zero = F.lit(0.0)

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lociq.llm.hmm import Model, score_texts
+from lociq.llm.hmm import gains_of as hmm_gains
 from lociq.llm.quality import STATISTICS, isotonic, keep_quality, quality_scores, statistics
 
 from .conftest import sentence
@@ -81,6 +82,27 @@ def test_rounds_raise_likelihood(frame):
     assert sum(r.score for r in got) > sum(r.base_score for r in got) + 5 * len(got)
 
 
+def test_words_beyond_own_rows_are_learnt(frame, monkeypatch):
+    """Two languages whose telling words are all past the rows of the broadcast model: their states are learnt all the same."""
+    import lociq.llm.hmm as hmm
+
+    rng = random.Random(3)
+    vocabularies = [[f"{a}{b}" for a in s for b in s] for s in ("abcd", "wxyz")]
+    rows = [(i, " ".join(rng.choice(vocabularies[i % 2]) for _ in range(40))) for i in range(300)]
+    monkeypatch.setattr(hmm, "OWN_ROWS", 2)
+    monkeypatch.setattr(hmm, "CHUNK_TOKENS", 500)
+    got = hmm.score_texts(frame(rows), rounds=8).where("held_out").collect()
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 5 * len(got)
+
+
+def test_gains_leave_one_distribution():
+    counts = np.random.default_rng(1).gamma(1, 3, (40, 3))
+    total, distinct = counts.sum(), len(counts)
+    share = np.append(counts.sum(axis=1) + 1, 1) / (total + distinct + 1)
+    gains = np.vstack([hmm_gains(counts, counts.sum(axis=0)), hmm_gains(np.zeros((1, 3)), counts.sum(axis=0))])
+    assert np.allclose((share[:, None] * gains).sum(axis=0), 1) and np.allclose(gains[-1], 1)
+
+
 def test_forward_as_brute_force():
     rng = np.random.default_rng(1)
     model = Model(np.array([5.0, 3, 2, 1]), states=3)
