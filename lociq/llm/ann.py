@@ -3,7 +3,8 @@
 Coarse centroids and codebooks are fitted on a bounded sample of the vectors. Every vector then gets its
 list and the code of its residual. A query probes its nearest lists; within a list, distances come from
 asymmetric tables (the query's residual against the codebooks), and the best by code are ranked anew
-by the exact cosine of the original vectors. Lists are cut into cells of bounded size, on the side of the
+by the exact cosine of the original vectors; so are all others whose distance by code, less the error of their
+code, doesn't exceed that of the k-th of these, so within the probed lists the result is exact. Lists are cut into cells of bounded size, on the side of the
 vectors as well as of the queries, so a list that holds a third of all rows is shared out.
 """
 
@@ -28,6 +29,7 @@ TRIALS = 64
 CELL_ROWS = 4_096
 CELL_QUERIES = 2_048
 REFINE = 48
+SLACK = 1e-6
 BLOCK = 64
 
 
@@ -67,11 +69,13 @@ class Quantizer:
     def _parts(self) -> list[tuple[int, int]]:
         return list(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(list of each vector, code of its residual)."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(list of each vector, code of its residual, distance between the two)."""
         at = nearest(x, self.coarse)
         rest = x - self.coarse[at]
-        return at, np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self._parts(), self.books, strict=True)], axis=1).astype(np.uint8)
+        codes = np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self._parts(), self.books, strict=True)], axis=1).astype(np.uint8)
+        lost = sum(((rest[:, a:b] - book[codes[:, j]]) ** 2).sum(1) for j, ((a, b), book) in enumerate(zip(self._parts(), self.books, strict=True)))
+        return at, codes, np.sqrt(lost)
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest lists of each row, nearest first."""
@@ -166,10 +170,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at, codes = shared.value.encode(unit(_matrix(batch.column(1))))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], names=["vec_id", "v", "list", "code"])
+                at, codes, error = shared.value.encode(unit(_matrix(batch.column(1))))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], names=["vec_id", "v", "list", "code", "error"])
 
-    index = settle(rows.mapInArrow(encode, "vec_id long, v array<double>, list int, code binary"), "ann-index")
+    index = settle(rows.mapInArrow(encode, "vec_id long, v array<double>, list int, code binary, error double"), "ann-index")
     asked = pick(queries).where(F.size("v") == dims).toDF("query_id", "q").distinct()
     sizes = {r["list"]: r["n"] for r in index.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MAX_LISTS rows
     probes = probes_needed(index, asked, shared, k, target)
@@ -190,7 +194,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
     grid = F.broadcast(spark.createDataFrame(cuts, "list int, v_cuts long, q_cuts long"))  # MAX_LISTS rows
     key = ["list", "v_cut", "q_cut"]
     left = index.join(grid, "list").withColumn("v_cut", F.pmod(F.xxhash64("vec_id", "v"), F.col("v_cuts")))
-    left = left.withColumn("q_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_cuts") - 1))).select(*key, "vec_id", "v", "code")
+    left = left.withColumn("q_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_cuts") - 1))).select(*key, "vec_id", "v", "code", "error")
     right = wanted.join(grid, "list").withColumn("q_cut", F.pmod(F.xxhash64("query_id", "q"), F.col("q_cuts")))
     right = right.withColumn("v_cut", F.explode(F.sequence(F.lit(0).cast("long"), F.col("v_cuts") - 1))).select(*key, "query_id", "q")
 
@@ -200,6 +204,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
             have = have.sort_values("vec_id", kind="stable")
             ids, x = have["vec_id"].to_numpy(), _matrix(have["v"])
             codes = np.frombuffer(b"".join(have["code"]), np.uint8).reshape(len(ids), -1)
+            error = have["error"].to_numpy()
             names, qs = want["query_id"].to_numpy(), _matrix(want["q"])
             for i in range(0, len(names), BLOCK):
                 near = shared.value.code_distances(unit(qs[i : i + BLOCK]), int(cell[0]), codes)
@@ -208,6 +213,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
                     best = np.argsort(d, kind="stable")[:refine]
                     best = best[np.isfinite(d[best])]
                     exact = cosine(q, x[best])
+                    far = np.sqrt(np.maximum(2 - 2 * np.sort(exact)[-k], 0)) if len(best) >= k else np.inf
+                    more = (np.sqrt(d) - error <= far + SLACK) & np.isfinite(d)
+                    more[best] = False
+                    rest = np.flatnonzero(more)
+                    best, exact = np.append(best, rest), np.append(exact, cosine(q, x[rest]))
                     top = np.lexsort((ids[best], -exact))[:k]
                     found += zip([name] * len(top), ids[best[top]].tolist(), exact[top].tolist(), strict=True)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])

@@ -153,3 +153,20 @@ def test_proximity(spark, frame):
 def test_crc_matches_python(spark):
     got = spark.range(50).select("id", F.crc32(F.col("id").cast("string").cast("binary")).alias("c")).collect()
     assert all(r.c == zlib.crc32(str(r.id).encode()) for r in got) and math.isfinite(got[0].c)
+
+
+def test_near_copies_of_one_code(spark):
+    """A group of close vectors, far more than are ranked by code first: the nearest are found whatever their ids."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(10_000, 16))
+    x[9_000:] = x[0] + rng.normal(0, 1e-4, (1_000, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4).cache()
+    asked = list(range(9_000, 10_000, 25))
+    got = {}
+    for r in search(vectors, vectors.where("vec_id >= 9000 and vec_id % 25 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = ((u[asked][:, None, :] - u[None, 8_999:]) ** 2).sum(2)
+    near[np.arange(len(asked)), np.array(asked) - 8_999] = np.inf
+    want = {q: set((np.argsort(d)[:5] + 8_999).tolist()) for q, d in zip(asked, near, strict=True)}
+    assert sum(len(got[q] & want[q]) for q in asked) >= 0.95 * 5 * len(asked)
