@@ -13,15 +13,15 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating star contraction: each node points its larger neighbours, then its smaller ones, at the least of
     them. Rounds, few even for long chains, go on until one changes nothing; each is written, which
-    ends its lineage. Minima are taken by partial aggregation and joined back, so a node with very many
-    links isn't gathered anywhere. Loops and repeated links change nothing.
+    ends its lineage. Minima are taken by partial aggregation, written, and joined back by a plain shuffle of both
+    sides, which Spark splits where very many nodes point at one. Loops and repeated links change nothing.
     """
     now = settle(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "links")
     before = None
     while (state := now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before:
         before = state
         both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))

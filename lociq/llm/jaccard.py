@@ -7,13 +7,16 @@ of c = 2 of these; heavy ones scan the inverted lists of single shingles (c = 1)
 be a heavy set's partner stand too. The boundary is where the subsets of a set begin to cost more than its lists.
 
 Documents with equal sets are one class from the start. Within a list or subset every class is first compared
-with one alone, that which has the fewest rare shingles of its own; only pairs that these links leave in different components are compared in a
-second round. So every link counts, and copies are never paired among themselves.
+with one alone, that which has the fewest rare shingles of its own; what these links leave in different components is compared
+with further members, round by round. So every link counts, and copies are never paired among themselves.
+
+Texts and sets stay where they lie: what a step needs is told by a filter of fixed size, and only what passes it is shuffled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 from math import comb
 
 import numpy as np
@@ -24,12 +27,13 @@ from pyspark.sql import functions as F
 
 from lociq.llm.components import components
 from lociq.llm.hashing import mixed, runs_of, word_hashes
-from lociq.llm.storage import discard, few_or_shuffled, settle
+from lociq.llm.storage import discard, looked_up, matching, may_hold, named, node_of, numbered, once, repeated_nodes, settle, summed, without
 
 SKETCH_BITS = 18
 CHUNKS = 64
 SLICE = 256
 LARGEST_LIGHT = 200
+ALL_HEADS = 64
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:
@@ -42,12 +46,6 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return [shingles(word_hashes(t.encode().lower().split()), k) for t in texts]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tie, text: the id (null before all others), a hash of the text, the text (null as empty)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("tie"), text.alias("text"))
-
-
 def bucket(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -58,31 +56,28 @@ def need(n: int | np.ndarray, percent: int) -> int | np.ndarray:
 
 
 def describe(base: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """(node, n, a, b) of each row: the size of its set and a 128-bit hash of it; and the count sketch."""
+    """(node, one, two, doc, n, a, b) of each row (see numbered): the size of its set and a 128-bit hash of it; and the count sketch."""
+    columns = "node long, one long, two long, doc long, n int, a long, b long, chunk int, counts binary"
+    schema = pa.schema([*((c, pa.int64()) for c in ("node", "one", "two", "doc")), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
-        schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("chunk", pa.int32()), ("counts", pa.binary())])
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                sets = shingle_sets(piece.column(2).to_pylist(), k)
+                sets = shingle_sets(piece.column(4).to_pylist(), k)
                 sketch += np.bincount(bucket(np.concatenate(sets)), minlength=len(sketch))
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), "<i8") for s in sets]).reshape(-1, 2)
                 sizes = pa.array([len(s) for s in sets], pa.int32())
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), sizes, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:4], sizes, pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
         if sketch.any():
             parts = [p.tobytes() for p in np.split(sketch, CHUNKS)]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, f.type) for f in list(schema)[:5]), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(CHUNKS, f.type) for f in list(schema)[:7]), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
-    def add(key: tuple, parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p, np.int64) for p in parts.column("counts").to_pylist())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    both = settle(base.mapInArrow(measure, "doc long, tie int, n int, a long, b long, chunk int, counts binary"), "sets")
-    summed = both.where("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # of fixed size
-    sketch = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(summed)] or [np.zeros(1 << SKETCH_BITS, np.int64)])
-    return both.where("chunk is null").select(F.struct("doc", "tie").alias("node"), "n", "a", "b"), sketch
+    both = settle(base.mapInArrow(measure, columns), "sets")
+    total = summed(both.where("chunk is not null"), "chunk", "counts", "<i8").collect()  # of fixed size
+    sketch = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in sorted(total)] or [np.zeros(1 << SKETCH_BITS, np.int64)])
+    return both.where("chunk is null").drop("chunk", "counts"), sketch
 
 
 def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -95,7 +90,7 @@ def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                sets = shingle_sets(piece.column(2).to_pylist(), k)
+                sets = shingle_sets(piece.column(1).to_pylist(), k)
                 rows, loads = [], []
                 for s in sets:
                     counts = shared.value[bucket(s)]
@@ -103,10 +98,9 @@ def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataF
                     rows.append(s[order].view(np.int64))
                     loads.append(float(np.maximum(counts[order[:-1]] - usual, 1).sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(loads)], names=["doc", "tie", "n", "first", "load"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(loads)], names=["node", "n", "first", "load"])
 
-    found = base.mapInArrow(first, "doc long, tie int, n int, first array<long>, load double")
-    return found.select(F.struct("doc", "tie").alias("node"), "n", "first", "load").where("n > 0")
+    return base.select("node", "text").mapInArrow(first, "node long, n int, first array<long>, load double").where("n > 0")
 
 
 def boundary(first: DataFrame, percent: int) -> int:
@@ -146,7 +140,7 @@ def postings(first: DataFrame, light: int, percent: int) -> DataFrame:
             columns = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(kind)) for x, kind in ((found, "i8"), (left, "i4"))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names=["node", "n", "key", "left"])
 
-    return first.mapInArrow(keys, "node struct<doc:long,tie:int>, n int, key long, left int")
+    return first.mapInArrow(keys, "node long, n int, key long, left int")
 
 
 def possible(n: str, m: str, left_n: str, left_m: str, percent: int) -> F.Column:
@@ -174,35 +168,103 @@ def within_bounds(pairs: DataFrame, first: DataFrame, sketch: np.ndarray, percen
                 keep.append(apart <= n + m - 2 * -(-(n + m) * percent // (100 + percent)))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda end, n, f: first.select(F.col("node").alias(end), F.col("n").alias(n), F.col("first").alias(f))
-    asked = few_or_shuffled(pairs)
-    both = side("u", "n", "x").join(asked, "u").join(side("v", "m", "y").join(asked, "v"), ["u", "v"]).select("u", "v", "n", "m", "x", "y")
-    return both.mapInArrow(bound, "u struct<doc:long,tie:int>, v struct<doc:long,tie:int>")
+    lists = first.where(may_hold(pairs.select(F.explode(F.array("u", "v")).alias("node")))(F.col("node")))
+    side = lambda end, n, f: lists.select(F.col("node").alias(end), F.col("n").alias(n), F.col("first").alias(f))
+    both = pairs.join(side("u", "n", "x"), "u").join(side("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
+    return both.mapInArrow(bound, "u long, v long")
 
 
 def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold, by exact comparison of whole sets."""
+    """The pairs (u, v) of a written table whose sets reach the threshold, by exact comparison of whole sets."""
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                sets = shingle_sets(piece.column(2).to_pylist(), k)
+                sets = shingle_sets(piece.column(1).to_pylist(), k)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1), lists], names=["doc", "tie", "set"])
-
-    wanted = settle(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().select("node.doc", "node.tie"), "documents-to-compare")
-    sets = base.join(few_or_shuffled(wanted), ["doc", "tie"]).mapInArrow(tokens, "doc long, tie int, set array<long>")
-    sets = settle(sets.select(F.struct("doc", "tie").alias("node"), "set"), "sets-to-compare")
-    centres = sets.join(pairs.select(F.col("u").alias("node")).distinct(), "node", "left_semi")
-    with_v = sets.select(F.col("node").alias("v"), F.col("set").alias("t")).join(few_or_shuffled(pairs), "v")
-    with_u = with_v.join(centres.select(F.col("node").alias("u"), F.col("set").alias("s")), "u")
+                yield pa.RecordBatch.from_arrays([piece.column(0), lists], names=["node", "set"])
+
+    # texts become sets where they lie: a text that the filter lets pass wrongly meets no pair
+    compared = base.select("node", "text").where(may_hold(pairs.select(F.explode(F.array("u", "v")).alias("node")))(F.col("node")))
+    sets = settle(compared.mapInArrow(tokens, "node long, set array<long>"), "sets-to-compare")
+    with_v = pairs.join(sets.select(F.col("node").alias("v"), F.col("set").alias("t")), "v")
+    with_u = with_v.join(sets.select(F.col("node").alias("u"), F.col("set").alias("s")), "u")
     common = F.size(F.array_intersect("s", "t"))
     links = settle(with_u.where(100 * common >= percent * (F.size("s") + F.size("t") - common)).select("u", "v"), "links-found")
-    discard(wanted, sets)
+    discard(sets)
     return links
 
 
+def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
+    """node, component of all classes that links reach, from the written postings of keys that several hold.
+
+    In each round some members of a list, its heads, are compared with all others that are in other components by then: one in
+    the first round; in those that follow all members of a list of up to ALL_HEADS, of longer ones 16 and 16 times as many each
+    time. Heads then leave the list, and so do lists whose members are all in one component. A large group of near copies costs about one
+    comparison each, and no pair that may link two components is left out.
+    """
+    parts, links, compared, heads = shared.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("size")), None, None, 1
+    while True:
+        slot = F.when(F.col("size").between(1, ALL_HEADS), F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(heads), "node"), F.lit(heads)))
+        before = F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left", "component")
+        head = settle(parts.groupBy("key", slot.alias("slot")).agg(F.min(before).alias("head")).select("key", "head"), "heads")
+        far = (F.col("component") != F.col("head.component")) & possible("n", "head.n", "left", "head.left", percent)
+        ends = [f("node", "head.node").alias(c) for f, c in ((F.least, "u"), (F.greatest, "v"))]
+        pairs = parts.join(head, "key").where(far).select(*ends).distinct()
+        if compared is not None:
+            pairs = pairs.join(compared, ["u", "v"], "left_anti")
+        pairs = settle(pairs, "pairs")
+        near = settle(within_bounds(pairs, first, sketch, percent), "pairs-in-bounds")
+        new = None if links is not None and near.isEmpty() else verified(base, near, k, percent)
+        compared = pairs if compared is None else compared.union(pairs)
+        if new is not None:
+            links = new if links is None else links.union(new)
+            found = components(links)
+        parts = parts.where(~F.col("size").between(1, ALL_HEADS)).drop("size", "component")
+        if heads > 1 and parts.isEmpty():
+            return found
+        parts = parts.join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti") if heads > 1 else parts
+        parts = settle(parts, "longer-lists") if heads > 1 else parts
+        now = settle(looked_up(parts, found, ["node"]).withColumn("component", F.coalesce("component", "node")), "members")
+        ends = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+        apart = settle(ends.where("x != y").select("key", "size"), "lists-apart")
+        parts = settle(matching(now, apart, ["key"]), "members-apart")
+        discard(now)
+        if parts.isEmpty():
+            return found
+        heads *= 16
+
+
+def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
+    """node, n, doc, whole for every row of docs, and the seed that numbers the rows: whole is the first
+    (has an id, doc, node) of all that links reach."""
+    for seed in count():
+        base = numbered(docs, seed)
+        sets, sketch = describe(base, k)
+        if (repeated := repeated_nodes(sets)) is not None:
+            break
+    own = F.struct(F.col("doc").isNotNull().alias("has"), "doc", "node")
+    equal = settle(sets.where("n > 0").groupBy("a", "b", "n").agg(F.count("*").alias("rows"), F.min(own).alias("least")).where("rows > 1").drop("rows"), "classes")
+    of_class = looked_up(sets, equal, ["a", "b", "n"]).select("node", "doc", "n", F.coalesce("least", own).alias("least"))
+    of_class = settle(of_class, "classes-of-rows")
+    told = of_class.select("node", (F.col("node") != F.col("least.node")).alias("out"))
+    base = once(base, repeated)
+    first = settle(prefixes(without(base, told), sketch, k, percent), "prefixes")
+    posted = settle(postings(first, boundary(first, percent), percent), "postings")
+    several = settle(posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
+    shared = settle(matching(posted, several, ["key"]).select("key", "node", "n", "left"), "shared-postings")
+    discard(posted)
+    found = linked(shared, first, base, sketch, k, percent)
+
+    heads = of_class.where(F.col("node") == F.col("least.node")).select("node", "least")
+    least = matching(heads, found, ["node"])
+    wholes = settle(least.groupBy("component").agg(F.min("least").alias("whole")), "wholes")
+    of_node = settle(least.join(wholes, "component").select(F.col("node").alias("class"), "whole").distinct(), "wholes-of-classes")
+    rows = of_class.withColumn("class", F.col("least.node"))
+    return looked_up(rows, of_node, ["class"]).select("node", "n", "doc", F.coalesce("whole", "least").alias("whole")), seed
+
+
 def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     """node, n, component for every row of docs: its key (doc, tie), the size of its shingle set, and the
     least key that links reach.
@@ -212,48 +274,19 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     texts are one document. A null id comes before all others. Other columns are ignored whatever
     their names. Empty tables give no rows.
     """
-    base = keyed(docs)
-    sets, sketch = describe(base, k)
-    classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min("node").alias("least"))
-    of_class = settle(sets.join(classes, ["a", "b", "n"], "left").select("node", "n", F.coalesce("least", "node").alias("least")), "classes")
-    copies = settle(of_class.where("node != least").select("node").distinct(), "copies")
-    first = settle(prefixes(base, sketch, k, percent).join(few_or_shuffled(copies), "node", "left_anti"), "prefixes")
-    posted = settle(postings(first, boundary(first, percent), percent), "postings")
-
-    shared = posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shared = settle(posted.join(shared, "key", "left_semi"), "shared-postings")
-    discard(posted)
-    heads = shared.groupBy("key").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left")).alias("head"))
-    stars = shared.join(heads, "key").select(F.col("head.node").alias("u"), F.col("node").alias("v"), F.col("head.n").alias("n_u"), "n", F.col("head.left").alias("left_u"), "left")
-    stars = stars.where((F.col("u") != F.col("v")) & possible("n_u", "n", "left_u", "left", percent))
-    stars = settle(stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "stars")
-    links = verified(base, settle(within_bounds(stars, first, sketch, percent), "star-pairs"), k, percent)
-    found = settle(components(links), "star-components")
-
-    member = shared.select("key", "node", "n", "left").join(few_or_shuffled(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = member.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("key")
-    member = settle(member.join(several, "key", "left_semi"), "second-round")
-    member = member.select("key", "node", "n", "left", "component")
-    one, other = (member.toDF("key", *(f"{c}_{end}" for c in member.columns[1:])) for end in "uv")  # alike, so that one shuffle serves both
-    rest = one.join(other, "key").where((F.col("component_u") < F.col("component_v")) & possible("n_u", "n_v", "left_u", "left_v", percent))
-    rest = rest.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    rest = settle(rest, "more-pairs")
-    more = verified(base, settle(within_bounds(rest, first, sketch, percent), "second-pairs"), k, percent)
-    final = components(links.union(more)).select(F.col("node").alias("least"), "component")
-    return of_class.join(final, "least", "left").select("node", "n", F.coalesce("component", "least").alias("component"))
+    told, _ = classes(docs, k, percent)
+    return told.select(F.struct("doc", F.col("node").alias("tie")).alias("node"), "n", F.struct("whole.doc", F.col("whole.node").alias("tie")).alias("component"))
 
 
 def keep_one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs with the row of the least id of each component; rows without a word all stay. Columns stay as they are."""
-    told = settle(similar_components(docs, k, percent), "components")
-    flat = lambda nodes: nodes.select("node.doc", "node.tie").toDF("_doc", "_tie")
-    copies = settle(flat(told.where("node != component").select("node").distinct()), "copies-to-drop")
-    repeated = settle(flat(told.where("n > 0").groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")), "repeated-rows")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keys = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": F.hash(text)}
-    rows = docs.withColumns(keys).join(few_or_shuffled(copies), ["_doc", "_tie"], "left_anti")
-    if not repeated.isEmpty():  # of rows with equal ids and texts one stays
-        several = few_or_shuffled(repeated)
-        once = rows.join(several, ["_doc", "_tie"], "left_semi").dropDuplicates(["_doc", "_tie"])
-        rows = rows.join(several, ["_doc", "_tie"], "left_anti").unionByName(once)
-    return rows.select(docs.columns)
+    """docs with the row of the least id of each component, as similar_components tells them; columns stay as they are.
+
+    Rows without a word (null, empty or blank texts) all stay, repeated ones too; of other rows with equal ids and texts one
+    stays. A null id is the least. An empty table stays empty. Columns keep their values whatever their names.
+    """
+    told, seed = classes(docs, k, percent)
+    told = settle(told, "told")
+    inner = docs.select(node_of(seed).alias("node"), F.struct(*named(docs.columns)).alias("doc"))
+    rows = without(inner, told.select("node", (F.col("node") != F.col("whole.node")).alias("out")))
+    several = settle(told.where("n > 0").groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1"), "repeated-to-drop")
+    return once(rows, several).select("doc.*")

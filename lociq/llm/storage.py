@@ -6,13 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-BROADCAST_ROWS = 200_000
+FILTER_WORDS = 1 << 20
+FAN_IN = 256
 
 
 _own: dict[str, str] = {}
@@ -20,10 +24,12 @@ _swept: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where it is unset (single-machine tests) a new
-    temporary folder takes its place for as long as the process lives."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a new temporary folder takes its place for as long
+    as the process lives; on a cluster, whose executors don't see such a folder, that is an error."""
     found = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="lociq-")
@@ -69,7 +75,115 @@ def discard(*written: DataFrame) -> None:
         fs.delete_dir(path)
 
 
-def few_or_shuffled(keys: DataFrame) -> DataFrame:
-    """A written table of narrow rows, to be broadcast if it has at most BROADCAST_ROWS of them, so that the texts or
-    lists it is joined to stay where they are; else joined by a shuffle."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+def may_hold(keys: DataFrame, column: str = "node") -> Callable[[Column], Column]:
+    """Whether a value may be among the 64-bit hashes in a column of a written table, as a condition: a Bloom filter of
+    FILTER_WORDS * 64 bits, whatever the table, with one bit for each key. It says yes of every key, and of some others, the more the
+    fuller it is: what follows must rule these out."""
+    word, bit = _place(F.col(column))
+    marks = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_WORDS rows at most
+    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits[marks.column("word").to_numpy()] = marks.column("bits").to_numpy()
+    table = pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})
+    held = keys.sparkSession.createDataFrame(table).scalar()
+
+    def condition(key: Column) -> Column:
+        word, bit = _place(key)
+        return F.get(held, word).bitwiseAND(bit) != 0
+
+    return condition
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    """Word and bit of a hash: its highest bits tell the word, the next six the bit."""
+    shift = 65 - FILTER_WORDS.bit_length()
+    at = F.shiftrightunsigned(key, shift - 6).bitwiseAND(63).cast("int")
+    return F.shiftrightunsigned(key, shift).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+
+def matching(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of a scan joined to the written rows of ``keys``, the first of whose columns is a 64-bit hash. All that can't match are
+    left where they lie; the others go through the same shuffle whatever their number."""
+    return rows.where(may_hold(keys, on[0])(F.col(on[0]))).join(keys, on)
+
+
+def looked_up(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """As matching(), but with all rows: those without a match have nulls."""
+    may = may_hold(keys, on[0])(F.col(on[0]))
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in keys.schema if f.name not in on]
+    joined = rows.where(may).join(keys, on, "left")
+    return rows.where(~may).select("*", *nulls).unionByName(joined)
+
+
+def without(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """Rows of a scan whose node isn't ``out`` in the written table told (node, out), which has every node of them. Rows that the filter
+    of the nodes that are out takes for one of these, wrongly, are found in told, so that only they and the few that a filter of
+    theirs lets pass besides are shuffled."""
+    out = told.where("out").select("node")
+    may = may_hold(out)(F.col("node"))
+    spared = settle(told.where(~F.col("out") & may).select("node"), "spared")
+    unsure = rows.where(may & may_hold(spared)(F.col("node"))).join(out, "node", "left_anti")
+    return rows.where(~may).unionByName(unsure)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def numbered(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """node, one, two, doc, text of every row: a 64-bit hash of (id, text) that stands for the row, 128 more bits of these to tell
+    whether two rows got one node (see repeated_nodes), the id, the text (null as empty). Rows with equal ids and texts are one document; a
+    null id is an id of its own."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashed = lambda n: F.xxhash64(F.lit(n), doc.isNull(), F.coalesce(doc, F.lit(0)), text)
+    return docs.select(node_of(seed).alias("node"), hashed(-1).alias("one"), hashed(-2).alias("two"), doc.alias("doc"), text.alias("text"))
+
+
+def node_of(seed: int) -> Column:
+    """The node of numbered() as an expression over columns doc_id and text."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(F.lit(seed), doc.isNull(), F.coalesce(doc, F.lit(0)), text)
+
+
+def repeated_nodes(told: DataFrame) -> DataFrame | None:
+    """node of several rows of a written (node, one, two); None if two different rows share a node: then another seed must number them."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("one", "two") for f in (F.min, F.max)]
+    several = settle(told.groupBy("node").agg(F.count("*").alias("rows"), *ends).where("rows > 1"), "repeated-rows")
+    return several.select("node") if several.where("min_one != max_one or min_two != max_two").isEmpty() else None
+
+
+def once(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """One row of each of the written nodes that several have, and all others. Only those that may be repeated are shuffled."""
+    if repeated.isEmpty():
+        return rows
+    may = may_hold(repeated)(F.col("node"))
+    return rows.where(~may).unionByName(rows.where(may).dropDuplicates(["node"]))
+
+
+def summed(parts: DataFrame, key: str, value: str, kind: str) -> DataFrame:
+    """The sums, by key, of arrays of equal length that a column holds as bytes of a numpy type: ``parts`` has one row for
+    each partition and key. Parts meet in groups of about FAN_IN first, then these sums, so that no group grows with
+    the number of partitions."""
+
+    def add(_: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last = None, None
+        for batch in batches:
+            for part in batch.column(value):
+                x = np.frombuffer(part.as_py(), kind)
+                total = x.astype(x.dtype) if total is None else total + x
+            last = batch
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([last.column(key).slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=[key, value])
+
+    schema = f"{key} {dict(parts.dtypes)[key]}, {value} binary"
+    spread = parts.select(key, value, (F.spark_partition_id() / FAN_IN).cast("int").alias("fan"))
+    some = spread.groupBy(key, "fan").applyInArrow(add, schema)
+    return some.groupBy(key).applyInArrow(add, schema)

@@ -7,20 +7,25 @@ their first ANCHOR words (as a hash), where equal ones are neighbours; those wit
 are dropped. The rest are extended to the left and right: the runs of MIN_WORDS words around them are
 sorted, neighbours compared, and equal runs that follow one another join to the full length of a repeat.
 The result is exact: the same as if all suffixes had been kept.
+
+Texts stay where they lie: which of them hold candidates, or passages to cut, is told by a filter of fixed size,
+and only what passes it is shuffled.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lociq.llm.hashing import runs_of, word_hashes
-from lociq.llm.storage import BROADCAST_ROWS, discard, few_or_shuffled, settle
+from lociq.llm.storage import discard, matching, may_hold, named, node_of, numbered, repeated_nodes, settle
 
 MIN_WORDS = 50
 SEED = 8
@@ -53,17 +58,6 @@ def _sliding(x: np.ndarray, n: int, pick: np.ufunc) -> np.ndarray:
     return pick(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
 
 
-KEY = ["doc", "tie"]
-KEYS = "doc long, tie int"
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, tie, text: the id (null before all others), a hash of the text, the text (null as empty).
-    Rows with equal ids and texts are one document."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), F.hash(text).alias("tie"), text.alias("text"))
-
-
 def first_least(x: np.ndarray, n: int) -> np.ndarray:
     """For each n values in a row the place of the least, the first of equal ones."""
     at, size = np.arange(len(x)), 1
@@ -74,11 +68,12 @@ def first_least(x: np.ndarray, n: int) -> np.ndarray:
     return pick(at[: len(at) - (n - size)], at[n - size :]) if n > size else at
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc, tie, of: documents whose text another holds too, and which holds it first (itself for the first)."""
-    text = docs.select(*KEY, F.xxhash64("text").alias("a"), F.crc32(F.col("text").cast("binary")).alias("b"), F.length("text").alias("c"))
-    ends = text.groupBy("a", "b", "c").agg(F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last")).where("first != last")
-    return text.join(ends, ["a", "b", "c"]).select(*KEY, F.col("first.doc").alias("of_doc"), F.col("first.tie").alias("of_tie")).distinct()
+def copies(suffixes: DataFrame) -> DataFrame:
+    """node, of (has an id, doc, node): rows whose text another holds too, and which holds it first (itself for the first)."""
+    ends = suffixes.groupBy("a", "b").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("a", "b")
+    held = settle(matching(suffixes.select("node", "doc", "a", "b"), settle(ends, "repeated-texts"), ["a", "b"]), "copies")
+    first = settle(held.groupBy("a", "b").agg(F.min(F.struct(F.col("doc").isNotNull().alias("has"), "doc", "node")).alias("of")), "first-copies")
+    return held.join(first, ["a", "b"]).select("node", "of").distinct()
 
 
 def _lists(values: list[np.ndarray], kind: str) -> pa.ListArray:
@@ -95,15 +90,15 @@ def _nested(values: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), inner)
 
 
-def kept_suffixes(docs: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
-    """For each document its kept suffixes: doc, tie, n_words, prefixes (different hashes of the first anchor
-    words), places (of each prefix: a text that repeats itself has many)."""
+def kept_suffixes(base: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
+    """For each row its kept suffixes: node, one, two, doc (see numbered), a, b (128-bit hash of the text), n_words, prefixes (different
+    hashes of the first anchor words), places (of each prefix: a text that repeats itself has many)."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                hashes = [word_hashes(t.encode().split()) for t in piece.column(2).to_pylist()]  # bytes.split parts at the same characters
+                hashes = [word_hashes(t.encode().split()) for t in piece.column(6).to_pylist()]  # bytes.split parts at the same characters
                 places = [selected(h, min_words, seed, anchor) for h in hashes]
                 prefixes = []
                 for i, h in enumerate(hashes):
@@ -113,24 +108,25 @@ def kept_suffixes(docs: DataFrame, min_words: int, seed: int, anchor: int) -> Da
                     prefixes.append(different)
                     places[i] = (places[i][order], np.append(first, len(order)))
                 n_words = pa.array([len(h) for h in hashes], pa.int64())
-                yield pa.RecordBatch.from_arrays([*piece.columns[:2], n_words, _lists(prefixes, "i8"), _nested(places)], names=["doc", "tie", "n_words", "prefixes", "places"])
+                yield pa.RecordBatch.from_arrays([*piece.columns[:6], n_words, _lists(prefixes, "i8"), _nested(places)], names=["node", "one", "two", "doc", "a", "b", "n_words", "prefixes", "places"])
 
-    return docs.mapInArrow(keep, f"{KEYS}, n_words long, prefixes array<long>, places array<array<int>>")
+    given = base.select("node", "one", "two", "doc", F.xxhash64(F.lit(-3), "text").alias("a"), F.xxhash64(F.lit(-4), "text").alias("b"), "text")
+    return given.mapInArrow(keep, "node long, one long, two long, doc long, a long, b long, n_words long, prefixes array<long>, places array<array<int>>")
 
 
 def with_neighbour(suffixes: DataFrame) -> DataFrame:
-    """doc, tie, places of the suffixes whose prefix another shares: in order of the prefix they are neighbours.
+    """node, places of the suffixes whose prefix another shares: in order of the prefix they are neighbours.
     A place is told as -1 - place if more than HOT suffixes share the prefix. Each task counts its own
     suffixes first, so a prefix that a third of all share arrives as one row from each."""
-    one = suffixes.select(*KEY, F.inline(F.arrays_zip("prefixes", "places"))).toDF(*KEY, "prefix", "places")
+    one = suffixes.select("node", F.inline(F.arrays_zip("prefixes", "places"))).toDF("node", "prefix", "places")
     shared = one.groupBy("prefix").agg(F.sum(F.size("places")).alias("n")).where("n > 1").select("prefix", (F.col("n") > HOT).alias("hot"))
     places = F.when(F.col("hot"), F.transform("places", lambda p: -1 - p)).otherwise(F.col("places"))
-    told = one.join(shared, "prefix").select(*KEY, places.alias("places"))
-    return told.groupBy(KEY).agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))  # no longer than the text
+    told = matching(one, settle(shared, "shared-prefixes"), ["prefix"]).select("node", places.alias("places"))
+    return told.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))  # no longer than the text
 
 
-def extended(docs: DataFrame, candidates: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
-    """doc, tie, run (hash of min_words words), salt, start: all runs around the candidates. Runs whose own
+def extended(base: DataFrame, candidates: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
+    """node, doc, run (hash of min_words words), salt, start: all runs around the candidates. Runs whose own
     minimiser has a prefix in more than HOT places get a salt above 0 by document, others 0. Which it is
     follows from the words of the run, so equal runs agree."""
     reach = min_words - anchor
@@ -147,104 +143,124 @@ def extended(docs: DataFrame, candidates: DataFrame, min_words: int, seed: int,
                 piece = batch.slice(at, SLICE)
                 words = [word_hashes(t.encode().split()) for t in piece.column(2).to_pylist()]  # bytes.split parts at the same characters
                 starts, salts = [], []
-                for hashes, told, doc, tie in zip(words, piece.column(3).to_pylist(), piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
+                for hashes, told, node in zip(words, piece.column(3).to_pylist(), piece.column(0).to_pylist(), strict=True):
                     told, last = np.array(told), len(hashes) - min_words
                     hot = np.zeros(len(hashes), bool)
                     hot[-1 - told[told < 0]] = True
                     own = first_least(runs_of(hashes, seed)[: len(hashes) - anchor + 1], reach + 1)
                     starts.append(np.flatnonzero(around(np.where(told < 0, -1 - told, told), last)))
-                    salts.append(np.where(hot[own[starts[-1]]], 1 + (doc * 31 + tie) % SALTS, 0))
+                    salts.append(np.where(hot[own[starts[-1]]], 1 + node % SALTS, 0))
                 hashed = [runs_of(h, min_words)[s].view(np.int64) for h, s in zip(words, starts, strict=True)]
                 which = pa.array(np.repeat(np.arange(len(starts)), [len(x) for x in starts]))
                 rest = [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((hashed, "i8"), (salts, "i4"), (starts, "i4"))]
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(which), piece.column(1).take(which), *rest], names=["doc", "tie", "run", "salt", "start"])
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(which), piece.column(1).take(which), *rest], names=["node", "doc", "run", "salt", "start"])
 
-    if (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) <= 8 * BROADCAST_ROWS:
-        candidates = few_or_shuffled(candidates)  # then no text is shuffled
-    return docs.join(candidates, KEY).select(*KEY, "text", "places").mapInArrow(runs, f"{KEYS}, run long, salt int, start int")
+    texts = matching(base.select("node", "doc", "text"), candidates, ["node"])
+    return texts.select("node", "doc", "text", "places").mapInArrow(runs, "node long, doc long, run long, salt int, start int")
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of rows sorted by (run, salt, doc, tie, start): doc, tie, start of each occurrence that has
-    another, of (the document of the first; null for the first), and run where the salt leaves the
+    """Neighbours of rows (node, doc, run, salt, start) sorted by (run, salt, doc, node, start): node, doc, start of each occurrence
+    that has another, later (whether it isn't the first), of (the document of the first), and run where the salt leaves the
     rest to be told. The first of a salted group comes out in any case, with ``more`` telling if it is followed."""
-    schema = pa.schema([("doc", pa.int64()), ("tie", pa.int32()), ("start", pa.int32()), ("of", pa.int64()), ("run", pa.int64()), ("more", pa.bool_())])
+    schema = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("later", pa.bool_()), ("of", pa.int64()), ("run", pa.int64()), ("more", pa.bool_())])
     group, head, open_head = None, None, False  # of the rows so far: key, first occurrence, whether it is still to come out
 
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [()] * 6
+    def heads_out(rows: list[tuple]) -> pa.RecordBatch:
+        """Of (node, doc, start, run, more)."""
+        node, doc, start, run, more = list(zip(*rows, strict=True))
+        columns = [node, doc, start, [False] * len(rows), [None] * len(rows), run, more]
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        doc, tie, run, salt, start = (c.to_numpy() for c in batch.columns)
+        node, run, salt, start = (batch.column(c).to_numpy() for c in (0, 2, 3, 4))
+        docs = batch.column(1)
         new = np.ones(len(run), bool)
         new[1:] = (run[1:] != run[:-1]) | (salt[1:] != salt[:-1])
         new[0] = group != (run[0], salt[0])
         at = np.maximum.accumulate(np.where(new, np.arange(len(run)), -1))  # the head's row, -1: in an earlier batch
-        first = [np.where(at >= 0, x[at], h) for x, h in zip((doc, tie, start), head or (0, 0, 0), strict=True)]
-        again = ~new & ((doc != first[0]) | (tie != first[1]) | (start != first[2]))
+        first = [np.where(at >= 0, x[at], h) for x, h in zip((node, start), (head[0], head[2]) if head else (0, 0), strict=True)]
+        again = ~new & ((node != first[0]) | (start != first[1]))
         rows = []
         if open_head and (again[at < 0]).any():
-            rows.append((*head, None, int(group[0]) if group[1] else None, True))
+            rows.append((*head, int(group[0]) if group[1] else None, True))
             open_head = False
         elif open_head and new.any() and group[1]:
-            rows.append((*head, None, int(group[0]), False))
+            rows.append((*head, int(group[0]), False))
         heads = np.flatnonzero(new)
         followed = np.zeros(len(run) + 1, bool)
         followed[at[again & (at >= 0)]] = True
         closed = heads[:-1] if len(heads) else heads
         emit = [h for h in heads.tolist() if followed[h]] + [h for h in closed.tolist() if not followed[h] and salt[h]]
-        rows += [(int(doc[h]), int(tie[h]), int(start[h]), None, int(run[h]) if salt[h] else None, bool(followed[h])) for h in emit]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[again]), pa.array(tie[again]), pa.array(start[again]), pa.array(first[0][again], pa.int64()), pa.nulls(int(again.sum()), pa.int64()), pa.array(np.ones(int(again.sum()), bool))], schema=schema)
+        rows += [(int(node[h]), docs[h].as_py(), int(start[h]), int(run[h]) if salt[h] else None, bool(followed[h])) for h in emit]
+        which = np.flatnonzero(again)
+        earlier = pa.array([head[1] if head else None], pa.int64())
+        of = pa.concat_arrays([docs, earlier]).take(pa.array(np.where(at[which] >= 0, at[which], len(docs))))
+        yes = pa.array(np.ones(len(which), bool))
+        yield pa.RecordBatch.from_arrays([pa.array(node[which]), docs.take(pa.array(which)), pa.array(start[which]), yes, of, pa.nulls(len(which), pa.int64()), yes], schema=schema)
         if len(heads):
             h = int(heads[-1])
-            group, head, open_head = (run[h], salt[h]), (int(doc[h]), int(tie[h]), int(start[h])), not followed[h]
+            group, head, open_head = (run[h], salt[h]), (int(node[h]), docs[h].as_py(), int(start[h])), not followed[h]
         if rows:
-            yield out(rows)
+            yield heads_out(rows)
     if open_head and group[1]:
-        yield out([(*head, None, int(group[0]), False)])
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, anchor: int = ANCHOR) -> DataFrame:
-    """doc, tie, n_words, starts, later, sources for documents with repeats: where runs of min_words words begin that stand elsewhere too,
-    which of these stand earlier too (in order of doc, tie and place), and in which documents they stand
-    first (of a run in more than HOT places: in which they stand earlier). ``docs`` as from keyed()."""
-    suffixes = settle(kept_suffixes(docs, min_words, seed, anchor), "suffixes")
-    same = settle(copies(docs), "copies")
-    others = same.where("doc != of_doc or tie != of_tie")
-    candidates = settle(with_neighbour(suffixes.join(others, KEY, "left_anti")), "suffix-neighbours")
-    found = extended(docs, candidates, min_words, seed, anchor)
-    told = found.repartition("run", "salt").sortWithinPartitions("run", "salt", *KEY, "start").mapInArrow(compared, f"{KEYS}, start int, of long, run long, more boolean")
-    later = F.when(F.col("of").isNotNull(), F.col("start"))
+        yield heads_out([(*head, int(group[0]), False)])
+
+
+def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, anchor: int = ANCHOR) -> tuple[DataFrame, int]:
+    """node, doc, n_words, whole, copy, starts, later, source for documents with repeats, and the seed that numbers the rows: whether
+    the whole text stands elsewhere too, and earlier; where runs of min_words words begin that stand elsewhere too (if not
+    the whole text), which of these stand earlier too (in order of doc, node and place); the least id of a document where one
+    of them stands first (of a run in more than HOT places: where it stands earlier), as (has an id, doc)."""
+    for number in count():
+        base = numbered(docs, number)
+        suffixes = settle(kept_suffixes(base, min_words, seed, anchor), "suffixes")
+        if repeated_nodes(suffixes) is not None:
+            break
+    same = settle(copies(suffixes), "copies-told")
+    others = same.where("node != of.node").select("node")
+    may = may_hold(others)(F.col("node"))
+    own = suffixes.where(~may).unionByName(suffixes.where(may).join(others, "node", "left_anti"))
+    candidates = settle(with_neighbour(own), "suffix-neighbours")
+    found = extended(base, candidates, min_words, seed, anchor)
+    told = found.repartition("run", "salt").sortWithinPartitions("run", "salt", "doc", "node", "start")
+    told = told.mapInArrow(compared, "node long, doc long, start int, later boolean, of long, run long, more boolean")
+    later = F.when(F.col("later"), F.col("start"))
+    source = F.when(F.col("later"), F.struct(F.col("of").isNotNull().alias("has"), F.col("of").alias("doc")))
     heads = F.when(F.col("run").isNotNull(), F.struct("run", "start", "more"))
     sure = F.when(F.col("run").isNull() | F.col("more"), F.col("start"))
-    of_doc = settle(told.groupBy(KEY).agg(F.collect_set(sure).alias("starts"), F.collect_set(later).alias("later"), F.collect_set("of").alias("sources"), F.collect_set(heads).alias("heads")), "runs-told")
+    of_doc = told.groupBy("node", "doc").agg(F.collect_set(sure).alias("starts"), F.collect_set(later).alias("later"), F.min(source).alias("source"), F.collect_set(heads).alias("heads"))
+    of_doc = settle(of_doc, "runs-told")
     discard(candidates)
 
-    salted = of_doc.select(*KEY, F.inline("heads"))
-    ends = salted.groupBy("run").agg(F.min(F.struct(*KEY, "start")).alias("first"), F.max(F.struct(*KEY, "start")).alias("last")).where("first != last")
-    again = (F.struct(*KEY, "start") != F.col("first")).alias("again")
-    more = salted.join(ends, "run").select(*KEY, "start", again, F.col("first.doc").alias("of")).groupBy(KEY).agg(
-        F.collect_set("start").alias("starts2"), F.collect_set(F.when(F.col("again"), F.col("start"))).alias("later2"), F.collect_set(F.when(F.col("again"), F.col("of"))).alias("sources2")
+    salted = of_doc.select("node", "doc", F.inline("heads"))
+    place = F.struct(F.col("doc").isNotNull().alias("has"), "doc", "node", "start")
+    ends = settle(salted.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last"), "salted-runs")
+    again = (place != F.col("first")).alias("again")
+    more = matching(salted, ends, ["run"]).select("node", "start", again, F.struct("first.has", "first.doc").alias("of")).groupBy("node").agg(
+        F.collect_set("start").alias("starts2"), F.collect_set(F.when(F.col("again"), F.col("start"))).alias("later2"), F.min(F.when(F.col("again"), F.col("of"))).alias("source2")
     )
-    none, nowhere = F.array().cast("array<int>"), F.array().cast("array<long>")
-    both = lambda a, b, none: F.array_union(F.coalesce(a, none), F.coalesce(b, none))
-    joined = of_doc.join(more, KEY, "left").select(*KEY, *(both(c, f"{c}2", nowhere if c == "sources" else none).alias(c) for c in ("starts", "later", "sources")))
-
-    words = suffixes.select(*KEY, "n_words").distinct()
-    full = words.where(F.col("n_words") >= min_words).join(joined, KEY, "left").join(same, KEY, "left")
-    every = F.sequence(F.lit(0), F.col("n_words").cast("int") - min_words)
-    first = F.equal_null("doc", "of_doc") & F.equal_null("tie", "of_tie")
-    copy = F.col("of_doc").isNotNull() & ~first
+    none = F.array().cast("array<int>")
+    both = lambda a, b: F.array_union(F.coalesce(a, none), F.coalesce(b, none)).alias(a)
+    joined = of_doc.join(more, "node", "left").select("node", both("starts", "starts2"), both("later", "later2"), F.least("source", "source2").alias("source"))
+    joined = settle(joined, "runs-joined")
+
+    words = suffixes.where(F.col("n_words") >= min_words).select("node", "doc", "n_words").distinct()
+    some = words.where(may_hold(joined)(F.col("node")) | may_hold(same)(F.col("node")))
+    full = some.join(joined, "node", "left").join(same, "node", "left")
+    copy = F.coalesce(F.col("of.node") != F.col("node"), F.lit(False))
     return full.select(
-        *KEY,
+        "node",
+        "doc",
         "n_words",
-        F.when(F.col("of_doc").isNotNull(), every).otherwise(F.coalesce("starts", none)).alias("starts"),
-        F.when(copy, every).otherwise(F.coalesce("later", none)).alias("later"),
-        F.when(copy, F.array("of_doc")).otherwise(F.coalesce("sources", nowhere)).alias("sources"),
-    ).where(F.size("starts") > 0)
+        F.col("of").isNotNull().alias("whole"),
+        copy.alias("copy"),
+        F.coalesce("starts", none).alias("starts"),
+        F.coalesce("later", none).alias("later"),
+        F.when(copy, F.struct("of.has", "of.doc")).otherwise(F.col("source")).alias("source"),
+    ).where(F.col("whole") | (F.size("starts") > 0)), number
 
 
 def cover(starts: list[int], size: int, n: int) -> np.ndarray:
@@ -271,18 +287,17 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, longs = [], []
-            for n, starts, later in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-                marked = cover(starts, min_words, n)
-                spans.append([{"begin": a, "end": b} for a, b in stretches(marked)])
-                longs.append((n, int(marked.sum()), int(cover(later, min_words, n).sum())))
-            first = [min(x, default=None) for x in batch.column(5).to_pylist()]
-            columns = [pa.array(c, pa.int64()) for c in (*(zip(*longs, strict=True) if longs else ((), (), ())), first)]
+            for n, whole, copy, starts, later in zip(*(c.to_pylist() for c in batch.columns[1:6]), strict=True):
+                marked = [(0, n)] if whole else stretches(cover(starts, min_words, n))
+                spans.append([{"begin": a, "end": b} for a, b in marked])
+                longs.append((n, sum(b - a for a, b in marked), n if copy else int(cover(later, min_words, n).sum())))
+            columns = [pa.array(c, pa.int64()) for c in (zip(*longs, strict=True) if longs else ((), (), ()))]
             kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(spans, kind)], names=["doc", "n_words", "n_repeated", "n_later", "first", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(6), pa.array(spans, kind)], names=["doc_id", "n_words", "n_repeated", "n_later", "first_doc_id", "spans"])
 
-    least = -(1 << 63)
-    out = repeats(keyed(docs), min_words).mapInArrow(measure, "doc long, n_words long, n_repeated long, n_later long, first long, spans array<struct<begin:int,end:int>>")
-    return out.select(F.nullif("doc", F.lit(least)).alias("doc_id"), "n_words", "n_repeated", "n_later", F.nullif("first", F.lit(least)).alias("first_doc_id"), "spans")
+    found, _ = repeats(docs, min_words)
+    found = found.select("doc", "n_words", "whole", "copy", "starts", "later", F.col("source.doc").alias("first"))
+    return found.mapInArrow(measure, "doc_id long, n_words long, n_repeated long, n_later long, first_doc_id long, spans array<struct<begin:int,end:int>>")
 
 
 def stretches(marked: np.ndarray) -> list[tuple[int, int]]:
@@ -292,33 +307,39 @@ def stretches(marked: np.ndarray) -> list[tuple[int, int]]:
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs without the later words of their texts: rows, columns and their order stay; ``n_chars``, if there, counts anew."""
-    base = keyed(docs)
-    found = settle(repeats(base, min_words), "repeats")
-    names, at = docs.columns, docs.columns.index("text")
-    known = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tie": F.hash(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    """docs without the later words of their texts (see passages); ``n_chars``, if there, counts anew.
+
+    All rows stay, and all columns, whatever their names; null, empty and short texts stay as they are. A null id
+    comes first. Rows with equal ids and texts are one document, and are cut alike. An empty table stays empty.
+    """
+    found, seed = repeats(docs, min_words)
 
     def stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cuts = [[x for ab in stretches(cover(later, min_words, n)) for x in ab] for n, later in zip(*(batch.column(c).to_pylist() for c in (2, 3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(cuts, pa.list_(pa.int32()))], names=["_doc", "_tie", "_cuts"])
+            told = zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)
+            cuts = [[0, n] if copy else [x for ab in stretches(cover(later, min_words, n)) for x in ab] for n, copy, later in told]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.int32()))], names=["node", "cuts"])
 
-    later = found.where(F.size("later") > 0).select(*KEY, "n_words", "later").distinct()
-    cuts = settle(later.mapInArrow(stretch, "_doc long, _tie int, _cuts array<int>"), "cuts")
-    if (cuts.agg(F.sum(F.size("_cuts"))).first()[0] or 0) <= 8 * BROADCAST_ROWS:
-        cuts = few_or_shuffled(cuts)
-    joined = known.join(cuts, ["_doc", "_tie"], "left").select(*names, "_cuts")
+    later = found.where(F.col("copy") | (F.size("later") > 0)).select("node", "n_words", "copy", "later")
+    cuts = settle(later.mapInArrow(stretch, "node long, cuts array<int>"), "cuts")
+    text = F.col("text").cast("string")
+    inner = docs.select(node_of(seed).alias("node"), text.alias("text"), F.struct(*named(docs.columns)).alias("row"))
+    may = may_hold(cuts)(F.col("node"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(i, SLICE)
-                pairs = zip(piece.column(at).to_pylist(), piece.column(len(names)).to_pylist(), strict=True)
-                kept = pa.array([without(text, cuts) for text, cuts in pairs], pa.string())
-                yield pa.RecordBatch.from_arrays([kept if c == at else piece.column(c) for c in range(len(names))], names=names)
-
-    out = joined.mapInArrow(cut, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+                pairs = zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), strict=True)
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([without(text, cuts) for text, cuts in pairs], pa.string())], names=["row", "text"])
+
+    row = inner.schema["row"].dataType
+    changed = inner.where(may).join(cuts, "node", "left").select("row", "text", "cuts")
+    changed = changed.mapInArrow(cut, StructType([StructField("row", row), StructField("text", StringType())]))
+    both = inner.where(~may).select("row", "text").unionByName(changed)
+    new = {"text": F.col("text"), "n_chars": F.length("text")}
+    kept = [F.col("row")[f.name] if f.name not in new else new[f.name].cast(f.dataType) for f in docs.schema]
+    return both.select(*(c.alias(f.name) for c, f in zip(kept, docs.schema, strict=True)))
 
 
 def without(text: str | None, cuts: list[int] | None) -> str | None:
