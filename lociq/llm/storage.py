@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
-FILTER_WORDS = 1 << 20
+FILTER_WORDS = 1 << 18
 FAN_IN = 256
 
 
@@ -68,6 +68,15 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_by(df: DataFrame, column: str, label: str) -> DataFrame:
+    """As settle(), in as many buckets of a column as shuffles have partitions: joins on it move the other side alone."""
+    spark = df.sparkSession
+    path, n = new_path(spark, label), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"lociq_{uuid.uuid4().hex}"
+    df.repartition(n, column).write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def discard(*written: DataFrame) -> None:
     """Remove the files of written tables that nothing will read any more."""
     for folder in {f.rsplit("/", 1)[0] for df in written for f in df.inputFiles()}:
@@ -75,15 +84,25 @@ def discard(*written: DataFrame) -> None:
         fs.delete_dir(path)
 
 
-def may_hold(keys: DataFrame, column: str = "node") -> Callable[[Column], Column]:
-    """Whether a value may be among the 64-bit hashes in a column of a written table, as a condition: a Bloom filter of
-    FILTER_WORDS * 64 bits, whatever the table, with one bit for each key. It says yes of every key, and of some others, the more the
-    fuller it is: what follows must rule these out."""
+def filter_bits(keys: DataFrame, column: str = "node") -> np.ndarray:
+    """A Bloom filter of FILTER_WORDS * 64 bits, whatever the table, with one bit for each key of a column of 64-bit hashes."""
     word, bit = _place(F.col(column))
     marks = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_WORDS rows at most
     bits = np.zeros(FILTER_WORDS, np.int64)
     bits[marks.column("word").to_numpy()] = marks.column("bits").to_numpy()
-    table = pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})
+    return bits
+
+
+def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of some unsigned hashes may be among the keys of a filter."""
+    shift = np.uint64(65 - FILTER_WORDS.bit_length())
+    return (bits.view(np.uint64)[keys >> shift] >> ((keys >> (shift - np.uint64(6))) & np.uint64(63))) & np.uint64(1) == 1
+
+
+def may_hold(keys: DataFrame, column: str = "node") -> Callable[[Column], Column]:
+    """Whether a value may be among the 64-bit hashes in a column of a written table, as a condition, by a filter of fixed size. It says
+    yes of every key, and of some others, the more the fuller the filter is: what follows must rule these out."""
+    table = pa.table({"bits": pa.array([filter_bits(keys, column)], pa.list_(pa.int64()))})
     held = keys.sparkSession.createDataFrame(table).scalar()
 
     def condition(key: Column) -> Column:
