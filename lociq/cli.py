@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from lociq.functions import qc
 from lociq.operators import clean, gwas, hdl, ldsc, posthoc, simulate, stratified, twas
-from lociq.operators.enrich import enrich
+from lociq.operators.enrich import base_results, enrich
 from lociq.operators.qtrait import Limits, qtrait
 from lociq.operators.sem import models
 from lociq.sources import panels
@@ -75,15 +76,18 @@ def _prevalences(a: argparse.Namespace) -> list[ldsc.Prevalence]:
 PREVALENCE = (arg("sample-prev", many(float)), arg("population-prev", many(float)))
 
 
-@command("munge", FILES, NAMES, OUT, arg("ref", required=True), arg("n", many(float)), arg("info", float, 0.9), arg("maf", float, 0.01), arg("overwrite", bool, False))
+@command("munge", FILES, NAMES, OUT, arg("ref", required=True), arg("n", many(float)), arg("info", float, 0.9), arg("maf", float, 0.01), arg("overwrite", bool, False), arg("report", bool, False))
 def _munge(spark, a):
     ref = _table(spark, a.ref, ["SNP", "A1", "A2"])
     for path, name, n in zip(a.files, a.trait_names, a.n or [None] * len(a.files), strict=True):
-        out = clean.munge(_table(spark, path, ["SNP", "A1", "A2", "EFFECT", "P"]), ref, n, a.info, a.maf)
-        T.write_munged(out, f"{a.out}/{name}.sumstats", a.overwrite)
+        steps = clean.munge_steps(_table(spark, path, ["SNP", "A1", "A2", "EFFECT", "P"]), ref, n, a.info, a.maf)
+        T.write_munged(steps[-1][1], f"{a.out}/{name}.sumstats", a.overwrite)
+        if a.report:
+            bad = spark.createDataFrame([("p_outside_0_1", qc.implausible_p(steps[0][1]), 0)], "step string, rows long, removed long")
+            T.write_table(clean.removal_report(steps).union(bad), f"{a.out}/{name}.report")
 
 
-@command("sumstats", FILES, NAMES, OUT, arg("ref", required=True), arg("kinds", many(), required=True), arg("n", many(float)), arg("info", float, 0.6), arg("maf", float, 0.01), arg("keep-indel", bool, False), arg("ambig", bool, True), arg("direct-filter", bool, False))
+@command("sumstats", FILES, NAMES, OUT, arg("ref", required=True), arg("kinds", many(), required=True), arg("n", many(float)), arg("info", float, 0.6), arg("maf", float, 0.01), arg("keep-indel", bool, False), arg("ambig", bool, True), arg("direct-filter", bool, False), arg("report", bool, False))
 def _sumstats(spark, a):
     from lociq.sources.headers import effect_is_beta
 
@@ -92,7 +96,10 @@ def _sumstats(spark, a):
     for path, name, kind, n in zip(a.files, a.trait_names, a.kinds, a.n or [None] * len(a.files), strict=True):
         raw = T.read_table(spark, path)
         traits.append(clean.Trait(name, T.canonical(raw, ["SNP", "A1", "A2", "EFFECT", "P"]), kind, n, effect_is_beta(raw.columns)))
-    T.write_table(clean.merge_traits(traits, panel, a.maf, a.info, a.keep_indel, a.ambig, a.direct_filter), a.out)
+    merged = clean.merge_traits(traits, panel, a.maf, a.info, a.keep_indel, a.ambig, a.direct_filter)
+    T.write_table(merged, a.out)
+    if a.report:
+        T.write_table(clean.effects_report(merged, a.trait_names), f"{a.out}.report")
 
 
 @command("ldsc", FILES, NAMES, OUT, arg("ld", required=True), arg("wld"), arg("chr", int, 22), arg("select", str, "ALL"), arg("n-blocks", int, 200), arg("chisq-max", float), arg("stand", bool, False), *PREVALENCE)
@@ -121,10 +128,12 @@ def _s_ldsc(spark, a):
     _put(spark, a.out, T.stratified_to_json(c))
 
 
-@command("enrich", COV, OUT, arg("model", required=True), arg("params", many(), required=True), arg("fix", str, "regressions"), arg("fixparam", many(), []), arg("tau", bool, False), arg("std-lv", bool, False), arg("rm-flank", bool, True))
+@command("enrich", COV, OUT, arg("model", required=True), arg("params", many(), required=True), arg("fix", str, "regressions"), arg("fixparam", many(), []), arg("tau", bool, False), arg("std-lv", bool, False), arg("rm-flank", bool, True), arg("base", bool, False))
 def _enrich(spark, a):
     c = T.stratified_from_json(_text(spark, a.covstruc))
     T.write_table(enrich(spark, c, _text(spark, a.model), a.params, a.fix, a.fixparam, a.tau, a.std_lv, a.rm_flank), a.out)
+    if a.base:
+        T.write_table(base_results(spark, c, _text(spark, a.model), a.params, a.fix, a.fixparam, a.tau, a.std_lv), T.part_name(a.out, 0))
 
 
 def _snps(spark, a):
@@ -154,14 +163,14 @@ def _user_gwas(spark, a):
 
 @command("commonfactor", COV, OUT, arg("estimation", str, "DWLS"))
 def _common_factor(spark, a):
-    parameters, stats = models.result_frames(spark, models.common_factor(_covariance(spark, a.covstruc), a.estimation))
+    parameters, stats = models.result_frames(spark, models.common_factor(_covariance(spark, a.covstruc), a.estimation), a.estimation)
     T.write_table(parameters, a.out)
     T.write_table(stats, T.part_name(a.out, 0))
 
 
 @command("usermodel", COV, OUT, arg("model", required=True), arg("estimation", str, "DWLS"), arg("std-lv", bool, False))
 def _user_model(spark, a):
-    parameters, stats = models.result_frames(spark, models.user_model(_covariance(spark, a.covstruc), _text(spark, a.model), a.estimation, a.std_lv))
+    parameters, stats = models.result_frames(spark, models.user_model(_covariance(spark, a.covstruc), _text(spark, a.model), a.estimation, a.std_lv), a.estimation)
     T.write_table(parameters, a.out)
     T.write_table(stats, T.part_name(a.out, 0))
 
@@ -179,10 +188,10 @@ def _fusion(spark, a):
     T.write_table(twas.read_fusion(tables, a.trait_names, a.n, [x.lower() == "true" for x in a.binary], a.perm), a.out)
 
 
-@command("hdl", FILES, NAMES, OUT, arg("ld", required=True), arg("n-ref", float, 335_265.0), *PREVALENCE)
+@command("hdl", FILES, NAMES, OUT, arg("ld", required=True), arg("n-ref", float, 335_265.0), arg("method", str, "piecewise"), *PREVALENCE)
 def _hdl(spark, a):
     traits = [hdl.load_gwas(_numbers(T.read_table(spark, f), "N", "Z", "b", "se")) for f in a.files]
-    _put(spark, a.out, T.covariance_to_json(hdl.hdl(panels.read_pieces(spark, a.ld), traits, a.trait_names, a.n_ref, _prevalences(a))))
+    _put(spark, a.out, T.covariance_to_json(hdl.hdl(panels.read_pieces(spark, a.ld), traits, a.trait_names, a.n_ref, _prevalences(a), a.method)))
 
 
 @command("pa-ldsc", OUT, arg("s", required=True), arg("v", required=True), arg("r", int, 500), arg("p", float, 0.95), arg("diag", bool, False), arg("fa", bool, False), arg("nfactors", int, 1), arg("seed", int, 1))

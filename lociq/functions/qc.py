@@ -70,11 +70,12 @@ def at_least(df: DataFrame, column: str, threshold: float) -> DataFrame:
 
 
 def log_of_odds_ratios(df: DataFrame) -> DataFrame:
-    """ln(EFFECT) if the exact median of EFFECT rounds to 1, which odds ratios do; ln of no positive number is null."""
-    middle = df.agg(F.median("EFFECT")).first()[0]
-    if middle is None or math.floor(abs(middle) + 0.5) * math.copysign(1, middle) != 1:
-        return df
-    return df.withColumn("EFFECT", F.when(F.col("EFFECT") > 0, F.ln("EFFECT")))
+    """ln(EFFECT) if the exact median of EFFECT rounds to 1, which odds ratios do; ln of no positive number is null. The median is
+    part of the plan, so nothing runs before the result is asked for."""
+    middle = df.agg(F.median("EFFECT")).scalar()
+    rounded = F.floor(F.abs(middle) + 0.5) * F.signum(middle)
+    ratios = F.coalesce(rounded == 1, F.lit(False))
+    return df.withColumn("EFFECT", F.when(~ratios, F.col("EFFECT")).when(F.col("EFFECT") > 0, F.ln("EFFECT")))
 
 
 def drop_all_duplicates(df: DataFrame, key: str = "SNP") -> DataFrame:

@@ -40,21 +40,28 @@ def with_n(df: DataFrame, n: float | None) -> DataFrame:
     return df if "N" in df.columns else df.withColumn("N", F.lit(None).cast("double"))
 
 
+def munge_steps(table: DataFrame, ref: DataFrame, n: float | None = None, info: float = 0.9, maf: float = 0.01) -> list[tuple[str, DataFrame]]:
+    """The frames behind munge(), each with what it leaves: read, single_base_alleles, in_reference, p_and_effect, matching_alleles,
+    info, maf; the last is the result."""
+    steps = [("read", table), ("single_base_alleles", qc.keep_acgt(qc.upper_alleles(table)))]
+    add = lambda name, df: steps.append((name, df)) or df
+    df = add("in_reference", steps[-1][1].join(as_reference(ref).drop("MAF_REF"), "SNP"))
+    df = add("p_and_effect", qc.drop_missing(df, "P", "EFFECT"))
+    if "MAF" in df.columns:
+        df = df.withColumn("MAF", qc.fold_maf())
+    df = add("matching_alleles", qc.keep_matching_alleles(qc.flip_effect(qc.log_of_odds_ratios(df))))
+    df = add("info", qc.at_least(df, "INFO", info))
+    add("maf", with_n(qc.at_least(df, "MAF", maf), n).withColumn("Z", z_from_p()).select("SNP", "N", "Z", "A1", "A2"))
+    return steps
+
+
 def munge(table: DataFrame, ref: DataFrame, n: float | None = None, info: float = 0.9, maf: float = 0.01) -> DataFrame:
     """SNP, N, Z, A1, A2 of a canonical table (see sources.tables.canonical) matched to a reference.
 
     Single-base alleles; P and EFFECT present; odds ratios logged; effects flipped to the reference's A1;
     mismatching alleles, low INFO and low folded MAF dropped; Z from P with the effect's sign.
     """
-    df = qc.keep_acgt(qc.upper_alleles(table))
-    df = df.join(as_reference(ref).drop("MAF_REF"), "SNP")
-    df = qc.drop_missing(df, "P", "EFFECT")
-    if "MAF" in df.columns:
-        df = df.withColumn("MAF", qc.fold_maf())
-    df = qc.log_of_odds_ratios(df)
-    df = qc.keep_matching_alleles(qc.flip_effect(df))
-    df = qc.at_least(qc.at_least(df, "INFO", info), "MAF", maf)
-    return with_n(df, n).withColumn("Z", z_from_p()).select("SNP", "N", "Z", "A1", "A2")
+    return munge_steps(table, ref, n, info, maf)[-1][1]
 
 
 def harmonise(trait: Trait, ref: DataFrame, info: float = 0.6, keep_indel: bool = False, directions: bool = False) -> DataFrame:
@@ -79,10 +86,17 @@ def merge_traits(traits: Sequence[Trait], panel: DataFrame, maf: float = 0.01, i
     return reduce(lambda out, t: out.join(harmonise(t, ref, info, keep_indel, directions), "SNP"), traits, rows)
 
 
+def effects_report(merged: DataFrame, names: Sequence[str], limit: float = 5.0) -> DataFrame:
+    """trait, mean_abs_z, large of a merged table: whether the mean |Z| of a trait's standardised effects exceeds a limit, which hints at
+    wrong units. One aggregate for all traits."""
+    z = lambda t: F.abs(F.try_divide(F.col(f"`beta.{t}`"), F.col(f"`se.{t}`")))
+    means = merged.agg(F.array(*(F.struct(F.lit(t).alias("trait"), F.avg(z(t)).alias("mean_abs_z")) for t in names)).alias("each"))
+    return means.select(F.inline("each")).withColumn("large", F.coalesce(F.col("mean_abs_z") > limit, F.lit(False)))
+
+
 def large_effects(merged: DataFrame, name: str, limit: float = 5.0) -> bool:
-    """Whether the mean |Z| of a trait's standardised effects exceeds a limit, which hints at wrong units."""
-    z = F.abs(F.try_divide(F.col(f"`beta.{name}`"), F.col(f"`se.{name}`")))
-    return (merged.agg(F.avg(z)).first()[0] or 0.0) > limit
+    """Whether effects_report calls a trait's effects large."""
+    return effects_report(merged, [name], limit).first()["large"]
 
 
 def removal_report(steps: Sequence[tuple[str, DataFrame]]) -> DataFrame:

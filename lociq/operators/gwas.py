@@ -2,7 +2,7 @@
 
 The covariance of a SNP with the traits is all that changes from row to row, so a batch is fitted at once in
 numpy while Spark deals out the rows. The model and the covariance structure, of fixed size, travel with the
-function. Nothing is shuffled; a row's fit doesn't depend on the partition it is in.
+function. Fits shuffle nothing and don't depend on the partition they are in; only results are brought in order.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions.normal import chi2_sf, norm_sf
 from lociq.functions.qc import by_prefix
+from lociq.functions.rows import with_row_number
 from lociq.operators.sem.fit import fit, fit_dwls, fit_ml, ml_weight, q_statistic, sandwich, smooth, vech_rows, weights_of
 from lociq.operators.sem.model import Model, compile_model
 from lociq.sources.tables import Covariance
@@ -151,7 +152,8 @@ def per_snp(snps: DataFrame, c: Covariance, text: str, options: Options) -> Data
                     parts.append(part)
                 yield pd.concat(parts) if parts else pd.DataFrame(columns=[*kept, "_id", "_i", *(x.split()[0] for x in RESULT.split(", "))])
 
-    picked = snps.select(*(F.col(f"`{x}`") for x in kept), F.monotonically_increasing_id().alias("_id"), F.array(*(F.col(f"`{x}`").cast("double") for x in betas)).alias("_beta"), F.array(*(F.col(f"`{x}`").cast("double") for x in ses)).alias("_se"), variance.cast("double").alias("_var"))
+    picked = snps.select(*(F.col(f"`{x}`") for x in kept), F.array(*(F.col(f"`{x}`").cast("double") for x in betas)).alias("_beta"), F.array(*(F.col(f"`{x}`").cast("double") for x in ses)).alias("_se"), variance.cast("double").alias("_var"))
+    picked = with_row_number(picked, "_id")
     kinds = dict(picked.dtypes)
     schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in kept), "_id long", "_i int", RESULT])
     return with_p_values(picked.mapInPandas(run, schema))
@@ -171,15 +173,16 @@ def with_p_values(df: DataFrame) -> DataFrame:
 
 
 def common_factor_gwas(snps: DataFrame, c: Covariance, options: Options | None = None) -> DataFrame:
-    """The SNP's effect on one factor behind all traits, with Q for its heterogeneity; a row for each SNP."""
+    """The SNP's effect on one factor behind all traits, with Q for its heterogeneity; a row for each SNP, in the order of snps."""
     options = options or Options(sub=("F1~SNP",), q_snp=True, fix_measurement=False)
     text = f"F1 =~ {' + '.join(c.names)}\nF1 ~ SNP\n" + "\n".join(f"{n} ~ 0*SNP" for n in c.names)
-    return per_snp(snps, c, text, options).drop("_id", "_i")
+    return per_snp(snps, c, text, options).orderBy("_id", "_i").drop("_id", "_i")
 
 
 def user_gwas(snps: DataFrame, c: Covariance, text: str, options: Options | None = None) -> DataFrame:
-    """Any model with SNP among its variables; a row for each parameter asked for and each SNP."""
-    return per_snp(snps, c, text, options or Options()).withColumnRenamed("_id", "i").withColumnRenamed("_i", "param_index")
+    """Any model with SNP among its variables; a row for each parameter asked for and each SNP, in the order of snps: i is the SNP's
+    number among them, from 1."""
+    return per_snp(snps, c, text, options or Options()).withColumnRenamed("_id", "i").withColumnRenamed("_i", "param_index").orderBy("i", "param_index")
 
 
 

@@ -1,8 +1,8 @@
 """High-definition likelihood: genetic covariance from eigenvalues and eigenvectors of LD pieces.
 
 A piece is one row (its SNPs, LD scores, eigenvalues and eigenvectors); effects of the traits are joined to its
-SNPs and brought in order. Each piece is fitted where it lies, and every pair of traits adds the pieces up; the
-jackknife leaves one out at a time.
+SNPs and brought in order. Each piece is fitted where it lies, and every pair of traits adds the pieces up; or (method
+"jackknife") all pieces are fitted together from these fits on. Either way the jackknife leaves one out at a time.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lociq.functions.rows import keep
 from lociq.operators.ldsc import Prevalence, liability, rescale, vech_index
 from lociq.sources.tables import Covariance
 
 PIECE = "piece string, snps array<string>, a2 array<string>, ldsc array<double>, lam array<double>, v array<array<double>>"
 LEAST = float(np.exp(-18))
+MOST_VALUES = 20_000_000
 
 
 def load_gwas(table: DataFrame) -> DataFrame:
@@ -51,11 +53,11 @@ def z_slope(a: DataFrame, b: DataFrame) -> float:
     return both.agg(F.try_divide(F.covar_pop("x", y), F.var_pop("x"))).first()[0] or 0.0
 
 
-def start_h2(a: np.ndarray, ldsc: np.ndarray, n: float) -> float:
-    """Two-step weighted regression of a on LD scores."""
+def start_h2(a: np.ndarray, ldsc: np.ndarray, n: float, steps: int = 2) -> float:
+    """Regression of a on LD scores, by ordinary least squares (one step) and then weighted by the variances that these give (two)."""
     m, w = len(ldsc), np.ones(len(ldsc))
     h2 = 0.0
-    for _ in range(2):
+    for _ in range(steps):
         x = ldsc - np.average(ldsc, weights=w)
         ss = (w * x * x).sum()
         h2 = float((w * x * a).sum() / ss * m) if ss > 0 else 0.0
@@ -112,16 +114,19 @@ def own_variance(p: np.ndarray, lam: np.ndarray, m: float, n: float, n_ref: floa
     return np.maximum(p[0] / m * lam**2 - p[0] * lam / n_ref + p[1] * lam / n, LEAST)
 
 
+def fit_own(lam: np.ndarray, star: np.ndarray, m: float, n1: float, n_ref: float, start: np.ndarray) -> np.ndarray:
+    """(h2, intercept) of one trait by its effects on the eigenvectors of m SNPs."""
+    loss = lambda p: float((np.log(x := own_variance(p, lam, m, n1, n_ref)) + star**2 / x).sum())
+    return minimise(loss, start, np.array([0.0, 0.0]), np.array([1.0, 10.0]))
+
+
 def fit_piece(ldsc: np.ndarray, lam: np.ndarray, v: np.ndarray, b1: np.ndarray, n1: float, n_ref: float) -> np.ndarray:
     """(h2, intercept) of one trait in one piece."""
-    star, m = v.T @ b1, float(len(ldsc))
-    loss = lambda p: float((np.log(x := own_variance(p, lam, m, n1, n_ref)) + star**2 / x).sum())
-    return minimise(loss, np.array([start_h2(b1**2, ldsc, n1), 1.0]), np.array([0.0, 0.0]), np.array([1.0, 10.0]))
+    return fit_own(lam, v.T @ b1, float(len(ldsc)), n1, n_ref, np.array([start_h2(b1**2, ldsc, n1), 1.0]))
 
 
-def fit_pair(ldsc: np.ndarray, lam: np.ndarray, v: np.ndarray, b1: np.ndarray, b2: np.ndarray, n1: float, n2: float, n0: float, n_ref: float, rho: float, h11: np.ndarray, h22: np.ndarray) -> np.ndarray:
-    """(covariance, intercept) of two traits in one piece, given each one's own fit: the second conditional on the first."""
-    s1, s2, m = v.T @ b1, v.T @ b2, float(len(ldsc))
+def fit_common(lam: np.ndarray, s1: np.ndarray, s2: np.ndarray, m: float, n1: float, n2: float, n0: float, n_ref: float, h11: np.ndarray, h22: np.ndarray, starts: Sequence[np.ndarray]) -> np.ndarray:
+    """(covariance, intercept) of two traits, given each one's own fit: the second conditional on the first; the best of some starts."""
     v1, v2 = own_variance(h11, lam, m, n1, n_ref), own_variance(h22, lam, m, n2, n_ref)
 
     def loss(p: np.ndarray) -> float:
@@ -129,15 +134,57 @@ def fit_pair(ldsc: np.ndarray, lam: np.ndarray, v: np.ndarray, b1: np.ndarray, b
         u, w = s2 - c / v1 * s1, np.maximum(v2 - c**2 / v1, LEAST)
         return float((np.log(w) + u**2 / w).sum())
 
-    low, high = np.array([-1.0, -10.0]), np.array([1.0, 10.0])
-    half = 0.5 * np.sqrt(max(h11[0] * h22[0], 0))
-    tries = [minimise(loss, np.array([h, rho]), low, high) for h in (start_h2(b1 * b2, ldsc, np.sqrt(n1 * n2)), 0.0, half, -half)]
-    return min(tries, key=loss)
+    return min((minimise(loss, x, np.array([-1.0, -10.0]), np.array([1.0, 10.0])) for x in starts), key=loss)
 
 
-def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_ref: float = 335_265, prevalences: Sequence[Prevalence] | None = None) -> Covariance:
-    """The covariance structure of traits (see load_gwas) over LD pieces (rows as PIECE), summed piece by piece; V from the
-    jackknife over pieces."""
+def fit_pair(ldsc: np.ndarray, lam: np.ndarray, v: np.ndarray, b1: np.ndarray, b2: np.ndarray, n1: float, n2: float, n0: float, n_ref: float, rho: float, h11: np.ndarray, h22: np.ndarray) -> np.ndarray:
+    """(covariance, intercept) of two traits in one piece, given each one's own fit: the second conditional on the first."""
+    half = 0.5 * np.sqrt(max(h11[0] * h22[0], 0))
+    starts = [np.array([h, rho]) for h in (start_h2(b1 * b2, ldsc, np.sqrt(n1 * n2)), 0.0, half, -half)]
+    return fit_common(lam, v.T @ b1, v.T @ b2, float(len(ldsc)), n1, n2, n0, n_ref, h11, h22, starts)
+
+
+def joint(fitted: DataFrame, k: int, sizes: Sequence[tuple[float, float]], rho: dict, n_ref: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(S, I, V, m) of all pieces fitted together, V from refits without each piece, dealt over the tasks.
+
+    fitted: m, h, lam and stars (effects on the eigenvectors, by trait) of each piece. What travels is one eigenvalue and an effect of
+    each trait for each SNP of the reference panel, whose size doesn't depend on the studies; beyond MOST_VALUES it is an error."""
+    spark = fitted.sparkSession
+    total, m = fitted.agg(F.coalesce(F.sum(F.size("lam")), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+    if total * (k + 1) > MOST_VALUES:
+        raise ValueError(f"a panel of {total} eigenvalues is too large to be fitted together; use the piecewise method")
+    rows = fitted.orderBy("piece").toArrow().to_pylist()
+    lam = np.concatenate([r["lam"] for r in rows])
+    stars = np.concatenate([np.array(r["stars"]).reshape(k, -1) for r in rows], axis=1)
+    piece = np.repeat(np.arange(len(rows)), [len(r["lam"]) for r in rows])
+    index = vech_index(k)
+    start = np.array([r["h"] for r in rows]).sum(axis=0)
+    half = lambda u, v: 0.5 * np.sqrt(max(u[0] * v[0], 0))
+    own = {u: fit_own(lam, stars[i], m, sizes[i][0], n_ref, np.array([start[u], 1.0])) for u, (i, j) in enumerate(index) if i == j}
+    of_trait = {i: own[u] for u, (i, j) in enumerate(index) if i == j}
+    common = lambda i, j, at, starts: fit_common(lam[at], stars[j][at], stars[i][at], m, sizes[j][0], sizes[i][0], min(sizes[i][1], sizes[j][1]), n_ref, of_trait[j], of_trait[i], starts)
+    every = slice(None)
+    full = [own[u] if i == j else common(i, j, every, [np.array([x, rho[j, i]]) for x in (start[u], 0.0, half(of_trait[i], of_trait[j]), -half(of_trait[i], of_trait[j]))]) for u, (i, j) in enumerate(index)]
+
+    def refit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for p in batch["id"]:
+                at = piece != p
+                h = [fit_own(lam[at], stars[i][at], m, sizes[i][0], n_ref, full[u]) if i == j else common(i, j, at, [full[u]]) for u, (i, j) in enumerate(index)]
+                out.append([float(x[0]) for x in h])
+            yield pd.DataFrame({"h": out})
+
+    left = np.array([r["h"] for r in spark.range(0, len(rows), 1, max(1, len(rows))).mapInPandas(refit, "h array<double>").collect()])  # one row for each piece
+    V = np.atleast_2d(np.cov(left.T)) * (len(rows) - 1)
+    return np.array([x[0] for x in full]), np.array([x[1] for x in full]), V, float(m)
+
+
+def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_ref: float = 335_265, prevalences: Sequence[Prevalence] | None = None, method: str = "piecewise") -> Covariance:
+    """The covariance structure of traits (see load_gwas) over LD pieces (rows as PIECE), summed piece by piece, or fitted to all pieces
+    together (method="jackknife"); V from the jackknife over pieces."""
+    if method not in ("piecewise", "jackknife"):
+        raise ValueError(f"unknown method: {method}")
     k = len(traits)
     sizes = [sample_sizes(t) for t in traits]
     rho = {(i, j): z_slope(traits[i], traits[j]) for j, i in vech_index(k) if i != j}
@@ -158,14 +205,19 @@ def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_
                 for i, j in vech_index(k):
                     n0 = min(sizes[i][1], sizes[j][1])
                     cells.append(own[i] if i == j else fit_pair(ldsc, lam, v, b[j], b[i], sizes[j][0], sizes[i][0], n0, n_ref, rho[j, i], own[j], own[i]))
-                rows.append((len(ldsc), [float(c[0]) for c in cells], [float(c[1]) for c in cells]))
-            yield pd.DataFrame(rows, columns=["m", "h", "intercept"])
+                more = (r["piece"], lam.tolist(), (b @ v).tolist()) if method == "jackknife" else ()
+                rows.append((len(ldsc), [float(c[0]) for c in cells], [float(c[1]) for c in cells], *more))
+            yield pd.DataFrame(rows, columns=schema.replace(" array<array<double>>", "").replace(" array<double>", "").replace(" long", "").replace(" string", "").split(", "))
 
+    schema = "m long, h array<double>, intercept array<double>" + (", piece string, lam array<double>, stars array<array<double>>" if method == "jackknife" else "")
     cells = range(k * (k + 1) // 2)
     pairs = [(u, w) for u in cells for w in cells if u <= w]
     # fits take far longer than their bytes tell, so each task gets its share of the pieces; by a hash, as a second shuffle by piece would be left out
     parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fitted = pieces.join(by_piece, "piece").repartition(parts, F.xxhash64("piece")).mapInPandas(run, "m long, h array<double>, intercept array<double>")
+    fitted = pieces.join(by_piece, "piece").repartition(parts, F.xxhash64("piece")).mapInPandas(run, schema)
+    if method == "jackknife":
+        total, mean, V, m = joint(keep(fitted), k, sizes, rho, n_ref)
+        return _structure(names, total, mean, V, m, sizes, prevalences)
     h, intercept = (lambda u: F.col("h")[u]), (lambda u: F.col("intercept")[u])
     sums = fitted.agg(
         F.count("*").alias("n"),
@@ -179,10 +231,15 @@ def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_
     V = np.zeros((len(cells), len(cells)))
     for (u, w), c in zip(pairs, sums["spread"], strict=True):
         V[u, w] = V[w, u] = c * n**2 / (n - 1)
+    return _structure(names, sums["total"], sums["mean"], V, float(sums["m"]), sizes, prevalences)
+
+
+def _structure(names: Sequence[str], total: Sequence[float], mean: Sequence[float], V: np.ndarray, m: float, sizes: Sequence[tuple[float, float]], prevalences: Sequence[Prevalence] | None) -> Covariance:
+    k = len(names)
     S, I = np.zeros((k, k)), np.zeros((k, k))  # noqa: E741
     for u, (i, j) in enumerate(vech_index(k)):
-        S[i, j] = S[j, i] = sums["total"][u]
-        I[i, j] = I[j, i] = sums["mean"][u]
+        S[i, j] = S[j, i] = total[u]
+        I[i, j] = I[j, i] = mean[u]
     S, V = rescale(S, V, np.sqrt([liability(p) for p in prevalences or [Prevalence()] * k]))
     n_cells = np.array([np.sqrt(sizes[i][0] * sizes[j][0]) for i, j in vech_index(k)])
-    return Covariance(list(names), S, V, I, n_cells, float(sums["m"]))
+    return Covariance(list(names), S, V, I, n_cells, m)

@@ -2,8 +2,8 @@
 
 All cells (a trait's heritability, a pair's covariance) go through the same few grouped aggregates at once:
 means for the weights, sums of weights, then block sums of the 2 x 2 normal equations. What reaches the driver
-is one row for each cell and block. Rows of a cell number at most the variants of the panel, whatever the
-number of traits, so ordering them within the cell stays small.
+is one row for each cell and block. The rows of all cells are dealt by range of cell and place, written once, and numbered
+by counts of the ranges; no task orders a whole cell.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lociq.functions.rows import with_position
 from lociq.sources.tables import Covariance
 
 CELL = ["i", "j"]
@@ -90,10 +91,8 @@ def weighted(cell_rows: DataFrame, m: float) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """Adds block, in order of CHR, BP, SNP within each cell: block b begins at floor(1 + b (n - 1) / B) - 1."""
-    order = Window.partitionBy(*CELL).orderBy("CHR", "BP", "SNP")
-    size = F.count("*").over(Window.partitionBy(*CELL))
-    numbered = rows.withColumns({"rn": F.row_number().over(order) - 1, "n_cell": size})
+    """Adds rn, n_cell and block, in order of CHR, BP, SNP within each cell: block b begins at floor(1 + b (n - 1) / B) - 1."""
+    numbered = with_position(rows, ("CHR", "BP", "SNP"), CELL, "rn", "n_cell")
     return numbered.withColumn("block", F.expr(f"cast(least({n_blocks - 1}, ((rn + 1) * {n_blocks} - 1) div greatest(n_cell - 1, 1)) as int)"))
 
 
@@ -101,7 +100,8 @@ def block_sums(rows: DataFrame, n_blocks: int) -> DataFrame:
     """xx, x1, oo, xy, y1 of the normal equations for each cell and block."""
     x, one, y = F.col("L2") * F.col("wx"), F.col("wx"), F.col("y") * F.col("wy")
     sums = {"xx": x * x, "x1": x * one, "oo": one * one, "xy": x * y, "y1": one * y}
-    return in_blocks(rows, n_blocks).groupBy(*CELL, "block").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    placed = rows if "block" in rows.columns else in_blocks(rows, n_blocks)
+    return placed.groupBy(*CELL, "block").agg(*(F.sum(v).alias(k) for k, v in sums.items()))
 
 
 def jackknife(xtx: np.ndarray, xty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +126,7 @@ def ldsc(traits: Sequence[DataFrame], scores: DataFrame, weights: DataFrame, m:
     errors, Z and mean chi-square."""
     k = len(traits)
     n_blocks = blocks_for(k, n_blocks)
-    all_cells = weighted(cells(joined_traits(traits, scores, weights, chisq_max, cap)), m)
+    all_cells = weighted(in_blocks(cells(joined_traits(traits, scores, weights, chisq_max, cap)), n_blocks), m)
     means = {(r["i"], r["j"]): r for r in all_cells.groupBy(CELL).agg(F.avg("n1").alias("n1"), F.avg("n2").alias("n2"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()}
     sums = {(r["i"], r["j"], r["block"]): r for r in block_sums(all_cells, n_blocks).collect()}  # cells times blocks
     S, I = np.full((k, k), np.nan), np.full((k, k), np.nan)  # noqa: E741

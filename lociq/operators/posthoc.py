@@ -119,6 +119,11 @@ def spectrum(S: np.ndarray, factor_analysis: bool, factors: int) -> np.ndarray:
     return np.linalg.eigvalsh(R)[::-1]
 
 
+def quantiles(df: DataFrame, by: str, value: str, p: float, name: str) -> DataFrame:
+    """The p-quantile of a column in each group, linear between the two nearest values (type 7)."""
+    return df.groupBy(by).agg(F.percentile(value, p).alias(name))
+
+
 def parallel_analysis(spark: SparkSession, S: np.ndarray, V: np.ndarray, r: int = 500, p: float = 0.95, seed: int = 1, diagonal: bool = False, factor_analysis: bool = False, factors: int = 1) -> tuple[DataFrame, int | None]:
     """(rank, observed, parallel; number of factors): eigenvalues against the p-quantile of those of ``r`` draws around a
     covariance without correlations. Draws are dealt out by number, each with a seed of its own, so the result doesn't
@@ -140,7 +145,7 @@ def parallel_analysis(spark: SparkSession, S: np.ndarray, V: np.ndarray, r: int
             yield pd.DataFrame(rows, columns=["id", "rank", "value"])
 
     drawn = spark.range(r).mapInPandas(simulate, "id long, rank int, value double")
-    limits = drawn.groupBy("rank").agg(F.expr(f"percentile(value, {p})").alias("parallel"))
+    limits = quantiles(drawn, "rank", "value", p, "parallel")
     seen = spark.createDataFrame([(u, float(x)) for u, x in enumerate(spectrum(S, factor_analysis, factors))], "rank int, observed double")
     out = seen.join(limits, "rank").orderBy("rank")
     below = [x["rank"] for x in out.collect() if x["observed"] < x["parallel"]]

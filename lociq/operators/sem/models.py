@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from lociq.operators.ldsc import vech_index
+from lociq.operators.ldsc import rescale, vech_index
 from lociq.operators.sem.fit import Fit, fit
 from lociq.operators.sem.model import compile_model, subset
 from lociq.operators.sem.text import parse
 from lociq.sources.tables import Covariance
 
-RESULT = "lhs string, op string, rhs string, est double, se double, std_all double, z double, p double"
+RESULT = "lhs string, op string, rhs string, est double, se double, std_est double, std_se double, std_all double, z double, p double"
 FIT = "chisq double, df int, p_chisq double, aic double, cfi double, srmr double, converged boolean"
 
 
@@ -40,6 +41,17 @@ def fit_text(text: str, c: Covariance, estimation: str = "DWLS", std_lv: bool =
     return second if second.converged else first
 
 
+def standardised(got: Fit, estimation: str = "DWLS") -> Fit | None:
+    """The model of a fit, fitted anew to the covariance scaled to variances of 1 and its sampling covariance, so that its estimates on
+    that scale have standard errors of their own. None where a variance isn't positive."""
+    d = np.diag(got.S)
+    if not (np.isfinite(d) & (d > 0)).all():
+        return None
+    S, V = rescale(got.S, got.V, 1 / np.sqrt(d))
+    model = replace(got.model, start=got.model.start.copy())
+    return fit(model, S, V, estimation)
+
+
 def common_factor_text(names: Sequence[str]) -> str:
     return f"F1 =~ NA*{' + '.join(names)}\nF1 ~~ 1*F1"
 
@@ -74,9 +86,13 @@ def genetic_correlations(c: Covariance, estimation: str = "DWLS") -> tuple[np.nd
     return R, got.cov[np.ix_(free, free)]
 
 
-def result_frames(spark: SparkSession, got: Fit) -> tuple[DataFrame, DataFrame]:
-    """(parameters, fit) as frames; NaN as null."""
+def result_frames(spark: SparkSession, got: Fit, estimation: str = "DWLS") -> tuple[DataFrame, DataFrame]:
+    """(parameters, fit) as frames; NaN as null. std_est and std_se are those of the standardised refit."""
     null = lambda x: None if isinstance(x, float) and not np.isfinite(x) else x
-    rows = [tuple(null(float(x[c])) if c not in ("lhs", "op", "rhs") else x[c] for c in ("lhs", "op", "rhs", "est", "se", "std_all", "z", "p")) for x in got.estimates()]
+    again = standardised(got, estimation)
+    scaled = again.estimates() if again else [{"est": np.nan, "se": np.nan}] * len(got.estimates())
+    each = [x | {"std_est": y["est"], "std_se": y["se"]} for x, y in zip(got.estimates(), scaled, strict=True)]
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    rows = [tuple(null(float(x[c])) if c not in ("lhs", "op", "rhs") else x[c] for c in names) for x in each]
     stats = (float(got.chisq), got.df, got.p, float(got.aic), float(got.cfi()) if got.df > 0 else np.nan, got.srmr, got.converged)
     return spark.createDataFrame(rows, RESULT), spark.createDataFrame([tuple(null(x) for x in stats)], FIT)

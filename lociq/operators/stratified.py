@@ -7,13 +7,15 @@ block (numpy), and Spark adds the matrices up. The driver gets one matrix for ea
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.operators.ldsc import Prevalence, finite, jackknife, liability, rescale, vech_index
+from lociq.functions.rows import sum_arrays, with_position
+from lociq.operators.ldsc import CELL, Prevalence, finite, jackknife, liability, rescale, vech_index
 from lociq.sources.tables import StratifiedCovariance
 
 
@@ -57,67 +59,72 @@ def common_snps(annot: DataFrame, frequencies: DataFrame, low: float = 0.05, hig
     return annot.join(frequencies.where((F.col("MAF") > low) & (F.col("MAF") < high)).select("SNP").distinct(), "SNP", "left_semi")
 
 
-def _weight(share: Column, n: str, m: float) -> Column:
-    spread = 1 + share * F.col(n) / m * F.greatest("total", F.lit(1.0))
+def _weight(share: str, n: str, m: float) -> Column:
+    spread = 1 + F.col(share) * F.col(n) / m * F.greatest("total", F.lit(1.0))
     return F.sqrt(1 / (2 * spread * spread) / F.greatest("wLD", F.lit(1.0)))
 
 
-def block_matrices(rows: DataFrame, p: int, n_blocks: int) -> dict[int, np.ndarray]:
-    """block -> (p + 1) x (p + 2) sums of [x, w]' [x, w, y], over rows of (CHR, BP, SNP, x array, w, y)."""
-    place = F.row_number().over(Window.orderBy("CHR", "BP", "SNP")) - 1  # the variants of one cell
-    told = rows.withColumn("place", place).withColumn("block", F.expr(f"cast(place * {n_blocks} div {max(1, rows.count())} as int)"))
+def block_matrices(rows: DataFrame, p: int, n_blocks: int) -> dict[tuple[int, int, int], np.ndarray]:
+    """(i, j, block) -> (p + 1) x (p + 2) sums of [x, w]' [x, w, y], over rows of (i, j, CHR, BP, SNP, x array, w, y): the places of each
+    cell's rows in order of CHR, BP, SNP are cut into blocks of equal length."""
+    placed = rows if "rn" in rows.columns else with_position(rows, ("CHR", "BP", "SNP"), CELL, "rn", "n_cell")
+    told = placed.withColumn("block", F.expr(f"cast(rn * {n_blocks} div n_cell as int)"))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple, np.ndarray] = {}
         for batch in batches:
-            x = np.column_stack([np.stack(batch["x"].to_list()), batch["w"]]) if len(batch) else np.zeros((0, p + 1))
-            for b in np.unique(batch["block"]):
-                at = (batch["block"] == b).to_numpy()
-                total[int(b)] = total.get(int(b), 0) + x[at].T @ np.column_stack([x[at], batch["y"][at]])
-        yield pd.DataFrame({"block": list(total), "sums": [t.ravel() for t in total.values()]}, columns=["block", "sums"])
-
-    parts = told.select("block", "x", "w", "y").mapInPandas(part, "block int, sums array<double>")
-    size = (p + 1) * (p + 2)
-    added = parts.groupBy("block").agg(F.array(*(F.sum(F.col("sums")[i]) for i in range(size))).alias("sums")) if size <= 200 else parts.select("block", F.posexplode("sums").alias("at", "x")).groupBy("block", "at").agg(F.sum("x").alias("x")).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("sums"))
-    return {r["block"]: np.array(r["sums"]).reshape(p + 1, p + 2) for r in added.collect()}
+            for key, some in batch.groupby([*CELL, "block"]):
+                x = np.column_stack([np.stack(some["x"].to_list()), some["w"]])
+                total[key] = total.get(key, 0) + x.T @ np.column_stack([x, some["y"]])
+        yield pd.DataFrame([(*map(int, key), t.ravel()) for key, t in total.items()], columns=[*CELL, "block", "sums"])
+
+    parts = told.select(*CELL, "block", "x", "w", "y").mapInPandas(part, "i int, j int, block int, sums array<double>")
+    return {(r["i"], r["j"], r["block"]): np.array(r["sums"]).reshape(p + 1, p + 2) for r in sum_arrays(parts, [*CELL, "block"], "sums").collect()}
+
+
+def cells(traits: Sequence[DataFrame], base: DataFrame) -> DataFrame:
+    """i, j, CHR, BP, SNP, features, total, wLD, n1, n2, c1, c2, y: every trait with itself and with each later one, as in ldsc.cells;
+    chi-square up to the larger of 80 and a thousandth of the trait's largest N."""
+    long = reduce(DataFrame.union, (t.select(F.lit(i).alias("trait"), "SNP", "N", "Z", "A1").dropna() for i, t in enumerate(traits)))
+    rows = long.join(base, "SNP")
+    highest = dict(rows.where(~F.isnan("N")).groupBy("trait").agg(F.max("N")).collect())  # one row for each trait
+    caps = F.create_map(*(F.lit(x) for i in range(len(traits)) for x in (i, max(0.001 * highest.get(i, 0.0), 80.0))))
+    rows = rows.where((F.col("Z") * F.col("Z") <= F.element_at(caps, F.col("trait"))) & finite("N", "Z", "wLD", "total"))
+    kept = ["CHR", "BP", "SNP", "features", "total", "wLD"]
+    square = F.col("Z") * F.col("Z")
+    own = rows.select(F.col("trait").alias("i"), F.col("trait").alias("j"), *kept, F.col("N").alias("n1"), F.col("N").alias("n2"), *(square.alias(c) for c in ("c1", "c2", "y")))
+    other = rows.select(F.col("trait").alias("j"), "SNP", F.col("N").alias("n2"), F.col("Z").alias("z2"), F.col("A1").alias("a2"))
+    z = F.when(F.col("A1") != F.col("a2"), -F.col("Z")).otherwise(F.col("Z"))
+    pair = rows.withColumnRenamed("trait", "i").join(other, "SNP").where(F.col("i") < F.col("j"))
+    return own.union(pair.select("i", "j", *kept, F.col("N").alias("n1"), "n2", square.alias("c1"), (F.col("z2") * F.col("z2")).alias("c2"), (z * F.col("z2")).alias("y")))
 
 
 def s_ldsc(traits: Sequence[DataFrame], scores: DataFrame, annotations: Sequence[str], weights: DataFrame, m: Sequence[float], overlaps: np.ndarray, names: Sequence[str], prevalences: Sequence[Prevalence] | None = None, n_blocks: int = 200) -> StratifiedCovariance:
     """A covariance of the traits for each annotation. scores: SNP, CHR, BP and the annotations' LD scores;
-    m: SNPs by annotation; overlaps: cross-products of the annotations."""
+    m: SNPs by annotation; overlaps: cross-products of the annotations. All cells go through the same few aggregates."""
     p, k, m = len(annotations), len(traits), np.array(m, float)
     if p < 2:
         raise ValueError("stratified regression asks for two annotations or more")
     m_total = m[0]
     base = with_features(scores, annotations).join(weights.select("SNP", "wLD"), "SNP")
     base = base.withColumn("total", F.aggregate("features", F.lit(0.0), lambda a, x: a + x))
-    full = []
-    for t in traits:
-        rows = t.select("SNP", "N", "Z", "A1").dropna().join(base, "SNP")
-        cap = max(0.001 * (rows.where(~F.isnan("N")).agg(F.max("N")).first()[0] or 0.0), 80.0)
-        full.append(rows.where((F.col("Z") * F.col("Z") <= cap) & finite("N", "Z", "wLD", "total")))
+    rows = with_position(cells(traits, base), ("CHR", "BP", "SNP"), CELL, "rn", "n_cell")
+    of_n = [F.avg(F.col("total") * F.col(n)).alias(l) for n, l in (("n1", "l1"), ("n2", "l2"))]
+    means = rows.groupBy(CELL).agg(*(F.avg(c).alias(f"m_{c}") for c in ("c1", "c2", "n1", "n2")), *of_n)
+    share = lambda c, l: F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(m_total * (F.col(c) - 1), F.col(l)))), F.lit(0.0))  # noqa: E731, E741
+    told = means.select(*CELL, share("m_c1", "l1").alias("g1"), share("m_c2", "l2").alias("g2"), F.sqrt(F.col("m_n1") * F.col("m_n2")).alias("n_bar"))
+    rows = rows.join(F.broadcast(told), CELL).withColumn("w", _weight("g1", "n1", m_total) + _weight("g2", "n2", m_total))  # one row for each cell
+    rows = rows.join(F.broadcast(rows.groupBy(CELL).agg(F.sum("w").alias("total_w"))), CELL).withColumn("w", F.col("w") / F.col("total_w"))
+    scale = F.when(F.col("i") == F.col("j"), F.col("n1") / F.col("n_bar")).otherwise(1.0)
+    weighed = rows.select(*CELL, "rn", "n_cell", F.transform("features", lambda x: x * scale * F.col("w")).alias("x"), "w", (F.col("y") * F.col("w")).alias("y"))
+    blocks = block_matrices(weighed, p, n_blocks)
+    n_bars = {(r["i"], r["j"]): r["n_bar"] for r in told.collect()}
     by = np.divide(overlaps, m[None, :], out=np.zeros_like(overlaps, dtype=float), where=m[None, :] != 0)
     index = vech_index(k)
     pseudo, S, S_tau, I, sizes = [], np.zeros((p, k, k)), np.zeros((p, k, k)), np.zeros((k, k)), []  # noqa: E741
     for j, i in index:
-        if i == j:
-            rows = full[i].select("CHR", "BP", "SNP", "features", "total", "wLD", F.col("N").alias("n1"), F.col("N").alias("n2"), *((F.col("Z") * F.col("Z")).alias(c) for c in ("c1", "c2", "y")))
-        else:
-            other = full[j].select("SNP", F.col("N").alias("n2"), F.col("Z").alias("z2"), F.col("A1").alias("a2"))
-            z = F.when(F.col("A1") != F.col("a2"), -F.col("Z")).otherwise(F.col("Z"))
-            rows = full[i].join(other, "SNP").select("CHR", "BP", "SNP", "features", "total", "wLD", F.col("N").alias("n1"), "n2", (F.col("Z") * F.col("Z")).alias("c1"), (F.col("z2") * F.col("z2")).alias("c2"), (z * F.col("z2")).alias("y"))
-        rows = rows.persist()
-        r = rows.agg(*(F.avg(c).alias(c) for c in ("c1", "c2", "n1", "n2")), F.avg(F.col("total") * F.col("n1")).alias("l1"), F.avg(F.col("total") * F.col("n2")).alias("l2")).first()
-        share = [min(1.0, max(0.0, m_total * (r[c] - 1) / r[x])) if r[x] else 0.0 for c, x in (("c1", "l1"), ("c2", "l2"))]
-        n_bar = float(np.sqrt(r["n1"] * r["n2"]))
-        w = _weight(F.lit(share[0]), "n1", m_total) + _weight(F.lit(share[1]), "n2", m_total)
-        told = rows.withColumn("w", w)
-        total = told.agg(F.sum("w")).first()[0]
-        scale = F.col("n1") / n_bar if i == j else F.lit(1.0)
-        told = told.withColumn("w", F.col("w") / total).select("CHR", "BP", "SNP", F.transform("features", lambda x: x * scale * F.col("w")).alias("x"), "w", (F.col("y") * F.col("w")).alias("y"))
-        blocks = block_matrices(told, p, n_blocks)
-        rows.unpersist()
-        sums = np.stack([blocks.get(b, np.zeros((p + 1, p + 2))) for b in range(n_blocks)])
+        sums = np.stack([blocks.get((i, j, b), np.zeros((p + 1, p + 2))) for b in range(n_blocks)])
+        n_bar = n_bars[i, j]
         beta, each = jackknife(sums[:, :, :-1], sums[:, :, -1])
         cats = beta[:p] / n_bar * m
         pseudo.append(each[:, :p] / n_bar * m)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociq.functions import qc
-from lociq.functions.normal import norm_sf, norm_sf_sql, probit_sql, z_from_p, z_from_p_sql
+from lociq.functions.normal import norm_sf_sql, probit_sql, z_from_p, z_from_p_sql
 from lociq.operators import clean, gwas, ldsc, posthoc, stratified, twas
 from lociq.operators.sem import models
 from lociq.plans import views
@@ -97,7 +99,7 @@ def q_info_maf_filter(spark, sf_dir):
 @query("SELECT count(*) FILTER (WHERE P < 0 OR P > 1)::BIGINT AS implausible FROM (SELECT P * 1.2::DOUBLE - 0.1::DOUBLE AS P FROM trait0)")
 def q_p_sanity(spark, sf_dir):
     shifted = trait(spark, sf_dir, 0).withColumn("P", F.col("P") * 1.2 - 0.1)
-    return shifted.agg(F.count_if((F.col("P") < 0) | (F.col("P") > 1)).alias("implausible"))
+    return spark.createDataFrame([(qc.implausible_p(shifted),)], "implausible long")
 
 
 @query(f"SELECT SNP, {q6(z_from_p_sql('P', 'EFFECT'))} AS Z FROM trait0")
@@ -209,14 +211,19 @@ def q_ld_union(spark, sf_dir):
 
 @query("SELECT sum(n)::DOUBLE AS m FROM (SELECT CHR, count(*) AS n FROM variants WHERE MAF > CAST('0.05' AS DOUBLE) GROUP BY CHR)")
 def q_m_sum(spark, sf_dir):
-    return variants(spark, sf_dir).where("MAF > 0.05D").groupBy("CHR").agg(F.count("*").alias("n")).agg(F.sum("n").cast("double").alias("m"))
+    from lociq.functions.rows import shared_folder
+    from lociq.sources.tables import total_count
 
+    folder = f"{shared_folder(spark)}/m_5_50-{uuid.uuid4().hex}"  # a file of counts for each chromosome, as they are published
+    counts = variants(spark, sf_dir).where("MAF > 0.05D").groupBy("CHR").agg(F.count("*").cast("string").alias("value"))
+    counts.write.partitionBy("CHR").text(folder)
+    return spark.createDataFrame([(total_count(spark, [f"{folder}/CHR=*"]),)], "m double")
 
-@query("SELECT SNP, round(Z * Z, 6) AS chisq FROM trait0 WHERE Z * Z <= (SELECT greatest(CAST('0.0002' AS DOUBLE) * max(N), CAST('2' AS DOUBLE)) FROM trait0)")
+
+@query("SELECT SNP, round(Z * Z, 6) AS chisq FROM trait0 JOIN variants USING (SNP) WHERE Z * Z <= 2")
 def q_chisq_cap(spark, sf_dir):
-    t = trait(spark, sf_dir, 0)
-    cap = t.agg(F.greatest(0.0002 * F.max("N"), F.lit(2.0)).alias("cap"))
-    return t.crossJoin(F.broadcast(cap)).where("Z * Z <= cap").select("SNP", F.round(F.col("Z") * F.col("Z"), 6).alias("chisq"))  # one row
+    v = variants(spark, sf_dir)
+    return ldsc.joined_traits([trait(spark, sf_dir, 0)], v, v.select("SNP", "wLD"), chisq_max=2.0).select("SNP", F.round(F.col("Z") * F.col("Z"), 6).alias("chisq"))
 
 
 def h2_rows(spark, sf_dir, traits=(0,)):
@@ -325,8 +332,8 @@ SELECT CAST(rn * {BLOCKS} // cnt AS INT) AS block, round(sum(x0*x0), 4) AS s00,
 def q_sldsc_block_sums(spark, sf_dir):
     rows = trait(spark, sf_dir, 0).select("SNP", "Z").join(variants(spark, sf_dir), "SNP")
     told = rows.select("CHR", "BP", "SNP", F.array("L2", F.col("annot1") * F.col("L2"), F.col("annot2") * F.col("L2")).alias("x"), F.lit(1.0).alias("w"), (F.col("Z") * F.col("Z")).alias("y"))
-    sums = stratified.block_matrices(told, 3, BLOCKS)
-    out = [(b, *(round(float(x), 4) for x in (s[0, 0], s[0, 1], s[1, 1], s[2, 2], s[0, 4]))) for b, s in sums.items()]
+    sums = stratified.block_matrices(told.select(F.lit(0).alias("i"), F.lit(0).alias("j"), "*"), 3, BLOCKS)
+    out = [(b, *(round(float(x), 4) for x in (s[0, 0], s[0, 1], s[1, 1], s[2, 2], s[0, 4]))) for (_, _, b), s in sums.items()]
     return spark.createDataFrame(out, "block int, s00 double, s01 double, s11 double, s22 double, s0y double")
 
 
@@ -391,8 +398,9 @@ def q_vsnp_gc(spark, sf_dir):
 
 @query(f"SELECT SNP, {q6('e / s')} AS z, {q6(f'greatest(2 * {norm_sf_sql(chr(97))}, CAST(0 AS DOUBLE))')} AS p FROM (SELECT SNP, EFFECT AS e, SE AS s, abs(EFFECT / SE) AS a FROM trait0)")
 def q_gwas_pvals(spark, sf_dir):
-    df = trait(spark, sf_dir, 0).withColumn("a", F.abs(F.col("EFFECT") / F.col("SE")))
-    return df.select("SNP", r6(F.col("EFFECT") / F.col("SE")).alias("z"), r6(2 * norm_sf("a")).alias("p"))
+    none = {c: F.lit(None).cast("double") for c in ("Q", "Q_SNP", "Z_smooth")}
+    df = trait(spark, sf_dir, 0).select("SNP", F.col("EFFECT").alias("est"), F.col("SE").alias("se_c"), F.lit(1).alias("Q_df")).withColumns(none)
+    return gwas.with_p_values(df).select("SNP", r6("Z_Estimate").alias("z"), r6("Pval_Estimate").alias("p"))
 
 
 @query("SELECT round(sqrt(avg(power((EFFECT - P) / (SE * N), 2))) * 1e4, 6) AS local_srmd FROM trait0")
@@ -403,7 +411,7 @@ def q_local_srmd(spark, sf_dir):
 
 @query("SELECT CHR, round(quantile_cont(L2, 0.95), 6) AS q FROM variants GROUP BY CHR")
 def q_quantile_type7(spark, sf_dir):
-    return variants(spark, sf_dir).groupBy("CHR").agg(F.round(F.expr("percentile(L2, 0.95)"), 6).alias("q"))
+    return posthoc.quantiles(variants(spark, sf_dir), "CHR", "L2", 0.95, "q").select("CHR", F.round("q", 6).alias("q"))
 
 
 @query("SELECT round(covar_pop(x.Z, CASE WHEN x.A2 = y.A2 THEN y.Z ELSE -y.Z END) / var_pop(x.Z), 6) AS rho FROM trait0 x JOIN trait1 y USING (SNP)")
@@ -413,18 +421,31 @@ def q_rho_slope(spark, sf_dir):
     return spark.createDataFrame([(round(z_slope(trait(spark, sf_dir, 0), trait(spark, sf_dir, 1)), 6),)], "rho double")
 
 
-@query("SELECT round(regr_slope(c, L2) * 1e4, 6) AS slope, round(regr_intercept(c, L2), 6) AS intercept FROM (SELECT Z * Z AS c, L2 FROM trait0 JOIN variants USING (SNP))")
-def q_ols(spark, sf_dir):
+def piece_regressions(spark, sf_dir, steps):
+    """piece, h2: the likelihood's starting value in pieces of 40 SNPs."""
+    from lociq.operators.hdl import start_h2
+
+    def run(key, rows):
+        return pd.DataFrame({"piece": [key[0]], "h2": [start_h2(rows["c"].to_numpy(), rows["L2"].to_numpy(), 0.5, steps)]})
+
     rows = trait(spark, sf_dir, 0).select("SNP", (F.col("Z") * F.col("Z")).alias("c")).join(variants(spark, sf_dir), "SNP")
-    return rows.agg(F.round(F.regr_slope("c", "L2") * 1e4, 6).alias("slope"), F.round(F.regr_intercept("c", "L2"), 6).alias("intercept"))
+    pieces = rows.select(F.floor(F.col("pk") / 40).alias("piece"), "c", "L2").groupBy("piece").applyInPandas(run, "piece long, h2 double")
+    return pieces.select("piece", F.round("h2", 4).alias("h2"))
+
 
+PIECES_SQL = "WITH r AS (SELECT CAST(floor(pk / 40) AS BIGINT) AS piece, Z * Z AS c, L2 AS x FROM trait0 JOIN variants USING (SNP)), h AS (SELECT piece, CAST(count(*) AS DOUBLE) AS m, regr_slope(c, x) * count(*) AS h2 FROM r GROUP BY piece)"
 
-@query("SELECT round((sw * sxy - sx * sy) / (sw * sxx - sx * sx) * 1e4, 6) AS slope FROM (SELECT sum(w) AS sw, sum(w*L2) AS sx, sum(w*c) AS sy, sum(w*L2*L2) AS sxx, sum(w*L2*c) AS sxy FROM (SELECT Z * Z AS c, L2, 1 / wLD AS w FROM trait0 JOIN variants USING (SNP)))")
+
+@query(f"{PIECES_SQL} SELECT piece, round(coalesce(h2, 0), 4) AS h2 FROM h")
+def q_ols(spark, sf_dir):
+    return piece_regressions(spark, sf_dir, 1)
+
+
+@query(f"""{PIECES_SQL}, w AS (SELECT piece, m, c, x, 1 / power(coalesce(h2, 0) * x / m + 2, 2) AS w FROM r JOIN h USING (piece)),
+s AS (SELECT *, sum(w * x) OVER (PARTITION BY piece) / sum(w) OVER (PARTITION BY piece) AS middle FROM w)
+SELECT piece, round(coalesce(sum(w * (x - middle) * c) / nullif(sum(w * (x - middle) * (x - middle)), 0) * max(m), 0), 4) AS h2 FROM s GROUP BY piece""")
 def q_wls(spark, sf_dir):
-    rows = trait(spark, sf_dir, 0).select("SNP", (F.col("Z") * F.col("Z")).alias("c")).join(variants(spark, sf_dir), "SNP").withColumn("w", 1 / F.col("wLD"))
-    w, x, c = F.col("w"), F.col("L2"), F.col("c")
-    s = rows.agg(F.sum(w).alias("sw"), F.sum(w * x).alias("sx"), F.sum(w * c).alias("sy"), F.sum(w * x * x).alias("sxx"), F.sum(w * x * c).alias("sxy"))
-    return s.select(F.round(F.expr("(sw * sxy - sx * sy) / (sw * sxx - sx * sx)") * 1e4, 6).alias("slope"))
+    return piece_regressions(spark, sf_dir, 2)
 
 
 @query("SELECT pos, r AS \"row\", c AS col FROM (VALUES (0,'a','a'),(1,'b','a'),(2,'c','a'),(3,'b','b'),(4,'c','b'),(5,'c','c')) t(pos, r, c) WHERE EXISTS (SELECT 1 FROM variants)")
@@ -435,18 +456,11 @@ def q_index_s(spark, sf_dir):
 # Models: not to be told in SQL; tests hold them against closed forms and independent computations.
 
 
-def structure(k: int = 3) -> Covariance:
-    """A covariance structure with one factor, as the models' queries use it."""
-    loading = np.linspace(0.8, 0.5, k)
-    S = np.outer(loading, loading) * 0.2
-    np.fill_diagonal(S, 0.2)
-    size = k * (k + 1) // 2
-    V = np.eye(size) * 1e-4 + 2e-5
-    I = np.full((k, k), 0.05)  # noqa: E741
-    np.fill_diagonal(I, 1.02)
-    d = 1 / np.sqrt(np.diag(S))
-    S_stand, V_stand = ldsc.rescale(S, V, d)
-    return Covariance([f"t{t}" for t in range(k)], S, V, I, np.full(size, 1e4), 1e6, S_stand, V_stand)
+def structure(spark, sf_dir, k: int = 3) -> Covariance:
+    """The covariance structure of k traits with planted heritability, by LD-score regression over the tables."""
+    v = variants(spark, sf_dir)
+    traits = [views.planted(spark, sf_dir, t) for t in range(k)]
+    return ldsc.ldsc(traits, v, v.select("SNP", "wLD"), 1e5, [f"t{t}" for t in range(k)], n_blocks=100, stand=True)[0]
 
 
 def snp_table(spark, sf_dir):
@@ -456,50 +470,50 @@ def snp_table(spark, sf_dir):
 
 @query()
 def q_commonfactor(spark, sf_dir):
-    return models.result_frames(spark, models.common_factor(structure(4)))[0]
+    return models.result_frames(spark, models.common_factor(structure(spark, sf_dir, 4)))[0]
 
 
 @query()
 def q_usermodel(spark, sf_dir):
-    return models.result_frames(spark, models.user_model(structure(4), "F =~ NA*t0 + t1 + t2 + t3\nF ~~ 1*F\nt0 ~~ t1"))[1]
+    return models.result_frames(spark, models.user_model(structure(spark, sf_dir, 4), "F =~ NA*t0 + t1 + t2 + t3\nF ~~ 1*F\nt0 ~~ t1"))[1]
 
 
 @query()
 def q_rgmodel(spark, sf_dir):
     from lociq.sources.tables import matrix_frame
 
-    return matrix_frame(spark, models.genetic_correlations(structure(3))[0])
+    return matrix_frame(spark, models.genetic_correlations(structure(spark, sf_dir, 3))[0])
 
 
 @query()
 def q_commonfactor_gwas(spark, sf_dir):
-    return gwas.common_factor_gwas(snp_table(spark, sf_dir), structure(3))
+    return gwas.common_factor_gwas(snp_table(spark, sf_dir), structure(spark, sf_dir, 3))
 
 
 @query()
 def q_user_gwas(spark, sf_dir):
     text = "F1 =~ NA*t0 + t1 + t2\nF1 ~~ 1*F1\nF1 ~ SNP"
-    return gwas.user_gwas(snp_table(spark, sf_dir), structure(3), text, gwas.Options(sub=("F1~SNP",), q_snp=True))
+    return gwas.user_gwas(snp_table(spark, sf_dir), structure(spark, sf_dir, 3), text, gwas.Options(sub=("F1~SNP",), q_snp=True))
 
 
 @query()
 def q_summary_gls(spark, sf_dir):
-    c = structure(3)
+    c = structure(spark, sf_dir, 3)
     y = np.array([c.S[i, j] for i, j in ldsc.vech_index(3)])
     return spark.createDataFrame(posthoc.summary_gls(y, c.V, np.arange(6.0)))
 
 
 @query()
 def q_gls_bands(spark, sf_dir):
-    c = structure(3)
+    c = structure(spark, sf_dir, 3)
     y = np.array([c.S[i, j] for i, j in ldsc.vech_index(3)])
     return spark.createDataFrame(posthoc.gls_bands(y, c.V, np.arange(6.0), quad=True))
 
 
 @query()
 def q_pa(spark, sf_dir):
-    c = structure(4)
-    return posthoc.parallel_analysis(spark, c.S, c.V, r=200)[0]
+    c = structure(spark, sf_dir, 4)
+    return posthoc.parallel_analysis(spark, c.S, c.V)[0]
 
 
 @query()
@@ -507,7 +521,7 @@ def q_sim(spark, sf_dir):
     from lociq.operators.simulate import simulate
 
     v = variants(spark, sf_dir)
-    return simulate(v, structure(3).S, np.array([5e4, 6e4, 7e4]), float(v.count()), replicates=2)
+    return simulate(v, structure(spark, sf_dir, 3).S, np.array([5e4, 6e4, 7e4]), float(v.count()), replicates=2)
 
 
 @query()
@@ -522,37 +536,59 @@ def q_sldsc(spark, sf_dir):
     return spark.createDataFrame(rows, "annotation string, i int, j int, total double, tau double")
 
 
-def stratified_structure() -> StratifiedCovariance:
-    c = structure(4)
-    shares = [1.0, 0.4, 0.2]
-    S = [c.S * x for x in (1.0, 0.7, 0.5)]
-    V = [c.V] * 3
-    return StratifiedCovariance(c.names, ["base", "coding", "enhancer_flanking"], S, V, S, V, c.I, c.N, [1e6 * x for x in shares], shares, [1.0, 1.0, 2.0])
+def stratified_structure(spark, sf_dir) -> StratifiedCovariance:
+    v = variants(spark, sf_dir)
+    names = ["base", "coding", "enhancer_flanking"]
+    scores = v.select("SNP", "CHR", "BP", *(x.alias(n) for n, x in zip(names, (F.col("L2"), F.col("annot1") * F.col("L2"), F.col("annot2") * F.col("L2")), strict=True)))
+    annot = v.select(*(x.alias(n) for n, x in zip(names, (F.lit(1.0), F.col("annot1"), F.col("annot2")), strict=True)))
+    overlaps = stratified.overlap(annot, names)
+    scale = 1e5 / overlaps[0, 0]
+    traits = [views.planted(spark, sf_dir, t) for t in range(4)]
+    return stratified.s_ldsc(traits, scores, names, v.select("SNP", "wLD"), np.diag(overlaps) * scale, overlaps * scale, [f"t{t}" for t in range(4)], n_blocks=100)
 
 
 @query()
 def q_enrich(spark, sf_dir):
     from lociq.operators.enrich import enrich
 
-    return enrich(spark, stratified_structure(), "F =~ NA*t0 + t1 + t2 + t3\nF ~~ 1*F", ["F~~F"])
+    return enrich(spark, stratified_structure(spark, sf_dir), "F =~ NA*t0 + t1 + t2 + t3\nF ~~ 1*F", ["F~~F"], rm_flank=False)
+
+
+@query()
+def q_enrich_base(spark, sf_dir):
+    from lociq.operators.enrich import base_results
+
+    return base_results(spark, stratified_structure(spark, sf_dir), "F =~ NA*t0 + t1 + t2 + t3\nF ~~ 1*F", ["F~~F"])
 
 
 @query()
 def q_qtrait(spark, sf_dir):
     from lociq.operators.qtrait import qtrait
 
-    return qtrait(spark, structure(5), ["t0", "t1", "t2", "t3"], ["t4"])
+    return qtrait(spark, structure(spark, sf_dir, 5), ["t0", "t1", "t2", "t3"], ["t4"])
+
+
+def ld_pieces(spark, sf_dir):
+    """Pieces of 40 SNPs with eigenvalues from their LD scores."""
+    v = variants(spark, sf_dir).withColumn("piece", F.concat(F.lit("p"), F.floor(F.col("pk") / 40)))
+    at = F.array_sort(F.collect_list(F.struct("pk", "SNP", "A2", "L2")))
+    return v.groupBy("piece").agg(at.alias("s")).select("piece", F.col("s.SNP").alias("snps"), F.col("s.A2").alias("a2"), F.col("s.L2").alias("ldsc"), F.transform("s", lambda x: 1 + x["L2"] / 10).alias("lam"), F.transform("s", lambda x, i: F.transform("s", lambda y, j: F.when(i == j, 1.0).otherwise(0.0))).alias("v"))
+
+
+def hdl_frame(spark, sf_dir, **options):
+    from lociq.operators.hdl import hdl, load_gwas
+
+    return hdl(ld_pieces(spark, sf_dir), [load_gwas(trait(spark, sf_dir, t)) for t in (0, 1)], ["t0", "t1"], **options).frame(spark)
 
 
 @query()
 def q_hdl(spark, sf_dir):
-    from lociq.operators.hdl import hdl, load_gwas
+    return hdl_frame(spark, sf_dir)
 
-    v = variants(spark, sf_dir).withColumn("piece", F.concat(F.lit("p"), F.floor(F.col("pk") / 40)))
-    at = F.array_sort(F.collect_list(F.struct("pk", "SNP", "A2", "L2")))
-    pieces = v.groupBy("piece").agg(at.alias("s")).select("piece", F.col("s.SNP").alias("snps"), F.col("s.A2").alias("a2"), F.col("s.L2").alias("ldsc"), F.transform("s", lambda x: 1 + x["L2"] / 10).alias("lam"), F.transform("s", lambda x, i: F.transform("s", lambda y, j: F.when(i == j, 1.0).otherwise(0.0))).alias("v"))
-    c = hdl(pieces, [load_gwas(trait(spark, sf_dir, t)) for t in (0, 1)], ["t0", "t1"])
-    return c.frame(spark)
+
+@query()
+def q_hdl_jackknife(spark, sf_dir):
+    return hdl_frame(spark, sf_dir, method="jackknife")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

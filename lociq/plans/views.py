@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VARIANTS = """
 SELECT p_partkey AS pk, concat('rs', p_partkey) AS SNP, CAST(1 + p_partkey % 22 AS INT) AS CHR, p_partkey * 1000 + 1 AS BP,
@@ -14,7 +15,7 @@ FROM {part}
 """
 
 
-def trait_sql(t: int) -> str:
+def trait_sql(t: int, of: int = 3) -> str:
     return f"""
 SELECT concat('rs', l_partkey) AS SNP,
  CASE WHEN l_partkey % 5 = 0 THEN v.A2 WHEN l_partkey % 11 = 0 THEN lower(v.A1) WHEN l_partkey % 17 = 0 THEN 'I' ELSE v.A1 END AS A1,
@@ -24,7 +25,7 @@ SELECT concat('rs', l_partkey) AS SNP,
  CAST(50 + l_partkey % 50 AS DOUBLE) / 100 AS INFO,
  CASE l_partkey % 4 WHEN 0 THEN '++-' WHEN 1 THEN '+?-' WHEN 2 THEN '???' ELSE '?+?' END AS DIRECTION,
  round((sum(l_quantity) / count(*) - CAST(25.5 AS DOUBLE)) / CAST(14.43 AS DOUBLE) * sqrt(CAST(count(*) AS DOUBLE)), 8) AS Z
-FROM {{lineitem}} JOIN ({VARIANTS}) v ON v.pk = l_partkey WHERE l_suppkey % 3 = {t} GROUP BY l_partkey, v.A1, v.A2
+FROM {{lineitem}} JOIN ({VARIANTS}) v ON v.pk = l_partkey WHERE l_suppkey % {of} = {t} GROUP BY l_partkey, v.A1, v.A2
 """
 
 
@@ -53,6 +54,15 @@ def trait(spark: SparkSession, sf_dir: str, t: int) -> DataFrame:
     return frame(spark, sf_dir, trait_sql(t))
 
 
+def planted(spark: SparkSession, sf_dir: str, t: int, of: int = 5) -> DataFrame:
+    """SNP, A1, N, Z of one of ``of`` traits with heritability: to the trait's own Z comes an effect that all of them share and one of its
+    own, both in proportion to the root of the LD score and drawn by a hash of the variant."""
+    draw = lambda seed: (F.pmod(F.xxhash64("pk", F.lit(seed)), F.lit(2003)) / 2003 - 0.5) * 12**0.5
+    rows = frame(spark, sf_dir, trait_sql(t, of)).join(variants(spark, sf_dir).select("SNP", "pk", "L2", F.col("A1").alias("a1_ref")), "SNP")
+    effect = F.sqrt("L2") * (0.14 * draw(-1) + 0.11 * draw(t))
+    return rows.select("SNP", F.col("a1_ref").alias("A1"), "N", (F.col("Z") + effect).alias("Z"))
+
+
 def twas(spark: SparkSession, sf_dir: str, t: int) -> DataFrame:
     return frame(spark, sf_dir, twas_sql(t))
 
