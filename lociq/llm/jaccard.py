@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lociq.llm.components import components
 from lociq.llm.hashing import mixed, runs_of, word_hashes
-from lociq.llm.storage import discard, looked_up, matching, may_hold, named, node_of, numbered, once, repeated_nodes, settle, summed, without
+from lociq.llm.storage import discard, matching, may_hold, named, node_of, numbered, once, repeated_nodes, settle, summed, without
 
 SKETCH_BITS = 18
 CHUNKS = 64
@@ -204,14 +204,17 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndar
     time. Heads then leave the list, and so do lists whose members are all in one component. A large group of near copies costs about one
     comparison each, and no pair that may link two components is left out.
     """
-    parts, links, compared, heads = shared.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("size")), None, None, 1
+    parts = shared.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("size"))
+    links, compared, heads = None, None, 1
     while True:
         slot = F.when(F.col("size").between(1, ALL_HEADS), F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(heads), "node"), F.lit(heads)))
         before = F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left", "component")
-        head = settle(parts.groupBy("key", slot.alias("slot")).agg(F.min(before).alias("head")).select("key", "head"), "heads")
+        head = parts.groupBy("key", slot.alias("slot")).agg(F.min(before).alias("head"), F.count("*").alias("held"))
+        head = settle(head.select("key", "head", "held"), "heads")
+        met = settle(parts.join(head, "key").where(F.col("node") != F.col("head.node")), "members-and-heads")
         far = (F.col("component") != F.col("head.component")) & possible("n", "head.n", "left", "head.left", percent)
         ends = [f("node", "head.node").alias(c) for f, c in ((F.least, "u"), (F.greatest, "v"))]
-        pairs = parts.join(head, "key").where(far).select(*ends).distinct()
+        pairs = met.where(far).select(*ends).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         pairs = settle(pairs, "pairs")
@@ -221,16 +224,15 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndar
         if new is not None:
             links = new if links is None else links.union(new)
             found = components(links)
-        parts = parts.where(~F.col("size").between(1, ALL_HEADS)).drop("size", "component")
-        if heads > 1 and parts.isEmpty():
-            return found
-        parts = parts.join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti") if heads > 1 else parts
-        parts = settle(parts, "longer-lists") if heads > 1 else parts
-        now = settle(looked_up(parts, found, ["node"]).withColumn("component", F.coalesce("component", "node")), "members")
-        ends = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-        apart = settle(ends.where("x != y").select("key", "size"), "lists-apart")
-        parts = settle(matching(now, apart, ["key"]), "members-apart")
-        discard(now)
+        member = ["key", "node", "n", "left"]
+        if heads == 1:  # each list has lost its one head; of two members nothing is left to compare
+            rest = met.where("held > 2").select(member)
+        else:
+            rest = parts.where(F.col("size") > ALL_HEADS).select(member).join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti")
+        now = settle(rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+        discard(met)
+        spread = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
+        parts = settle(now.join(settle(spread.where("x != y").select("key", "size"), "lists-apart"), "key"), "members-apart")
         if parts.isEmpty():
             return found
         heads *= 16
@@ -246,7 +248,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
             break
     own = F.struct(F.col("doc").isNotNull().alias("has"), "doc", "node")
     equal = settle(sets.where("n > 0").groupBy("a", "b", "n").agg(F.count("*").alias("rows"), F.min(own).alias("least")).where("rows > 1").drop("rows"), "classes")
-    of_class = looked_up(sets, equal, ["a", "b", "n"]).select("node", "doc", "n", F.coalesce("least", own).alias("least"))
+    of_class = sets.join(equal, ["a", "b", "n"], "left").select("node", "doc", "n", F.coalesce("least", own).alias("least"))
     of_class = settle(of_class, "classes-of-rows")
     told = of_class.select("node", (F.col("node") != F.col("least.node")).alias("out"))
     base = once(base, repeated)
@@ -258,11 +260,11 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
     found = linked(shared, first, base, sketch, k, percent)
 
     heads = of_class.where(F.col("node") == F.col("least.node")).select("node", "least")
-    least = matching(heads, found, ["node"])
+    least = heads.join(found, "node")
     wholes = settle(least.groupBy("component").agg(F.min("least").alias("whole")), "wholes")
     of_node = settle(least.join(wholes, "component").select(F.col("node").alias("class"), "whole").distinct(), "wholes-of-classes")
     rows = of_class.withColumn("class", F.col("least.node"))
-    return looked_up(rows, of_node, ["class"]).select("node", "n", "doc", F.coalesce("whole", "least").alias("whole")), seed
+    return rows.join(of_node, "class", "left").select("node", "n", "doc", F.coalesce("whole", "least").alias("whole")), seed
 
 
 def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

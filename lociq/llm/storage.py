@@ -125,14 +125,6 @@ def matching(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.where(may_hold(keys, on[0])(F.col(on[0]))).join(keys, on)
 
 
-def looked_up(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """As matching(), but with all rows: those without a match have nulls."""
-    may = may_hold(keys, on[0])(F.col(on[0]))
-    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in keys.schema if f.name not in on]
-    joined = rows.where(may).join(keys, on, "left")
-    return rows.where(~may).select("*", *nulls).unionByName(joined)
-
-
 def without(rows: DataFrame, told: DataFrame) -> DataFrame:
     """Rows of a scan whose node isn't ``out`` in the written table told (node, out), which has every node of them. Rows that the filter
     of the nodes that are out takes for one of these, wrongly, are found in told, so that only they and the few that a filter of
@@ -162,8 +154,7 @@ def numbered(docs: DataFrame, seed: int = 0) -> DataFrame:
     whether two rows got one node (see repeated_nodes), the id, the text (null as empty). Rows with equal ids and texts are one document; a
     null id is an id of its own."""
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    hashed = lambda n: F.xxhash64(F.lit(n), doc.isNull(), F.coalesce(doc, F.lit(0)), text)
-    return docs.select(node_of(seed).alias("node"), hashed(-1).alias("one"), hashed(-2).alias("two"), doc.alias("doc"), text.alias("text"))
+    return docs.select(node_of(seed).alias("node"), node_of(-1).alias("one"), node_of(-2).alias("two"), doc.alias("doc"), text.alias("text"))
 
 
 def node_of(seed: int) -> Column:

@@ -71,7 +71,7 @@ def first_least(x: np.ndarray, n: int) -> np.ndarray:
 def copies(suffixes: DataFrame) -> DataFrame:
     """node, of (has an id, doc, node): rows whose text another holds too, and which holds it first (itself for the first)."""
     ends = suffixes.groupBy("a", "b").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x != y").select("a", "b")
-    held = settle(matching(suffixes.select("node", "doc", "a", "b"), settle(ends, "repeated-texts"), ["a", "b"]), "copies")
+    held = settle(suffixes.select("node", "doc", "a", "b").join(settle(ends, "repeated-texts"), ["a", "b"]), "copies")
     first = settle(held.groupBy("a", "b").agg(F.min(F.struct(F.col("doc").isNotNull().alias("has"), "doc", "node")).alias("of")), "first-copies")
     return held.join(first, ["a", "b"]).select("node", "of").distinct()
 
@@ -239,7 +239,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, ancho
     place = F.struct(F.col("doc").isNotNull().alias("has"), "doc", "node", "start")
     ends = settle(salted.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last"), "salted-runs")
     again = (place != F.col("first")).alias("again")
-    more = matching(salted, ends, ["run"]).select("node", "start", again, F.struct("first.has", "first.doc").alias("of")).groupBy("node").agg(
+    more = salted.join(ends, "run").select("node", "start", again, F.struct("first.has", "first.doc").alias("of")).groupBy("node").agg(
         F.collect_set("start").alias("starts2"), F.collect_set(F.when(F.col("again"), F.col("start"))).alias("later2"), F.min(F.when(F.col("again"), F.col("of"))).alias("source2")
     )
     none = F.array().cast("array<int>")
@@ -248,8 +248,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, ancho
     joined = settle(joined, "runs-joined")
 
     words = suffixes.where(F.col("n_words") >= min_words).select("node", "doc", "n_words").distinct()
-    some = words.where(may_hold(joined)(F.col("node")) | may_hold(same)(F.col("node")))
-    full = some.join(joined, "node", "left").join(same, "node", "left")
+    full = words.join(joined, "node", "left").join(same, "node", "left")
     copy = F.coalesce(F.col("of.node") != F.col("node"), F.lit(False))
     return full.select(
         "node",
