@@ -1,9 +1,10 @@
 """Hidden Markov language model: Baum-Welch on all training documents, exact likelihood by scaled forward recursion.
 
-The commonest words have emission rows in the model that is broadcast. Every other training word has a row of its own too,
-in a table: its share of the other words' common symbol in each state, over its share of the training tokens (add-one, one
-part for all unknown words), which is its gain. Each round's expected counts of these words go, by hash of the word, to the
-buckets that add them up, and come back as gains to the chunks of documents that hold the words. The counts of the model
+The commonest words have emission rows in the model that is broadcast. Every other word that training holds more than once has a
+row of its own too, in a table: its share of the other words' common symbol in each state, over its share of the training tokens
+(add-one, one part for all unknown words), which is its gain; of a word that stands once it is 1. Each round's expected counts of
+these words go, by hash of the word, to the buckets that add them up, and come back as gains to the chunks of documents that hold
+the words. Chunks are written in buckets by their number, so that only gains move to them, never texts. The counts of the model
 that is broadcast are summed in each partition and added up by Spark; the driver gets sums of fixed size.
 """
 
@@ -13,17 +14,18 @@ import gc
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.storage import discard, settle
+from lociq.llm.storage import FAN_IN, discard, filter_bits, in_filter, settle, settle_by, summed
 
 STATES = 6
-OWN_ROWS = 16_384
+OWN_ROWS = 60_000
 LOCAL_COUNTS = 200_000
 ROUNDS = 4
 SEGMENT = 128
@@ -95,16 +97,17 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    # the commonest words by steps of their count, as many whole steps as LOCAL_COUNTS words fill
+    # the commonest words by steps of their count, as many whole steps as LOCAL_COUNTS words fill; of the next step those whose
+    # hash is below a bound, which tells words of equal counts apart
     step = F.floor(F.log2("c") * 16).cast("int")
     sizes = counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()  # at most 16 for each bit
-    lowest, room = None, LOCAL_COUNTS
+    chosen, room = F.lit(False), LOCAL_COUNTS
     for r in sizes:
-        room -= r["n"]
-        if room < 0:
+        if r["n"] > room:
+            chosen = chosen | ((step == r["step"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(0.9 * room / r["n"] * (1 << 20))))
             break
-        lowest = r["step"]
-    top = counts.where(step >= lowest).collect() if lowest is not None else []
+        chosen, room = step >= r["step"], room - r["n"]
+    top = counts.where(chosen).collect()  # about LOCAL_COUNTS rows at most
     held = {r["word"].encode(): r["c"] for r in sorted(top, key=lambda r: (-r["c"], r["word"]))}
     ends = counts.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     own = [w for w in held if w][:OWN_ROWS]
@@ -116,11 +119,12 @@ DOCS = "doc_id long, held_out boolean, row long, n_tokens long, known long, base
 CHUNKS = f"chunk long, docs array<struct<{DOCS.replace(' ', ':').replace(',:', ',')}>>, symbols binary, tail binary, hashes binary"
 
 
-def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
+def encode(docs: DataFrame, words: Vocabulary, often: np.ndarray) -> DataFrame:
     """Chunks of CHUNK_TOKENS tokens or a little more: chunk (the first row's number), docs (doc_id, held_out, row, n_tokens, sums over
     the words whose counts are known here, and the words whose counts are not, with how often they occur), symbols (16-bit, each
-    document's end last), hashes (64-bit, rising: of the words that share a symbol) and tail (32-bit: which of these, at each place of that symbol)."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # LOCAL_COUNTS words
+    document's end last), hashes (64-bit, rising: of the words that share a symbol and that training may hold more than once) and tail
+    (32-bit: which of these, at each place of that symbol; -1: none). ``often`` is the filter of the words that stand more than once."""
+    shared = docs.sparkSession.sparkContext.broadcast((words, often))  # LOCAL_COUNTS words, a filter of fixed size
     doc = pa.struct(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64())]
         + [("base", pa.float64()), ("within", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))]
@@ -128,14 +132,16 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(doc)), ("symbols", pa.binary()), ("tail", pa.binary()), ("hashes", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v, bits = shared.value
         own, counts, other, end = v.own.get, v.counts.get, v.other, v.counts[b""]
         rows, parts, tail, size, places = [], [], [], 0, {}
 
         def out() -> pa.RecordBatch:
-            hashes = np.frombuffer(b"".join(blake2b(w, digest_size=8).digest() for w in places), "<u8")
-            rising, where = np.unique(hashes, return_inverse=True)
-            at = where.astype("<i4")[np.array(tail, np.int64)] if tail else np.zeros(0, "<i4")
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in places), np.uint64, len(places))
+            rising = np.unique(hashes[in_filter(bits, hashes)])
+            where = np.searchsorted(rising, hashes).astype("<i4")
+            where[~np.isin(hashes, rising)] = -1
+            at = where[np.array(tail, np.int64)] if tail else np.zeros(0, "<i4")
             return pa.RecordBatch.from_pylist([{"chunk": rows[0]["row"], "docs": rows, "symbols": b"".join(parts), "tail": at.tobytes(), "hashes": rising.tobytes()}], schema=schema)
 
         for batch in batches:
@@ -298,8 +304,8 @@ def fit(chunks: DataFrame, symbols: np.ndarray, rounds: int = ROUNDS, states: in
         shared = spark.sparkContext.broadcast(model)  # OWN_ROWS rows
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names = ["part", "chunk", "hashes", "sums"]
-            sums = 0
+            names = ["part", "fan", "chunk", "hashes", "sums"]
+            sums, fan = 0, TaskContext.get().partitionId() // FAN_IN
             for batch in batches:
                 for r in batch.to_pylist():
                     sizes, train = np.array(r["sizes"]), ~np.array(r["held"], bool)
@@ -315,20 +321,21 @@ def fit(chunks: DataFrame, symbols: np.ndarray, rounds: int = ROUNDS, states: in
                     edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
                     some = np.flatnonzero(np.diff(edges))
                     cut = lambda x, as_bytes, some=some, edges=edges: pa.array([as_bytes(x[edges[b] : edges[b + 1]]) for b in some], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r["chunk"]] * len(some), pa.int64()), cut(hashes, np.ndarray.tobytes), cut(found, packed)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([0] * len(some), pa.int32()), pa.array([r["chunk"]] * len(some), pa.int64()), cut(hashes, np.ndarray.tobytes), cut(found, packed)], names=names)
             if not isinstance(sums, int):
                 parts = [x.astype("<f4").tobytes() for x in np.array_split(sums, PARTS)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(-PARTS, 0), pa.int32()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(parts, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(range(-PARTS, 0), pa.int32()), pa.array([fan] * PARTS, pa.int32()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(parts, pa.binary())], names=names)
 
         def add(key: tuple, parts: pa.Table) -> pa.Table:
-            """Sums of the model's part, or of a bucket's words: these for each chunk that holds the word."""
+            """Sums of the model's part over FAN_IN partitions, or of a bucket's words: these for each chunk that holds the word."""
             given, sums = parts.column("hashes").to_pylist(), parts.column("sums").to_pylist()
             if key[0].as_py() < 0:
                 total = sum(np.frombuffer(x, "<f4").astype(float) for x in sums)
                 return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.nulls(1, pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
             counts = unpacked(b"".join(sums), states)
             word, at = np.unique(np.frombuffer(b"".join(given), "<u8"), return_inverse=True)
-            total = np.stack([np.bincount(at, counts[:, s], len(word)) for s in range(states)], axis=1)[at]
+            total = np.stack([np.bincount(at, counts[:, s], len(word)) for s in range(states)], axis=1)
+            total = np.where(total.sum(axis=1, keepdims=True) < 1.5, 0, total)[at]  # a word that stands once
             ends = np.cumsum([len(x) // 8 for x in given])
             cut = [packed(total[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             return pa.table({"part": parts.column("part"), "chunk": parts.column("chunk"), "counts": pa.array(cut, pa.binary())})
@@ -336,12 +343,12 @@ def fit(chunks: DataFrame, symbols: np.ndarray, rounds: int = ROUNDS, states: in
         gc.collect()  # shuffle files go with the frames that nothing holds any more
         spark.sparkContext._jvm.System.gc()
         source = held if told is None else held.join(by_chunk(told), "chunk", "left")
-        sums = source.mapInArrow(expect, "part int, chunk long, hashes binary, sums binary")
-        last, told = told, settle(sums.groupBy("part").applyInArrow(add, "part int, chunk long, counts binary"), "expected")
+        sums = source.mapInArrow(expect, "part int, fan int, chunk long, hashes binary, sums binary")
+        last, told = told, settle(sums.groupBy("part", "fan").applyInArrow(add, "part int, chunk long, counts binary"), "expected")
         del source, sums
         if last is not None:
             discard(last)
-        got = told.where("part < 0").select("part", "counts").collect()  # of fixed size
+        got = summed(told.where("part < 0"), "part", "counts", "<f8").collect()  # of fixed size
         if not got:
             return model, None
         sums = np.concatenate([np.frombuffer(r["counts"]) for r in sorted(got)]).reshape(-1, states)
@@ -360,7 +367,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) ->
     """
     counts = settle(count_words(docs.where(~left_out()).select(F.col("text").cast("string").alias("text"))), "word-counts")
     words = vocabulary(counts)
-    chunks = settle(encode(docs, words), "encoded")
+    often = filter_bits(counts.where("c > 1").select(F.xxhash64("word").alias("node")))
+    chunks = settle_by(encode(docs, words, often), "chunk", "encoded")
     symbols = np.array([*(words.counts[w] for w in words.own), words.other_total, words.counts[b""]], float)
     model, found = fit(chunks, symbols, rounds, states)
     shared = docs.sparkSession.sparkContext.broadcast(model)
