@@ -1,9 +1,10 @@
 """Benchmark decontamination by a positional inverted index, in DataFrame functions alone.
 
-The terms of the benchmark are counted over all documents. Each window of consecutive benchmark words is
-looked up from its rarest term: the index stores the postings (document, position) of those terms with the
-words around, so the lists of the remaining terms, shifted by their offsets, are intersected in place.
-All terms at their offsets give a phrase match; all of them near the rarest term in any order a proximity
+The index holds, for each document, the postings (term, place) of all terms of the benchmark; it is a written table, spread as the
+documents are. Which words are such terms is told by a filter of fixed size; a word that it takes for one wrongly is a posting that
+nothing asks for. Counts over the index order the terms of each window of consecutive benchmark words from the rarest on. A window
+is looked up by the list of its rarest term; the lists of the next ones, shifted by their offsets, are intersected with what is left
+of it, until nothing is left. All terms at their offsets are a phrase match; all of them near the rarest, in any order, a proximity
 match.
 """
 
@@ -12,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.storage import settle
+from lociq.llm.storage import named, node_of, numbered, settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-LITERAL_TERMS = 40_000
+BLOCKS = 512
+KEY = ["node", "one"]
 
 
 def words(text: Column) -> Column:
@@ -33,111 +35,120 @@ def benchmark_windows(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i + 1, n))).alias("win")).distinct()
 
 
-def _among(terms: DataFrame) -> list[str] | None:
-    """The terms, if they are few enough to stand in a plan as literals; else None."""
-    found = terms.limit(LITERAL_TERMS + 1).collect()
-    return [r[0] for r in found] if len(found) <= LITERAL_TERMS else None
+def filter_of(keys: DataFrame) -> DataFrame:
+    """One row with a Bloom filter of the 64-bit hashes in the one column of keys: BLOCKS * BLOCKS words of 64 bits, in blocks."""
+    spark, (column,) = keys.sparkSession, keys.columns
+    word, bit = _place(F.col(column))
+    marks = keys.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("bits"))
+    cells = spark.range(BLOCKS * BLOCKS).join(marks, "id", "left").select("id", F.coalesce("bits", F.lit(0)).alias("bits"))
+    in_order = lambda of: F.transform(F.array_sort(F.collect_list(F.struct("id", of))), lambda x: x[of]).alias(of)
+    blocks = cells.groupBy(F.floor(F.col("id") / BLOCKS).alias("block")).agg(in_order("bits"))
+    return settle(blocks.withColumnRenamed("block", "id").agg(in_order("bits")), "filter")
 
 
-def count_terms(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, df: how often each of ``terms`` occurs in all documents; those that never occur are left out."""
-    few = _among(terms)
-    found = words(F.col("text"))
-    if few is not None:
-        found = F.filter(found, lambda w: w.isin(few))
-    counted = docs.select(F.explode(found).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return counted if few is not None else counted.join(terms, "term", "left_semi")
+def _place(key: Column) -> tuple[Column, Column]:
+    """Word and bit of a hash."""
+    shift = 65 - (BLOCKS * BLOCKS).bit_length()
+    at = F.shiftrightunsigned(key, shift - 6).bitwiseAND(63).cast("int")
+    return F.shiftrightunsigned(key, shift).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
 
-def pivots(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """win, term, offset: each distinct window with its rarest term. A window with a term that no document
-    holds cannot occur and is left out."""
+def may_be_in(bits: Column, key: Column) -> Column:
+    word, bit = _place(key)
+    return F.get(F.get(bits, F.floor(word / BLOCKS).cast("int")), word % BLOCKS).bitwiseAND(bit) != 0
+
+
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """The positional index, one row for each row of docs: node and one (128 bits that stand for id and text), doc, n_words, and the
+    postings (term, at) of all words that may be among the terms, in order of their places. A written table."""
+    held = filter_of(terms.select(F.xxhash64("term")))
+    base = numbered(docs).select(*KEY, "doc", words(F.col("text")).alias("w")).withColumn("bits", held.scalar())
+    posting = F.transform("w", lambda w, i: F.when(may_be_in(F.col("bits"), F.xxhash64(w)), F.struct(w.alias("term"), i.alias("at"))))
+    return settle(base.select(*KEY, "doc", F.size("w").cast("long").alias("n_words"), F.filter(posting, lambda p: p.isNotNull()).alias("postings")), "postings")
+
+
+def lookups(windows: DataFrame, index: DataFrame) -> DataFrame:
+    """phrase, win, term, offset, rest: each distinct window with its rarest term by the counts of the index, and the (term, offset) of
+    the others, rarer ones first. A window with a term that no document holds cannot occur and is left out. A written table."""
+    counts = index.select(F.explode("postings.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     wins = windows.select("win").distinct().withColumn("phrase", F.array_join("win", " "))
-    terms = wins.select("phrase", "win", F.posexplode("win").alias("offset", "term")).join(counts, "term")
-    rarest = F.min(F.struct("df", "offset", "term")).alias("rarest")
-    grouped = terms.groupBy("phrase").agg(F.first("win").alias("win"), F.count("*").alias("n"), rarest)
-    return grouped.where(F.col("n") == F.size("win")).select("phrase", "win", "rarest.term", "rarest.offset")
-
-
-def build_index(docs: DataFrame, pivot_terms: DataFrame, n: int = WINDOW) -> DataFrame:
-    """One row for each row of docs: doc_id, tie (hash of the text), n_words and the postings of the pivot
-    terms, each with its place, its term, and the words up to n - 1 places before and after."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), words(F.col("text")).alias("w"))
-    posting = lambda p: F.struct(
-        p.alias("at"),
-        F.element_at("w", p + 1).alias("term"),
-        F.greatest(p - (n - 1), F.lit(0)).alias("from"),
-        F.slice("w", F.greatest(p - (n - 2), F.lit(1)), p - F.greatest(p - (n - 1), F.lit(0)) + n).alias("around"),
-    )
-    few = _among(pivot_terms)
-    if few is not None:
-        marked = F.transform("w", lambda w, i: F.when(w.isin(few), i))
-        placed = base.withColumn("places", F.filter(marked, lambda i: i.isNotNull()))
-        return placed.select("doc_id", "tie", F.size("w").cast("long").alias("n_words"), F.transform("places", posting).alias("postings"))
-    base = base.withColumn("row", F.monotonically_increasing_id())
-    spread = base.where(F.size("w") > 0).select("row", F.inline(F.transform(F.sequence(F.lit(0), F.size("w") - 1), posting)))
-    kept = spread.join(pivot_terms, "term", "left_semi").groupBy("row").agg(F.collect_list(F.struct("at", "term", "from", "around")).alias("postings"))
-    none = F.array().cast("array<struct<at:int,term:string,from:int,around:array<string>>>")
-    return base.join(kept, "row", "left").select("doc_id", "tie", F.size("w").cast("long").alias("n_words"), F.coalesce("postings", none).alias("postings"))
-
-
-def phrase_matches(index: DataFrame, looked_up: DataFrame) -> DataFrame:
-    """doc_id, tie, start, size, phrase for each occurrence of a window."""
-    posted = index.select("doc_id", "tie", F.inline("postings"))
+    terms = wins.select("phrase", F.size("win").alias("size"), F.posexplode("win").alias("offset", "term")).join(counts, "term")
+    of_phrase = terms.groupBy("phrase", "size").agg(F.array_sort(F.collect_list(F.struct("df", "offset", "term"))).alias("by_count")).where(F.size("by_count") == F.col("size"))
+    rarest = F.col("by_count")[0]
+    rest = F.transform(F.slice("by_count", 2, F.col("size")), lambda t: F.struct(t["term"].alias("term"), t["offset"].alias("offset")))
+    found = of_phrase.select("phrase", "size", rarest["term"].alias("term"), rarest["offset"].alias("offset"), rest.alias("rest"))
+    return settle(found, "benchmark-lookups")
+
+
+def near_postings(index: DataFrame, looked_up: DataFrame, n: int = WINDOW) -> DataFrame:
+    """node, one, term, at, near and the columns of looked_up: each posting of a window's rarest term, with all postings less than n
+    places away."""
+    held = filter_of(looked_up.select(F.xxhash64("term")))
+    asked = index.withColumn("bits", held.scalar())
+    asked = asked.select(*KEY, "postings", F.filter("postings", lambda p: may_be_in(F.col("bits"), F.xxhash64(p["term"]))).alias("rare"))
+    spread = asked.where(F.size("rare") > 0).select(*KEY, "postings", F.inline("rare"))
+    near = F.filter("postings", lambda p: F.abs(p["at"] - F.col("at")) < n)
+    return spread.select(*KEY, "term", "at", near.alias("near")).join(looked_up, "term")
+
+
+def phrase_matches(found: DataFrame) -> DataFrame:
+    """node, one, start, size, phrase for each occurrence of a window, from near_postings: the place of the rarest term, less its offset,
+    is in the list of every other term, shifted by its own."""
     start = F.col("at") - F.col("offset")
-    here = F.slice("around", F.greatest(start - F.col("from"), F.lit(0)) + 1, F.size("win"))
-    found = posted.join(looked_up, "term").where((start >= 0) & (here == F.col("win")))
-    return found.select("doc_id", "tie", start.alias("start"), F.size("win").alias("size"), "phrase")
+    shifted = lambda t: F.exists("near", lambda p: (p["at"] - t["offset"] == start) & (p["term"] == t["term"]))
+    return found.where((start >= 0) & F.forall("rest", shifted)).select(*KEY, start.alias("start"), "size", "phrase")
 
 
-def proximity_matches(index: DataFrame, looked_up: DataFrame) -> DataFrame:
-    """doc_id, tie, at, phrase: all terms of a window lie within n - 1 places of its rarest, in any order."""
-    posted = index.select("doc_id", "tie", F.inline("postings"))
-    found = posted.join(looked_up, "term").where(F.size(F.array_except("win", "around")) == 0)
-    return found.select("doc_id", "tie", "at", "phrase")
+def proximity_matches(found: DataFrame) -> DataFrame:
+    """node, one, at, phrase, from near_postings: all terms of a window lie within n - 1 places of its rarest, in any order."""
+    held = lambda t: F.exists("near", lambda p: p["term"] == t["term"])
+    return found.where(F.forall("rest", held)).select(*KEY, "at", "phrase")
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(windows, index, what near_postings gives)."""
+    windows = settle(benchmark_windows(benchmark, n), "benchmark-windows")
+    index = build_index(docs, windows.select(F.explode("win").alias("term")).distinct())
+    return windows, index, near_postings(index, lookups(windows, index), n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of docs.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match) for every row of docs.
 
     A null text has no words. Repeated rows and rows that share an id are judged each by their own text; a
     null id is an id. Items of equal text count one by one; a null item text has no windows. Empty tables
     give no rows, or rows without hits. Other columns are ignored whatever their names.
     """
-    windows = settle(benchmark_windows(benchmark, n), "benchmark-windows")
-    terms = windows.select(F.explode("win").alias("term")).distinct()
-    looked_up = settle(pivots(windows, count_terms(docs, terms)), "benchmark-pivots")
-    index = settle(build_index(docs, looked_up.select("term").distinct(), n), "postings")
-    key = ["doc_id", "tie"]
-    found = settle(phrase_matches(index, looked_up).distinct(), "phrase-matches")
-    places = found.select(*key, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("place")).distinct()
-    n_hit = places.groupBy(key).agg(F.count("*").alias("n_hit"))
-    named = windows.select(F.array_join("win", " ").alias("phrase"), F.col("item_id").cast("string").alias("item"))
-    items = found.select(*key, "phrase").distinct().join(named, "phrase").select(*key, "item").distinct()
-    listed = items.groupBy(key).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    rows = index.select(*key, "n_words")
-    other = listed.toDF("_doc_id", "_tie", "n_items", "items_sha256")
-    same = F.equal_null("doc_id", "_doc_id") & (F.col("tie") == F.col("_tie"))
-    hit = n_hit.join(other, same).select("_doc_id", "_tie", "n_hit", "n_items", "items_sha256")
-    joined = rows.join(hit, same, "left")
+    windows, index, met = matched(docs, benchmark, n)
+    met = settle(met.where(F.forall("rest", lambda t: F.exists("near", lambda p: p["term"] == t["term"]))), "windows-met")  # all proximity matches
+    found = settle(phrase_matches(met).distinct(), "phrase-matches")
+    places = found.select(*KEY, F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("place")).distinct()
+    n_hit = places.groupBy(KEY).agg(F.count("*").alias("n_hit"))
+    phrases = windows.select(F.array_join("win", " ").alias("phrase"), F.col("item_id").cast("string").alias("item"))
+    items = lambda of: of.select(*KEY, "phrase").distinct().join(phrases, "phrase").select(*KEY, "item").distinct()
+    listed = items(found).groupBy(KEY).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.array_sort(F.collect_list("item")), ","), 256).alias("items_sha256"))
+    near = items(proximity_matches(met)).groupBy(KEY).agg(F.count("*").alias("n_near"))
+    hit = settle(near.join(listed, KEY, "left").join(n_hit, KEY, "left"), "hits")  # a phrase match is a proximity match
+    joined = index.select(*KEY, "doc", "n_words").join(hit, KEY, "left")
     return joined.select(
-        "doc_id",
+        F.col("doc").alias("doc_id"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.coalesce("n_near", F.lit(0)).alias("n_near"),
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """The rows of docs without any window of the benchmark, with the columns they came with. Rows are told apart by id and
-    text; null ids and null texts stay unless they hold a window."""
-    windows = settle(benchmark_windows(benchmark, n), "benchmark-windows")
-    terms = windows.select(F.explode("win").alias("term")).distinct()
-    looked_up = settle(pivots(windows, count_terms(docs, terms)), "benchmark-pivots")
-    index = settle(build_index(docs, looked_up.select("term").distinct(), n), "postings")
-    found = phrase_matches(index, looked_up).select(F.col("doc_id").alias("_doc"), F.col("tie").alias("_tie")).distinct()
-    bad = settle(found, "contaminated")
-    same = F.equal_null(F.col("doc_id").cast("long"), F.col("_doc")) & (F.xxhash64("text") == F.col("_tie"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs without any window of the benchmark, with the columns they came with, whatever their names. Rows are told
+    apart by id and text; null ids and null or empty texts stay unless they hold a window; repeated rows stay or go together. An empty
+    benchmark drops nothing. Only rows that a filter of fixed size takes for contaminated ones are shuffled."""
+    _, _, met = matched(docs, benchmark, n)
+    bad = settle(phrase_matches(met).select(*KEY).distinct(), "contaminated")
+    held = filter_of(bad.select("node"))
+    rows = docs.select(node_of(0).alias("node"), node_of(-1).alias("one"), F.struct(*named(docs.columns)).alias("row"))
+    may = may_be_in(held.scalar(), F.col("node"))
+    clean = rows.where(may).join(bad, KEY, "left_anti")
+    return rows.where(~may).unionByName(clean).select("row.*")

@@ -37,8 +37,9 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociq.llm.sharding import cut_shards, shuffle_records
 
     text = F.coalesce("text", F.lit(""))
-    digest = shuffle_records(table(spark, sf_dir, "documents")).select(
-        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "_bucket", "_place"
+    shuffled = shuffle_records(table(spark, sf_dir, "documents"))
+    digest = shuffled.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *shuffled.columns[-2:]
     )
     return cut_shards(digest, 16).select(
         "doc_id",
@@ -74,8 +75,7 @@ def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociq.llm.jaccard import similar_components
 
     found = similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
-    plain = lambda c: F.nullif(c, F.lit(-(1 << 63)))
-    return found.select(plain(F.col("node.doc")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), plain(F.col("component.doc")).alias("component_id"))
+    return found.select(F.col("node.doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component.doc").alias("component_id"))
 
 
 def op9_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +122,16 @@ gram AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS phrase
  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d CROSS JOIN sizes WHERE len(w) >= k)),
 hit AS (SELECT DISTINCT g.doc_id, g.i, g.k, w.item_id FROM gram g JOIN win w ON g.phrase = w.phrase AND g.k = w.k),
 place AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + k - 1)) AS p FROM hit) GROUP BY doc_id),
+df AS (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM d) GROUP BY term),
+terms AS (SELECT phrase, k, unnest(string_split(phrase, ' ')) AS term, unnest(generate_series(0, k - 1)) AS o FROM (SELECT DISTINCT phrase, k FROM win)),
+rarest AS (SELECT phrase, term FROM (SELECT phrase, k, term, count(*) OVER (PARTITION BY phrase) AS held, row_number() OVER (PARTITION BY phrase ORDER BY df, o, term) AS r FROM terms JOIN df USING (term)) WHERE r = 1 AND held = k),
+met AS (SELECT DISTINCT doc_id, phrase FROM (SELECT doc_id, phrase, w[greatest(i - 9, 1):i + 9] AS near FROM (SELECT doc_id, w, unnest(w) AS term, unnest(generate_series(1, len(w))) AS i FROM d) JOIN rarest USING (term)) WHERE list_has_all(near, string_split(phrase, ' '))),
+nearby AS (SELECT doc_id, count(*) AS n_near FROM (SELECT DISTINCT doc_id, item_id::VARCHAR FROM met JOIN win USING (phrase)) GROUP BY doc_id),
 item AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
- coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id)
+ coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+ coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN place USING (doc_id) LEFT JOIN item USING (doc_id) LEFT JOIN nearby USING (doc_id)
 """
 
 PASSAGES = r"""

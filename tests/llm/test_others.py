@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.llm.ann import search
-from lociq.llm.decontaminate import benchmark_windows, build_index, contamination, count_terms, drop_contaminated, pivots, proximity_matches
+from lociq.llm.decontaminate import contamination, drop_contaminated, matched, proximity_matches
 from lociq.llm.sharding import cut_shards, permutation, shuffle_records
 from lociq.llm.urls import judge_urls
 
@@ -118,13 +118,14 @@ def brute_contamination(docs, items, n=10):
     return sorted(out)
 
 
-@pytest.mark.parametrize("literals", [40_000, 0])
-def test_contamination_as_brute_force(spark, frame, odd_rows, monkeypatch, literals):
+@pytest.mark.parametrize("blocks", [512, 2])
+def test_contamination_as_brute_force(spark, frame, odd_rows, monkeypatch, blocks):
+    """Also with a filter so small that most words pass it."""
     import hashlib
 
     import lociq.llm.decontaminate as module
 
-    monkeypatch.setattr(module, "LITERAL_TERMS", literals)
+    monkeypatch.setattr(module, "BLOCKS", blocks)
     rng = random.Random(6)
     items = [(i, sentence(rng, rng.randint(0, 30))) for i in range(20)] + [(30, None), (31, "one two"), (32, "!!"), (10, "one two"), (33, "Aa bb CC dd ee ff gg hh ii jj kk")]
     docs = [*odd_rows, (50, "x aa BB cc, dd-ee ff gg hh ii jj kk aa bb y"), (50, "x aa BB cc, dd-ee ff gg hh ii jj kk aa bb y")]
@@ -144,10 +145,10 @@ def test_contamination_as_brute_force(spark, frame, odd_rows, monkeypatch, liter
 def test_proximity(spark, frame):
     docs = frame([(1, "aa bb cc dd"), (2, "dd x cc y bb aa"), (3, "aa bb cc")])
     bench = spark.createDataFrame([(1, "aa bb cc dd")], "item_id long, text string")
-    windows = benchmark_windows(bench)
-    looked_up = pivots(windows, count_terms(docs, windows.select(F.explode("win").alias("term")).distinct()))
-    index = build_index(docs, looked_up.select("term").distinct())
-    assert sorted(r.doc_id for r in proximity_matches(index, looked_up).collect()) == [1, 2]
+    _, index, met = matched(docs, bench, 10)
+    near = proximity_matches(met).join(index, ["node", "one"]).select("doc").distinct()
+    assert sorted(r.doc for r in near.collect()) == [1, 2]
+    assert {r.doc_id: (r.n_near, r.n_hit) for r in contamination(docs, bench).collect()} == {1: (1, 4), 2: (1, 0), 3: (0, 0)}
 
 
 def test_crc_matches_python(spark):
