@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.storage import settle
+from lociq.llm.storage import may_hold, settle, summed
 
 N_FOURIER = 256
 RIDGE = 1e-4
@@ -141,15 +141,10 @@ def fit_quality(labelled: DataFrame, n_fourier: int = N_FOURIER) -> QualityModel
         for batch in batches:
             x, y = shared.value.fourier(_stats_of(batch, 0)), batch.column(1).to_numpy()
             total += x.T @ np.column_stack([x, y])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total))], names=["i", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["i", "row"])
 
-    def add(key: tuple, parts: pa.Table) -> pa.Table:
-        rows = parts.column("row").combine_chunks().flatten().to_numpy().reshape(len(parts), -1)
-        return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([rows.sum(axis=0)])})
-
-    parts = data.mapInArrow(part, "i int, row array<double>")  # a row of each i from each partition
-    rows = sorted(parts.groupBy("i").applyInArrow(add, "i int, row array<double>").collect())
-    normal = np.array([r["row"] for r in rows])
+    parts = data.mapInArrow(part, "i int, row binary")  # a row of each i from each partition
+    normal = np.array([np.frombuffer(r["row"]) for r in sorted(summed(parts, "i", "row", "<f8").collect())])
     xtx, xty = normal[:, :-1], normal[:, -1]
     model.weights = np.linalg.solve(xtx + RIDGE * n * np.diag([*np.ones(n_fourier), 1e-9]), xty)
     fitted = spark.sparkContext.broadcast(model)
@@ -200,11 +195,14 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     """The rows of docs that the model doesn't reject, with the columns they came with.
 
     The model is fitted as in quality_scores. The rows are then judged where they lie, in a second pass
-    over the texts: no text is shuffled, and rows that share an id are judged each by its own text.
+    over the texts: no text is shuffled, and rows that share an id are judged each by its own text. Repeated rows stay or
+    go together; null and empty texts are judged by the all-zero statistics; without labels every score is 0.5 and all
+    rows stay. An empty table stays empty. Other columns keep their values whatever their names.
     """
-    stats = document_statistics(docs)
     taught = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
-    model = fit_quality(stats.join(taught, "doc_id").select("stats", "label"))
+    taught = settle(taught.where("doc_id is not null and label is not null"), "quality-labels")
+    some = docs.where(may_hold(taught.select(F.xxhash64("doc_id").alias("node")))(F.xxhash64(F.col("doc_id").cast("long"))))  # no statistics of unlabelled texts
+    model = fit_quality(document_statistics(some).join(taught, "doc_id").select("stats", "label"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

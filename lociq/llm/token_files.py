@@ -9,6 +9,7 @@ the place of a token follows from arithmetic and a memory map serves it without
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
@@ -35,11 +36,21 @@ SLICE = 512
 MANIFEST = "part int, file string, n_docs long, n_tokens long"
 
 
+def apart(tokenizer: dict) -> bool:
+    """Whether a tokenizer lower-cases, parts words at blanks and before a stop that ends them, and marks the ends of words, so that
+    the ids of a text are those of its words in a row."""
+    steps = (tokenizer["normalizer"] or {}).get("normalizers", [])
+    split = (tokenizer["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    words_only = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and "[^\\s\\p{L}\\p{N}]+" in split["pattern"].get("Regex", "")
+    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and bool(words_only) and tokenizer["model"].get("end_of_word_suffix") == "</w>"
+
+
 class WordEncoder:
     """Ids of whole texts as little-endian bytes, by way of a bounded cache of words.
 
-    Blanks, tabs and line ends always separate pre-tokens and are dropped, so the ids of a text are
-    those of its words in a row. Every text is encoded whole; short words, which recur, stay cached.
+    Where blanks, tabs and line ends always separate pre-tokens and are dropped (see apart), the ids of a text are
+    those of its words in a row; short words, which recur, stay cached. With any other tokenizer the library gets whole texts.
+    Either way every text is encoded whole.
     """
 
     def __init__(self, path: str, width: str):
@@ -49,6 +60,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = width
         self.cache: dict[str, bytes] = {"": b""}
+        self.by_words = apart(json.loads(self.tokenizer.to_str()))
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
@@ -75,6 +87,9 @@ class WordEncoder:
         return STOP.sub(r" \1", text.lower() if text.isascii() and "<|" not in text else text)
 
     def __call__(self, texts: Iterable[str | None]) -> list[bytes]:
+        if not self.by_words:
+            given = self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+            return [np.array(x.ids, self.width).tobytes() for x in given]
         split = [self.plain(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.cache) > CACHED_WORDS:
             self.cache = {"": b""}
