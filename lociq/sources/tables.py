@@ -99,8 +99,8 @@ def read_ld_scores(spark: SparkSession, folder: str, select: str | Sequence[int]
     sep = delimiter(first)
     names = split_quoted(first)
     if sep == " ":
-        lines = spark.read.text(paths).where(~F.trim("value").startswith(names[0]))
         parts = F.split(F.trim("value"), r"\s+")
+        lines = spark.read.text(paths).where(~F.equal_null(parts, F.lit(names)))  # every file begins with the names
         df = lines.select(*(parts[i].alias(c) for i, c in enumerate(names)))
     else:
         df = spark.read.csv(paths, sep=sep, header=True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lociq.functions import qc
 from lociq.functions.normal import chi2_sf, norm_sf, probit, two_sided_p, z_from_p
-from lociq.operators.clean import Trait, as_reference, large_effects, merge_traits, munge, removal_report
+from lociq.operators.clean import Trait, as_reference, effects_report, large_effects, merge_traits, munge, removal_report
 from lociq.operators.twas import panel_name, read_fusion
 
 GWAS = "SNP string, A1 string, A2 string, EFFECT double, SE double, P double, N double, INFO double, DIRECTION string"
@@ -110,7 +110,7 @@ def test_merge_traits(spark):
     out = merge_traits([Trait("x", t, "ols"), Trait("y", t, "se_logit")], panel(spark), ambiguous=False)
     got = {r.SNP: r for r in out.collect()}
     assert set(got) == {"a", "d"} and {"beta.x", "se.x", "beta.y", "se.y", "CHR", "BP"} <= set(out.columns)
-    assert got["a"]["beta.x"] < 0 < got["d"]["beta.x"] and not large_effects(out, "x")
+    assert got["a"]["beta.x"] < 0 < got["d"]["beta.x"] and not large_effects(out, "x") and effects_report(out, ["x"]).first().mean_abs_z > 0
     assert as_reference(panel(spark), maf=0.01).count() == 3
     assert [r.removed for r in removal_report([("all", t), ("a", t.where("SNP = 'a'"))]).collect()] == [0, 2]
 

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from lociq.operators.hdl import PIECE, bhat, fit_piece, hdl, load_gwas, z_slope
+from lociq.operators.hdl import PIECE, bhat, fit_own, fit_piece, hdl, load_gwas, z_slope
 from lociq.streaming.incremental import munge_stream
 
 
@@ -33,6 +34,18 @@ def test_pieces(spark):
     c = hdl(spark.createDataFrame(rows, PIECE), [t0, t1], ["a", "b"], n_ref=1e12)
     assert abs(c.S[0, 0] - 0.3) < 0.15 and abs(c.S[0, 1] - 0.15) < 0.15 and c.V.shape == (3, 3) and c.m == m * pieces
     assert 0 < z_slope(t0, t1) < 1.5
+    together = hdl(spark.createDataFrame(rows, PIECE), [t0, t1], ["a", "b"], n_ref=1e12, method="jackknife")
+    lam = np.array([r[4] for r in rows])
+    of = {r.piece: np.array(r.bhat) for r in bhat(spark.createDataFrame(rows, PIECE), t0, 0).collect()}
+    star = np.stack([of[f"p{p}"] for p in range(pieces)])  # eigenvectors are those of the identity
+    at = lambda keep, start: fit_own(lam[keep].ravel(), star[keep].ravel(), float(m * pieces), n, 1e12, start)
+    first = sum(fit_piece(lam[p] ** 2, lam[p], np.eye(m), star[p], n, 1e12)[0] for p in range(pieces))
+    full = at(np.ones(pieces, bool), np.array([first, 1.0]))
+    left = np.array([at(np.arange(pieces) != p, full)[0] for p in range(pieces)])
+    assert together.S[0, 0] == pytest.approx(full[0], rel=1e-6) and together.I[0, 0] == pytest.approx(full[1], rel=1e-6)
+    assert together.V[0, 0] == pytest.approx(left.var(ddof=1) * (pieces - 1), rel=1e-4) and abs(together.S[0, 1] - 0.15) < 0.15 and together.m == m * pieces
+    with pytest.raises(ValueError, match="method"):
+        hdl(spark.createDataFrame(rows, PIECE), [t0, t1], ["a", "b"], method="other")
     some = bhat(spark.createDataFrame([("x", ["p0s0", "none"], ["G", "G"], [1.0], [1.0], [[1.0]])], PIECE), t0, 0).first()
     assert some.bhat[1] == 0.0 and abs(some.bhat[0] - z[0][3] * -1 / np.sqrt(n)) < 1e-12
 

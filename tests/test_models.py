@@ -5,11 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lociq.operators import gwas, ldsc, posthoc, stratified
-from lociq.operators.enrich import NOT_ANALYSED, enrich
+from lociq.functions.rows import sum_arrays, with_position, with_row_number
+from lociq.operators.enrich import NOT_ANALYSED, base_results, enrich
 from lociq.operators.qtrait import qtrait
 from lociq.operators.sem.fit import fit, smooth, vech_rows
 from lociq.operators.sem.model import compile_model, subset
-from lociq.operators.sem.models import common_factor, genetic_correlations, result_frames, user_model
+from lociq.operators.sem.models import common_factor, genetic_correlations, result_frames, standardised, user_model
 from lociq.operators.sem.text import ModelError, evaluate, parse
 from lociq.operators.simulate import simulate
 from lociq.sources.tables import Covariance, StratifiedCovariance
@@ -216,6 +217,67 @@ def test_complementary_annotations(spark):
         stratified.s_ldsc(traits, halves, ["even"], scores.select("SNP", "wLD"), [1.0], overlaps, ["a"])
 
 
+def test_stratified_as_plain_regression(spark):
+    """Two traits and their covariance, three overlapping annotations: the sums of all cells against one weighted least squares each."""
+    rng = np.random.default_rng(4)
+    n, p = 600, 3
+    x = rng.gamma(2, 10, (n, p))
+    w = rng.gamma(2, 5, n)
+    z = rng.normal(size=(n, 2)) * 1.2
+    size = rng.integers(900, 1100, (n, 2)).astype(float)
+    scores = spark.createDataFrame([(f"rs{i:04d}", 1 + i % 3, i, *map(float, x[i])) for i in range(n)], "SNP string, CHR int, BP int, a double, b double, c double")
+    weights = spark.createDataFrame([(f"rs{i:04d}", float(w[i])) for i in range(n)], "SNP string, wLD double")
+    traits = [spark.createDataFrame([(f"rs{i:04d}", float(size[i, t]), float(z[i, t]), "A" if t == 0 or i % 4 else "G") for i in range(n)], "SNP string, N double, Z double, A1 string") for t in (0, 1)]
+    m, overlaps = np.array([600.0, 200.0, 100.0]), rng.uniform(50, 200, (p, p))
+    out = stratified.s_ldsc(traits, scores, list("abc"), weights, m, overlaps, ["s", "t"], n_blocks=15)
+    total = x.sum(axis=1)
+    sign = np.where(np.arange(n) % 4, 1, -1)
+    for i, j in ((0, 0), (0, 1), (1, 1)):
+        y = z[:, i] ** 2 if i == j else z[:, i] * z[:, j] * sign
+        n_bar = np.sqrt(size[:, i].mean() * size[:, j].mean())
+        root = np.zeros(n)
+        for t in (i, j):
+            share = np.clip(m[0] * ((z[:, t] ** 2).mean() - 1) / (total * size[:, t]).mean(), 0, 1)
+            root += np.sqrt(1 / (2 * (1 + share * size[:, t] / m[0] * np.maximum(total, 1)) ** 2) / np.maximum(w, 1))
+        root /= root.sum()
+        scale = size[:, i] / n_bar if i == j else np.ones(n)
+        beta = np.linalg.lstsq(np.column_stack([x * (scale * root)[:, None], root]), y * root, rcond=None)[0]
+        assert [out.S_tau[a][i, j] for a in range(p)] == pytest.approx(beta[:p] / n_bar * m)
+        assert [out.S[a][i, j] for a in range(p)] == pytest.approx((overlaps / m[None]) @ (beta[:p] / n_bar * m)) and out.I[i, j] == pytest.approx(beta[p])
+
+
+def test_places_and_numbers_of_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(c), int(x), i) for i, (c, x) in enumerate(zip(rng.integers(0, 3, 500), rng.permutation(500), strict=True))]
+    df = spark.createDataFrame(rows, "c int, x int, i int").repartition(7)
+    got = {r.i: (r.place, r.size) for r in with_position(df, ("x",), ("c",), "place", "size").collect()}
+    for c in range(3):
+        of = sorted((x, i) for d, x, i in rows if d == c)
+        assert [got[i] for _, i in of] == [(k, len(of)) for k in range(len(of))]
+    kept = spark.range(0, 300, 1, 5).select("id")
+    assert [(r.id, r.i) for r in with_row_number(kept, "i").orderBy("id").collect()] == [(k, k + 1) for k in range(300)]
+    sums = sum_arrays(spark.range(10).select((F.col("id") % 2).alias("k"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("v")), ["k"], "v")
+    assert {r.k: r.v for r in sums.collect()} == {0: [20.0, 5.0], 1: [25.0, 5.0]}
+
+
+def test_standardised_refit():
+    """A fit to the scaled covariance: for an exactly fitting model its estimates are std_all, with standard errors of their own."""
+    c = one_factor()
+    wide = Covariance(c.names, *ldsc.rescale(c.S, c.V, np.array([2.0, 1.0, 3.0, 0.5])), c.I, c.N, c.m)
+    got = common_factor(wide)
+    again = standardised(got)
+    assert [p["est"] for p in again.estimates()] == pytest.approx([p["std_all"] for p in got.estimates()], abs=1e-5)
+    assert again.se[:4] == pytest.approx(common_factor(c).se[:4], rel=1e-4) and (again.se > 0).all()
+
+
+def test_baseline_results(spark):
+    c = one_factor()
+    s = StratifiedCovariance(c.names, ["base", "coding"], [c.S] * 2, [c.V] * 2, [c.S] * 2, [c.V] * 2, c.I, c.N, [1.0, 0.3], [1.0, 0.3], [1.0, 1.0])
+    rows = base_results(spark, s, "F =~ NA*t0 + t1 + t2 + t3\nF ~~ 1*F", ["F~~F"]).collect()
+    assert [r.Fixed_Enrich for r in rows] == sorted(r.Fixed_Enrich for r in rows) and {r.lhs + r.op + r.rhs for r in rows if r.Fixed_Enrich == "Yes"} == {f"F=~t{i}" for i in range(4)}
+    assert {r.rhs: r.est for r in rows if r.op == "=~"} == pytest.approx(dict(zip(c.names, LOADINGS, strict=True)), abs=1e-5) and all(r.SE > 0 for r in rows if r.op == "=~")
+
+
 def test_enrichment(spark):
     c = one_factor()
     S, V = [c.S, c.S * 0.6, c.S * 0.2], [c.V] * 3

@@ -62,6 +62,8 @@ def test_ld_scores(spark, write, tmp_path):
     assert {r.pos: r.m for r in T.read_counts(spark, paths).collect()} == {0: 6.0, 1: 60.0} and T.total_count(spark, paths) == 66.0
     with pytest.raises(ValueError, match="different"):
         T.read_counts(spark, [*paths, write("x.l2.M_5_50", "1\n")])
+    write("4.l2.ldscore.gz", "SNP CHR BP L2\nSNP7 4 7 1.5\nrs8 4 8 2.5\n")  # an id that begins like the header
+    assert {r.SNP for r in T.read_ld_scores(spark, str(tmp_path), [4]).collect()} == {"SNP7", "rs8"}
     assert T.chromosomes("EVEN", 6) == [2, 4, 6] and T.chromosomes([1, 30]) == [1]
 
 
