@@ -89,8 +89,8 @@ def fit_batch(model: Model, S: np.ndarray, V: np.ndarray, options: Options) -> d
         theta, ok = fit_dwls(model, S, w)
         W = w[:, :, None] * np.eye(w.shape[1])
     else:
-        fits = [fit_ml(model, s) for s in S]
-        theta, ok, W = np.array([t for t, _ in fits]), np.array([o for _, o in fits]), np.stack([ml_weight(s) for s in S])
+        theta, ok = fit_ml(model, S)
+        W = ml_weight(S)
     sigma, T, full = model.implied(theta)
     cov = sandwich(model.jacobian(T, full), W, V)
     rest = vech_rows(S) - vech_rows(sigma)

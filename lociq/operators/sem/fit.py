@@ -80,47 +80,54 @@ def fit_dwls(model: Model, S: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
     return theta, (np.where(free, g, 0) <= 1e-4 * (1 + np.sqrt(top) + top)).all(axis=1) & np.isfinite(cost)
 
 
-def ml_objective(model: Model, theta: np.ndarray, S: np.ndarray) -> tuple[float, np.ndarray]:
-    sigma, T, full = model.implied(theta[None])
-    sign, logdet = np.linalg.slogdet(sigma[0])
-    if sign <= 0:
-        return math.inf, np.zeros_like(theta)
-    inverse = np.linalg.inv(sigma[0])
-    f = logdet + np.trace(S @ inverse) - np.linalg.slogdet(S)[1] - len(S)
+def ml_objective(model: Model, theta: np.ndarray, S: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(discrepancy, its gradient) for stacks of parameters and covariances; infinite where Sigma isn't positive definite."""
+    sigma, T, full = model.implied(theta)
+    sign, logdet = np.linalg.slogdet(sigma)
+    fine = sign > 0
+    inverse = np.linalg.inv(np.where(fine[:, None, None], sigma, np.eye(S.shape[1])))
+    f = logdet + np.einsum("bij,bji->b", S, inverse) - np.linalg.slogdet(S)[1] - S.shape[1]
     G = inverse - inverse @ S @ inverse
-    double = np.array([1.0 if i == j else 2.0 for i, j in vech_index(len(S))])
-    return f, model.jacobian(T, full)[0].T @ (vech_rows(G) * double)
+    double = np.array([1.0 if i == j else 2.0 for i, j in vech_index(S.shape[1])])
+    g = (model.jacobian(T, full).transpose(0, 2, 1) @ (vech_rows(G) * double)[:, :, None])[:, :, 0]
+    return np.where(fine, f, math.inf), np.where(fine[:, None], g, 0.0)
 
 
-def fit_ml(model: Model, S: np.ndarray) -> tuple[np.ndarray, bool]:
-    """Fisher scoring with step halving and bounds by projection."""
-    theta = model.start.copy()
+def fit_ml(model: Model, S: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(theta, converged) of a stack of covariances, all at once: Fisher scoring with step halving and bounds by projection."""
+    theta = np.tile(model.start, (len(S), 1))
     f, g = ml_objective(model, theta, S)
-    if not np.isfinite(f):
-        theta = np.clip(fit_dwls(model, S[None], np.ones((1, len(vech_index(len(S))))))[0][0], model.lower, model.upper)
-        f, g = ml_objective(model, theta, S)
+    if (lost := ~np.isfinite(f)).any():
+        size = S.shape[1] * (S.shape[1] + 1) // 2
+        theta[lost] = np.clip(fit_dwls(model, S[lost], np.ones((int(lost.sum()), size)))[0], model.lower, model.upper)
+        f[lost], g[lost] = ml_objective(model, theta[lost], S[lost])
+    going = np.isfinite(f)
     for _ in range(ROUNDS):
-        sigma, T, full = model.implied(theta[None])
-        J = model.jacobian(T, full)[0]
-        H = J.T @ ml_weight(sigma[0]) @ J * 2
-        stuck = ((theta <= model.lower) & (g > 0)) | ((theta >= model.upper) & (g < 0))
-        g = np.where(stuck, 0, g)
-        step = np.linalg.lstsq(H + 1e-10 * np.eye(len(H)) * np.trace(H), -g, rcond=None)[0]
-        size = 1.0
-        while size > 1e-10:
-            new = np.clip(theta + size * step, model.lower, model.upper)
-            f_new, g_new = ml_objective(model, new, S)
-            if f_new <= f + 1e-4 * size * (g @ step):
-                break
-            size /= 2
-        else:
-            break
-        done = np.abs(new - theta).max(initial=0) < 1e-10 and abs(f - f_new) < 1e-13
-        theta, f, g = new, f_new, g_new
-        if done:
+        on = np.flatnonzero(going)
+        if not len(on):
             break
+        sigma, T, full = model.implied(theta[on])
+        J = model.jacobian(T, full)
+        H = J.transpose(0, 2, 1) @ ml_weight(sigma) @ J * 2
+        stuck = ((theta[on] <= model.lower) & (g[on] > 0)) | ((theta[on] >= model.upper) & (g[on] < 0))
+        slope = np.where(stuck, 0, g[on])
+        ridge = 1e-10 * np.einsum("bii->b", H)[:, None, None] * np.eye(model.n_free)
+        step = -(np.linalg.pinv(H + ridge, hermitian=True) @ slope[:, :, None])[:, :, 0]
+        size, open_ = np.ones(len(on)), np.ones(len(on), bool)
+        new, f_new, g_new = theta[on].copy(), f[on].copy(), g[on].copy()
+        while open_.any() and size[open_].max() > 1e-10:
+            at = np.flatnonzero(open_)
+            tried = np.clip(theta[on[at]] + size[at, None] * step[at], model.lower, model.upper)
+            f_tried, g_tried = ml_objective(model, tried, S[on[at]])
+            good = f_tried <= f[on[at]] + 1e-4 * size[at] * (slope[at] * step[at]).sum(axis=1)
+            new[at[good]], f_new[at[good]], g_new[at[good]] = tried[good], f_tried[good], g_tried[good]
+            open_[at[good]] = False
+            size[at[~good]] /= 2
+        ended = open_ | ((np.abs(new - theta[on]).max(axis=1, initial=0) < 1e-10) & (np.abs(f[on] - f_new) < 1e-13))
+        theta[on], f[on], g[on] = new, f_new, g_new
+        going[on[ended]] = False
     free = (theta > model.lower) & (theta < model.upper)
-    return theta, bool(np.isfinite(f) and (np.abs(g[free]) < 1e-4).all())
+    return theta, np.isfinite(f) & (np.where(free, np.abs(g), 0) < 1e-4).all(axis=1)
 
 
 def duplication(k: int) -> np.ndarray:
@@ -132,9 +139,10 @@ def duplication(k: int) -> np.ndarray:
 
 
 def ml_weight(S: np.ndarray) -> np.ndarray:
-    """Half of D' (S^-1 x S^-1) D."""
-    inverse, D = np.linalg.inv(S), duplication(len(S))
-    return 0.5 * D.T @ np.kron(inverse, inverse) @ D
+    """Half of D' (S^-1 x S^-1) D for a stack of covariances."""
+    inverse, D, k = np.linalg.inv(S), duplication(S.shape[1]), S.shape[1]
+    both = np.einsum("bij,bkl->bikjl", inverse, inverse).reshape(len(S), k * k, k * k)
+    return 0.5 * D.T @ both @ D
 
 
 def sandwich(J: np.ndarray, W: np.ndarray, V: np.ndarray) -> np.ndarray:
@@ -224,8 +232,8 @@ def fit(model: Model, S: np.ndarray, V: np.ndarray, estimation: str = "DWLS", w:
         theta, ok = (x[0] for x in fit_dwls(model, S[None], w[None]))
         W = np.diag(w)
     else:
-        theta, ok = fit_ml(model, S)
-        W = ml_weight(S)
+        theta, ok = (x[0] for x in fit_ml(model, S[None]))
+        W = ml_weight(S[None])[0]
     sigma, T, full = model.implied(theta[None])
     cov = sandwich(model.jacobian(T, full), W[None], V[None])[0]
     rest = vech_rows(S[None]) - vech_rows(sigma)
