@@ -150,12 +150,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
     vec_id, among equal codes too. Equal ids are separate candidates. An empty side gives no rows. Only
     fitting uses a sample (``sample`` rows by hash of the id); the index holds every row. Each query probes
     as many lists as ``target`` of true neighbours ask for in a trial, and on until they hold 2 k rows.
-    Vectors of another length than most take no part.
+    Vectors of another length than most take no part (of two lengths as common the smaller counts).
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).where(usable(F.col("v")))
     rows = pick(vectors)
-    n, dims = rows.agg(F.count("*"), F.mode(F.size("v"))).first()
+    n, dims = rows.agg(F.count("*"), F.mode(F.size("v"), True)).first()
     rows = rows.where(F.size("v") == dims) if n else rows
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:

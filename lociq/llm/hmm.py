@@ -2,9 +2,9 @@
 
 The commonest words have emission rows in the model that is broadcast. Every other word that training holds more than once has a
 row of its own too, in a table: its share of the other words' common symbol in each state, over its share of the training tokens
-(add-one, one part for all unknown words), which is its gain; of a word that stands once it is 1. Each round's expected counts of
-these words go, by hash of the word, to the buckets that add them up, and come back as gains to the chunks of documents that hold
-the words. Chunks are written in buckets by their number, so that only gains move to them, never texts. The counts of the model
+(add-one, one part for all unknown words), which is its gain; of a word that stands once it is 1. Their expected
+counts go, by hash of the word, to the buckets that add them up, and come back as gains to the chunks of documents that hold
+the words, in the first, every second from there and the last round. Chunks are written in buckets by their number, so that only gains move to them, never texts. The counts of the model
 that is broadcast are summed in each partition and added up by Spark; the driver gets sums of fixed size.
 """
 
@@ -29,10 +29,12 @@ OWN_ROWS = 60_000
 LOCAL_COUNTS = 200_000
 ROUNDS = 4
 SEGMENT = 128
-SEGMENTS = 1024
+SEGMENTS = 512
 PARTS = 16
 FLUSH = 250_000
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 600_000
+SLICE = 512
+GATHER = 2
 BUCKETS = 256
 BUCKET_ROWS = 2_000_000
 SEED = 3
@@ -48,6 +50,13 @@ def left_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time, so that few are held as Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """word, c over all rows of (text); the end of each document counts as the empty word."""
 
@@ -56,7 +65,7 @@ def count_words(train: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
 
         found: Counter = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             found[b""] += batch.num_rows
             for text in batch.column(0).to_pylist():
                 found.update(words_of(text))
@@ -144,7 +153,7 @@ def encode(docs: DataFrame, words: Vocabulary, often: np.ndarray) -> DataFrame:
             at = where[np.array(tail, np.int64)] if tail else np.zeros(0, "<i4")
             return pa.RecordBatch.from_pylist([{"chunk": rows[0]["row"], "docs": rows, "symbols": b"".join(parts), "tail": at.tobytes(), "hashes": rising.tobytes()}], schema=schema)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, held, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = words_of(text)
                 symbols = np.fromiter((own(w, other) for w in found), "<u2", len(found))
@@ -300,37 +309,39 @@ def fit(chunks: DataFrame, symbols: np.ndarray, rounds: int = ROUNDS, states: in
     pairs = chunks.agg(F.coalesce(F.sum(F.octet_length("hashes") / 8), F.lit(0.0))).first()[0]
     bits = (max(BUCKETS, int(pairs // BUCKET_ROWS) + 1) - 1).bit_length()
     held, told = chunks.select(F.col("docs.n_tokens").alias("sizes"), F.col("docs.held_out").alias("held"), "chunk", "symbols", "tail", "hashes"), None
-    for _ in range(rounds):
+    for n in range(rounds):
+        gather = n % GATHER == 0 or n == rounds - 1
         shared = spark.sparkContext.broadcast(model)  # OWN_ROWS rows
 
-        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def expect(batches: Iterator[pa.RecordBatch], shared=shared, gather=gather) -> Iterator[pa.RecordBatch]:
             names = ["part", "fan", "chunk", "hashes", "sums"]
             sums, fan = 0, TaskContext.get().partitionId() // FAN_IN
-            for batch in batches:
-                for r in batch.to_pylist():
-                    sizes, train = np.array(r["sizes"]), ~np.array(r["held"], bool)
-                    flat = np.frombuffer(r["symbols"], "<u2").astype(np.int64)
-                    hashes, tail, pick = np.frombuffer(r["hashes"], "<u8"), places_of(flat, r["tail"], other), np.repeat(train, sizes)
-                    gains = gains_of(unpacked(r["counts"], states), shared.value.common) if r.get("counts") else first_gains(hashes, states)
-                    found = np.zeros((len(hashes), states))
-                    if train.any():
-                        segments, real, begins, places = segments_of(flat[pick], tail[pick], sizes[train])
-                        for i in range(0, len(begins), SEGMENTS):
-                            sums = sums + shared.value.expect(*(x[i : i + SEGMENTS] for x in (segments, real, begins, places)), gains, found)
+            for row in slices(batches, 1):
+                (r,) = row.to_pylist()
+                sizes, train = np.array(r["sizes"]), ~np.array(r["held"], bool)
+                flat = np.frombuffer(r["symbols"], "<u2").astype(np.int64)
+                hashes, tail, pick = np.frombuffer(r["hashes"], "<u8"), places_of(flat, r["tail"], other), np.repeat(train, sizes)
+                gains = gains_of(unpacked(r["counts"], states), shared.value.common) if r.get("counts") else first_gains(hashes, states)
+                found = np.zeros((len(hashes), states)) if gather else None
+                if train.any():
+                    segments, real, begins, places = segments_of(flat[pick], tail[pick], sizes[train])
+                    for i in range(0, len(begins), SEGMENTS):
+                        sums = sums + shared.value.expect(*(x[i : i + SEGMENTS] for x in (segments, real, begins, places)), gains, found)
+                if gather:
                     # every bucket with a word of this chunk, seen in training or not: its gains come back by the same way
                     edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
                     some = np.flatnonzero(np.diff(edges))
                     cut = lambda x, as_bytes, some=some, edges=edges: pa.array([as_bytes(x[edges[b] : edges[b + 1]]) for b in some], pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([0] * len(some), pa.int32()), pa.array([r["chunk"]] * len(some), pa.int64()), cut(hashes, np.ndarray.tobytes), cut(found, packed)], names=names)
             if not isinstance(sums, int):
-                parts = [x.astype("<f4").tobytes() for x in np.array_split(sums, PARTS)]
+                parts = [x.tobytes() for x in np.array_split(sums, PARTS)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(-PARTS, 0), pa.int32()), pa.array([fan] * PARTS, pa.int32()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.array(parts, pa.binary())], names=names)
 
         def add(key: tuple, parts: pa.Table) -> pa.Table:
             """Sums of the model's part over FAN_IN partitions, or of a bucket's words: these for each chunk that holds the word."""
             given, sums = parts.column("hashes").to_pylist(), parts.column("sums").to_pylist()
             if key[0].as_py() < 0:
-                total = sum(np.frombuffer(x, "<f4").astype(float) for x in sums)
+                total = sum(np.frombuffer(x) for x in sums)
                 return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.nulls(1, pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
             counts = unpacked(b"".join(sums), states)
             word, at = np.unique(np.frombuffer(b"".join(given), "<u8"), return_inverse=True)
@@ -344,14 +355,19 @@ def fit(chunks: DataFrame, symbols: np.ndarray, rounds: int = ROUNDS, states: in
         spark.sparkContext._jvm.System.gc()
         source = held if told is None else held.join(by_chunk(told), "chunk", "left")
         sums = source.mapInArrow(expect, "part int, fan int, chunk long, hashes binary, sums binary")
-        last, told = told, settle(sums.groupBy("part", "fan").applyInArrow(add, "part int, chunk long, counts binary"), "expected")
-        del source, sums
-        if last is not None:
-            discard(last)
-        got = summed(told.where("part < 0"), "part", "counts", "<f8").collect()  # of fixed size
+        if gather:
+            new = settle(sums.groupBy("part", "fan").applyInArrow(add, "part int, chunk long, counts binary"), "expected")
+            totals = new.where("part < 0").select("part", F.col("counts").alias("sums"))
+            if told is not None:
+                discard(told)
+            told = new
+        else:
+            totals = sums.select("part", "sums")
+        got = summed(totals, "part", "sums", "<f8").collect()  # of fixed size
+        del source, sums, totals
         if not got:
             return model, None
-        sums = np.concatenate([np.frombuffer(r["counts"]) for r in sorted(got)]).reshape(-1, states)
+        sums = np.concatenate([np.frombuffer(r["sums"]) for r in sorted(got)]).reshape(-1, states)
         model.update(sums)
         model.common = sums[other]
     return model, None if told is None else by_chunk(told)
@@ -375,8 +391,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) ->
     columns = ["doc_id", "held_out", "row", "n_tokens", "known", "base"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
+        for row in slices(batches, 1):
+            for r in row.to_pylist():
                 edges = np.cumsum([d["n_tokens"] for d in r["docs"]])[:-1]
                 flat = np.frombuffer(r["symbols"], "<u2")
                 gains = gains_of(unpacked(r["counts"], states), shared.value.common) if r.get("counts") else None
