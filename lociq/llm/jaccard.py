@@ -199,17 +199,20 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
 def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
     """node, component of all classes that links reach, from the written postings of keys that several hold.
 
-    In each round some members of a list, its heads, are compared with all others that are in other components by then: one in
-    the first round; in those that follow all members of a list of up to ALL_HEADS, of longer ones 16 and 16 times as many each
-    time. Heads then leave the list, and so do lists whose members are all in one component. A large group of near copies costs about one
+    In each round some members of a list, its heads, are compared with all others that are in other components by then. In the first
+    round it is one. Then any two members of different components include one outside the list's largest component: in each
+    round that follows the heads are all of these, where they are up to ALL_HEADS, else 16, and 16 times as many each time.
+    Heads then leave the list, and so do lists whose members are all in one component. A large group of near copies costs about one
     comparison each, and no pair that may link two components is left out.
     """
-    parts = shared.select("*", F.col("node").alias("component"), F.lit(0).cast("long").alias("size"))
+    parts = shared.select("*", F.col("node").alias("component"), F.lit(None).cast("long").alias("main"), F.lit(0).cast("long").alias("small"))
     links, compared, heads = None, None, 1
     while True:
-        slot = F.when(F.col("size").between(1, ALL_HEADS), F.col("node")).otherwise(F.pmod(F.xxhash64(F.lit(heads), "node"), F.lit(heads)))
+        some = F.pmod(F.xxhash64(F.lit(heads), "node"), F.lit(heads))
+        slot = some if heads == 1 else F.when(F.col("small") <= ALL_HEADS, F.col("node")).otherwise(some)
         before = F.struct((F.col("n") - F.col("left")).alias("before"), "node", "n", "left", "component")
-        head = parts.groupBy("key", slot.alias("slot")).agg(F.min(before).alias("head"), F.count("*").alias("held"))
+        outside = parts.where(~F.equal_null("component", "main"))
+        head = outside.groupBy("key", slot.alias("slot")).agg(F.min(before).alias("head"), F.count("*").alias("held"))
         head = settle(head.select("key", "head", "held"), "heads")
         met = settle(parts.join(head, "key").where(F.col("node") != F.col("head.node")), "members-and-heads")
         far = (F.col("component") != F.col("head.component")) & possible("n", "head.n", "left", "head.left", percent)
@@ -228,11 +231,12 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndar
         if heads == 1:  # each list has lost its one head; of two members nothing is left to compare
             rest = met.where("held > 2").select(member)
         else:
-            rest = parts.where(F.col("size") > ALL_HEADS).select(member).join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti")
+            rest = parts.where(F.col("small") > ALL_HEADS).select(member).join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti")
         now = settle(rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
         discard(met)
-        spread = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"))
-        parts = settle(now.join(settle(spread.where("x != y").select("key", "size"), "lists-apart"), "key"), "members-apart")
+        sizes = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"))
+        apart = sizes.where("size > top.c").select("key", F.col("top.component").alias("main"), (F.col("size") - F.col("top.c")).alias("small"))
+        parts = settle(now.join(settle(apart, "lists-apart"), "key"), "members-apart")
         if parts.isEmpty():
             return found
         heads *= 16
