@@ -214,10 +214,9 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndar
         outside = parts.where(~F.equal_null("component", "main"))
         head = outside.groupBy("key", slot.alias("slot")).agg(F.min(before).alias("head"), F.count("*").alias("held"))
         head = settle(head.select("key", "head", "held"), "heads")
-        met = settle(parts.join(head, "key").where(F.col("node") != F.col("head.node")), "members-and-heads")
         far = (F.col("component") != F.col("head.component")) & possible("n", "head.n", "left", "head.left", percent)
         ends = [f("node", "head.node").alias(c) for f, c in ((F.least, "u"), (F.greatest, "v"))]
-        pairs = met.where(far).select(*ends).distinct()
+        pairs = parts.join(head, "key").where(far).select(*ends).distinct()
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         pairs = settle(pairs, "pairs")
@@ -229,11 +228,10 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndar
             found = components(links)
         member = ["key", "node", "n", "left"]
         if heads == 1:  # each list has lost its one head; of two members nothing is left to compare
-            rest = met.where("held > 2").select(member)
+            rest = parts.join(head.where("held > 2"), "key").where(F.col("node") != F.col("head.node")).select(member)
         else:
             rest = parts.where(F.col("small") > ALL_HEADS).select(member).join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti")
         now = settle(rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
-        discard(met)
         sizes = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"))
         apart = sizes.where("size > top.c").select("key", F.col("top.component").alias("main"), (F.col("size") - F.col("top.c")).alias("small"))
         parts = settle(now.join(settle(apart, "lists-apart"), "key"), "members-apart")
