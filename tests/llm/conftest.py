@@ -18,7 +18,9 @@ def frame(spark):
         df = spark.createDataFrame(full, DOC)
         from pyspark.sql import functions as F
 
-        for name in ("doc", "tie", "node", "n", "key", "row", "score", "u", "v", "starts", "term", "part", *extra):
+        inner = ("doc", "tie", "node", "n", "key", "row", "score", "u", "v", "starts", "term", "part", "one", "two", "bits", "chunk", "bucket", "place", "out", "cuts", "a.b")
+        under = ("_doc", "_tie", "_input", "_place", "_bucket", "_shard", "_slot", "_n", "_end", "_at", "_cuts", "_node", "_row")
+        for name in (*inner, *under, *extra):
             df = df.withColumn(name, F.lit("clash"))
         return df
 

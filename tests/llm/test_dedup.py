@@ -58,6 +58,26 @@ def test_components_as_brute_force(frame, k, percent):
     assert sorted(map(tuple, got)) == brute_components(rows, k, percent)
 
 
+@pytest.mark.parametrize("light", [0, 10_000])
+def test_heavy_or_light_sets_alone(frame, monkeypatch, light):
+    """All sets by their lists, and all by subsets; filters so small that everything passes; lists cut into heads one by one."""
+    import lociq.llm.jaccard as module
+    from lociq.llm import storage
+
+    monkeypatch.setattr(module, "boundary", lambda *_: light)
+    monkeypatch.setattr(storage, "FILTER_WORDS", 2)
+    monkeypatch.setattr(module, "ALL_HEADS", 1)
+    rows = planted(3)
+    got = similar_components(frame(rows), 3, 90).select("node.doc", "n", "component.doc").collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
+
+
+def test_texts_of_equal_hash_without_ids(frame):
+    texts = ["alpha beta gamma delta 186041 epsilon 1473258679 zeta eta theta 5767276", "alpha beta gamma delta 239968 epsilon 1900306592 zeta eta theta 7439013"]
+    kept = keep_one_of_each(frame([(None, t) for t in texts])).collect()
+    assert sorted(r.text for r in kept) == sorted(texts) and all(r["_doc"] == r["_tie"] == "clash" for r in kept)
+
+
 def test_components_of_odd_rows(frame, odd_rows):
     got = {(r[0], r[1], r[2]) for r in similar_components(frame(odd_rows)).select("node.doc", "n", "component.doc").collect()}
     assert {(1, 1, 1), (6, 1, 1), (2, 0, 2), (3, 0, 3), (5, 0, 5)} <= got

@@ -8,7 +8,7 @@ import pytest
 
 from lociq.llm.hmm import Model, score_texts
 from lociq.llm.hmm import gains_of as hmm_gains
-from lociq.llm.quality import STATISTICS, isotonic, keep_quality, quality_scores, statistics
+from lociq.llm.quality import STATISTICS, QualityModel, fit_quality, isotonic, keep_quality, quality_scores, statistics
 
 from .conftest import sentence
 
@@ -48,6 +48,45 @@ def test_quality_odd_rows(spark, frame, odd_rows):
     assert kept.count() == len(odd_rows) and kept.columns == frame(odd_rows).columns
 
 
+def test_fourier_features_approximate_the_kernel():
+    """Inner products of the features against the Gaussian kernel that they stand for."""
+    rng = np.random.default_rng(0)
+    k = len(STATISTICS)
+    model = QualityModel(np.zeros(k), np.ones(k), n_fourier=20_000)
+    x = rng.normal(size=(30, k))
+    f = model.fourier(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * k))
+    assert np.abs(f @ f.T - kernel).max() < 0.05
+
+
+def test_normal_equations_as_solved_at_once(spark):
+    """Sums over many partitions, in two steps, against one solution with all rows at hand."""
+    rng = np.random.default_rng(1)
+    k = len(STATISTICS)
+    x = rng.normal(size=(400, k))
+    y = (x[:, 0] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    rows = spark.createDataFrame([(v.tolist(), int(t)) for v, t in zip(x, y, strict=True)], "stats array<double>, label int").repartition(7)
+    model = fit_quality(rows, n_fourier=32)
+    f = model.fourier(x)
+    want = np.linalg.solve(f.T @ f + 1e-4 * 400 * np.diag([*np.ones(32), 1e-9]), f.T @ y)
+    assert np.allclose(model.weights, want, atol=1e-6)
+    score = model.score(x)
+    assert ((score > 0.5) == y).mean() > 0.7
+    edges = np.quantile(score, [0, 0.25, 0.5, 0.75, 1])
+    for a, b in zip(edges[:-1], edges[1:], strict=True):  # calibrated: the mean score of a quarter is its share of ones
+        at = (score >= a) & (score <= b)
+        assert abs(score[at].mean() - y[at].mean()) < 0.1
+
+
+def test_ties_of_counts_keep_own_rows(spark, monkeypatch):
+    import lociq.llm.hmm as hmm
+
+    monkeypatch.setattr(hmm, "LOCAL_COUNTS", 100)
+    counts = spark.createDataFrame([(f"w{i}", 1) for i in range(300)] + [("", 5)], "word string, c long")
+    words = hmm.vocabulary(counts)
+    assert 50 <= len(words.own) <= 100 and words.total == 305 and words.distinct == 301
+
+
 def test_isotonic_rises():
     x, y = isotonic(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 1, 1, 0.5]))
     assert (np.diff(x) >= 0).all() and (np.diff(y) >= 0).all() and y[0] == 0

@@ -44,6 +44,26 @@ def test_url_rules(spark):
     assert {r.verdict for r in judge_urls(pages, rules=()).collect()} == {"allow"}
 
 
+def test_url_features(spark):
+    """Features of a URL alone by a computation of their own; suffix statistics leave out the row's own label."""
+    from collections import Counter
+
+    from lociq.llm.urls import FEATURES, lexical, parts
+
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    assert len(FEATURES) == 16
+    for r in lexical(parts(pages)).collect():
+        url, host, path = URLS[r.page_id] or "", r.host, r.path
+        share = lambda t: sum(c in "0123456789" for c in t) / len(t) if t else 0.0
+        query = url.split("?", 1)[1].split("#", 1)[0] if "?" in url else ""
+        counts = [c / len(url) for c in Counter(url).values()]
+        assert r.entropy == pytest.approx(-sum(p * math.log2(p) for p in counts), abs=1e-9)
+        assert (r.digit_share, r.host_digit_share) == (pytest.approx(share(url)), pytest.approx(share(host)))
+        assert r.url_length == pytest.approx(math.log1p(len(url))) and (r.host_length, r.path_length, r.query_length) == (len(host), len(path), len(query))
+        assert r.depth == len(re.findall("/[^/]", path)) and r.parameters == (query.count("&") + 1 if query else 0) and r.hyphens == host.count("-")
+        assert r.suffix == host.split(".")[-1] and r.longest_label == max(map(len, host.split("."))) and r.secure == url.startswith("https") and r.fragment == ("#" in url)
+
+
 def test_trees_learn_from_ruled_urls(spark):
     rng = random.Random(1)
     rows = [(i, f"http://{'spam-' * (i % 2) * 3}{rng.randint(0, 10**9 if i % 2 else 9)}.{('net', 'org', 'com')[i % 3]}/fr/{i}") for i in range(300)]
@@ -53,22 +73,45 @@ def test_trees_learn_from_ruled_urls(spark):
     assert right >= 0.9 * len(got)
 
 
-@pytest.mark.parametrize("shards", [16, 3])
-def test_sharding(frame, odd_rows, shards):
+@pytest.mark.parametrize(("shards", "buckets"), [(16, 10_000), (3, 2)])
+def test_sharding(frame, odd_rows, monkeypatch, shards, buckets):
+    """Also with two scatters, where there are more buckets than one takes."""
+    import lociq.llm.sharding as module
+
+    monkeypatch.setattr(module, "MAX_BUCKETS", buckets)
     rng = random.Random(4)
     rows = [*odd_rows, *((100 + i, sentence(rng, rng.randint(0, 30))) for i in range(200)), *[(7, "hot")] * 100]
-    out = cut_shards(shuffle_records(frame(rows), bucket_bytes=4000), shards).collect()
+
+    def cut():
+        shuffled = shuffle_records(frame(rows), bucket_bytes=4000)
+        df = cut_shards(shuffled, shards)
+        *given, bucket, place, shard, slot = df.columns
+        assert given == frame(rows).columns and (bucket, place, shard, slot) == ("_bucket_", "_place_", "_shard_", "_slot_")
+        return sorted(df.collect(), key=lambda r: (r[shard], r[slot]))
+
+    out = cut()
     assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted((str(i), str(t)) for i, t in rows)
-    sizes = [sum(r._shard == s for r in out) for s in range(shards)]
+    assert all(r[c] == "clash" for r in out for c in ("_bucket", "_place", "_shard", "_slot", "_n", "_input", "_tie", "_end", "_at", "a.b"))
+    sizes = [sum(r._shard_ == s for r in out) for s in range(shards)]
     assert sum(sizes) == len(rows) and max(sizes) - min(sizes) <= 1
     for s in range(shards):
-        assert sorted(r._slot for r in out if r._shard == s) == list(range(sizes[s]))
-    again = cut_shards(shuffle_records(frame(rows), bucket_bytes=4000), shards).collect()
-    assert sorted(map(str, again)) == sorted(map(str, out))
-    assert len({r._bucket for r in out}) > 3 and [r.doc_id for r in sorted(out, key=lambda r: (r._shard, r._slot))] != [i for i, _ in rows]
+        assert [r._slot_ for r in out if r._shard_ == s] == list(range(sizes[s]))
+    assert sorted(map(str, cut())) == sorted(map(str, out))
+    assert len({r._bucket_ for r in out}) > 3 and [r.doc_id for r in out] != [i for i, _ in rows]
     assert cut_shards(shuffle_records(frame([])), shards).count() == 0
 
 
+def test_shard_digest(spark, frame, odd_rows, tmp_path):
+    """op4's own columns: size and checksum of each text, null as empty."""
+    from lociq.llm.queries import op4_shards
+
+    frame(odd_rows).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4_shards(spark, str(tmp_path)).collect()
+    raw = lambda t: (t or "").encode()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == sorted((str(i), len(raw(t)) + 1, zlib.crc32(raw(t))) for i, t in odd_rows)
+    assert all(r.law == "rows" and r.grown_shard is None and 0 <= r.shard < 16 for r in got)
+
+
 def test_permutation_is_uniform():
     seen = {tuple(permutation(3, s, 0)) for s in range(100)}
     assert len(seen) == 6 and len(permutation(0, 1, 1)) == 0

@@ -45,8 +45,28 @@ def test_stages_and_run(spark, corpus):
     assert all(t == texts[i] for i, t in kept["passages"].items() if i < 3000)
     assert set(kept["passages"]) - set(kept["leaks"]) == {i for i in texts if i >= 4000}
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    spark.conf.set(corpus_pipeline.BATCH, "777")
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert spark.conf.get(corpus_pipeline.BATCH) == "777"
+    spark.conf.unset(corpus_pipeline.BATCH)
     assert set(got) == set(kept["leaks"])
     for i, r in got.items():
         ids = library.encode(kept["leaks"][i])
         assert r.ids == ids and r.n_tokens == len(ids) and r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_stages_with_odd_rows(spark, frame, odd_rows, tmp_path):
+    """Nulls, empty texts, repeated rows and ids, clashing names; and empty tables."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(i, 1, 0) for i in range(9)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "w " * 12), (1, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for rows in (odd_rows, []):
+        docs = frame(rows)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = corpus_pipeline.settle(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+            assert out.columns == frame(rows).columns and all(r["_doc"] == r["a.b"] == "clash" for r in out.collect())
+            docs = out
+        kept = sorted(map(str, (r.text for r in docs.collect())))
+        assert len(kept) == (9 if rows else 0)  # two more rows of one text go
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(kept)

@@ -92,3 +92,17 @@ def test_pieces_frame(spark, frame, odd_rows):
 def test_empty(spark, frame):
     assert read_token_files(write_token_files(frame([]), WORDS)).count() == 0
     assert encode_pieces(frame([]), PIECES).count() == 0
+
+
+def test_tokenizer_that_keeps_blanks(frame):
+    """A tokenizer whose pieces hold blanks gets whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lociq.llm.token_files import word_encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["Hello World. it's  two", "", None, "a\n\nb ÉÉ"]
+    library = Tokenizer.from_file(path)
+    got = [list(__import__("numpy").frombuffer(x, "<u4")) for x in word_encoder(path, "<u4")(texts)]
+    assert got == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
