@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lociq.llm.storage import may_hold, settle, summed
+from lociq.llm.storage import may_hold, named, settle, summed
 
 N_FOURIER = 256
 RIDGE = 1e-4
@@ -205,11 +205,12 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) ->
     model = fit_quality(document_statistics(some).join(taught, "doc_id").select("stats", "label"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
+    rows = docs.select(F.struct(*named(docs.columns)).alias("row"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            stats = [statistics(t or "") for t in batch.column(at).to_pylist()]
+            stats = [statistics(t or "") for t in batch.column(0).flatten()[at].to_pylist()]
             good = shared.value.score(np.array(stats).reshape(-1, len(STATISTICS))) >= threshold
             yield batch.filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return rows.mapInArrow(keep, rows.schema).select("row.*")
