@@ -85,9 +85,11 @@ def near_postings(index: DataFrame, looked_up: DataFrame, n: int = WINDOW) -> Da
     places away."""
     held = filter_of(looked_up.select(F.xxhash64("term")))
     asked = index.withColumn("bits", held.scalar())
-    asked = asked.select(*KEY, "postings", F.filter("postings", lambda p: may_be_in(F.col("bits"), F.xxhash64(p["term"]))).alias("rare"))
+    rare = F.transform("postings", lambda p, j: F.when(may_be_in(F.col("bits"), F.xxhash64(p["term"])), F.struct(p["term"].alias("term"), p["at"].alias("at"), j.alias("j"))))
+    asked = asked.select(*KEY, "postings", F.filter(rare, lambda p: p.isNotNull()).alias("rare"))
     spread = asked.where(F.size("rare") > 0).select(*KEY, "postings", F.inline("rare"))
-    near = F.filter("postings", lambda p: F.abs(p["at"] - F.col("at")) < n)
+    around = F.slice("postings", F.greatest(F.col("j") - (n - 1), F.lit(0)) + 1, 2 * n - 1)  # postings are in order of their places
+    near = F.filter(around, lambda p: F.abs(p["at"] - F.col("at")) < n)
     return spread.select(*KEY, "term", "at", near.alias("near")).join(looked_up, "term")
 
 
