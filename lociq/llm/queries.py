@@ -99,6 +99,13 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.llm.host_rules import judge_by_host
+
+    found = judge_by_host(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_quality": op2_quality,
@@ -110,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_hmm": op9_hmm,
     "op10_pieces": op10_pieces,
+    "op13_host_rules": op13_host_rules,
 }
 
 DECONTAMINATE = r"""
@@ -156,4 +164,24 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op8_jaccard": JACCARD, "op5_passages": PASSAGES, "op7_decontaminate": DECONTAMINATE}
+HOST_RULES = r"""
+WITH d AS (SELECT doc_id, CASE WHEN source LIKE '%://%' THEN regexp_extract(source, '^(?s).*?://([^/?#]*)', 1) ELSE coalesce(source, '') END AS h, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+ list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM p))),
+r AS (SELECT doc_id, count(DISTINCT i + o) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS x(o) WHERE n > 1 GROUP BY doc_id),
+m AS (SELECT doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+ len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words FROM p LEFT JOIN r USING (doc_id)),
+f AS (SELECT *, n_words < 50 AS short, 100 * n_repeat_words > 50 * n_words AS repetitive, 10 * n_symbols > n_words AS symbols, 10 * n_dup_lines > 3 * n_lines AS same_lines,
+ word_chars < 3 * n_words OR word_chars > 10 * n_words AS odd_words FROM m),
+by_rule AS (SELECT host, count(*)::DOUBLE AS n, rule, sum(broken::INT)::DOUBLE AS f
+ FROM (SELECT host, unnest(['short', 'repetitive', 'symbols', 'same_lines', 'odd_words']) AS rule, unnest([short, repetitive, symbols, same_lines, odd_words]) AS broken FROM f) GROUP BY host, rule),
+overall AS (SELECT rule, count(*) AS hosts, sum(n) AS n, sum(n * n) AS squares, sum(f) / sum(n) AS mean, sum(f * f / n) AS failed_squares FROM by_rule GROUP BY rule),
+share AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND n - squares / n - (hosts - 1) > 0
+ THEN ((failed_squares - mean * mean * n) / (mean * (1 - mean)) - (hosts - 1)) / (n - squares / n - (hosts - 1)) ELSE 0 END AS x FROM overall),
+prior AS (SELECT rule, mean, 1 / least(greatest(x, 1e-6), 1 - 1e-6) - 1 AS strength FROM share),
+verdict AS (SELECT host, bool_or((f + mean * strength) / (n + strength) > 0.5) AS rejected FROM by_rule JOIN prior USING (rule) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed, NOT (short OR repetitive OR rejected) AS kept FROM f JOIN verdict USING (host)
+"""
+
+SQL: dict[str, str] = {"op13_host_rules": HOST_RULES, "op8_jaccard": JACCARD, "op5_passages": PASSAGES, "op7_decontaminate": DECONTAMINATE}
