@@ -99,6 +99,15 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from lociq.llm.alignment import align_corpus
+
+    found = align_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), texts=False)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lociq.llm.host_rules import judge_by_host
 
@@ -117,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_hmm": op9_hmm,
     "op10_pieces": op10_pieces,
+    "op12_alignment": op12_alignment,
     "op13_host_rules": op13_host_rules,
 }
 
