@@ -99,6 +99,16 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lociq.llm.fill_middle import fill_in_middle, restored
+
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    got = fill_in_middle(table(spark, sf_dir, "documents"))
+    return got.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restored(F.col("output"), F.col("form"))).alias("restored_sha256")
+    )
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -126,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard": op8_jaccard,
     "op9_hmm": op9_hmm,
     "op10_pieces": op10_pieces,
+    "op11_fill_middle": op11_fill_middle,
     "op12_alignment": op12_alignment,
     "op13_host_rules": op13_host_rules,
 }
@@ -194,4 +205,14 @@ verdict AS (SELECT host, bool_or((f + mean * strength) / (n + strength) > 0.5) A
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repetitive AS base_failed, NOT (short OR repetitive OR rejected) AS kept FROM f JOIN verdict USING (host)
 """
 
-SQL: dict[str, str] = {"op13_host_rules": HOST_RULES, "op8_jaccard": JACCARD, "op5_passages": PASSAGES, "op7_decontaminate": DECONTAMINATE}
+FILL_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w, sha256('42:' || doc_id) AS s FROM documents),
+h AS (SELECT *, len(w)::BIGINT AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS x, greatest(h1 % (n + 1), h2 % (n + 1)) AS y,
+ CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT doc_id, n, form, t, array_to_string(w[1:x], '') AS a, array_to_string(w[x + 1:y], '') AS b, array_to_string(w[y + 1:], '') AS c FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(a)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(b)::BIGINT END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || a || '<S>' || c || '<M>' || b ELSE '<S>' || c || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+SQL: dict[str, str] = {"op11_fill_middle": FILL_MIDDLE, "op13_host_rules": HOST_RULES, "op8_jaccard": JACCARD, "op5_passages": PASSAGES, "op7_decontaminate": DECONTAMINATE}
