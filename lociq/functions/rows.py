@@ -35,27 +35,40 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _numbered(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(df as written, with _part and _at, the place of a row in its partition's order; of each partition and value of ``by`` the rows there,
+    the first _at, and the rows in partitions before)."""
+    written = keep(df.withColumn("_at", F.monotonically_increasing_id()))
+    written = written.withColumn("_part", F.shiftright("_at", 33))
+    counts = written.groupBy("_part", *by).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # one row for each part
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return written, counts.select("_part", *by, "_n", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+
+
 def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str], place: str, size: str) -> DataFrame:
     """Adds the place of each row (from 0) among those of equal values of ``by``, in order of other columns, and how many these are.
 
-    Rows are dealt by range and counted for each part; the rows of the parts before are added to the place within the part."""
-    dealt = keep(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))
-    counts = dealt.groupBy("_part", *by).agg(F.count("*").alias("_n"))  # one row for each part
-    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_part", *by, F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias(size))
-    within = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order)) - 1
-    return dealt.withColumn("_within", within).join(F.broadcast(starts), ["_part", *by]).withColumn(place, F.col("_before") + F.col("_within")).drop("_part", "_before", "_within")
+    Rows are dealt by range, sorted and written, the only time they move; the rows of the parts before are added to the place within the
+    part. df should be a written table, as the ranges are told from a sample of it."""
+    dealt, counts = _numbered(df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order), by)
+    starts = counts.select("_part", *by, "_first", "_before", F.sum("_n").over(Window.partitionBy(*by)).alias(size))
+    return dealt.join(F.broadcast(starts), ["_part", *by]).withColumn(place, F.col("_before") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_before")
 
 
 def with_row_number(df: DataFrame, name: str) -> DataFrame:
     """Adds the number of each row, from 1, in the order in which df has them."""
-    dealt = keep(df.withColumn("_at", F.monotonically_increasing_id()))
-    part = F.shiftright("_at", 33).alias("_part")
-    counts = dealt.groupBy(part).agg(F.count("*").alias("_n"))  # one row for each partition
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    numbered = dealt.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(starts), "_part")
-    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_before")
+    dealt, starts = _numbered(df, [])
+    numbered = dealt.join(F.broadcast(starts), "_part")
+    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_at", "_n", "_first", "_before")
+
+
+def dealt_in_order(numbered: DataFrame, name: str, least: int, most: int) -> DataFrame:
+    """Rows in order of their numbers, from with_row_number(), in partitions of ``most`` rows at most, and of ``least`` or more unless there
+    are fewer cores than that makes. What is done to each partition in its order leaves the whole in order: nothing need be sorted after."""
+    n = numbered.count()
+    cores = numbered.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n // most), min(cores, n // least))
+    return numbered.repartitionByRange(parts, name).sortWithinPartitions(name)
 
 
 def sum_arrays(parts: DataFrame, by: Sequence[str], column: str) -> DataFrame:

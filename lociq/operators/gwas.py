@@ -2,7 +2,8 @@
 
 The covariance of a SNP with the traits is all that changes from row to row, so a batch is fitted at once in
 numpy while Spark deals out the rows. The model and the covariance structure, of fixed size, travel with the
-function. Fits shuffle nothing and don't depend on the partition they are in; only results are brought in order.
+function. Rows are dealt out in order before they are fitted, by their number and not by their size, so results come in order and every
+SNP is fitted once.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ from pyspark.sql import functions as F
 
 from lociq.functions.normal import chi2_sf, norm_sf
 from lociq.functions.qc import by_prefix
-from lociq.functions.rows import with_row_number
+from lociq.functions.rows import dealt_in_order, with_row_number
 from lociq.operators.sem.fit import fit, fit_dwls, fit_ml, ml_weight, q_statistic, sandwich, smooth, vech_rows, weights_of
 from lociq.operators.sem.model import Model, compile_model
 from lociq.sources.tables import Covariance
 
 BATCH = 2_000
+#: SNPs of a task: as few as that to use all cores, as many at most.
+LEAST, MOST = 500, 20_000
 RESULT = "lhs string, op string, rhs string, est double, se_c double, Q double, Q_df int, Q_SNP double, Q_SNP_df int, fail string, warning string, Z_smooth double"
 
 
@@ -106,10 +109,11 @@ def q_of_snp(model: Model, got: dict[str, np.ndarray], latent: str, k: int) -> t
 
 
 def per_snp(snps: DataFrame, c: Covariance, text: str, options: Options) -> DataFrame:
-    """The first six columns of snps (or HSQ, Panel, Gene) and a row for each free or requested parameter of each row.
+    """The first six columns of snps (or HSQ, Panel, Gene) and a row for each free or requested parameter of each row, in the
+    order of snps and of the parameters.
 
-    snps: beta.<t> and se.<t> of the traits in the order of c, and MAF (or HSQ). A row that cannot be fitted has its
-    reason in ``fail`` and no estimate; the others go on.
+    snps: beta.<t> and se.<t> of the traits in the order of c, and MAF (or HSQ). A row that cannot be fitted, or whose fit ends at no
+    minimum, has its reason in ``fail`` and no estimate; the others go on.
     """
     k = len(c.names)
     betas, ses = by_prefix(snps.columns, "beta."), by_prefix(snps.columns, "se.")
@@ -134,26 +138,27 @@ def per_snp(snps: DataFrame, c: Covariance, text: str, options: Options) -> Data
                 fine = np.isfinite(beta).all(axis=1) & np.isfinite(se).all(axis=1) & (se > 0).all(axis=1) & (var > 0)
                 S, V = snp_covariances(np.where(fine[:, None], beta, 0.01), np.where(fine[:, None], se, 0.01), np.where(fine, var, 0.25), c, options)
                 got = fit_batch(model, S, V, options)
+                good = fine & got["ok"]
                 q_df = S.shape[1] * (S.shape[1] + 1) // 2 - model.n_free
                 parts = []
                 for i, p in enumerate(shown):
                     part = rows[[*kept, "_id"]].copy()
                     part["_i"] = i
                     part["lhs"], part["op"], part["rhs"] = p.lhs, p.op, p.rhs
-                    part["est"] = np.where(fine, got["theta"][:, p.free] if p.free >= 0 else p.value, np.nan)
-                    part["se_c"] = np.where(fine, got["se"][:, p.free] if p.free >= 0 else np.nan, np.nan)
-                    part["Q"], part["Q_df"] = np.where(fine, got["Q"], np.nan), q_df
+                    part["est"] = np.where(good, got["theta"][:, p.free] if p.free >= 0 else p.value, np.nan)
+                    part["se_c"] = np.where(good, got["se"][:, p.free] if p.free >= 0 else np.nan, np.nan)
+                    part["Q"], part["Q_df"] = np.where(good, got["Q"], np.nan), q_df
                     latent = p.lhs if p.lhs in latents and p.rhs == options.predictor else None
                     q, df = q_of_snp(model, got, latent, k) if latent else (np.full(len(rows), np.nan), 0)
-                    part["Q_SNP"], part["Q_SNP_df"] = np.where(fine, q, np.nan), df
+                    part["Q_SNP"], part["Q_SNP_df"] = np.where(good, q, np.nan), df
                     part["fail"] = np.where(fine, np.where(got["ok"], "0", "not converged"), "input missing or not positive")
                     part["warning"] = np.where(got["changed"] & fine, "smoothed", "0")
-                    part["Z_smooth"] = np.where(fine, got["smooth"], np.nan)
+                    part["Z_smooth"] = np.where(good, got["smooth"], np.nan)
                     parts.append(part)
-                yield pd.concat(parts) if parts else pd.DataFrame(columns=[*kept, "_id", "_i", *(x.split()[0] for x in RESULT.split(", "))])
+                yield pd.concat(parts).sort_values("_id", kind="stable") if parts else pd.DataFrame(columns=[*kept, "_id", "_i", *(x.split()[0] for x in RESULT.split(", "))])
 
     picked = snps.select(*(F.col(f"`{x}`") for x in kept), F.array(*(F.col(f"`{x}`").cast("double") for x in betas)).alias("_beta"), F.array(*(F.col(f"`{x}`").cast("double") for x in ses)).alias("_se"), variance.cast("double").alias("_var"))
-    picked = with_row_number(picked, "_id")
+    picked = dealt_in_order(with_row_number(picked, "_id"), "_id", LEAST, MOST)
     kinds = dict(picked.dtypes)
     schema = ", ".join([*(f"`{x}` {kinds[x]}" for x in kept), "_id long", "_i int", RESULT])
     return with_p_values(picked.mapInPandas(run, schema))
@@ -168,7 +173,7 @@ def with_p_values(df: DataFrame) -> DataFrame:
         return pd.Series(chi2_sf(q.to_numpy(float), df.to_numpy(float)))
 
     out = df.withColumns(null).withColumn("Z_Estimate", F.try_divide("est", "se_c")).withColumn("_a", F.abs("Z_Estimate"))
-    out = out.withColumn("Pval_Estimate", F.greatest(2 * norm_sf("_a"), F.lit(5e-300))).drop("_a")
+    out = out.withColumn("Pval_Estimate", F.when(F.col("_a").isNotNull(), F.greatest(2 * norm_sf("_a"), F.lit(5e-300)))).drop("_a")
     return out.withColumn("Q_pval", tail("Q", "Q_df")).withColumn("Q_pval", F.when(~F.isnan("Q_pval"), F.col("Q_pval")))
 
 
@@ -176,15 +181,13 @@ def common_factor_gwas(snps: DataFrame, c: Covariance, options: Options | None =
     """The SNP's effect on one factor behind all traits, with Q for its heterogeneity; a row for each SNP, in the order of snps."""
     options = options or Options(sub=("F1~SNP",), q_snp=True, fix_measurement=False)
     text = f"F1 =~ {' + '.join(c.names)}\nF1 ~ SNP\n" + "\n".join(f"{n} ~ 0*SNP" for n in c.names)
-    return per_snp(snps, c, text, options).orderBy("_id", "_i").drop("_id", "_i")
+    return per_snp(snps, c, text, options).drop("_id", "_i")
 
 
 def user_gwas(snps: DataFrame, c: Covariance, text: str, options: Options | None = None) -> DataFrame:
     """Any model with SNP among its variables; a row for each parameter asked for and each SNP, in the order of snps: i is the SNP's
     number among them, from 1."""
-    return per_snp(snps, c, text, options or Options()).withColumnRenamed("_id", "i").withColumnRenamed("_i", "param_index").orderBy("i", "param_index")
-
-
+    return per_snp(snps, c, text, options or Options()).withColumnRenamed("_id", "i").withColumnRenamed("_i", "param_index")
 
 
 def by_parameter(results: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.functions.rows import with_position
+from lociq.functions.rows import keep, with_position
 from lociq.sources.tables import Covariance
 
 CELL = ["i", "j"]
@@ -52,7 +52,7 @@ def joined_traits(traits: Sequence[DataFrame], scores: DataFrame, weights: DataF
     """trait, SNP, CHR, BP, N, Z, A1, L2, wLD of all traits with chi-square up to the cap: chisq_max, or the larger of
     80 and a thousandth of the largest N of the first trait (cap="first") or of each (cap="each")."""
     long = reduce(DataFrame.union, (t.select(F.lit(i).alias("trait"), "SNP", "N", "Z", "A1").dropna() for i, t in enumerate(traits)))
-    rows = long.join(weights.select("SNP", "wLD"), "SNP").join(scores.select("SNP", "CHR", "BP", "L2"), "SNP")
+    rows = keep(long.join(weights.select("SNP", "wLD"), "SNP").join(scores.select("SNP", "CHR", "BP", "L2"), "SNP"))  # read by all that follows
     if chisq_max is None:
         highest = dict(rows.where(~F.isnan("N")).groupBy("trait").agg(F.max("N")).collect())  # one row for each trait
         caps = {i: max(0.001 * highest.get(0 if cap == "first" else i, 0.0), 80.0) for i in range(len(traits))}

@@ -13,6 +13,7 @@ from lociq.operators.sem.model import Model
 from lociq.operators.sem.text import evaluate
 
 ROUNDS = 500
+RESTARTS = 2
 
 
 def smooth(m: np.ndarray, least: float = 1e-8) -> tuple[np.ndarray, np.ndarray]:
@@ -35,14 +36,110 @@ def weights_of(V: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(d) & (d > 0), 1 / np.where(d > 0, d, 1), 0.0)
 
 
+def moment_start(model: Model, S: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Rough estimates of the free parameters for each S (B, k, k), in closed form.
+
+    A loading is the slope of its indicator's covariances on those of the latent's first (or fixed) indicator, over all other variables; the
+    latent's covariances follow from that indicator, regressions from the covariances of what they join, and variances and
+    covariances, in which Sigma is linear, by weighted least squares."""
+    b, k = len(S), len(model.observed)
+    theta = np.tile(model.start, (b, 1))
+    C, known = np.zeros((b, model.size, model.size)), list(range(k))
+    C[:, :k, :k] = S
+    loadings = [p for p in model.parameters if p.op == "=~"]
+    waiting = [n for n in range(k, model.size)]
+    while waiting:
+        ready = [n for n in waiting if (own := [p for p in loadings if p.col == n]) and all(p.row in known for p in own)]
+        if not ready:
+            break
+        for n in ready:
+            _measure(model, C, theta, [p for p in loadings if p.col == n], n, known)
+        known += ready
+        waiting = [n for n in waiting if n not in ready]
+    for y in {p.row for p in model.parameters if p.op == "~" and p.free >= 0}:
+        own = [p for p in model.parameters if p.op == "~" and p.row == y]
+        free, fixed = [p for p in own if p.free >= 0], [p for p in own if p.free < 0 and p.value]
+        if y in known and all(p.col in known for p in own):
+            x = [p.col for p in free]
+            right = C[:, x, y] - sum((C[:, x, p.col] * p.value for p in fixed), np.zeros((b, len(x))))
+            theta[:, [p.free for p in free]] = (np.linalg.pinv(C[:, x][:, :, x]) @ right[:, :, None])[:, :, 0]
+    return np.clip(with_variances(model, theta, S, w), model.lower, model.upper)
+
+
+def _measure(model: Model, C: np.ndarray, theta: np.ndarray, own: list, n: int, known: list[int]) -> None:
+    """Fills in the loadings of a latent and its row of C."""
+    ratio = lambda a, b: np.where(np.abs(b) > 1e-12, a / np.where(np.abs(b) > 1e-12, b, 1), 0.0)
+    marker = next((p for p in own if p.free < 0 and p.value), own[0])
+    m, rest = marker.row, [p for p in own if p is not marker]
+    slopes = {}
+    for p in rest:
+        others = [i for i in known if i not in (m, p.row)]
+        slopes[p.row] = ratio((C[:, p.row, others] * C[:, m, others]).sum(axis=1), (C[:, m, others] ** 2).sum(axis=1))
+    shared = ratio(sum((C[:, m, j] * r for j, r in slopes.items()), np.zeros(len(C))), sum((r**2 for r in slopes.values()), np.zeros(len(C))))
+    shared = np.where((shared > 0) & (shared < C[:, m, m]), shared, C[:, m, m] / 2)
+    variance = next((p.value for p in model.parameters if p.op == "~~" and p.row == p.col == n and p.free < 0 and p.value > 0), 1.0)
+    scale = np.full(len(C), marker.value) if marker.free < 0 and marker.value else np.sqrt(np.abs(shared) / variance)
+    scale = np.where(scale == 0, 1.0, scale)
+    if marker.free >= 0:
+        theta[:, marker.free] = scale
+    for p in rest:
+        if p.free >= 0:
+            theta[:, p.free] = slopes[p.row] * scale
+    C[:, n, :] = C[:, :, n] = ratio(C[:, m, :], scale[:, None])
+    C[:, n, n] = shared / scale**2
+    for j, r in slopes.items():
+        C[:, n, j] = C[:, j, n] = r * scale * C[:, n, n]
+
+
+def with_variances(model: Model, theta: np.ndarray, S: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """theta with the free variances and covariances that fit best beside its loadings and regressions; variances stay positive."""
+    symmetric = [p for p in model.parameters if p.matrix == "P" and p.free >= 0]
+    at = sorted({p.free for p in symmetric})
+    if not at:
+        return theta
+    theta = theta.copy()
+    theta[:, at] = 0
+    sigma, T, full = model.implied(theta)
+    J = model.jacobian(T, full)[:, :, at]
+    JW = J * w[:, :, None]
+    H, g = JW.transpose(0, 2, 1) @ J, (JW.transpose(0, 2, 1) @ (vech_rows(S) - vech_rows(sigma))[:, :, None])[:, :, 0]
+    ridge = 1e-9 * np.maximum(np.einsum("bii->bi", H), 1e-300)
+    theta[:, at] = np.linalg.solve(H + ridge[:, :, None] * np.eye(len(at)), g[:, :, None])[:, :, 0]
+    least = 1e-3 * np.abs(np.einsum("bii->b", S))[:, None] / S.shape[1]
+    own = sorted({p.free for p in symmetric if p.row == p.col})
+    theta[:, own] = np.maximum(theta[:, own], least)
+    return theta
+
+
 def fit_dwls(model: Model, S: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(theta, converged) minimising sum w (s - sigma)^2 for each S (B, k, k): Levenberg-Marquardt with bounds by
-    projection; every matrix keeps its own damping, those that are done stay out."""
+    """(theta, converged) minimising sum w (s - sigma)^2 for each S (B, k, k): from moment estimates, and where that doesn't get to a
+    minimum, from them with variances held positive first, from the model's starting values, and from seeded changes of the moment estimates. Of
+    ends that are none the best is given."""
+    start = moment_start(model, S, w)
+    theta, ok, cost = _descend(model, S, w, start, model.lower)
+    own = sorted({p.free for p in model.parameters if p.matrix == "P" and p.row == p.col and p.free >= 0})
+    for attempt in range(2 + RESTARTS):
+        bad = np.flatnonzero(~ok)
+        if not len(bad):
+            break
+        again = start[bad] if attempt == 0 else np.tile(model.start, (len(bad), 1)) if attempt == 1 else start[bad] * np.random.default_rng(attempt).normal(1, 0.7, start.shape[1])
+        lower = model.lower.copy()
+        lower[own] = np.maximum(lower[own], 0.0)
+        held, _, _ = _descend(model, S[bad], w[bad], np.clip(again, lower, model.upper), lower)
+        new, fine, value = _descend(model, S[bad], w[bad], held, model.lower)
+        better = fine | (value < cost[bad])
+        take = bad[better]
+        theta[take], ok[take], cost[take] = new[better], fine[better], value[better]
+    return theta, ok
+
+
+def _descend(model: Model, S: np.ndarray, w: np.ndarray, start: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(theta, converged, cost) by Levenberg-Marquardt with bounds by projection; every matrix keeps its own damping, those that are done
+    stay out."""
     b, q = len(S), model.n_free
-    theta = np.tile(model.start, (b, 1))
-    s = vech_rows(S)
+    theta, s = start.copy(), vech_rows(S)
     if q == 0:
-        return theta, np.ones(b, bool)
+        return theta, np.ones(b, bool), (w * (s - vech_rows(model.implied(theta)[0])) ** 2).sum(axis=1)
     damp, done = np.full(b, 1e-3), np.zeros(b, bool)
     sigma, T, full = model.implied(theta)
     rest = s - vech_rows(sigma)
@@ -55,14 +152,14 @@ def fit_dwls(model: Model, S: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
         JW = J * w[on][:, :, None]
         H = JW.transpose(0, 2, 1) @ J
         g = (JW.transpose(0, 2, 1) @ rest[on][:, :, None])[:, :, 0]
-        stuck = ((theta[on] <= model.lower) & (g < 0)) | ((theta[on] >= model.upper) & (g > 0))
+        stuck = ((theta[on] <= lower) & (g < 0)) | ((theta[on] >= model.upper) & (g > 0))
         g = np.where(stuck, 0.0, g)
         scale = np.einsum("bii->bi", H)
         H[stuck, :] = 0
         H.transpose(0, 2, 1)[stuck, :] = 0
         D = np.where(stuck, 1.0, damp[on][:, None] * np.maximum(scale, 1e-12) + 1e-14)
         step = np.linalg.solve(H + D[:, :, None] * np.eye(q), g[:, :, None])[:, :, 0]
-        new = np.clip(theta[on] + step, model.lower, model.upper)
+        new = np.clip(theta[on] + step, lower, model.upper)
         sigma, T_new, full_new = model.implied(new)
         rest_new = s[on] - vech_rows(sigma)
         cost_new = (w[on] * rest_new**2).sum(axis=1)
@@ -75,9 +172,9 @@ def fit_dwls(model: Model, S: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
         damp[on] = np.where(better, np.maximum(damp[on] * 0.2, 1e-12), damp[on] * 10)
         done[on] = (better & (moved | (flat & gain))) | (damp[on] > 1e12)
     g = np.abs((model.jacobian(T, full).transpose(0, 2, 1) @ (w * rest)[:, :, None])[:, :, 0])
-    free = (theta > model.lower) & (theta < model.upper)
+    free = (theta > lower) & (theta < model.upper)
     top = (w * s**2).sum(axis=1)[:, None]
-    return theta, (np.where(free, g, 0) <= 1e-4 * (1 + np.sqrt(top) + top)).all(axis=1) & np.isfinite(cost)
+    return theta, (np.where(free, g, 0) <= 1e-4 * (1 + np.sqrt(top) + top)).all(axis=1) & np.isfinite(cost), cost
 
 
 def ml_objective(model: Model, theta: np.ndarray, S: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.functions.rows import sum_arrays, with_position
+from lociq.functions.rows import keep, sum_arrays, with_position
 from lociq.operators.ldsc import CELL, Prevalence, finite, jackknife, liability, rescale, vech_index
 from lociq.sources.tables import StratifiedCovariance
 
@@ -86,7 +86,7 @@ def cells(traits: Sequence[DataFrame], base: DataFrame) -> DataFrame:
     """i, j, CHR, BP, SNP, features, total, wLD, n1, n2, c1, c2, y: every trait with itself and with each later one, as in ldsc.cells;
     chi-square up to the larger of 80 and a thousandth of the trait's largest N."""
     long = reduce(DataFrame.union, (t.select(F.lit(i).alias("trait"), "SNP", "N", "Z", "A1").dropna() for i, t in enumerate(traits)))
-    rows = long.join(base, "SNP")
+    rows = keep(long.join(base, "SNP"))  # read by all that follows
     highest = dict(rows.where(~F.isnan("N")).groupBy("trait").agg(F.max("N")).collect())  # one row for each trait
     caps = F.create_map(*(F.lit(x) for i in range(len(traits)) for x in (i, max(0.001 * highest.get(i, 0.0), 80.0))))
     rows = rows.where((F.col("Z") * F.col("Z") <= F.element_at(caps, F.col("trait"))) & finite("N", "Z", "wLD", "total"))

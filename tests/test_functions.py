@@ -1,4 +1,5 @@
 import math
+import statistics
 from statistics import NormalDist
 
 import numpy as np
@@ -59,6 +60,15 @@ def test_directions_and_maf(spark):
     assert [r.VAR_SNP for r in qc.with_snp_variance(m).collect()] == pytest.approx([0.42, 0.32])
 
 
+@pytest.mark.parametrize("values", [[0.2, 0.8], [0.2, 0.79], [0.5], [0.4], [0.1, 0.5, 0.9], [0.1, 0.4, 0.9], [1.0, 2.0], [1.0, 1.9], [-5.0, 0.5, 0.5, 7.0], [0.3, 0.3, None, 0.9, 0.9], [], [None]])
+def test_median_reaches(spark, values):
+    df = spark.createDataFrame([(x,) for x in values], "x double")
+    known = sorted(x for x in values if x is not None)
+    for bound in (0.5, 1.5):
+        got = df.agg(qc.median_reaches("x", bound)).first()[0]
+        assert bool(got) == (bool(known) and statistics.median(known) >= bound)
+
+
 def test_odds_ratios(spark):
     ratios = gwas(spark, [(f"r{i}", "A", "G", x) for i, x in enumerate((0.9, 1.02, 1.3))])
     assert sorted(r.EFFECT for r in qc.log_of_odds_ratios(ratios).collect()) == pytest.approx([math.log(0.9), math.log(1.02), math.log(1.3)])

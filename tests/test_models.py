@@ -8,7 +8,7 @@ from lociq.operators import gwas, ldsc, posthoc, stratified
 from lociq.functions.rows import sum_arrays, with_position, with_row_number
 from lociq.operators.enrich import NOT_ANALYSED, base_results, enrich
 from lociq.operators.qtrait import qtrait
-from lociq.operators.sem.fit import fit, smooth, vech_rows
+from lociq.operators.sem.fit import _descend, fit, fit_dwls, smooth, vech_rows
 from lociq.operators.sem.model import compile_model, subset
 from lociq.operators.sem.models import common_factor, genetic_correlations, result_frames, standardised, user_model
 from lociq.operators.sem.text import ModelError, evaluate, parse
@@ -127,6 +127,76 @@ def test_gwas_as_single_fits(spark):
             assert spread[k].est == pytest.approx(r.est, rel=1e-9) and 0 <= r.Pval_Estimate <= 1 and r.Q >= 0
 
 
+MARKER = np.array([[0.321, 0.183, 0.173], [0.183, 0.298, 0.193], [0.173, 0.193, 0.298]])
+
+
+@pytest.mark.parametrize("v", [1e-2, 1e-3, 1e-4])
+def test_marker_scaled_factor(v):
+    """Three indicators: the loadings are ratios of covariances, by least squares as by maximum likelihood."""
+    (a, b, c) = MARKER[0, 1], MARKER[0, 2], MARKER[1, 2]
+    model = compile_model("F1 =~ x + y + z", ["x", "y", "z"], MARKER)
+    got, ml = fit(model, MARKER, np.eye(6) * v), fit(model, MARKER, np.eye(6) * v, "ML")
+    assert got.converged and np.allclose(got.theta, ml.theta, atol=1e-6)
+    assert {p.key: got.theta[p.free] for p in model.parameters if p.free >= 0 and p.op == "=~"} == pytest.approx({"F1=~y": c / b, "F1=~z": c / a})
+    assert got.full[3, 3] == pytest.approx(a * b / c)
+
+
+@pytest.mark.parametrize("text", ["F =~ a + c + e\nG =~ b + d + f", "F =~ a + c + e\nG =~ b + d + f\nF ~ G", "F =~ NA*a + c + e\nG =~ NA*b + d + f\nF ~~ 1*F\nG ~~ 1*G", "F =~ a + c + e\nG =~ b + d + f\nH =~ 1*F + 1*G"])
+def test_two_factors_from_any_loadings(text):
+    """Matrices that a model implies are fitted without rest; those with noise end where ten other starts end at best."""
+    rng = np.random.default_rng(4)
+    load = np.zeros((60, 6, 2))
+    for j in range(6):
+        load[:, j, j % 2] = rng.uniform(0.3, 1, 60) * rng.choice([-1, 1, 1], 60)
+    S = load @ np.array([[1, 0.4], [0.4, 1]]) @ load.transpose(0, 2, 1) + np.eye(6) * rng.uniform(0.2, 0.6, (60, 6))[:, None, :]
+    noise = rng.normal(0, 0.02, (60, 6, 6))
+    w = rng.uniform(50, 200, (1, 21)) * np.ones((60, 1))
+    model = compile_model(text, list("abcdef"), S[0])
+    cost = lambda theta, S: (w * (vech_rows(S) - vech_rows(model.implied(theta)[0])) ** 2).sum(axis=1)
+    theta, ok = fit_dwls(model, S, w)
+    assert ok.all() and cost(theta, S).max() < 1e-8
+    S = S + (noise + noise.transpose(0, 2, 1)) / 2
+    theta, ok = fit_dwls(model, S, w)
+    assert ok.all()
+    for _ in range(10):
+        other, fine, value = _descend(model, S, w, theta * rng.normal(1, 0.4, theta.shape), model.lower)
+        assert (cost(theta, S) <= value * (1 + 1e-6) + 1e-9)[fine].all()
+
+
+def test_fits_are_made_once_and_spread(spark):
+    """A fit each, whatever the partitions of the input, in as many tasks as asked for, in the order of the input."""
+    c, df = one_factor(3), snps(spark, 1200).coalesce(1)
+    counted = spark.sparkContext.accumulator(0)
+    real = gwas.fit_batch
+
+    def counting(model, S, V, options):
+        counted.add(len(S))
+        return real(model, S, V, options)
+
+    gwas.fit_batch = counting
+    try:
+        made = gwas.common_factor_gwas(df, c)
+        rows = made.collect()
+    finally:
+        gwas.fit_batch = real
+    assert counted.value == 1201 and [r.SNP for r in rows] == [r.SNP for r in df.collect()]
+    assert made.rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, 2)
+
+
+def test_failed_fits_have_no_estimates(spark, monkeypatch):
+    real = gwas.fit_batch
+
+    def failing(model, S, V, options):
+        return real(model, S, V, options) | {"ok": np.arange(len(S)) % 2 == 0}
+
+    monkeypatch.setattr(gwas, "fit_batch", failing)
+    rows = gwas.common_factor_gwas(snps(spark, 9).coalesce(1), one_factor(3)).collect()
+    assert [r.fail for r in rows] == ["0", "not converged"] * 4 + ["0", "input missing or not positive"]
+    for r in rows:
+        values = (r.est, r.se_c, r.Q, r.Q_SNP, r.Z_smooth, r.Z_Estimate, r.Pval_Estimate, r.Q_pval)
+        assert all(x is None for x in values) if r.fail != "0" else None not in values
+
+
 def test_user_gwas_and_control(spark):
     c, df = one_factor(3), snps(spark, 10)
     text = "F1 =~ NA*t0 + t1 + t2\nF1 ~~ 1*F1\nF1 ~ SNP"
