@@ -42,12 +42,12 @@ def byte_level() -> dict[str, int]:
 
 
 def overlaps(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(A token, B token) of each overlap, in order, and the bytes at which tokens of both begin. The sizes add up to the same."""
+    """(A token, B token) of each overlap, in order, and of each byte whether tokens of both begin there. The sizes add up to the same."""
     a = np.repeat(np.arange(len(a_sizes), dtype=np.int32), a_sizes)
     b = np.repeat(np.arange(len(b_sizes), dtype=np.int32), b_sizes)
     new_a, new_b = (np.diff(x, prepend=-1) != 0 for x in (a, b))
     at = new_a | new_b
-    return a[at], b[at], np.flatnonzero(new_a & new_b)
+    return a[at], b[at], new_a & new_b
 
 
 class Aligner:
@@ -69,43 +69,42 @@ class Aligner:
         self.b_bytes = [piece(i) for i in range(whole.get_piece_size())]
         self.a_sizes, self.b_sizes = (np.fromiter(map(len, x), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.width = len(self.b_bytes)
+        ids = [*range(len(self.a_bytes))], [*range(self.width)]
+        self.told = [f"{i}{end}" for side, last in zip(ids, "|;", strict=True) for i in side for end in (",", last)]
+        self.told_sizes = np.fromiter(map(len, self.told), np.int64)
         self.cache: dict[str, tuple | None] = {}
 
     def align(self, segments: list[str]) -> list[tuple | None]:
         """What each segment gives; all are laid out in one row of bytes."""
         a_ids = [x.ids for x in self.a.encode_batch_fast(segments, add_special_tokens=False)]
         b_ids = self.b.encode([s.replace(" ", MARK) for s in segments], num_threads=1)
-        same = [b"".join(map(self.a_bytes.__getitem__, a)) == (raw := s.encode()) == b"".join(map(self.b_bytes.__getitem__, b)) for s, a, b in zip(segments, a_ids, b_ids, strict=True)]
-        good = [i for i, x in enumerate(same) if x]
-        out: list[tuple | None] = [None] * len(segments)
-        if not good:
-            return out
-        a_count, b_count = ([len(ids[i]) for i in good] for ids in (a_ids, b_ids))
-        a = np.fromiter(chain.from_iterable(a_ids[i] for i in good), np.int64, sum(a_count))
-        b = np.fromiter(chain.from_iterable(b_ids[i] for i in good), np.int64, sum(b_count))
-        left, right, cuts = overlaps(self.a_sizes[a], self.b_sizes[b])
-        pairs = a[left] * self.width + b[right]
-        first = lambda counts: np.cumsum([0, *counts])
-        a_at, b_at = first(a_count), first(b_count)
-        links = np.searchsorted(left, a_at)
-        a_starts, b_starts = (np.cumsum(s) - s for s in (self.a_sizes[a], self.b_sizes[b]))
-        a_open, b_open = (np.isin(x, cuts, assume_unique=True) for x in (a_starts, b_starts))
-        for k, i in enumerate(good):
-            ai, bi = slice(a_at[k], a_at[k + 1]), slice(b_at[k], b_at[k + 1])
-            if len(a_ids[i]) == len(b_ids[i]) == 1:
-                text = f"{a_ids[i][0]}|{b_ids[i][0]}"
-                n = 1
-            else:
-                sides = (self._grouped(ids, opened) for ids, opened in ((a_ids[i], a_open[ai]), (b_ids[i], b_open[bi])))
-                groups = [f"{x}|{y}" for x, y in zip(*sides, strict=True)]
-                text, n = ";".join(groups), len(groups)
-            out[i] = a_count[k], b_count[k], n, pairs[links[k] : links[k + 1]].tobytes(), text
-        return out
-
-    @staticmethod
-    def _grouped(ids: list[int], opened: np.ndarray) -> list[str]:
-        at = [*np.flatnonzero(opened).tolist(), len(ids)]
-        return [",".join(map(str, ids[s:e])) for s, e in zip(at, at[1:])]
+        raw = [s.encode() for s in segments]
+        a_at, b_at, raw_at = (np.cumsum([0, *map(len, x)]) for x in (a_ids, b_ids, raw))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, n[-1]) for x, n in ((a_ids, a_at), (b_ids, b_at)))
+        a_starts, b_starts = (np.concatenate([[0], np.cumsum(s)]) for s in (self.a_sizes[a], self.b_sizes[b]))
+        whole = b"".join(raw)
+        joined = (b"".join(map(table.__getitem__, x.tolist())) for table, x in ((self.a_bytes, a), (self.b_bytes, b)))
+        if not all(x == whole for x in joined) or (a_starts[a_at] != raw_at).any() or (b_starts[b_at] != raw_at).any():
+            same = [b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for r, x, y in zip(raw, a_ids, b_ids, strict=True)]
+            good = iter(self.align([s for s, x in zip(segments, same, strict=True) if x]))
+            return [next(good) if x else None for x in same]
+        left, right, opened = overlaps(self.a_sizes[a], self.b_sizes[b])
+        a_opens, b_opens = opened[a_starts[:-1]], opened[b_starts[:-1]]
+        pairs = (a[left] * self.width + b[right]).tobytes()
+        links = (np.searchsorted(left, a_at) * 8).tolist()
+        a_groups, b_groups = np.cumsum(a_opens) - 1, np.cumsum(b_opens) - 1
+        groups = np.concatenate([[0], np.cumsum(a_opens)])[a_at].tolist()
+        # A's tokens of a group, then B's, each with the sign that follows it.
+        codes = np.zeros(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.searchsorted(b_groups, a_groups)] = 2 * a + np.append(a_opens[1:], True)
+        codes[np.arange(len(b)) + np.searchsorted(a_groups, b_groups, "right")] = 2 * (len(self.a_bytes) + b) + np.append(b_opens[1:], True)
+        text = "".join(map(self.told.__getitem__, codes.tolist()))
+        places = np.concatenate([[0], np.cumsum(self.told_sizes[codes])])[a_at + b_at].tolist()
+        counts = zip(np.diff(a_at).tolist(), np.diff(b_at).tolist(), strict=True)
+        return [
+            (n_a, n_b, groups[i + 1] - groups[i], pairs[links[i] : links[i + 1]], text[places[i] : places[i + 1] - 1])
+            for i, (n_a, n_b) in enumerate(counts)
+        ]
 
     def __call__(self, texts: list[str | None]) -> list[list[tuple | None]]:
         """What the segments of each text give, in order; none for a null or empty text."""
