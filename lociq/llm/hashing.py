@@ -12,6 +12,11 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def wide_hashes(words: list[bytes]) -> np.ndarray:
+    """Two 64-bit hashes of each word, as rows; the first isn't that of word_hashes."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2).T
+
+
 def powers(n: int, base: int = BASE) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     out = np.ones(max(n, 1), np.uint64)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from lociq.llm.hashing import runs_of, word_hashes
+from lociq.llm.hashing import runs_of, wide_hashes, word_hashes
 from lociq.llm.storage import discard, matching, may_hold, named, node_of, numbered, repeated_nodes, settle
 
 MIN_WORDS = 50
@@ -126,7 +126,7 @@ def with_neighbour(suffixes: DataFrame) -> DataFrame:
 
 
 def extended(base: DataFrame, candidates: DataFrame, min_words: int, seed: int, anchor: int) -> DataFrame:
-    """node, doc, run (hash of min_words words), salt, start: all runs around the candidates. Runs whose own
+    """node, doc, run, two (128 bits of min_words words), salt, start: all runs around the candidates. Runs whose own
     minimiser has a prefix in more than HOT places get a salt above 0 by document, others 0. Which it is
     follows from the words of the run, so equal runs agree."""
     reach = min_words - anchor
@@ -141,79 +141,88 @@ def extended(base: DataFrame, candidates: DataFrame, min_words: int, seed: int,
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 piece = batch.slice(at, SLICE)
-                words = [word_hashes(t.encode().split()) for t in piece.column(2).to_pylist()]  # bytes.split parts at the same characters
-                starts, salts = [], []
-                for hashes, told, node in zip(words, piece.column(3).to_pylist(), piece.column(0).to_pylist(), strict=True):
+                starts, salts, hashed = [], [], []
+                for text, told, node in zip(*(piece.column(i).to_pylist() for i in (2, 3, 0)), strict=True):
+                    words = text.encode().split()  # bytes.split parts at the same characters
+                    hashes, wide = word_hashes(words), wide_hashes(words)
                     told, last = np.array(told), len(hashes) - min_words
                     hot = np.zeros(len(hashes), bool)
                     hot[-1 - told[told < 0]] = True
                     own = first_least(runs_of(hashes, seed)[: len(hashes) - anchor + 1], reach + 1)
                     starts.append(np.flatnonzero(around(np.where(told < 0, -1 - told, told), last)))
                     salts.append(np.where(hot[own[starts[-1]]], 1 + node % SALTS, 0))
-                hashed = [runs_of(h, min_words)[s].view(np.int64) for h, s in zip(words, starts, strict=True)]
+                    hashed.append([runs_of(h, min_words)[starts[-1]].view(np.int64) for h in wide])
                 which = pa.array(np.repeat(np.arange(len(starts)), [len(x) for x in starts]))
-                rest = [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((hashed, "i8"), (salts, "i4"), (starts, "i4"))]
-                yield pa.RecordBatch.from_arrays([piece.column(0).take(which), piece.column(1).take(which), *rest], names=["node", "doc", "run", "salt", "start"])
+                rest = [pa.array(np.concatenate(x).astype(kind)) for x, kind in (*((x, "i8") for x in zip(*hashed)), (salts, "i4"), (starts, "i4"))]
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(which), piece.column(1).take(which), *rest], names=["node", "doc", "run", "two", "salt", "start"])
 
     texts = matching(base.select("node", "doc", "text"), candidates, ["node"])
-    return texts.select("node", "doc", "text", "places").mapInArrow(runs, "node long, doc long, run long, salt int, start int")
+    return texts.select("node", "doc", "text", "places").mapInArrow(runs, "node long, doc long, run long, two long, salt int, start int")
+
+
+TOLD = "node long, doc long, start int, later boolean, of long, run long, two long, more boolean"
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Neighbours of rows (node, doc, run, salt, start) sorted by (run, salt, doc, node, start): node, doc, start of each occurrence
-    that has another, later (whether it isn't the first), of (the document of the first), and run where the salt leaves the
-    rest to be told. The first of a salted group comes out in any case, with ``more`` telling if it is followed."""
-    schema = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("later", pa.bool_()), ("of", pa.int64()), ("run", pa.int64()), ("more", pa.bool_())])
+    """Neighbours of rows (node, doc, run, two, salt, start) sorted by (run, two, salt, doc, node, start): node, doc, start of each
+    occurrence that has another, and later, whether it isn't the first. Without a salt ``of`` tells the document of the first. With one, which
+    occurrence of the run is the first is told elsewhere, and run and two come along; the first of a salted group comes out in any
+    case, with ``more`` telling if it is followed."""
+    schema = pa.schema([("node", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("later", pa.bool_()), ("of", pa.int64()), ("run", pa.int64()), ("two", pa.int64()), ("more", pa.bool_())])
     group, head, open_head = None, None, False  # of the rows so far: key, first occurrence, whether it is still to come out
 
     def heads_out(rows: list[tuple]) -> pa.RecordBatch:
-        """Of (node, doc, start, run, more)."""
-        node, doc, start, run, more = list(zip(*rows, strict=True))
-        columns = [node, doc, start, [False] * len(rows), [None] * len(rows), run, more]
+        """Of (occurrence, key, more)."""
+        columns = zip(*((node, doc, start, False, None, *((run, two) if salt else (None, None)), more) for (node, doc, start), (run, two, salt), more in rows), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        node, run, salt, start = (batch.column(c).to_numpy() for c in (0, 2, 3, 4))
+        node, run, two, salt, start = (batch.column(c).to_numpy() for c in (0, 2, 3, 4, 5))
         docs = batch.column(1)
+        key = lambda i, run=run, two=two, salt=salt: (int(run[i]), int(two[i]), int(salt[i]))
+        place = lambda i, node=node, docs=docs, start=start: (int(node[i]), docs[i].as_py(), int(start[i]))
         new = np.ones(len(run), bool)
-        new[1:] = (run[1:] != run[:-1]) | (salt[1:] != salt[:-1])
-        new[0] = group != (run[0], salt[0])
+        new[1:] = (run[1:] != run[:-1]) | (two[1:] != two[:-1]) | (salt[1:] != salt[:-1])
+        new[0] = group != key(0)
         at = np.maximum.accumulate(np.where(new, np.arange(len(run)), -1))  # the head's row, -1: in an earlier batch
         first = [np.where(at >= 0, x[at], h) for x, h in zip((node, start), (head[0], head[2]) if head else (0, 0), strict=True)]
         again = ~new & ((node != first[0]) | (start != first[1]))
         rows = []
         if open_head and (again[at < 0]).any():
-            rows.append((*head, int(group[0]) if group[1] else None, True))
+            rows.append((head, group, True))
             open_head = False
-        elif open_head and new.any() and group[1]:
-            rows.append((*head, int(group[0]), False))
+        elif open_head and new.any() and group[2]:
+            rows.append((head, group, False))
         heads = np.flatnonzero(new)
         followed = np.zeros(len(run) + 1, bool)
         followed[at[again & (at >= 0)]] = True
         closed = heads[:-1] if len(heads) else heads
         emit = [h for h in heads.tolist() if followed[h]] + [h for h in closed.tolist() if not followed[h] and salt[h]]
-        rows += [(int(node[h]), docs[h].as_py(), int(start[h]), int(run[h]) if salt[h] else None, bool(followed[h])) for h in emit]
+        rows += [(place(h), key(h), bool(followed[h])) for h in emit]
         which = np.flatnonzero(again)
+        salted = salt[which] != 0
         earlier = pa.array([head[1] if head else None], pa.int64())
-        of = pa.concat_arrays([docs, earlier]).take(pa.array(np.where(at[which] >= 0, at[which], len(docs))))
+        of = pa.concat_arrays([docs, earlier]).take(pa.array(np.where(at[which] >= 0, at[which], len(docs)), mask=salted))
+        told = [pa.array(x[which], mask=~salted) for x in (run, two)]
         yes = pa.array(np.ones(len(which), bool))
-        yield pa.RecordBatch.from_arrays([pa.array(node[which]), docs.take(pa.array(which)), pa.array(start[which]), yes, of, pa.nulls(len(which), pa.int64()), yes], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(node[which]), docs.take(pa.array(which)), pa.array(start[which]), yes, of, *told, yes], schema=schema)
         if len(heads):
             h = int(heads[-1])
-            group, head, open_head = (run[h], salt[h]), (int(node[h]), docs[h].as_py(), int(start[h])), not followed[h]
+            group, head, open_head = key(h), place(h), not followed[h]
         if rows:
             yield heads_out(rows)
-    if open_head and group[1]:
-        yield heads_out([(*head, int(group[0]), False)])
+    if open_head and group[2]:
+        yield heads_out([(head, group, False)])
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, anchor: int = ANCHOR) -> tuple[DataFrame, int]:
     """node, doc, n_words, whole, copy, starts, later, source for documents with repeats, and the seed that numbers the rows: whether
     the whole text stands elsewhere too, and earlier; where runs of min_words words begin that stand elsewhere too (if not
     the whole text), which of these stand earlier too (in order of doc, node and place); the least id of a document where one
-    of them stands first (of a run in more than HOT places: where it stands earlier), as (has an id, doc)."""
+    of them stands first, as (has an id, doc). Runs are told apart by 128 bits. Those of a prefix in more than HOT places are compared in
+    SALTS parts, and the firsts of these with each other; the result is the same for any HOT."""
     for number in count():
         base = numbered(docs, number)
         suffixes = settle(kept_suffixes(base, min_words, seed, anchor), "suffixes")
@@ -225,21 +234,28 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED, ancho
     own = suffixes.where(~may).unionByName(suffixes.where(may).join(others, "node", "left_anti"))
     candidates = settle(with_neighbour(own), "suffix-neighbours")
     found = extended(base, candidates, min_words, seed, anchor)
-    told = found.repartition("run", "salt").sortWithinPartitions("run", "salt", "doc", "node", "start")
-    told = told.mapInArrow(compared, "node long, doc long, start int, later boolean, of long, run long, more boolean")
+    told = found.repartition("run", "salt").sortWithinPartitions("run", "two", "salt", "doc", "node", "start")
+    told = told.mapInArrow(compared, TOLD)
+    salted = F.col("run").isNotNull()
     later = F.when(F.col("later"), F.col("start"))
-    source = F.when(F.col("later"), F.struct(F.col("of").isNotNull().alias("has"), F.col("of").alias("doc")))
-    heads = F.when(F.col("run").isNotNull(), F.struct("run", "start", "more"))
-    sure = F.when(F.col("run").isNull() | F.col("more"), F.col("start"))
-    of_doc = told.groupBy("node", "doc").agg(F.collect_set(sure).alias("starts"), F.collect_set(later).alias("later"), F.min(source).alias("source"), F.collect_set(heads).alias("heads"))
+    source = F.when(F.col("later") & ~salted, F.struct(F.col("of").isNotNull().alias("has"), F.col("of").alias("doc")))
+    heads = F.when(salted & ~F.col("later"), F.struct("run", "two", "start", "more"))
+    behind = F.when(salted & F.col("later"), F.struct("run", "two"))
+    sure = F.when(~salted | F.col("more"), F.col("start"))
+    of_doc = told.groupBy("node", "doc").agg(
+        F.collect_set(sure).alias("starts"), F.collect_set(later).alias("later"), F.min(source).alias("source"), F.collect_set(heads).alias("heads"), F.collect_set(behind).alias("behind")
+    )
     of_doc = settle(of_doc, "runs-told")
     discard(candidates)
 
-    salted = of_doc.select("node", "doc", F.inline("heads"))
+    firsts = of_doc.select("node", "doc", F.inline("heads"))
     place = F.struct(F.col("doc").isNotNull().alias("has"), "doc", "node", "start")
-    ends = settle(salted.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last"), "salted-runs")
+    ends = firsts.groupBy("run", "two").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("more").alias("more"))
+    ends = settle(ends.where("first != last or more"), "salted-runs")
     again = (place != F.col("first")).alias("again")
-    more = salted.join(ends, "run").select("node", "start", again, F.struct("first.has", "first.doc").alias("of")).groupBy("node").agg(
+    others = firsts.join(ends.where("first != last").drop("more"), ["run", "two"]).select("node", "start", again, F.struct("first.has", "first.doc").alias("of"))
+    after = of_doc.select("node", F.inline("behind")).join(ends, ["run", "two"]).select("node", F.lit(None).cast("int").alias("start"), F.lit(True).alias("again"), F.struct("first.has", "first.doc").alias("of"))
+    more = others.unionByName(after).groupBy("node").agg(
         F.collect_set("start").alias("starts2"), F.collect_set(F.when(F.col("again"), F.col("start"))).alias("later2"), F.min(F.when(F.col("again"), F.col("of"))).alias("source2")
     )
     none = F.array().cast("array<int>")

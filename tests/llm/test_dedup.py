@@ -6,7 +6,7 @@ import pytest
 
 from lociq.llm.components import components
 from lociq.llm.jaccard import keep_one_of_each, similar_components
-from lociq.llm.suffixes import dedup_passages, passages, selected
+from lociq.llm.suffixes import dedup_passages, passages, selected, stretches
 
 from .conftest import sentence
 
@@ -96,19 +96,23 @@ def test_long_chain(spark):
 
 
 def brute_passages(rows, size):
-    runs, words = defaultdict(list), {}
+    runs, words, whole = defaultdict(list), {}, {}
     for i, t in sorted((i, t) for i, t in rows if t):
         w = words[i] = t.split()
+        whole.setdefault(t, i)
         for s in range(len(w) - size + 1):
             runs[tuple(w[s : s + size])].append((i, s))
-    repeated, later = defaultdict(set), defaultdict(set)
+    repeated, later, first = defaultdict(set), defaultdict(set), {}
     for places in runs.values():
         if len(set(places)) > 1:
             for i, s in places:
                 repeated[i].update(range(s, s + size))
                 if (i, s) != min(places):
                     later[i].update(range(s, s + size))
-    return {i: (len(words[i]), len(repeated[i]), len(later[i])) for i in repeated}, {i: [w for k, w in enumerate(words[i]) if k not in later[i]] for i in words}
+                    first[i] = min(first.get(i, i), min(places)[0])
+    first |= {i: whole[t] for i, t in rows if t and whole[t] < i}
+    spans = {i: [(a, b) for a, b in stretches(np.isin(np.arange(len(words[i])), list(x)))] for i, x in repeated.items()}
+    return {i: (len(words[i]), len(repeated[i]), len(later[i]), first.get(i), spans[i]) for i in repeated}, {i: [w for k, w in enumerate(words[i]) if k not in later[i]] for i in words}
 
 
 def repeated_texts(seed):
@@ -120,7 +124,7 @@ def repeated_texts(seed):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
+@pytest.mark.parametrize("hot", [4096, 5, 2])
 def test_passages_as_brute_force(frame, monkeypatch, hot):
     import lociq.llm.suffixes as module
 
@@ -128,8 +132,7 @@ def test_passages_as_brute_force(frame, monkeypatch, hot):
     rows = repeated_texts(3)
     want, kept = brute_passages(rows, 50)
     got = passages(frame(rows)).collect()
-    assert {r.doc_id: (r.n_words, r.n_repeated, r.n_later) for r in got} == want
-    assert all(sum(s.end - s.begin for s in r.spans) == r.n_repeated for r in got)
+    assert {r.doc_id: (r.n_words, r.n_repeated, r.n_later, r.first_doc_id, [(s.begin, s.end) for s in r.spans]) for r in got} == want
     texts = {r.doc_id: r for r in dedup_passages(frame(rows)).collect()}
     assert {i: r.text.split() for i, r in texts.items()} == kept
     assert all(r.n_chars == len(r.text) for r in texts.values())
