@@ -185,11 +185,23 @@ def test_contamination_as_brute_force(spark, frame, odd_rows, monkeypatch, block
     assert not any(r.contaminated for r in contamination(frame(docs), bench.limit(0)).collect())
 
 
+def test_shifted_lists(spark, frame):
+    """Terms that stand twice in a window, at the very start and end, of windows of one, two and more terms, and copies of a row."""
+    texts = ["aa aa aa aa", "x aa bb aa", "aa bb aa bb aa", "aa", "bb aa", "AA-bb-AA", "", None, "aa bb", "É aa é", "aa " * 25]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(2, texts[2])] * 3
+    items = [(1, "aa bb aa"), (2, "aa aa"), (3, "bb"), (4, "É aa"), (5, "é aa"), (6, "aa " * 12), (7, "cc aa")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = contamination(frame(docs), bench).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit) for r in got) == sorted((i, n, h) for i, n, h, _ in brute_contamination(docs, items))
+    want = {0: 1, 2: 2, 4: 1, 9: 1, 10: 2}
+    assert {r.doc_id: r.n_items for r in got if r.doc_id in want} == want
+
+
 def test_proximity(spark, frame):
     docs = frame([(1, "aa bb cc dd"), (2, "dd x cc y bb aa"), (3, "aa bb cc")])
     bench = spark.createDataFrame([(1, "aa bb cc dd")], "item_id long, text string")
-    _, index, met = matched(docs, bench, 10)
-    near = proximity_matches(met).join(index, ["node", "one"]).select("doc").distinct()
+    _, index, looked_up, pairs = matched(docs, bench, 10)
+    near = proximity_matches(index, pairs, looked_up).join(index, ["node", "one"]).select("doc").distinct()
     assert sorted(r.doc for r in near.collect()) == [1, 2]
     assert {r.doc_id: (r.n_near, r.n_hit) for r in contamination(docs, bench).collect()} == {1: (1, 4), 2: (1, 0), 3: (0, 0)}
 
