@@ -3,11 +3,13 @@
 The statistics of a text (shares of kinds of characters, word lengths, repetition, shape of its lines) are
 mapped by random Fourier features, which approximate a Gaussian kernel. Each partition sums its part of
 the normal equations, Spark adds the parts up by row of the matrix, and the driver solves one system of
-fixed size. Isotonic regression over a fixed grid of raw scores turns them into probabilities.
+fixed size. Isotonic regression over a fixed grid of raw scores turns them into probabilities; the scores it learns from are those of
+models that the row had no part in (its fold's equations are taken off the sum), so that it isn't fooled by what the ridge has fitted.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +25,7 @@ RIDGE = 1e-4
 WIDTH = 1.0
 SEED = 7
 GRID = 2048
+FOLDS = 4
 SLICE = 256
 
 #: Kinds of bytes: 0 other symbols, 1 a-z, 2 A-Z, 3 digits, 4 blanks, 5 line ends, 6 stops and commas, 7 beyond ASCII.
@@ -110,6 +113,11 @@ def _stats_of(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return batch.column(at).flatten().to_numpy().reshape(-1, len(STATISTICS))
 
 
+def folds(stats: np.ndarray) -> np.ndarray:
+    """A fold for each row by its statistics, so that equal texts share one."""
+    return np.fromiter((zlib.crc32(x.tobytes()) % FOLDS for x in np.ascontiguousarray(stats)), np.int64, len(stats))
+
+
 def isotonic(places: np.ndarray, counts: np.ndarray, positives: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: rising means over places in ascending order, as (places, means)."""
     blocks: list[list[float]] = []
@@ -122,6 +130,12 @@ def isotonic(places: np.ndarray, counts: np.ndarray, positives: np.ndarray) -> t
     return np.array([x for x, _ in ends]), np.array([m for _, m in ends])
 
 
+def _solved(normal: np.ndarray) -> np.ndarray:
+    """Ridge weights from normal equations, the last column their right side; the constant is hardly shrunk."""
+    xtx, xty = normal[:, :-1], normal[:, -1]
+    return np.linalg.solve(xtx + RIDGE * xtx[-1, -1] * np.diag([*np.ones(len(xtx) - 1), 1e-9]), xty)
+
+
 def fit_quality(labelled: DataFrame, n_fourier: int = N_FOURIER) -> QualityModel:
     """Fit on all rows of (stats array<double>, label int); rows with a null in either are left out.
     Without rows the model scores 0.5 throughout; with one class only, that class."""
@@ -135,23 +149,32 @@ def fit_quality(labelled: DataFrame, n_fourier: int = N_FOURIER) -> QualityModel
     first, second = np.array(rest[::2], float) / n, np.array(rest[1::2], float) / n
     model = QualityModel(first, np.sqrt(np.maximum(second - first**2, 0)) + 1e-6, n_fourier)
     shared = spark.sparkContext.broadcast(model)  # a few hundred kB whatever the input
+    size = n_fourier + 1
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_fourier + 1, n_fourier + 2))
+        total = np.zeros((FOLDS, size, size + 1))
         for batch in batches:
-            x, y = shared.value.fourier(_stats_of(batch, 0)), batch.column(1).to_numpy()
-            total += x.T @ np.column_stack([x, y])
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([x.tobytes() for x in total], pa.binary())], names=["i", "row"])
+            stats, y = _stats_of(batch, 0), batch.column(1).to_numpy()
+            x, own = shared.value.fourier(stats), folds(stats)
+            both = np.column_stack([x, y])
+            for k in range(FOLDS):
+                total[k] += x[own == k].T @ both[own == k]
+        rows = total.reshape(FOLDS * size, size + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["i", "row"])
 
     parts = data.mapInArrow(part, "i int, row binary")  # a row of each i from each partition
-    normal = np.array([np.frombuffer(r["row"]) for r in sorted(summed(parts, "i", "row", "<f8").collect())])
-    xtx, xty = normal[:, :-1], normal[:, -1]
-    model.weights = np.linalg.solve(xtx + RIDGE * n * np.diag([*np.ones(n_fourier), 1e-9]), xty)
-    fitted = spark.sparkContext.broadcast(model)
+    normal = np.array([np.frombuffer(r["row"]) for r in sorted(summed(parts, "i", "row", "<f8").collect())]).reshape(FOLDS, size, size + 1)
+    whole = normal.sum(axis=0)
+    model.weights = _solved(whole)
+    without = np.array([_solved(whole - x) if 0 < x[-1, -2] < n else model.weights for x in normal])  # the last feature is 1: its square counts rows
+    fitted = spark.sparkContext.broadcast((model, without))
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, without = fitted.value
         for batch in batches:
-            at = np.clip(np.floor((fitted.value.raw(_stats_of(batch, 0)) + 0.5) / 2 * GRID), 0, GRID - 1).astype(np.int32)
+            stats = _stats_of(batch, 0)
+            raw = (model.fourier(stats) * without[folds(stats)]).sum(axis=1)
+            at = np.clip(np.floor((raw + 0.5) / 2 * GRID), 0, GRID - 1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(1)], names=["bin", "label"])
 
     grid = data.mapInArrow(bins, "bin int, label double").groupBy("bin").agg(F.count("*").alias("n"), F.sum("label").alias("p")).orderBy("bin").collect()  # GRID rows at most

@@ -78,6 +78,24 @@ def test_normal_equations_as_solved_at_once(spark):
         assert abs(score[at].mean() - y[at].mean()) < 0.1
 
 
+def test_calibration_on_rows_kept_out(spark):
+    """Labels that statistics tell with some chance alone: scores of fresh rows are as often right as they say, which those that the
+    steps would have from the ridge's own rows are not."""
+    rng = np.random.default_rng(8)
+    stats = rng.normal(size=(1600, len(STATISTICS)))
+    chance = 1 / (1 + np.exp(-1.5 * stats[:, 0]))
+    labels = (rng.random(1600) < chance).astype(int)
+    taught = spark.createDataFrame([(x.tolist(), int(y)) for x, y in zip(stats[:600], labels[:600], strict=True)], "stats array<double>, label int")
+    model = fit_quality(taught)
+    score, y = model.score(stats[600:]), labels[600:]
+    raw = model.raw(stats[:600])
+    order = np.argsort(raw)
+    fooled = np.interp(model.raw(stats[600:]), *isotonic(raw[order], np.ones(600), labels[:600][order].astype(float)))
+    error = lambda s: sum(abs((s[g] - y[g]).sum()) for g in np.array_split(np.argsort(s, kind="stable"), 10)) / len(y)
+    assert error(score) < 0.08 and error(score) < 0.6 * error(fooled)
+    assert ((score - y) ** 2).mean() < ((fooled - y) ** 2).mean()
+
+
 def test_ties_of_counts_keep_own_rows(spark, monkeypatch):
     import lociq.llm.hmm as hmm
 
