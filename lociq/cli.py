@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -67,6 +67,21 @@ def _covariance(spark: SparkSession, path: str) -> T.Covariance:
     return T.covariance_from_json(_text(spark, path))
 
 
+def _together(a: argparse.Namespace, *options: str) -> Iterator[tuple]:
+    """The values of several options side by side; those not given are None throughout. Unequal numbers of values are an error."""
+    n = len(a.files)
+    for option in options:
+        given = getattr(a, option)
+        if given and len(given) != n:
+            raise ValueError(f"{n} files, but {len(given)} values of --{option.replace('_', '-')}")
+    return zip(a.files, *(getattr(a, option) or [None] * n for option in options), strict=True)
+
+
+def _within(option: str, value: float, low: float, high: float) -> None:
+    if not low <= value <= high:
+        raise ValueError(f"--{option} lies between {low} and {high}, not at {value}")
+
+
 def _prevalences(a: argparse.Namespace) -> list[ldsc.Prevalence]:
     sample, population = a.sample_prev or [], a.population_prev or []
     pad = lambda x: [*x, *[None] * (len(a.trait_names) - len(x))]
@@ -79,7 +94,9 @@ PREVALENCE = (arg("sample-prev", many(float)), arg("population-prev", many(float
 @command("munge", FILES, NAMES, OUT, arg("ref", required=True), arg("n", many(float)), arg("info", float, 0.9), arg("maf", float, 0.01), arg("overwrite", bool, False), arg("report", bool, False))
 def _munge(spark, a):
     ref = _table(spark, a.ref, ["SNP", "A1", "A2"])
-    for path, name, n in zip(a.files, a.trait_names, a.n or [None] * len(a.files), strict=True):
+    _within("info", a.info, 0, 2)
+    _within("maf", a.maf, 0, 0.5)
+    for path, name, n in _together(a, "trait_names", "n"):
         steps = clean.munge_steps(_table(spark, path, ["SNP", "A1", "A2", "EFFECT", "P"]), ref, n, a.info, a.maf)
         T.write_munged(steps[-1][1], f"{a.out}/{name}.sumstats", a.overwrite)
         if a.report:
@@ -91,24 +108,27 @@ def _munge(spark, a):
 def _sumstats(spark, a):
     from lociq.sources.headers import effect_is_beta
 
+    _within("info", a.info, 0, 2)
+    _within("maf", a.maf, 0, 0.5)
     panel = _table(spark, a.ref, ["SNP", "A1", "A2", "MAF"])
     traits = []
-    for path, name, kind, n in zip(a.files, a.trait_names, a.kinds, a.n or [None] * len(a.files), strict=True):
+    for path, name, kind, n in _together(a, "trait_names", "kinds", "n"):
         raw = T.read_table(spark, path)
         traits.append(clean.Trait(name, T.canonical(raw, ["SNP", "A1", "A2", "EFFECT", "P"]), kind, n, effect_is_beta(raw.columns)))
     merged = clean.merge_traits(traits, panel, a.maf, a.info, a.keep_indel, a.ambig, a.direct_filter)
-    T.write_table(merged, a.out)
+    out = a.out + T.trait_file_name(a.trait_names) if a.out.endswith("/") else a.out  # a folder: the traits' names tell the file's
+    T.write_table(merged, out)
     if a.report:
-        T.write_table(clean.effects_report(merged, a.trait_names), f"{a.out}.report")
+        T.write_table(clean.effects_report(merged, a.trait_names), f"{out}.report")
 
 
-@command("ldsc", FILES, NAMES, OUT, arg("ld", required=True), arg("wld"), arg("chr", int, 22), arg("select", str, "ALL"), arg("n-blocks", int, 200), arg("chisq-max", float), arg("stand", bool, False), *PREVALENCE)
+@command("ldsc", FILES, NAMES, OUT, arg("ld", required=True), arg("wld"), arg("chr", int, 22), arg("select", str, "ALL"), arg("n-blocks", int, 200), arg("chisq-max", float), arg("stand", bool, False), arg("order", str, "place"), *PREVALENCE)
 def _ldsc(spark, a):
     chosen = a.select if a.select.isalpha() else many(int)(a.select)
     scores = T.read_ld_scores(spark, a.ld, chosen, a.chr)
     weights = T.as_weights(T.read_ld_scores(spark, a.wld, chosen, a.chr) if a.wld else scores)
     m = T.total_count(spark, [f"{a.ld}/{c}.l2.M_5_50" for c in T.chromosomes(chosen, a.chr)])
-    c, _ = ldsc.ldsc([_table(spark, f, ["SNP", "N", "Z", "A1"]) for f in a.files], scores, weights, m, a.trait_names, _prevalences(a), a.n_blocks, a.chisq_max, stand=a.stand)
+    c, _ = ldsc.ldsc([_table(spark, f, ["SNP", "N", "Z", "A1"]) for f in a.files], scores, weights, m, a.trait_names, _prevalences(a), a.n_blocks, a.chisq_max, stand=a.stand, order=a.order)
     _put(spark, a.out, T.covariance_to_json(c))
 
 
@@ -141,18 +161,18 @@ def _snps(spark, a):
     return _numbers(df, "MAF", "HSQ", *(x for x in df.columns if x.startswith(("beta.", "se."))))
 
 
-GWAS = (COV, OUT, arg("snps", required=True), arg("estimation", str, "DWLS"), arg("gc", str, "standard"), arg("snp-se", float, 0.0005))
+GWAS = (COV, OUT, arg("snps", required=True), arg("estimation", str, "DWLS"), arg("gc", str, "standard"), arg("snp-se", float, 0.0005), arg("toler", float))
 
 
 @command("commonfactor-gwas", *GWAS)
 def _common_gwas(spark, a):
-    options = gwas.Options(a.estimation, a.gc, a.snp_se, sub=("F1~SNP",), q_snp=True, fix_measurement=False)
+    options = gwas.Options(a.estimation, a.gc, a.snp_se, sub=("F1~SNP",), q_snp=True, fix_measurement=False, toler=a.toler)
     T.write_table(gwas.common_factor_gwas(_snps(spark, a), _covariance(spark, a.covstruc), options), a.out)
 
 
 @command("user-gwas", *GWAS, arg("model", required=True), arg("sub", many(), []), arg("std-lv", bool, False), arg("fix-measurement", bool, True), arg("q-snp", bool, False))
 def _user_gwas(spark, a):
-    options = gwas.Options(a.estimation, a.gc, a.snp_se, a.std_lv, a.fix_measurement, a.q_snp, tuple(x.replace(" ", "") for x in a.sub))
+    options = gwas.Options(a.estimation, a.gc, a.snp_se, a.std_lv, a.fix_measurement, a.q_snp, tuple(x.replace(" ", "") for x in a.sub), toler=a.toler)
     out = gwas.user_gwas(_snps(spark, a), _covariance(spark, a.covstruc), _text(spark, a.model), options)
     if options.sub:
         for i, (_, part) in enumerate(gwas.by_parameter(out, options.sub).items(), 1):
@@ -161,16 +181,18 @@ def _user_gwas(spark, a):
         T.write_table(out, a.out)
 
 
-@command("commonfactor", COV, OUT, arg("estimation", str, "DWLS"))
+@command("commonfactor", COV, OUT, arg("estimation", str, "DWLS"), arg("cfi-calc", bool, True), arg("toler", float))
 def _common_factor(spark, a):
-    parameters, stats = models.result_frames(spark, models.common_factor(_covariance(spark, a.covstruc), a.estimation), a.estimation)
+    got = models.common_factor(_covariance(spark, a.covstruc), a.estimation, a.toler)
+    parameters, stats = models.result_frames(spark, got, a.estimation, a.cfi_calc)
     T.write_table(parameters, a.out)
     T.write_table(stats, T.part_name(a.out, 0))
 
 
-@command("usermodel", COV, OUT, arg("model", required=True), arg("estimation", str, "DWLS"), arg("std-lv", bool, False))
+@command("usermodel", COV, OUT, arg("model", required=True), arg("estimation", str, "DWLS"), arg("std-lv", bool, False), arg("cfi-calc", bool, True), arg("toler", float))
 def _user_model(spark, a):
-    parameters, stats = models.result_frames(spark, models.user_model(_covariance(spark, a.covstruc), _text(spark, a.model), a.estimation, a.std_lv), a.estimation)
+    got = models.user_model(_covariance(spark, a.covstruc), _text(spark, a.model), a.estimation, a.std_lv, a.toler)
+    parameters, stats = models.result_frames(spark, got, a.estimation, a.cfi_calc)
     T.write_table(parameters, a.out)
     T.write_table(stats, T.part_name(a.out, 0))
 
@@ -196,8 +218,12 @@ def _hdl(spark, a):
 
 @command("pa-ldsc", OUT, arg("s", required=True), arg("v", required=True), arg("r", int, 500), arg("p", float, 0.95), arg("diag", bool, False), arg("fa", bool, False), arg("nfactors", int, 1), arg("seed", int, 1))
 def _pa(spark, a):
-    out, _ = posthoc.parallel_analysis(spark, T.read_matrix(spark, a.s), T.read_matrix(spark, a.v), a.r, a.p, a.seed, a.diag, a.fa, a.nfactors)
-    T.write_table(out, a.out)
+    stem, dot, ext = a.out.rpartition(".") if "." in a.out.rsplit("/", 1)[-1] else (a.out, "", "")
+    for fa in (False, True)[: 1 + a.fa]:
+        for diag in (False, True)[: 1 + a.diag]:
+            out, _ = posthoc.parallel_analysis(spark, T.read_matrix(spark, a.s), T.read_matrix(spark, a.v), a.r, a.p, a.seed, diag, fa, a.nfactors)
+            told = out.orderBy("rank").coalesce(1).withColumnsRenamed({"observed": "Observed", "parallel": "Parallel"})  # one row for each trait
+            T.write_table(told, stem + "_fa" * fa + "_diag" * diag + dot + ext)
 
 
 @command("index-s", COV, OUT, arg("include-diag", bool, True))

@@ -29,6 +29,10 @@ LEAST, MOST = 500, 20_000
 RESULT = "lhs string, op string, rhs string, est double, se_c double, Q double, Q_df int, Q_SNP double, Q_SNP_df int, fail string, warning string, Z_smooth double"
 
 
+#: Columns of the common factor's results, behind those of the SNP.
+COMMON = ("lhs", "op", "rhs", "est", "se_c", "Z_Estimate", "Pval_Estimate", "Q", "Q_df", "Q_pval", "Q_SNP", "Q_SNP_df", "fail", "warning", "Z_smooth")
+
+
 @dataclass(frozen=True)
 class Options:
     estimation: str = "DWLS"
@@ -39,6 +43,7 @@ class Options:
     q_snp: bool = False
     sub: tuple[str, ...] = ()
     predictor: str = "SNP"
+    toler: float | None = None
 
 
 def intercepts(I: np.ndarray) -> np.ndarray:  # noqa: E741
@@ -95,7 +100,7 @@ def fit_batch(model: Model, S: np.ndarray, V: np.ndarray, options: Options) -> d
         theta, ok = fit_ml(model, S)
         W = ml_weight(S)
     sigma, T, full = model.implied(theta)
-    cov = sandwich(model.jacobian(T, full), W, V)
+    cov = sandwich(model.jacobian(T, full), W, V, options.toler)
     rest = vech_rows(S) - vech_rows(sigma)
     change = np.where(s_bad | v_bad, np.abs(z(S, V) - before).max(axis=1), 0.0)
     return {"theta": theta, "ok": ok, "se": np.sqrt(np.abs(np.einsum("bii->bi", cov))), "rest": rest, "V": V, "Q": q_statistic(rest, V), "smooth": change, "changed": s_bad | v_bad}
@@ -181,7 +186,9 @@ def common_factor_gwas(snps: DataFrame, c: Covariance, options: Options | None =
     """The SNP's effect on one factor behind all traits, with Q for its heterogeneity; a row for each SNP, in the order of snps."""
     options = options or Options(sub=("F1~SNP",), q_snp=True, fix_measurement=False)
     text = f"F1 =~ {' + '.join(c.names)}\nF1 ~ SNP\n" + "\n".join(f"{n} ~ 0*SNP" for n in c.names)
-    return per_snp(snps, c, text, options).drop("_id", "_i")
+    out = per_snp(snps, c, text, options).drop("_id", "_i")
+    out = out.withColumn("rhs", F.lit("Gene")) if "HSQ" in snps.columns else out
+    return out.select(*(f"`{x}`" for x in out.columns if x not in COMMON), *COMMON)
 
 
 def user_gwas(snps: DataFrame, c: Covariance, text: str, options: Options | None = None) -> DataFrame:

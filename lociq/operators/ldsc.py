@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lociq.functions.rows import keep, with_position
+from lociq.functions.rows import keep, with_position, with_row_number
 from lociq.sources.tables import Covariance
 
 CELL = ["i", "j"]
@@ -50,8 +50,9 @@ def finite(*columns: str) -> Column:
 
 def joined_traits(traits: Sequence[DataFrame], scores: DataFrame, weights: DataFrame, chisq_max: float | None = None, cap: str = "first") -> DataFrame:
     """trait, SNP, CHR, BP, N, Z, A1, L2, wLD of all traits with chi-square up to the cap: chisq_max, or the larger of
-    80 and a thousandth of the largest N of the first trait (cap="first") or of each (cap="each")."""
-    long = reduce(DataFrame.union, (t.select(F.lit(i).alias("trait"), "SNP", "N", "Z", "A1").dropna() for i, t in enumerate(traits)))
+    80 and a thousandth of the largest N of the first trait (cap="first") or of each (cap="each"). A column ``_row`` comes along."""
+    numbered = ["_row"] if all("_row" in t.columns for t in traits) else []
+    long = reduce(DataFrame.union, (t.select(F.lit(i).alias("trait"), "SNP", "N", "Z", "A1", *numbered).dropna() for i, t in enumerate(traits)))
     rows = keep(long.join(weights.select("SNP", "wLD"), "SNP").join(scores.select("SNP", "CHR", "BP", "L2"), "SNP"))  # read by all that follows
     if chisq_max is None:
         highest = dict(rows.where(~F.isnan("N")).groupBy("trait").agg(F.max("N")).collect())  # one row for each trait
@@ -64,12 +65,13 @@ def joined_traits(traits: Sequence[DataFrame], scores: DataFrame, weights: DataF
 
 def cells(rows: DataFrame) -> DataFrame:
     """i, j, SNP, CHR, BP, L2, wLD, n1, n2, c1, c2, y: every trait with itself (y = chi-square) and with each later
-    one (y = product of Z, aligned on A1); LD scores as the first of a pair has them."""
-    own = rows.select(F.col("trait").alias("i"), F.col("trait").alias("j"), "SNP", "CHR", "BP", "L2", "wLD", F.col("N").alias("n1"), F.col("N").alias("n2"), *((F.col("Z") * F.col("Z")).alias(c) for c in ("c1", "c2", "y")))
+    one (y = product of Z, aligned on A1); LD scores, and ``_row`` where there is one, as the first of a pair has them."""
+    kept = ["SNP", "CHR", "BP", *(c for c in rows.columns if c == "_row"), "L2", "wLD"]
+    own = rows.select(F.col("trait").alias("i"), F.col("trait").alias("j"), *kept, F.col("N").alias("n1"), F.col("N").alias("n2"), *((F.col("Z") * F.col("Z")).alias(c) for c in ("c1", "c2", "y")))
     b = rows.select(F.col("trait").alias("j"), "SNP", F.col("N").alias("n2"), F.col("Z").alias("z2"), F.col("A1").alias("a2"))
     pair = rows.withColumnRenamed("trait", "i").join(b, "SNP").where(F.col("i") < F.col("j"))
     aligned = F.when(F.col("A1") != F.col("a2"), -F.col("Z")).otherwise(F.col("Z"))
-    pair = pair.select("i", "j", "SNP", "CHR", "BP", "L2", "wLD", F.col("N").alias("n1"), "n2", (F.col("Z") * F.col("Z")).alias("c1"), (F.col("z2") * F.col("z2")).alias("c2"), (aligned * F.col("z2")).alias("y"))
+    pair = pair.select("i", "j", *kept, F.col("N").alias("n1"), "n2", (F.col("Z") * F.col("Z")).alias("c1"), (F.col("z2") * F.col("z2")).alias("c2"), (aligned * F.col("z2")).alias("y"))
     return own.union(pair)
 
 
@@ -91,8 +93,9 @@ def weighted(cell_rows: DataFrame, m: float) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, n_blocks: int) -> DataFrame:
-    """Adds rn, n_cell and block, in order of CHR, BP, SNP within each cell: block b begins at floor(1 + b (n - 1) / B) - 1."""
-    numbered = with_position(rows, ("CHR", "BP", "SNP"), CELL, "rn", "n_cell")
+    """Adds rn, n_cell and block, in order of CHR, BP, SNP, or of ``_row`` where there is one, within each cell: block b begins at
+    floor(1 + b (n - 1) / B) - 1."""
+    numbered = with_position(rows, ("_row",) if "_row" in rows.columns else ("CHR", "BP", "SNP"), CELL, "rn", "n_cell")
     return numbered.withColumn("block", F.expr(f"cast(least({n_blocks - 1}, ((rn + 1) * {n_blocks} - 1) div greatest(n_cell - 1, 1)) as int)"))
 
 
@@ -121,10 +124,14 @@ def vech(m: np.ndarray) -> np.ndarray:
     return np.array([m[i, j] for i, j in vech_index(len(m))])
 
 
-def ldsc(traits: Sequence[DataFrame], scores: DataFrame, weights: DataFrame, m: float, names: Sequence[str], prevalences: Sequence[Prevalence] | None = None, n_blocks: int = 200, chisq_max: float | None = None, cap: str = "first", stand: bool = False) -> tuple[Covariance, list[dict]]:
+def ldsc(traits: Sequence[DataFrame], scores: DataFrame, weights: DataFrame, m: float, names: Sequence[str], prevalences: Sequence[Prevalence] | None = None, n_blocks: int = 200, chisq_max: float | None = None, cap: str = "first", stand: bool = False, order: str = "place") -> tuple[Covariance, list[dict]]:
     """The covariance structure of traits, and a report of each cell: h2 or covariance, intercept, their standard
-    errors, Z and mean chi-square."""
+    errors, Z and mean chi-square. Blocks of the jackknife follow CHR, BP, SNP (order="place"), or the rows of the cell's first trait as its
+    table has them (order="input"; a table read from files has them in the order of the files and their lines)."""
     k = len(traits)
+    if order not in ("place", "input"):
+        raise ValueError(f"order is place or input, not {order}")
+    traits = [with_row_number(t.drop("_row"), "_row") if order == "input" else t.drop("_row") for t in traits]
     n_blocks = blocks_for(k, n_blocks)
     all_cells = weighted(in_blocks(cells(joined_traits(traits, scores, weights, chisq_max, cap)), n_blocks), m)
     means = {(r["i"], r["j"]): r for r in all_cells.groupBy(CELL).agg(F.avg("n1").alias("n1"), F.avg("n2").alias("n2"), F.avg("y").alias("y"), F.count("*").alias("n")).collect()}

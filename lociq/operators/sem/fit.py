@@ -9,7 +9,7 @@ import numpy as np
 
 from lociq.functions.normal import chi2_sf, two_sided_p
 from lociq.operators.ldsc import vech_index
-from lociq.operators.sem.model import Model
+from lociq.operators.sem.model import Model, compile_model
 from lociq.operators.sem.text import evaluate
 
 ROUNDS = 500
@@ -242,10 +242,11 @@ def ml_weight(S: np.ndarray) -> np.ndarray:
     return 0.5 * D.T @ both @ D
 
 
-def sandwich(J: np.ndarray, W: np.ndarray, V: np.ndarray) -> np.ndarray:
-    """(J'WJ)^-1 J'W V W J (J'WJ)^-1 for stacks of matrices."""
+def sandwich(J: np.ndarray, W: np.ndarray, V: np.ndarray, toler: float | None = None) -> np.ndarray:
+    """(J'WJ)^-1 J'W V W J (J'WJ)^-1 for stacks of matrices. Directions whose singular value is no more than toler of the largest count as
+    not identified."""
     JW = J.transpose(0, 2, 1) @ W
-    bread = np.linalg.pinv(JW @ J)
+    bread = np.linalg.pinv(JW @ J, rcond=toler)
     return bread @ (JW @ V @ JW.transpose(0, 2, 1)) @ bread
 
 
@@ -284,12 +285,13 @@ class Fit:
         rest = vech_rows((self.S / np.outer(d, d) - self.sigma / np.outer(e, e))[None])
         return float(np.sqrt((rest**2).mean()))
 
-    def cfi(self) -> float:
-        """Against the model of no covariances."""
-        k = len(self.S)
-        df0 = k * (k + 1) // 2 - k
-        q0 = float(q_statistic(vech_rows((self.S - np.diag(np.diag(self.S)))[None]), self.V[None])[0])
-        return min(1.0, ((q0 - df0) - (self.chisq - self.df)) / (q0 - df0)) if q0 != df0 else math.nan
+    def cfi(self, estimation: str = "DWLS") -> float:
+        """Against the model of variances alone, fitted to the same matrices."""
+        names = self.model.observed
+        null = fit(compile_model("\n".join(f"{n} ~~ {n}" for n in names), names, self.S), self.S, self.V, estimation)
+        if not null.converged or not null.df or null.chisq == null.df:
+            return math.nan
+        return min(1.0, ((null.chisq - null.df) - (self.chisq - self.df)) / (null.chisq - null.df))
 
     def estimates(self) -> list[dict]:
         """lhs, op, rhs, free, label, est, se, std_all, z, p of each parameter, then of the defined ones."""
@@ -320,7 +322,7 @@ class Fit:
         return c / np.outer(d, d)
 
 
-def fit(model: Model, S: np.ndarray, V: np.ndarray, estimation: str = "DWLS", w: np.ndarray | None = None) -> Fit:
+def fit(model: Model, S: np.ndarray, V: np.ndarray, estimation: str = "DWLS", w: np.ndarray | None = None, toler: float | None = None) -> Fit:
     """One covariance matrix; S and V are smoothed where they aren't positive definite."""
     (S,), _ = smooth(S[None])
     (V,), _ = smooth(V[None])
@@ -332,7 +334,7 @@ def fit(model: Model, S: np.ndarray, V: np.ndarray, estimation: str = "DWLS", w:
         theta, ok = (x[0] for x in fit_ml(model, S[None]))
         W = ml_weight(S[None])[0]
     sigma, T, full = model.implied(theta[None])
-    cov = sandwich(model.jacobian(T, full), W[None], V[None])[0]
+    cov = sandwich(model.jacobian(T, full), W[None], V[None], toler)[0]
     rest = vech_rows(S[None]) - vech_rows(sigma)
     df = rest.shape[1] - model.n_free
     q = float(q_statistic(rest, V[None])[0])

@@ -6,7 +6,7 @@ The implied covariance is that of the observed variables under (I - A)^-1 P (I -
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -95,10 +95,50 @@ def subset(text: str, names: Sequence[str]) -> list[str]:
     return [n for n in names if re.search(rf"(?<![\w.]){re.escape(n)}(?![\w.])", text)]
 
 
-def compile_model(text: str | Spec, names: Sequence[str], S: np.ndarray | None = None, std_lv: bool = False, strict: bool = True) -> Model:
+def _rank(op: str, lhs: int, rhs: int, observed: int) -> tuple[int, int, int, int]:
+    """Where a parameter stands among a model's: by operator, by what it joins, by the variables."""
+    if op == "~~":
+        low, high = min(lhs, rhs), max(lhs, rhs)
+        return 1, 0 if low >= observed else 1 if high < observed else 2, low, high
+    return 0 if op == "=~" else 2, 0, lhs, rhs
+
+
+def spec_of_table(rows: Iterable[Mapping]) -> Spec:
+    """A model from a table of its parameters: lhs, op, rhs, free (0: fixed; equal numbers are one parameter), est (the value of a fixed
+    one, where a free one starts; may be missing), and if given label, lower and upper. Rows with := define, those with <, > and == bound."""
+    spec, by_number = Spec(), {}
+    for row in rows:
+        lhs, op, rhs = (str(row[c]).strip() for c in ("lhs", "op", "rhs"))
+        known = lambda c, row=row: row[c] if c in row and row[c] is not None and row[c] == row[c] and row[c] != "" else None
+        if op == ":=":
+            spec.defines.append((lhs, rhs))
+        elif op in ("<", ">", "=="):
+            spec.constraints.append((lhs, op, float(rhs)))
+        elif op in ("=~", "~~", "~"):
+            free, est = int(known("free") or 0), known("est")
+            if not free:
+                spec.lines.append(Line(lhs, op, rhs, value=float(est if est is not None else 0.0)))
+                continue
+            label = by_number.setdefault(free, known("label") or f"p{free}")
+            spec.lines.append(Line(lhs, op, rhs, start=None if est is None else float(est), label=label, free=True))
+            for side, column in ((">", "lower"), ("<", "upper")):
+                if (bound := known(column)) is not None and abs(float(bound)) != float("inf"):
+                    spec.constraints.append((label, side, float(bound)))
+        else:
+            raise ModelError(f"not an operator: {op}")
+    return spec
+
+
+def model_from_table(rows: Iterable[Mapping], names: Sequence[str], S: np.ndarray | None = None) -> Model:
+    """The model of a parameter table, as it stands: nothing is added to it. See spec_of_table."""
+    return compile_model(spec_of_table(rows), names, S, complete=False)
+
+
+def compile_model(text: str | Spec, names: Sequence[str], S: np.ndarray | None = None, std_lv: bool = False, strict: bool = True, complete: bool = True) -> Model:
     """names: the observed variables, in the order of S. Latents are the left sides of =~. Unless std_lv, the
     first loading of a latent is 1 (if it isn't given); with it, latent variances are 1. Missing variances are
-    free, and so are covariances among exogenous latents. A name that is neither is an error."""
+    free, and so are covariances among exogenous latents; with complete=False nothing is added. A name that is neither is an error. Parameters
+    come as loadings, covariances among latents, among observed variables and between both, then regressions, each in order of the variables."""
     spec = parse(text) if isinstance(text, str) else text
     observed = list(names)
     latent = list(dict.fromkeys(x.lhs for x in spec.lines if x.op == "=~" and x.lhs not in observed))
@@ -112,21 +152,20 @@ def compile_model(text: str | Spec, names: Sequence[str], S: np.ndarray | None =
     for x in spec.lines:
         if x.op == "=~" and x.lhs not in first:
             first.add(x.lhs)
-            if not std_lv and x.value is None and not x.free and x.label is None and x.start is None:
+            if complete and not std_lv and x.value is None and not x.free and x.label is None and x.start is None:
                 x = Line(x.lhs, x.op, x.rhs, 1.0)
         lines.append(x)
     given = {frozenset((x.lhs, x.rhs)) for x in lines if x.op == "~~"}
     caused = {x.lhs for x in lines if x.op == "~"} | {x.rhs for x in lines if x.op == "=~"}
-    for n in [*observed, *latent]:
+    for n in [*observed, *latent] if complete else []:
         if frozenset((n,)) not in given:
             lines.append(Line(n, "~~", n, 1.0 if std_lv and n in latent else None))
-    free_latents = [n for n in latent if n not in caused]
+    free_latents = [n for n in latent if n not in caused] if complete else []
     for i, a in enumerate(free_latents):
         for b in free_latents[i + 1 :]:
             if frozenset((a, b)) not in given:
                 lines.append(Line(a, "~~", b))
-    kinds = {"=~": 0, "~~": 1, "~": 2}
-    lines.sort(key=lambda x: kinds[x.op])
+    lines.sort(key=lambda x: _rank(x.op, at[x.lhs], at[x.rhs], len(observed)))
     parameters, starts, by_label = [], [], {}
     for x in lines:
         a, b = at[x.lhs], at[x.rhs]

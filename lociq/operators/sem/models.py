@@ -28,16 +28,16 @@ def narrowed(c: Covariance, names: Sequence[str]) -> Covariance:
     return Covariance([c.names[i] for i in at], c.S[np.ix_(at, at)], c.V[np.ix_(keep, keep)], c.I[np.ix_(at, at)], np.asarray(c.N)[keep] if np.size(c.N) == len(index) else c.N, c.m)
 
 
-def fit_text(text: str, c: Covariance, estimation: str = "DWLS", std_lv: bool = False) -> Fit:
+def fit_text(text: str, c: Covariance, estimation: str = "DWLS", std_lv: bool = False, toler: float | None = None) -> Fit:
     """Fit a model text to the traits it names. A fit that doesn't converge is tried again with
     residual variances of the observed variables bounded above .0001."""
     c = narrowed(c, subset(text, c.names))
     model = compile_model(text, c.names, c.S, std_lv)
-    first = fit(model, c.S, c.V, estimation)
+    first = fit(model, c.S, c.V, estimation, toler=toler)
     if first.converged:
         return first
     bounded = compile_model(text + "".join(f"\n{n} ~~ rv_{n}*{n}\nrv_{n} > .0001" for n in c.names if not re.search(rf"(?<![\w.]){re.escape(n)}\s*~~[^\n]*\b{re.escape(n)}(?![\w.])", text)), c.names, c.S, std_lv)
-    second = fit(bounded, c.S, c.V, estimation)
+    second = fit(bounded, c.S, c.V, estimation, toler=toler)
     return second if second.converged else first
 
 
@@ -56,14 +56,14 @@ def common_factor_text(names: Sequence[str]) -> str:
     return f"F1 =~ NA*{' + '.join(names)}\nF1 ~~ 1*F1"
 
 
-def common_factor(c: Covariance, estimation: str = "DWLS") -> Fit:
+def common_factor(c: Covariance, estimation: str = "DWLS", toler: float | None = None) -> Fit:
     """One factor behind all traits, its variance 1."""
-    return fit_text(common_factor_text(c.names), c, estimation)
+    return fit_text(common_factor_text(c.names), c, estimation, toler=toler)
 
 
-def user_model(c: Covariance, text: str, estimation: str = "DWLS", std_lv: bool = False) -> Fit:
+def user_model(c: Covariance, text: str, estimation: str = "DWLS", std_lv: bool = False, toler: float | None = None) -> Fit:
     parse(text)
-    return fit_text(text, c, estimation, std_lv)
+    return fit_text(text, c, estimation, std_lv, toler)
 
 
 def genetic_correlations(c: Covariance, estimation: str = "DWLS") -> tuple[np.ndarray, np.ndarray]:
@@ -86,13 +86,14 @@ def genetic_correlations(c: Covariance, estimation: str = "DWLS") -> tuple[np.nd
     return R, got.cov[np.ix_(free, free)]
 
 
-def result_frames(spark: SparkSession, got: Fit, estimation: str = "DWLS") -> tuple[DataFrame, DataFrame]:
-    """(parameters, fit) as frames; NaN as null. std_est and std_se are those of the standardised refit."""
+def result_frames(spark: SparkSession, got: Fit, estimation: str = "DWLS", cfi: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(parameters, fit) as frames; NaN as null. std_est and std_se are those of the standardised refit; CFI, if asked for, comes from a fit
+    of the model of variances alone."""
     null = lambda x: None if isinstance(x, float) and not np.isfinite(x) else x
     again = standardised(got, estimation)
     scaled = again.estimates() if again else [{"est": np.nan, "se": np.nan}] * len(got.estimates())
     each = [x | {"std_est": y["est"], "std_se": y["se"]} for x, y in zip(got.estimates(), scaled, strict=True)]
     names = [c.split()[0] for c in RESULT.split(", ")]
     rows = [tuple(null(float(x[c])) if c not in ("lhs", "op", "rhs") else x[c] for c in names) for x in each]
-    stats = (float(got.chisq), got.df, got.p, float(got.aic), float(got.cfi()) if got.df > 0 else np.nan, got.srmr, got.converged)
+    stats = (float(got.chisq), got.df, got.p, float(got.aic), float(got.cfi(estimation)) if cfi and got.df > 0 else np.nan, got.srmr, got.converged)
     return spark.createDataFrame(rows, RESULT), spark.createDataFrame([tuple(null(x) for x in stats)], FIT)

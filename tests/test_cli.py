@@ -32,6 +32,24 @@ def test_munge_then_regression(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "ix"), sep="\t", header=True).count() == 3
     main(["sumstats", "--files", f"{tmp_path}/a.txt,{tmp_path}/b.txt", "--trait-names", "a,b", "--kinds", "ols,se_logit", "--ref", f"{tmp_path}/ref.tsv", "--out", str(tmp_path / "s")], spark)
     assert spark.read.csv(str(tmp_path / "s"), sep="\t", header=True).count() > 0
+    both = ["sumstats", "--files", f"{tmp_path}/a.txt,{tmp_path}/b.txt", "--kinds", "ols,se_logit", "--ref", f"{tmp_path}/ref.tsv"]
+    main([*both, "--trait-names", "a,b", "--out", f"{tmp_path}/named/"], spark)
+    assert spark.read.csv(str(tmp_path / "named/a_b_sumstats.tsv"), sep="\t", header=True).count() > 0
+    with pytest.raises(ValueError, match="2 files, but 1 values of --trait-names"):
+        main([*both, "--trait-names", "a", "--out", f"{tmp_path}/x"], spark)
+    with pytest.raises(ValueError, match="maf"):
+        main([*both, "--trait-names", "a,b", "--maf", "0.7", "--out", f"{tmp_path}/x"], spark)
+    main(["commonfactor", "--covstruc", str(tmp_path / "cov"), "--no-cfi-calc", "--toler", "1e-12", "--out", str(tmp_path / "cf")], spark)
+    assert spark.read.csv(str(tmp_path / "cf"), sep="\t", header=True).count() == 5
+
+
+def test_parallel_analysis_writes_its_variants(spark, tmp_path):
+    (tmp_path / "s.txt").write_text("a b c\n1 .4 .3\n.4 1 .2\n.3 .2 1\n")
+    (tmp_path / "v.txt").write_text("a b c d e f\n" + "\n".join(" ".join("0.01" if i == j else "0.001" for j in range(6)) for i in range(6)) + "\n")
+    main(["pa-ldsc", "--s", f"{tmp_path}/s.txt", "--v", f"{tmp_path}/v.txt", "--r", "20", "--diag", "--fa", "--out", f"{tmp_path}/pa.tsv"], spark)
+    for name in ("pa", "pa_diag", "pa_fa", "pa_fa_diag"):
+        got = spark.read.csv(f"{tmp_path}/{name}.tsv", sep="\t", header=True)
+        assert got.count() == 3 and {"Observed", "Parallel"} <= set(got.columns)
 
 
 def test_panels(spark, tmp_path):

@@ -9,7 +9,7 @@ from lociq.functions.rows import sum_arrays, with_position, with_row_number
 from lociq.operators.enrich import NOT_ANALYSED, base_results, enrich
 from lociq.operators.qtrait import qtrait
 from lociq.operators.sem.fit import _descend, fit, fit_dwls, smooth, vech_rows
-from lociq.operators.sem.model import compile_model, subset
+from lociq.operators.sem.model import compile_model, model_from_table, subset
 from lociq.operators.sem.models import common_factor, genetic_correlations, result_frames, standardised, user_model
 from lociq.operators.sem.text import ModelError, evaluate, parse
 from lociq.operators.simulate import simulate
@@ -258,6 +258,82 @@ def test_simulated_heritability_recovered(spark):
     assert ldsc.genomic_control(ldsc.joined_traits(traits, scores, scores.select("SNP", "wLD"))).count() == 2
 
 
+def test_blocks_in_order_of_the_input(spark):
+    """Block sums of numpy regressions over rows in the order of the first trait's table, which isn't that of their places."""
+    rng = np.random.default_rng(6)
+    n, blocks = 90, 7
+    snps = [f"rs{i}" for i in range(n)]
+    l2, w = rng.gamma(2, 10, n), rng.gamma(2, 10, n)
+    scores = spark.createDataFrame([(s, 1 + i % 3, i, float(l2[i]), float(w[i])) for i, s in enumerate(snps)], "SNP string, CHR int, BP int, L2 double, wLD double")
+    orders = [rng.permutation(n), rng.permutation(n)[:80]]
+    z = rng.normal(0, 1.5, (2, n))
+    traits = [spark.createDataFrame([(snps[i], 1000.0, float(z[t, i]), "A") for i in order], "SNP string, N double, Z double, A1 string").coalesce(1) for t, order in enumerate(orders)]
+    args = (traits, scores, scores.select("SNP", "wLD"), 1e4, ["a", "b"])
+    got, report = ldsc.ldsc(*args, n_blocks=blocks, chisq_max=1e6, order="input")
+    other, _ = ldsc.ldsc(*args, n_blocks=blocks, chisq_max=1e6)
+    assert np.allclose(got.S, other.S) and not np.allclose(got.V, other.V)
+    slopes = []
+    for i, j in ((0, 0), (1, 0), (1, 1)):
+        at = np.array([k for k in orders[min(i, j)] if k in set(orders[max(i, j)].tolist())])
+        x, y = l2[at], z[i, at] * z[j, at]
+        weight = np.zeros(len(at))
+        for t in {i, j} if i != j else (i, i):
+            h = min(1, max(0, 1e4 * ((z[t, at] ** 2).mean() - 1) / (x * 1000).mean()))
+            weight += np.sqrt(1 / (2 * (1 + h * 1000 / 1e4 * np.maximum(x, 1)) ** 2) / np.maximum(w[at], 1))
+        first = np.sqrt(1 / (2 * (1 + min(1, max(0, 1e4 * ((z[min(i, j), at] ** 2).mean() - 1) / (x * 1000).mean())) * 1000 / 1e4 * np.maximum(x, 1)) ** 2) / np.maximum(w[at], 1))
+        wx, wy = (first / first.sum() if i == j else first / max(first.sum(), 1)), (weight / weight.sum() if i == j else weight / max(weight.sum(), 1))
+        starts = [max(0, math.floor(1 + b * (len(at) - 1) / blocks) - 1) for b in range(blocks)] + [len(at)]
+        A = np.column_stack([x, np.ones(len(at))]) * wx[:, None]
+        parts = [slice(a, b) for a, b in zip(starts, starts[1:])]
+        pseudo = ldsc.jackknife(np.stack([A[p].T @ A[p] for p in parts]), np.stack([A[p].T @ (y * wy)[p] for p in parts]))[1]
+        slopes.append(pseudo[:, 0])
+    V = np.cov(np.array(slopes)) / (1000 * np.sqrt(blocks) / 1e4) ** 2
+    assert np.allclose(got.V, V, rtol=1e-8)
+    with pytest.raises(ValueError, match="order"):
+        ldsc.ldsc(*args, order="size")
+
+
+def test_models_from_tables():
+    """A table of all parameters of a model gives its fit; bounds, labels, equal numbers and definitions count, and nothing is added."""
+    c = one_factor(noise=0.02)
+    whole = fit(compile_model("F =~ NA*t0 + t1 + t2 + t3\nF ~~ 1*F", c.names, c.S), c.S, c.V)
+    table = [{"lhs": e["lhs"], "op": e["op"], "rhs": e["rhs"], "free": e["free"], "est": 0.5 if e["free"] else e["est"]} for e in whole.estimates()]
+    again = fit(model_from_table(table, c.names, c.S), c.S, c.V)
+    assert np.allclose(again.theta, whole.theta, atol=1e-6) and again.df == whole.df == 2
+    tied = [r | {"free": 1, "label": "same"} if r["op"] == "=~" else r for r in table] + [{"lhs": "twice", "op": ":=", "rhs": "2*same"}, {"lhs": "same", "op": "<", "rhs": "0.5"}]
+    got = fit(model_from_table(tied, c.names, c.S), c.S, c.V)
+    assert got.df == 5 and got.theta[0] == 0.5 and {e["lhs"]: e["est"] for e in got.estimates()}["twice"] == 1.0
+    bounded = model_from_table([r | {"lower": 0.7, "upper": float("inf")} if r["rhs"] == "t3" and r["op"] == "=~" else r for r in table], c.names, c.S)
+    assert fit(bounded, c.S, c.V).theta[3] == 0.7
+    bare = model_from_table([{"lhs": "a", "op": "~~", "rhs": "a", "free": 1, "est": None}], ["a", "b"])
+    assert bare.n_free == 1 and len(bare.parameters) == 1
+    with pytest.raises(ModelError, match="operator"):
+        model_from_table([{"lhs": "a", "op": "?", "rhs": "b"}], ["a", "b"])
+
+
+def test_order_of_parameters():
+    model = compile_model("t2 ~ G\nt1 ~~ F\nt1 ~~ t0\nG =~ t3 + t0\nF =~ t1 + t0\nF ~~ G", ["t0", "t1", "t2", "t3"])
+    want = ["G=~t0", "G=~t3", "F=~t0", "F=~t1", "G~~G", "F~~G", "F~~F", "t0~~t0", "t1~~t0", "t1~~t1", "t2~~t2", "t3~~t3", "t1~~F", "t2~G"]
+    assert [p.key for p in model.parameters] == want
+
+
+def test_cfi_by_refit(spark):
+    c = one_factor(noise=0.03)
+    got = common_factor(c)
+    rest = vech_rows((c.S - np.diag(np.diag(c.S)))[None])[0]
+    null = rest @ np.linalg.inv(c.V) @ rest
+    assert got.cfi() == pytest.approx(1 - (got.chisq - 2) / (null - 6)) and got.cfi("ML") == pytest.approx(got.cfi(), abs=1e-6)
+    assert result_frames(spark, got, cfi=False)[1].first().cfi is None and result_frames(spark, got)[1].first().cfi == pytest.approx(got.cfi())
+
+
+def test_columns_of_common_factor(spark):
+    out = gwas.common_factor_gwas(snps(spark, 3), one_factor(3))
+    assert out.columns == ["SNP", "CHR", "BP", "MAF", "A1", "A2", *gwas.COMMON] and {r.rhs for r in out.collect()} == {"SNP"}
+    genes = snps(spark, 3).withColumns({"HSQ": F.lit(0.3), "Panel": F.lit("p"), "Gene": F.col("SNP")})
+    out = gwas.common_factor_gwas(genes, one_factor(3))
+    assert out.columns[:3] == ["HSQ", "Panel", "Gene"] and {r.rhs for r in out.collect()} == {"Gene"}
+
+
 def test_jackknife_by_refits():
     rng = np.random.default_rng(6)
     X, y = rng.normal(size=(60, 2)), rng.normal(size=60)
