@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lociq.operators.ldsc import rescale, vech_index
-from lociq.operators.sem.fit import Fit, fit
+from lociq.operators.sem.fit import Fit, fit, fit_dwls
 from lociq.operators.sem.model import compile_model, subset
 from lociq.operators.sem.text import parse
 from lociq.sources.tables import Covariance
@@ -66,6 +68,33 @@ def user_model(c: Covariance, text: str, estimation: str = "DWLS", std_lv: bool
     return fit_text(text, c, estimation, std_lv, toler)
 
 
+def fit_many(structures: DataFrame, text: str, names: Sequence[str], std_lv: bool = False) -> DataFrame:
+    """One model for many covariance structures, such as those of regions: the columns of ``structures`` but S and weights, then lhs, op, rhs,
+    est and converged of each parameter. S holds a structure's lower triangle column by column, weights one for each of its elements. A row with
+    a null in either, or with too few elements, has no estimates; nor has a fit that ends at no minimum. A batch of rows is fitted as a stack."""
+    kept = [c for c in structures.columns if c not in ("S", "weights")]
+    kinds, k = dict(structures.dtypes), len(names)
+    index = vech_index(k)
+    model = compile_model(text, names, np.eye(k), std_lv)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            numbers = [[np.asarray(x if x is not None else [], float) for x in batch[c]] for c in ("S", "weights")]
+            fine = np.array([len(a) == len(b) == len(index) and np.isfinite(a).all() and np.isfinite(b).all() for a, b in zip(*numbers, strict=True)], bool)
+            s, w = (np.array([x if ok else np.ones(len(index)) for x, ok in zip(c, fine, strict=True)]).reshape(-1, len(index)) for c in numbers)
+            S = np.zeros((len(batch), k, k))
+            for u, (i, j) in enumerate(index):
+                S[:, i, j] = S[:, j, i] = s[:, u]
+            theta, ok = fit_dwls(model, S, w)
+            for p in model.parameters:
+                est = theta[:, p.free] if p.free >= 0 else np.full(len(batch), p.value)
+                yield batch[kept].assign(lhs=p.lhs, op=p.op, rhs=p.rhs, est=np.where(fine & ok, est, np.nan), converged=fine & ok)
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "lhs string, op string, rhs string, est double, converged boolean"])
+    picked = structures.select(*(F.col(f"`{c}`") for c in kept), F.col("S").cast("array<double>").alias("S"), F.col("weights").cast("array<double>").alias("weights"))
+    return picked.mapInPandas(run, schema).withColumn("est", F.when(~F.isnan("est"), F.col("est")))
+
+
 def genetic_correlations(c: Covariance, estimation: str = "DWLS") -> tuple[np.ndarray, np.ndarray]:
     """(R, V_R): correlations of unit-variance latents, one behind each trait, and their sampling covariance (of
     the pairs in vech order without the diagonal)."""

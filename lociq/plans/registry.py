@@ -448,9 +448,119 @@ def q_wls(spark, sf_dir):
     return piece_regressions(spark, sf_dir, 2)
 
 
-@query("SELECT pos, r AS \"row\", c AS col FROM (VALUES (0,'a','a'),(1,'b','a'),(2,'c','a'),(3,'b','b'),(4,'c','b'),(5,'c','c')) t(pos, r, c) WHERE EXISTS (SELECT 1 FROM variants)")
+@query("""WITH n AS (SELECT p_brand AS name, row_number() OVER (ORDER BY p_brand) AS i FROM (SELECT DISTINCT p_brand FROM part))
+SELECT CAST(row_number() OVER (ORDER BY c.i, r.i) - 1 AS INT) AS pos, r.name AS "row", c.name AS col FROM n r JOIN n c ON r.i >= c.i""")
 def q_index_s(spark, sf_dir):
-    return posthoc.index_s(spark, ["a", "b", "c"])
+    brands = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_brand").distinct().orderBy("p_brand")
+    return posthoc.index_s(spark, [r.p_brand for r in brands.collect()])  # one row for each trait
+
+
+def measures(lineitem: DataFrame) -> DataFrame:
+    """part of the table, and there the correlations of three sums of the quantity with something else."""
+    shared = "double(l_quantity) / 14"
+    x, y, z = (F.expr(f"{shared} + {e}") for e in ("double(l_discount) * 30", "double(l_tax) * 40", "double(l_partkey % 7) / 2"))
+    one = F.lit(1.0)
+    return lineitem.groupBy((F.col("l_suppkey") % 50).alias("part")).agg(F.array(one, F.corr(x, y), F.corr(x, z), one, F.corr(y, z), one).alias("S"))
+
+
+@query("""WITH c AS (SELECT l_suppkey % 50 AS part, corr(x, y) AS a, corr(x, z) AS b, corr(y, z) AS c FROM (SELECT l_suppkey, l_quantity::DOUBLE / 14 + l_discount::DOUBLE * 30 AS x,
+ l_quantity::DOUBLE / 14 + l_tax::DOUBLE * 40 AS y, l_quantity::DOUBLE / 14 + (l_partkey % 7)::DOUBLE / 2 AS z FROM lineitem) GROUP BY 1),
+e AS (SELECT part, unnest(['F=~y', 'F=~z', 'F~~F', 'x~~x', 'y~~y', 'z~~z']) AS parameter, unnest([c / b, c / a, a * b / c, 1 - a * b / c, 1 - a * c / b, 1 - b * c / a]) AS est FROM c)
+SELECT part, parameter, round(est, 5) + 0.0 AS est FROM e""")
+def q_factor_by_part(spark, sf_dir):
+    structures = measures(spark.read.parquet(f"{sf_dir}/lineitem.parquet")).withColumn("weights", F.array_repeat(F.lit(1.0), 6))
+    out = models.fit_many(structures, "F =~ x + y + z", ["x", "y", "z"])
+    return out.where("not (op = '=~' and rhs = 'x')").select("part", F.concat("lhs", "op", "rhs").alias("parameter"), (F.round("est", 5) + 0.0).alias("est"))
+
+
+MEANS_SQL = "g AS (SELECT CHR::DOUBLE AS x, avg(EFFECT) AS y, count(*) / var_samp(EFFECT) AS w FROM trait0 JOIN (SELECT SNP, CHR FROM variants) USING (SNP) GROUP BY CHR), d AS (SELECT sum(w) AS s, sum(w * x) AS sx, sum(w * x * x) AS sxx, sum(w * y) AS sy, sum(w * x * y) AS sxy, min(x) AS low, max(x) AS high FROM g), b AS (SELECT *, s * sxx - sx * sx AS det, (sxx * sy - sx * sxy) / (s * sxx - sx * sx) AS b0, (s * sxy - sx * sy) / (s * sxx - sx * sx) AS b1 FROM d)"
+
+
+def chromosome_means(spark, sf_dir):
+    """(mean effect, its sampling variance as a diagonal matrix, chromosome)"""
+    rows = trait(spark, sf_dir, 0).join(variants(spark, sf_dir).select("SNP", "CHR"), "SNP")
+    got = rows.groupBy("CHR").agg(F.avg("EFFECT").alias("y"), (F.var_samp("EFFECT") / F.count("*")).alias("v")).orderBy("CHR").toPandas()  # one row for each chromosome
+    return got["y"].to_numpy(), np.diag(got["v"].to_numpy()), got["CHR"].to_numpy(float)
+
+
+@query(f"WITH {MEANS_SQL} SELECT unnest(['intercept', 'CHR']) AS term, round(unnest([b0, b1]) * 1e6, 4) AS beta, round(unnest([sqrt(sxx / det), sqrt(s / det)]) * 1e6, 4) AS se, round(unnest([b0 / sqrt(sxx / det), b1 / sqrt(s / det)]), 6) AS z FROM b")
+def q_gls_chromosomes(spark, sf_dir):
+    got = posthoc.summary_gls(*chromosome_means(spark, sf_dir))
+    rows = [(term, round(r.betas * 1e6, 4), round(r.SE * 1e6, 4), round(r.Z, 6)) for term, r in zip(("intercept", "CHR"), got.itertuples(), strict=True)]
+    return spark.createDataFrame(rows, "term string, beta double, se double, z double")
+
+
+@query(f"WITH {MEANS_SQL}, p AS (SELECT *, low + unnest(generate_series(0, 19)) * (high - low) / 20 AS x FROM b), f AS (SELECT x, b0 + b1 * x AS fit, sqrt((sxx - 2 * x * sx + x * x * s) / det) AS se FROM p) SELECT round(x, 6) AS predictor, round(fit * 1e6, 4) AS fit, round((fit + se) * 1e6, 4) AS upper, round((fit - se) * 1e6, 4) AS lower FROM f")
+def q_gls_bands_chromosomes(spark, sf_dir):
+    got = posthoc.gls_bands(*chromosome_means(spark, sf_dir))
+    rows = [(round(r.Predictors, 6), *(round(x * 1e6, 4) for x in (r.Fit, r.Upper, r.Lower))) for r in got.itertuples()]
+    return spark.createDataFrame(rows, "predictor double, fit double, upper double, lower double")
+
+
+def pseudo_sql(t: int | None) -> str:
+    """block, scaled pseudo-value of the slope of one trait, or of both together."""
+    return f"(WITH {PAIR_SUMS if t is None else SUMS_SQL.replace('trait0', f'trait{t}')}, {JACK_SQL} SELECT b, p0 / nbar * M AS p FROM pv CROSS JOIN a)"
+
+
+@query(f"""SELECT u, v, round(covar_samp(p, q) / {BLOCKS} * 1e6, 4) AS v_k FROM
+(SELECT b, unnest([0, 0, 0, 1, 1, 2]) AS u, unnest([0, 1, 2, 1, 2, 2]) AS v, unnest([x.p, x.p, x.p, y.p, y.p, z.p]) AS p, unnest([x.p, y.p, z.p, y.p, z.p, z.p]) AS q
+ FROM {pseudo_sql(0)} x JOIN {pseudo_sql(None)} y USING (b) JOIN {pseudo_sql(1)} z USING (b)) GROUP BY u, v""")
+def q_ldsc_v(spark, sf_dir):
+    v = variants(spark, sf_dir)
+    c, _ = ldsc.ldsc([trait(spark, sf_dir, t) for t in (0, 1)], v, v.select("SNP", "wLD"), float(v.count()), ["a", "b"], n_blocks=BLOCKS, cap="first")
+    return spark.createDataFrame([(i, j, round(float(c.V[i, j] * 1e6), 4)) for i in range(3) for j in range(i, 3)], "u int, v int, v_k double")
+
+
+@query(f"WITH {SUMS_SQL.replace('ORDER BY CHR, BP, SNP', 'ORDER BY P, SNP').replace('t.Z, v.L2', 't.Z, t.P, v.L2')}, {JACK_SQL} SELECT round(b0 / nbar * M * 1000, 4) AS estimate_k, round(s0 / nbar * M * 1000, 4) AS se_k, round(s1, 4) AS intercept_se FROM z CROSS JOIN a")
+def q_ldsc_input_order(spark, sf_dir):
+    v = variants(spark, sf_dir)
+    ordered = trait(spark, sf_dir, 0).orderBy("P", "SNP")
+    _, report = ldsc.ldsc([ordered], v, v.select("SNP", "wLD"), float(v.count()), ["trait0"], n_blocks=BLOCKS, order="input")
+    r = report[0]
+    return spark.createDataFrame([tuple(round(float(x), 4) for x in (r["estimate"] * 1000, r["se"] * 1000, r["intercept_se"]))], "estimate_k double, se_k double, intercept_se double")
+
+
+def own_folder(spark, label):
+    from lociq.functions.rows import shared_folder
+
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query(f"SELECT SNP, CHR, BP, {q6('L2')} AS L2, {q6('wLD')} AS wLD FROM variants WHERE CHR % 2 = 1 AND CHR <= 9")
+def q_ld_score_files(spark, sf_dir):
+    from lociq.sources import tables as T
+
+    folder = own_folder(spark, "ld")  # a file for each chromosome, as they are published
+    for c in T.chromosomes("ODD", 9):
+        v = variants(spark, sf_dir).where(F.col("CHR") == c)
+        v.select("CHR", "SNP", "BP", "L2", "wLD").write.csv(f"{folder}/{c}.l2.ldscore.gz", sep="\t", header=True, compression="gzip")
+    scores = T.read_ld_scores(spark, folder, "ODD", 9)
+    return scores.drop("wLD").join(T.as_weights(scores), "SNP").select("SNP", "CHR", "BP", r6("L2").alias("L2"), r6("wLD").alias("wLD"))
+
+
+@query(f"SELECT SNP, N, {q6('Z')} AS Z, A1, A2 FROM ({MUNGED})")
+def q_munged_file(spark, sf_dir):
+    from lociq.sources import tables as T
+
+    path = own_folder(spark, "munged")
+    T.write_munged(clean.munge(trait(spark, sf_dir, 0).drop("Z"), variants(spark, sf_dir), info=0.6), path)
+    read = T.canonical(T.read_table(spark, path), ["SNP", "N", "Z", "A1", "A2"])
+    return read.select("SNP", "N", r6("Z").alias("Z"), "A1", "A2")
+
+
+@query(f"SELECT SNP, A1, {q6('EFFECT')} AS EFFECT, CASE WHEN CAST(substr(SNP, 3) AS BIGINT) % 7 <> 0 THEN {q6('P')} END AS P, N FROM trait0")
+def q_white_space_file(spark, sf_dir):
+    """Fields between runs of blanks, some in quotes, missing ones as NA, under other names for the columns; every part begins with these, as the
+    first line of a table may stand in any."""
+    from lociq.sources import tables as T
+
+    path, names = own_folder(spark, "lines"), "rsid  A1 beta pval   N"
+    p = F.when(F.substr("SNP", F.lit(3)).cast("long") % 7 != 0, F.col("P").cast("string")).otherwise("NA")
+    blanks = lambda n: F.lit(" " * n)
+    line = F.concat(F.col("SNP"), blanks(3), F.lit('"'), "A1", F.lit('"'), blanks(2), F.col("EFFECT").cast("string"), blanks(1), p, blanks(2), F.col("N").cast("string"))
+    trait(spark, sf_dir, 0).select(line.alias(names)).write.csv(path, sep="\x01", header=True, quote="", escapeQuotes=False)
+    read = T.canonical(T.read_table(spark, path), ["SNP", "A1", "EFFECT", "P", "N"])
+    return read.select("SNP", "A1", r6("EFFECT").alias("EFFECT"), r6("P").alias("P"), "N")
 
 
 # Models: not to be told in SQL; tests hold them against closed forms and independent computations.

@@ -78,5 +78,7 @@ def with_views(query: str) -> str:
     """A DuckDB query over the views variants, trait0 to trait2, twas0, twas1."""
     named = {"variants": VARIANTS, **{f"trait{t}": trait_sql(t) for t in range(3)}, **{f"twas{t}": twas_sql(t) for t in range(2)}}
     used = {n: s for n, s in named.items() if n in query}
+    if not used:
+        return query
     ctes = ", ".join(f"{n} AS ({duck(s)})" for n, s in used.items())
     return f"WITH RECURSIVE {ctes}, {query.lstrip()[5:]}" if query.lstrip().upper().startswith("WITH ") else f"WITH {ctes} {query}"

@@ -10,7 +10,7 @@ from lociq.operators.enrich import NOT_ANALYSED, base_results, enrich
 from lociq.operators.qtrait import qtrait
 from lociq.operators.sem.fit import _descend, fit, fit_dwls, smooth, vech_rows
 from lociq.operators.sem.model import compile_model, model_from_table, subset
-from lociq.operators.sem.models import common_factor, genetic_correlations, result_frames, standardised, user_model
+from lociq.operators.sem.models import common_factor, fit_many, genetic_correlations, result_frames, standardised, user_model
 from lociq.operators.sem.text import ModelError, evaluate, parse
 from lociq.operators.simulate import simulate
 from lociq.sources.tables import Covariance, StratifiedCovariance
@@ -311,6 +311,28 @@ def test_models_from_tables():
         model_from_table([{"lhs": "a", "op": "?", "rhs": "b"}], ["a", "b"])
 
 
+def test_many_structures_as_single_fits(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(30):
+        load = rng.uniform(0.3, 0.9, 4)
+        E = rng.normal(0, 0.02, (4, 4))
+        S = np.outer(load, load) + np.diag(rng.uniform(0.2, 0.5, 4)) + E + E.T
+        rows.append((i, ldsc.vech(S).tolist(), rng.uniform(10, 90, 10).tolist()))
+    bad = [(30, None, [1.0] * 10), (31, [1.0] * 9, [1.0] * 10), (32, [math.nan] * 10, [1.0] * 10)]
+    text = "F =~ a + b + c + d"
+    df = spark.createDataFrame(rows + bad, "region int, S array<double>, weights array<double>")
+    got = {(r.region, r.lhs + r.op + r.rhs): r for r in fit_many(df, text, list("abcd")).collect()}
+    assert len(got) == 33 * 9 and all((r.est is None) == (i >= 30) and r.converged == (i < 30) for (i, _), r in got.items())
+    for i, s, w in rows:
+        S = np.zeros((4, 4))
+        for (a, b), x in zip(ldsc.vech_index(4), s, strict=True):
+            S[a, b] = S[b, a] = x
+        one = fit(compile_model(text, list("abcd"), S), S, np.diag(1 / np.array(w)))
+        assert all(got[i, e["lhs"] + e["op"] + e["rhs"]].est == pytest.approx(e["est"], abs=1e-6) for e in one.estimates())
+    assert fit_many(df.limit(0), text, list("abcd")).count() == 0
+
+
 def test_order_of_parameters():
     model = compile_model("t2 ~ G\nt1 ~~ F\nt1 ~~ t0\nG =~ t3 + t0\nF =~ t1 + t0\nF ~~ G", ["t0", "t1", "t2", "t3"])
     want = ["G=~t0", "G=~t3", "F=~t0", "F=~t1", "G~~G", "F~~G", "F~~F", "t0~~t0", "t1~~t0", "t1~~t1", "t2~~t2", "t3~~t3", "t1~~F", "t2~G"]
