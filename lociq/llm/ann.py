@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: inverted file of coarse centroids over product-quantised residuals.
 
-Coarse centroids and codebooks are fitted on a bounded sample of the vectors. Every vector then gets its
-list and the code of its residual. A query probes its nearest lists; within a list, distances come from
+Coarse centroids have two levels, so that lists stay short however many vectors there are: a bounded sample gives the upper ones
+and the codebooks, a larger one, dealt by upper centroid, those below each of them. Every vector then gets its
+list, the nearest below its nearest upper centroid, and the code of its residual. A query probes its nearest lists; within a list, distances come from
 asymmetric tables (the query's residual against the codebooks), and the best by code are ranked anew
 by the exact cosine of the original vectors; so are all others whose distance by code, less the error of their
 code, doesn't exceed that of the k-th of these, so within the probed lists the result is exact. Lists are cut into cells of bounded size, on the side of the
@@ -15,13 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401, as pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lociq.llm.storage import settle
 
 SAMPLE = 16_384
-MAX_LISTS = 512
+#: Vectors of a list on average, up to MAX_LISTS lists; beyond that many vectors lists grow with them.
+LIST_ROWS = 64
+MAX_LISTS = 65_536
+#: Sampled vectors for each list, and of an upper centroid at most.
+LIST_SAMPLE = 16
+CELL_SAMPLE = 16_384
 SUBSPACES = 16
 CODES = 64
 TARGET = 0.97
@@ -56,22 +63,36 @@ def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 class Quantizer:
-    """Coarse centroids and codebooks for unit vectors; of fixed size whatever the input."""
+    """Coarse centroids of two levels and codebooks for unit vectors; of bounded size whatever the input. ``lower`` has, for each upper
+    centroid that has any, the centroids below it; where it has none the upper one stands for itself."""
 
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, upper: np.ndarray, lower: dict[int, np.ndarray], seed: int = 5):
         rng = np.random.default_rng(seed)
         self.dims = sample.shape[1]
-        self.coarse = kmeans(sample, lists, 8, rng)
+        self.upper = upper
+        below = [lower.get(i, upper[i : i + 1]) for i in range(len(upper))]
+        self.starts = np.cumsum([0, *map(len, below)])
+        self.coarse = np.concatenate(below)
         self.bounds = np.linspace(0, self.dims, min(SUBSPACES, self.dims) + 1).astype(int)
-        rest = sample - self.coarse[nearest(sample, self.coarse)]
+        rest = sample - self.coarse[self.lists(sample)]
         self.books = [kmeans(rest[:, a:b], CODES, 6, rng) for a, b in self._parts()]
 
     def _parts(self) -> list[tuple[int, int]]:
         return list(zip(self.bounds[:-1].tolist(), self.bounds[1:].tolist(), strict=True))
 
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row."""
+        above = nearest(x, self.upper)
+        out = self.starts[above]
+        for i in np.unique(above):
+            own = above == i
+            if self.starts[i + 1] - self.starts[i] > 1:
+                out[own] += nearest(x[own], self.coarse[self.starts[i] : self.starts[i + 1]])
+        return out
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(list of each vector, code of its residual, distance between the two)."""
-        at = nearest(x, self.coarse)
+        at = self.lists(x)
         rest = x - self.coarse[at]
         codes = np.stack([nearest(rest[:, a:b], book) for (a, b), book in zip(self._parts(), self.books, strict=True)], axis=1).astype(np.uint8)
         lost = sum(((rest[:, a:b] - book[codes[:, j]]) ** 2).sum(1) for j, ((a, b), book) in enumerate(zip(self._parts(), self.books, strict=True)))
@@ -79,7 +100,11 @@ class Quantizer:
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest lists of each row, nearest first."""
-        return np.argsort(distances(x, self.coarse), axis=1, kind="stable")[:, :n]
+        far = distances(x, self.coarse)
+        if n < len(self.coarse):
+            some = np.sort(np.argpartition(far, n - 1, axis=1)[:, :n], axis=1)
+            return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
+        return np.argsort(far, axis=1, kind="stable")
 
     def code_distances(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances of queries (rows) to the coded residuals of one list (columns)."""
@@ -113,6 +138,39 @@ def cosine(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q * x).sum(axis=1) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum(axis=1)))
 
 
+def fit_quantizer(rows: DataFrame, n: int, sample: int = SAMPLE, seed: int = 5) -> Quantizer:
+    """For n rows of (vec_id, v): the upper centroids and codebooks from ``sample`` rows by hash, the lower ones from LIST_SAMPLE for each list,
+    in groups by upper centroid (a group beyond CELL_SAMPLE rows takes so many of them by hash)."""
+    spark, million = rows.sparkSession, 1_000_000
+    drawn_by = lambda salt, share: F.pmod(F.xxhash64(F.lit(salt), "vec_id", "v"), F.lit(million)) < int(share * million)
+    drawn = rows.where(drawn_by(seed, min(1.0, 1.5 * sample / n))).limit(sample).select("v").toArrow()  # bounded by ``sample``
+    if not len(drawn):
+        drawn = rows.limit(sample).select("v").toArrow()
+    x = unit(_matrix(drawn.column("v").combine_chunks()))
+    lists = min(MAX_LISTS, max(1, n // LIST_ROWS))
+    upper = kmeans(x, int(np.ceil(np.sqrt(lists))), 8, np.random.default_rng(seed))
+    shared = spark.sparkContext.broadcast(upper)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                at = nearest(unit(_matrix(batch.column(1))), shared.value).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(at), *batch.columns], names=["cell", "h", "v"])
+
+    def below(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).sort_by("h").slice(0, CELL_SAMPLE)
+        own = unit(_matrix(table.column("v").combine_chunks()))
+        found = kmeans(own, max(1, len(own) // LIST_SAMPLE), 8, np.random.default_rng([seed, key[0].as_py()]))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(found), pa.int32()), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["cell", "centroid"])
+
+    some = rows.where(drawn_by(seed + 1, min(1.0, LIST_SAMPLE * lists / n))).select(F.xxhash64("v", "vec_id").alias("h"), "v")
+    found = some.mapInArrow(assign, "cell int, h long, v array<double>").groupBy("cell").applyInArrow(below, "cell int, centroid array<double>").toArrow()  # a row for each list
+    lower = {}
+    for cell in np.unique(found.column("cell").to_numpy()):
+        lower[int(cell)] = _matrix(found.filter(pa.compute.equal(found.column("cell"), int(cell))).column("centroid").combine_chunks())
+    return Quantizer(x, upper, lower, seed)
+
+
 def probes_needed(index: DataFrame, asked: DataFrame, shared, k: int, target: float) -> int:
     """How many lists hold ``target`` of the true neighbours of TRIALS queries, found by brute force over the
     whole index: one linear pass that keeps k rows for each query and batch."""
@@ -160,11 +218,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    share = min(1.0, 1.5 * sample / n)
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit(seed), "vec_id", "v"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample).select("v").toArrow()  # bounded by ``sample``
-    if not len(drawn):
-        drawn = rows.limit(sample).select("v").toArrow()
-    model = Quantizer(unit(_matrix(drawn.column("v").combine_chunks())), min(MAX_LISTS, max(1, int(2 * np.sqrt(n)))), seed)
+    model = fit_quantizer(rows, n, sample, seed)
     shared = spark.sparkContext.broadcast(model)  # MAX_LISTS and CODES bound its size
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +236,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, target: float = T
         held = np.array([sizes.get(c, 0) for c in range(len(shared.value.coarse))])
         for batch in batches:
             if batch.num_rows:
-                lists = shared.value.probes(unit(_matrix(batch.column(1))), len(held)).astype(np.int32)
+                q, some = unit(_matrix(batch.column(1))), min(len(held), 2 * probes + 2 * k)
+                lists = shared.value.probes(q, some)
+                if (held[lists].sum(axis=1) < 2 * k + 1).any():
+                    lists = shared.value.probes(q, len(held))
+                lists = lists.astype(np.int32)
                 enough = (np.cumsum(held[lists], axis=1) < 2 * k + 1).sum(axis=1) + 1
                 picked = [row[: max(probes, m)] for row, m in zip(lists, enough, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(picked, pa.list_(pa.int32()))], names=["query_id", "q", "lists"])

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lociq.llm.ann import search
+from lociq.llm.ann import fit_quantizer, search
 from lociq.llm.decontaminate import contamination, drop_contaminated, matched, proximity_matches
 from lociq.llm.sharding import cut_shards, permutation, shuffle_records
 from lociq.llm.urls import judge_urls
@@ -117,6 +117,31 @@ def test_permutation_is_uniform():
     assert len(seen) == 6 and len(permutation(0, 1, 1)) == 0
 
 
+def test_lists_stay_short(spark):
+    """Ten times as many vectors make ten times as many lists, also where many are equal; recall against brute force on both."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(60, 12))
+    for n in (1500, 15_000):
+        x = centres[rng.integers(0, 60, n)] + rng.normal(0, 0.6, (n, 12))
+        x[: n // 3] = x[0]
+        df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>").repartition(8)
+        model = fit_quantizer(df.withColumnRenamed("embedding", "v"), n)
+        lists = len(np.unique(model.lists(x / np.linalg.norm(x, axis=1, keepdims=True))))
+        assert 0.3 * n / 64 <= lists <= 2 * n / 64 + 2
+        assert model.probes(x[:3], 5).tolist() == model.probes(x[:3], len(model.coarse))[:, :5].tolist()
+        some = df.where(f"vec_id % {n // 30} = 0")
+        got = {}
+        for r in search(df, some).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        hits = 0
+        for q, found in got.items():
+            s = np.round(u @ u[q], 12)
+            s[q] = -9
+            hits += len(found & set(np.lexsort((np.arange(n), -s))[:5].tolist()))
+        assert len(got) == 30 and hits >= 0.9 * 5 * 30
+
+
 def test_search_recall_and_ties(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(1500, 16))
