@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lociq.functions import qc
+from lociq.functions.rows import keep
 from lociq.functions.normal import z_from_p
 
 
@@ -71,7 +72,7 @@ def harmonise(trait: Trait, ref: DataFrame, info: float = 0.6, keep_indel: bool
     df = df if keep_indel else qc.keep_acgt(df)
     df = qc.drop_missing(df.join(ref, "SNP"), "P", "EFFECT")
     df = qc.with_snp_variance(df)
-    df = qc.log_of_odds_ratios(df).where(F.col("EFFECT") != 0)
+    df = qc.log_of_odds_ratios(keep(df)).where(F.col("EFFECT") != 0)  # read for the median and for the rest
     df = qc.keep_matching_alleles(qc.flip_effect(df)).withColumn("Z", z_from_p())
     df = with_n(qc.at_least(df, "INFO", info), trait.n)
     df = qc.keep_finite_effects(qc.standard_effects(df, trait.kind, trait.beta_given), nonzero=trait.kind == "linprob")
