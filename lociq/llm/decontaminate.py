@@ -170,7 +170,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, n: int) -> tuple[DataFrame, D
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (items with a proximity match) for every row of docs.
 
-    A null text has no words. Repeated rows and rows that share an id are judged each by their own text; a
+    A null text has no words. Very long texts are split whole, in one task; their postings are rows like any other. Repeated rows and rows that share an id are judged each by their own text; a
     null id is an id. Items of equal text count one by one; a null item text has no windows. Empty tables
     give no rows, or rows without hits. Other columns are ignored whatever their names.
     """

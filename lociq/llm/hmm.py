@@ -378,7 +378,8 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) ->
 
     Learns from the rows whose id isn't held out. A token is a word or the end of the document; a null text has
     the end alone. Unknown words count as one. Repeated rows are learnt and scored each. With nothing to learn
-    from, every word is unknown and the base score is 0. Other columns are ignored whatever their names; an
+    from, every word is unknown and the base score is 0. A very long text is one sequence, whose likelihood is worked out token by token
+    in one task. Other columns are ignored whatever their names; an
     empty table gives no rows.
     """
     counts = settle(count_words(docs.where(~left_out()).select(F.col("text").cast("string").alias("text"))), "word-counts")

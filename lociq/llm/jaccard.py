@@ -275,8 +275,8 @@ def similar_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
     Two documents link if 100 * intersection >= percent * union of their sets. A text of fewer than k words has all
     of them as its one shingle; null and empty texts have none and link with nothing. Rows with equal ids and
-    texts are one document. A null id comes before all others. Other columns are ignored whatever
-    their names. Empty tables give no rows.
+    texts are one document. Very long texts are hashed whole in one task, with a number for each shingle. A null id comes before all
+    others. Other columns are ignored whatever their names. Empty tables give no rows.
     """
     told, _ = classes(docs, k, percent)
     return told.select(F.struct("doc", F.col("node").alias("tie")).alias("node"), "n", F.struct("whole.doc", F.col("whole.node").alias("tie")).alias("component"))

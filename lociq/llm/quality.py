@@ -205,7 +205,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -
 
     Labels are learnt only from ids that aren't held out; a row whose label is null teaches nothing, a
     repeated one counts as often as it stands. Repeated documents are scored each; null and empty texts
-    get the score of the all-zero statistics. Every labelled row is used, there is no sample.
+    get the score of the all-zero statistics. Very long texts are measured whole, one at a time in a task. Every labelled row is used, there
+    is no sample. An empty table gives no rows; other columns are ignored whatever their names.
     """
     stats = settle(document_statistics(docs), "quality-stats")
     taught = labels.where(~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))

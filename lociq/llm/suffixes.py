@@ -295,7 +295,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     of the text). first_doc_id is the least id of a document that holds one of the later passages earlier, or all of the
     text if there is one (null if none is later); spans are the repeated stretches as [begin, end) of words. Words are runs without blanks
     (space and U+0009 to U+000D). Documents without repeats are left out: null, empty and short texts always
-    are. A null id comes first. Rows with equal ids and texts are one document. Other columns are ignored
+    are. Very long texts are hashed whole, word by word, in one task, with some 60 bytes for each word. A null id comes first. Rows with equal ids and texts are one document. Other columns are ignored
     whatever their names.
     """
 

@@ -188,7 +188,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 1, seq
     ids ordered by a hash of the text). Returns the manifest: one row for each pair of files.
 
     Rows are dealt by range of (doc_id, text hash), so no id gathers in one task. A null or empty text
-    gives the end id alone. An empty table gives no files. Other columns are ignored, whatever their
+    gives the end id alone; a very long one is encoded whole in one task and runs over as many sequences as it fills. An empty table gives no files. Other columns are ignored, whatever their
     names. A task writes under a new name each time it runs, and only what its surviving attempt
     returned is in the manifest (itself a committed Parquet table), so a lost executor leaves stray
     files at most.
