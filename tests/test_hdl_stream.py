@@ -88,3 +88,23 @@ def test_stream_as_batch(spark, tmp_path):
     q.awaitTermination(120)
     got = sorted(tuple(r)[:3] for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(tuple(r)[:3] for p in parts for r in munge(p, ref).collect())
+
+
+def test_eigenvalues_that_pieces_share_travel_once(spark, monkeypatch):
+    """Refits without a piece take its sums from those of all; what travels grows with distinct eigenvalues, not with SNPs."""
+    from lociq.operators import hdl as module
+
+    rng, n, m, pieces = np.random.default_rng(2), 5000.0, 20, 12
+    lam = np.tile(rng.gamma(4, 1, m), (pieces, 1))
+    b = rng.normal(size=(pieces, 2, m)) * np.sqrt(0.3 * lam**2 / (m * pieces) + lam / n)[:, None]
+    rows = [(f"p{p}", [f"p{p}s{i}" for i in range(m)], ["G"] * m, (lam[p] ** 2).tolist(), lam[p].tolist(), np.eye(m).tolist()) for p in range(pieces)]
+    traits = [spark.createDataFrame([(f"p{p}s{i}", n, "G", float(b[p, t, i] * np.sqrt(n))) for p in range(pieces) for i in range(m)], "SNP string, N double, A2 string, Z double") for t in (0, 1)]
+    monkeypatch.setattr(module, "MOST_VALUES", 5 * m)
+    c = hdl(spark.createDataFrame(rows, PIECE), traits, ["a", "b"], n_ref=1e12, method="jackknife")
+    at = lambda keep, start: fit_own(lam[keep].ravel(), b[keep][:, 0].ravel(), float(m * pieces), n, 1e12, start)
+    full = at(np.ones(pieces, bool), np.array([0.1, 1.0]))
+    left = np.array([at(np.arange(pieces) != p, full)[0] for p in range(pieces)])
+    assert 0 < full[0] < 1 and np.isclose(c.S[0, 0], full[0], rtol=1e-8) and np.isclose(c.V[0, 0], left.var(ddof=1) * (pieces - 1), rtol=1e-6)
+    monkeypatch.setattr(module, "MOST_VALUES", 5 * m - 1)
+    with pytest.raises(ValueError, match="distinct eigenvalues"):
+        hdl(spark.createDataFrame(rows, PIECE), traits, ["a", "b"], n_ref=1e12, method="jackknife")
