@@ -269,6 +269,7 @@ def hdl(pieces: DataFrame, traits: Sequence[DataFrame], names: Sequence[str], n_
     if method not in ("piecewise", "jackknife"):
         raise ValueError(f"unknown method: {method}")
     k = len(traits)
+    traits = [keep(t.select("SNP", "N", "A2", "Z")) for t in traits]  # sizes, slopes and effects read them
     sizes = [sample_sizes(t) for t in traits]
     rho = {(i, j): z_slope(traits[i], traits[j]) for j, i in vech_index(k) if i != j}
     effects = None

@@ -108,3 +108,24 @@ def test_eigenvalues_that_pieces_share_travel_once(spark, monkeypatch):
     monkeypatch.setattr(module, "MOST_VALUES", 5 * m - 1)
     with pytest.raises(ValueError, match="distinct eigenvalues"):
         hdl(spark.createDataFrame(rows, PIECE), traits, ["a", "b"], n_ref=1e12, method="jackknife")
+
+
+def test_pieces_fitted_at_once_reach_their_minima():
+    """Pieces of unequal sizes, stacked, have the estimates of each alone, where nothing near is less."""
+    from lociq.operators.hdl import fit_pieces, own_variance
+
+    rng, n = np.random.default_rng(3), 11000.0
+    pieces = []
+    for m in (40, 7, 33, 40, 1):
+        lam = rng.gamma(3, 1, m) + 0.5
+        b = rng.normal(size=(2, m)) * np.sqrt(0.4 * lam**2 / m + lam / n)
+        pieces.append((lam**2, lam, b, b))
+    sizes, rho = [(n, n), (n, n)], {(0, 1): 0.0, (1, 0): 0.0}
+    together = fit_pieces(pieces, 2, sizes, rho, 335_265)
+    for at, piece in enumerate(pieces):
+        assert all(np.allclose(x[at], y[0], rtol=1e-6, atol=1e-9) for x, y in zip(together, fit_pieces([piece], 2, sizes, rho, 335_265), strict=True))
+        lam, star = piece[1], piece[2][0]
+        loss = lambda p: float((np.log(v := own_variance(p, lam, len(lam), n, 335_265)) + star**2 / v).sum())  # noqa: B023, E731
+        best = together[0][at]
+        near = [np.clip(best + np.array([i, j]), [0, 0], [1, 10]) for i in (-1e-4, 0, 1e-4) for j in (-1e-3, 0, 1e-3)]
+        assert all(loss(x) >= loss(best) - 1e-9 for x in near)
