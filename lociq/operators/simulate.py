@@ -35,5 +35,8 @@ def simulate(scores: DataFrame, S: np.ndarray, n: np.ndarray, m: float, overlap:
             out = np.einsum("bij,bj->bi", root, z)
             yield pd.concat([pd.DataFrame({"iter": batch["iter"], "trait": t, "SNP": batch["SNP"], "N": n[t], "Z": out[:, t], "A1": "A"}) for t in range(k)])
 
-    rows = scores.select("SNP", F.col("L2").cast("double").alias("L2"), F.xxhash64("SNP").alias("hash"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("iter"))
+    # draws take far longer than the bytes of a row tell, so each task gets its share of the SNPs
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    snps = scores.select("SNP", F.col("L2").cast("double").alias("L2"), F.xxhash64("SNP").alias("hash")).repartition(parts, "hash")
+    rows = snps.withColumn("iter", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     return rows.mapInPandas(draw, "iter int, trait int, SNP string, N double, Z double, A1 string")
