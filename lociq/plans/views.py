@@ -47,18 +47,30 @@ def frame(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frame(spark, sf_dir, VARIANTS)
+    """The panel grows with the tables, so joins shuffle it: a broadcast would go whole through the driver for each of them."""
+    return frame(spark, sf_dir, VARIANTS).hint("merge")
+
+
+def by_part(t: int, of: int = 3) -> str:
+    """trait_sql() with lines summed by part before variants are joined: so neither lines nor a copy of all variants for each executor
+    have to travel. A part that stands d times counts each of its lines d times, as in a plain join."""
+    head, tail = trait_sql(t, of).split("FROM {lineitem}")
+    for plain, summed in (("avg(l_discount)", "discount"), ("avg(l_tax)", "tax"), ("sum(l_quantity) / count(*)", "quantity / lines"), ("count(*)", "(lines * v.d)")):
+        head = head.replace(plain, summed)
+    lines = f"SELECT l_partkey, avg(l_discount) AS discount, avg(l_tax) AS tax, sum(l_quantity) AS quantity, count(*) AS lines FROM {{lineitem}} WHERE l_suppkey % {of} = {t} GROUP BY l_partkey"
+    parts = f"SELECT pk, A1, A2, count(*) AS d FROM ({VARIANTS}) GROUP BY pk, A1, A2"
+    return head.replace("SELECT", "SELECT /*+ MERGE(v) */", 1) + f"FROM ({lines}) l JOIN ({parts}) v ON v.pk = l_partkey"
 
 
 def trait(spark: SparkSession, sf_dir: str, t: int) -> DataFrame:
-    return frame(spark, sf_dir, trait_sql(t))
+    return frame(spark, sf_dir, by_part(t))
 
 
 def planted(spark: SparkSession, sf_dir: str, t: int, of: int = 5) -> DataFrame:
     """SNP, A1, N, Z of one of ``of`` traits with heritability: to the trait's own Z comes an effect that all of them share and one of its
     own, both in proportion to the root of the LD score and drawn by a hash of the variant."""
     draw = lambda seed: (F.pmod(F.xxhash64("pk", F.lit(seed)), F.lit(2003)) / 2003 - 0.5) * 12**0.5
-    rows = frame(spark, sf_dir, trait_sql(t, of)).join(variants(spark, sf_dir).select("SNP", "pk", "L2", F.col("A1").alias("a1_ref")), "SNP")
+    rows = frame(spark, sf_dir, by_part(t, of)).join(variants(spark, sf_dir).select("SNP", "pk", "L2", F.col("A1").alias("a1_ref")), "SNP")
     effect = F.sqrt("L2") * (0.14 * draw(-1) + 0.11 * draw(t))
     return rows.select("SNP", F.col("a1_ref").alias("A1"), "N", (F.col("Z") + effect).alias("Z"))
 
