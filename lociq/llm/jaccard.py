@@ -231,7 +231,10 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndar
             rest = parts.join(head.where("held > 2"), "key").where(F.col("node") != F.col("head.node")).select(member)
         else:
             rest = parts.where(F.col("small") > ALL_HEADS).select(member).join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti")
-        now = settle(rest.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "members")
+        # a class meets its component once, however many lists it is in
+        nested = rest.groupBy("node", "n").agg(F.collect_list(F.struct("key", "left")).alias("lists")).join(found, "node", "left")
+        now = nested.select("node", "n", F.coalesce("component", "node").alias("component"), F.inline("lists")).select(*member, "component")
+        now = settle(now, "members")
         sizes = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"))
         apart = sizes.where("size > top.c").select("key", F.col("top.component").alias("main"), (F.col("size") - F.col("top.c")).alias("small"))
         parts = settle(now.join(settle(apart, "lists-apart"), "key"), "members-apart")

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -150,3 +151,24 @@ def test_every_window_holds_a_minimiser():
     for row in (h, np.repeat(h[:4], 100)):
         places = selected(row, 50, 8, 15)
         assert all(((places >= s) & (places <= s + 35)).any() for s in range(len(row) - 49))
+
+
+def test_classes_meet_components_once(spark, frame, monkeypatch):
+    """Near copies share many lists; a join with components has a row for each class, not for each of its places in a list."""
+    import lociq.llm.jaccard as module
+
+    rng, made = random.Random(5), []
+    base = sentence(rng, 80).split()
+    rows = list(enumerate(" ".join([*base[:i], f"edit{i}", *base[i + 1 :]]) for i in range(40)))
+    settle = module.settle
+
+    def seen(df, label):
+        if label == "members":
+            plan = df._jdf.queryExecution().optimizedPlan()
+            made.extend(re.findall(r"Join LeftOuter.*\n(?:.*Filter.*\n)?.*?(Aggregate|Project|Join|Relation)", plan.toString()))
+        return settle(df, label)
+
+    monkeypatch.setattr(module, "settle", seen)
+    got = similar_components(frame(rows), 3, 90).select("node.doc", "n", "component.doc").collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
+    assert made and set(made) == {"Aggregate"}
