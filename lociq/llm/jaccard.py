@@ -80,9 +80,24 @@ def describe(base: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     return both.where("chunk is null").drop("chunk", "counts"), sketch
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each of m remainders of the hashes of a set, m a power of two from its size on: whether an odd number of them leaves it.
+    Each shingle that one of two sets alone has turns one bit, so sets differ by as many shingles as bits at least."""
+    m = 1 << max(7, (len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """The least number of shingles that only one of two sets has, by their parities."""
+    a, b = (np.frombuffer(z, np.uint8) for z in ((x, y) if len(x) <= len(y) else (y, x)))
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
-    """node, n, first, load: the first size - need + 2 shingles of each set in the global order, and how many sets
-    the sketch expects to meet in the lists of all but the last."""
+    """node, n, first, load, parity: the first size - need + 2 shingles of each set in the global order, how many sets
+    the sketch expects to meet in the lists of all but the last, and the parities of the set."""
     usual = sketch.mean()
     shared = base.sparkSession.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS counts
 
@@ -98,9 +113,10 @@ def prefixes(base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataF
                     rows.append(s[order].view(np.int64))
                     loads.append(float(np.maximum(counts[order[:-1]] - usual, 1).sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows)))
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(loads)], names=["node", "n", "first", "load"])
+                columns = [piece.column(0), pa.array([len(s) for s in sets], pa.int32()), lists, pa.array(loads), pa.array(map(parities, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "first", "load", "parity"])
 
-    return base.select("node", "text").mapInArrow(first, "node long, n int, first array<long>, load double").where("n > 0")
+    return base.select("node", "text").mapInArrow(first, "node long, n int, first array<long>, load double, parity binary").where("n > 0")
 
 
 def boundary(first: DataFrame, percent: int) -> int:
@@ -150,26 +166,18 @@ def possible(n: str, m: str, left_n: str, left_m: str, percent: int) -> F.Column
     return sizes & (F.least(left_n, left_m) >= overlap)
 
 
-def within_bounds(pairs: DataFrame, first: DataFrame, sketch: np.ndarray, percent: int) -> DataFrame:
-    """The pairs (u, v) whose first shingles don't rule them out. What precedes the last of the other's first shingles
-    and isn't among them isn't in the other set at all; too many of these leave too small an overlap."""
-    shared = first.sparkSession.sparkContext.broadcast(sketch)
+def within_bounds(pairs: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose parities don't rule them out: too many shingles that only one of the two has leave too small an overlap.
+    So few but links are left to be compared whole, and a fraction of a set's size in bytes travels for the others."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                x, y = (z.values.to_numpy().view(np.uint64) for z in (x, y))
-                every = np.unique(np.concatenate([x, y]))
-                rank = np.empty(len(every), np.int64)
-                rank[np.lexsort((every, shared.value[bucket(every)]))] = np.arange(len(every))
-                x, y = rank[np.searchsorted(every, x)], rank[np.searchsorted(every, y)]
-                apart = (~np.isin(x[x <= y.max()], y)).sum() + (~np.isin(y[y <= x.max()], x)).sum()
-                keep.append(apart <= n + m - 2 * -(-(n + m) * percent // (100 + percent)))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m"))
+            apart = np.fromiter(map(least_apart, batch.column("x").to_pylist(), batch.column("y").to_pylist()), np.int64, batch.num_rows)
+            yield batch.select(["u", "v"]).filter(pa.array(apart <= n + m - 2 * -(-(n + m) * percent // (100 + percent))))
 
     lists = first.where(may_hold(pairs.select(F.explode(F.array("u", "v")).alias("node")))(F.col("node")))
-    side = lambda end, n, f: lists.select(F.col("node").alias(end), F.col("n").alias(n), F.col("first").alias(f))
+    side = lambda end, n, f: lists.select(F.col("node").alias(end), F.col("n").alias(n), F.col("parity").alias(f))
     both = pairs.join(side("u", "n", "x"), "u").join(side("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
     return both.mapInArrow(bound, "u long, v long")
 
@@ -196,7 +204,7 @@ def verified(base: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return links
 
 
-def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndarray, k: int, percent: int) -> DataFrame:
+def linked(shared: DataFrame, first: DataFrame, base: DataFrame, k: int, percent: int) -> DataFrame:
     """node, component of all classes that links reach, from the written postings of keys that several hold.
 
     In each round some members of a list, its heads, are compared with all others that are in other components by then. In the first
@@ -220,10 +228,10 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, sketch: np.ndar
         if compared is not None:
             pairs = pairs.join(compared, ["u", "v"], "left_anti")
         pairs = settle(pairs, "pairs")
-        near = settle(within_bounds(pairs, first, sketch, percent), "pairs-in-bounds")
+        near = settle(within_bounds(pairs, first, percent), "pairs-in-bounds")
         new = None if links is not None and near.isEmpty() else verified(base, near, k, percent)
         compared = pairs if compared is None else compared.union(pairs)
-        if new is not None:
+        if new is not None and (links is None or not new.isEmpty()):
             links = new if links is None else links.union(new)
             found = components(links)
         member = ["key", "node", "n", "left"]
@@ -262,7 +270,7 @@ def classes(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, int]:
     several = settle(posted.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "shared-keys")
     shared = settle(matching(posted, several, ["key"]).select("key", "node", "n", "left"), "shared-postings")
     discard(posted)
-    found = linked(shared, first, base, sketch, k, percent)
+    found = linked(shared, first, base, k, percent)
 
     heads = of_class.where(F.col("node") == F.col("least.node")).select("node", "least")
     least = heads.join(found, "node")

@@ -172,3 +172,28 @@ def test_classes_meet_components_once(spark, frame, monkeypatch):
     got = similar_components(frame(rows), 3, 90).select("node.doc", "n", "component.doc").collect()
     assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
     assert made and set(made) == {"Aggregate"}
+
+
+def test_parities_tell_apart_before_whole_sets_move(spark):
+    """Sets that share their first shingles and little else aren't compared whole; no pair at the threshold is ruled out."""
+    import lociq.llm.jaccard as module
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+    sets, links = [], set()
+    for n in (1, 9, 40, 300, 5000):
+        one = draw(n)
+        close = np.unique(np.concatenate([one[: n - n // 25], draw(n // 25)]))
+        far = np.unique(np.concatenate([one[: n // 2], draw(n - n // 2)]))
+        for a, b in ((one, close), (one, far), (one, one[: n - n // 12]), (one, one)):
+            assert module.least_apart(module.parities(a), module.parities(b)) <= len(np.setxor1d(a, b))
+            both = len(np.intersect1d(a, b))
+            if 100 * both >= 90 * (len(a) + len(b) - both):
+                links.add((len(sets), len(sets) + 1))
+            sets += [a, b]
+    rows = [(i, len(s), module.parities(s)) for i, s in enumerate(sets)]
+    first = spark.createDataFrame(rows, "node long, n int, parity binary").withColumn("node", module.F.shiftleft("node", 40))
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, len(sets), 2)], "u long, v long")
+    pairs = pairs.select(*(module.F.shiftleft(c, 40).alias(c) for c in ("u", "v")))
+    got = {(r.u >> 40, r.v >> 40) for r in module.within_bounds(pairs, first, 90).collect()}
+    assert got >= links and len(got) <= len(links) + 2 < len(sets) // 2
