@@ -14,6 +14,7 @@ import gc
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ LOCAL_COUNTS = 200_000
 ROUNDS = 4
 SEGMENT = 128
 SEGMENTS = 512
+STEP_TOKENS = 1 << 16
 PARTS = 16
 FLUSH = 250_000
 CHUNK_TOKENS = 600_000
@@ -96,6 +98,11 @@ class Vocabulary:
     def other(self) -> int:
         return len(self.own)
 
+    def places(self) -> tuple[dict[bytes, int], np.ndarray]:
+        """(the place of each word whose count is held, its symbol first where it has one of its own; the counts by place, behind them -1)."""
+        every = [*self.own, *(w for w in self.counts if w and w not in self.own)]
+        return {w: i for i, w in enumerate(every)}, np.array([*(self.counts[w] for w in every), -1], np.int64)
+
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 1) / (self.total + self.distinct + 1))
 
@@ -133,7 +140,8 @@ def encode(docs: DataFrame, words: Vocabulary, often: np.ndarray) -> DataFrame:
     the words whose counts are known here, and the words whose counts are not, with how often they occur), symbols (16-bit, each
     document's end last), hashes (64-bit, rising: of the words that share a symbol and that training may hold more than once) and tail
     (32-bit: which of these, at each place of that symbol; -1: none). ``often`` is the filter of the words that stand more than once."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, often))  # LOCAL_COUNTS words, a filter of fixed size
+    numbers = Vocabulary(words.total, words.distinct, {}, {}, words.other_total, words.other_distinct)
+    shared = docs.sparkSession.sparkContext.broadcast((numbers, words.places(), words.other, words.counts[b""], often))  # LOCAL_COUNTS words, a filter of fixed size
     doc = pa.struct(
         [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("known", pa.int64())]
         + [("base", pa.float64()), ("within", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int32()))]
@@ -141,28 +149,28 @@ def encode(docs: DataFrame, words: Vocabulary, often: np.ndarray) -> DataFrame:
     schema = pa.schema([("chunk", pa.int64()), ("docs", pa.list_(doc)), ("symbols", pa.binary()), ("tail", pa.binary()), ("hashes", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, bits = shared.value
-        own, counts, other, end = v.own.get, v.counts.get, v.other, v.counts[b""]
+        v, (known, counts), other, end, bits = shared.value
+        place, unknown = known.get, len(known)
         rows, parts, tail, size, places = [], [], [], 0, {}
 
         def out() -> pa.RecordBatch:
             hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in places), np.uint64, len(places))
-            rising = np.unique(hashes[in_filter(bits, hashes)])
-            where = np.searchsorted(rising, hashes).astype("<i4")
-            where[~np.isin(hashes, rising)] = -1
+            several = in_filter(bits, hashes)
+            rising = np.unique(hashes[several])
+            where = np.where(several, np.searchsorted(rising, hashes), -1).astype("<i4")
             at = where[np.array(tail, np.int64)] if tail else np.zeros(0, "<i4")
             return pa.RecordBatch.from_pylist([{"chunk": rows[0]["row"], "docs": rows, "symbols": b"".join(parts), "tail": at.tobytes(), "hashes": rising.tobytes()}], schema=schema)
 
         for batch in slices(batches):
             for doc_id, held, row, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 found = words_of(text)
-                symbols = np.fromiter((own(w, other) for w in found), "<u2", len(found))
-                c = np.fromiter((counts(w, -1) for w in found), np.int64, len(found))
+                at = np.fromiter(map(place, found, repeat(unknown)), np.int64, len(found))
+                c = counts[at]
                 here = np.append(c[c >= 0], end)
-                far = Counter(w for w, n in zip(found, c.tolist(), strict=True) if n < 0)
-                within = v.within(c[(c >= 0) & (symbols == other)]).sum()
-                tail += [places.setdefault(found[i], len(places)) for i in np.flatnonzero(symbols == other).tolist()]
-                parts += [symbols.tobytes(), np.array([v.end], "<u2").tobytes()]
+                far = Counter([found[i] for i in np.flatnonzero(at == unknown).tolist()])
+                within = v.within(c[(c >= 0) & (at >= other)]).sum()
+                tail += [places.setdefault(found[i], len(places)) for i in np.flatnonzero(at >= other).tolist()]
+                parts += [np.minimum(at, other).astype("<u2").tobytes(), np.array([other + 1], "<u2").tobytes()]
                 numbers = {"n_tokens": len(found) + 1, "known": int((here > 0).sum()), "base": float(v.base(here).sum()), "within": float(within)}
                 rows.append({"doc_id": doc_id, "held_out": held, "row": row, **numbers, "words": [w.decode() for w in far], "times": list(far.values())})
                 size += len(found) + 1
@@ -199,22 +207,24 @@ class Model:
         has = tail.T >= 0 if tail is not None else None
         if gains is not None:
             e[has] *= gains[tail.T[has]]
-        alpha, scale = np.empty((length, n, k)), np.empty((length, n, 1))
-        now = np.where(begins[:, None], self.start, self.middle) * e[0]
+        alpha, scale, ones, back = np.empty((length, n, k)), np.empty((length, n, 1)), np.ones((k, 1)), np.ascontiguousarray(self.move.T)
+        alpha[0] = np.where(begins[:, None], self.start, self.middle)
         for t in range(length):
             if t:
-                now = (alpha[t - 1] @ self.move) * e[t]
-            scale[t] = now.sum(axis=1, keepdims=True)
-            alpha[t] = now / scale[t]
-        beta, moves = np.ones((n, k)), np.zeros((k, k))
-        gamma = np.empty_like(alpha)
+                np.matmul(alpha[t - 1], self.move, out=alpha[t])
+            alpha[t] *= e[t]
+            np.matmul(alpha[t], ones, out=scale[t])
+            alpha[t] /= scale[t]
+        beta, gamma = np.ones((n, k)), np.empty_like(alpha)
         gamma[-1] = alpha[-1]
         for t in range(length - 2, -1, -1):
-            ahead = e[t + 1] * beta / scale[t + 1]
-            moves += (alpha[t] * real[:, t + 1, None]).T @ ahead
-            beta = ahead @ self.move.T
-            gamma[t] = alpha[t] * beta
-        moves *= self.move
+            ahead = e[t + 1]  # from here on what follows the move to this place
+            ahead *= beta
+            ahead /= scale[t + 1]
+            np.matmul(ahead, back, out=beta)
+            np.multiply(alpha[t], beta, out=gamma[t])
+        e[1:] *= real.T[1:, :, None]
+        moves = self.move * (alpha[:-1].reshape(-1, k).T @ e[1:].reshape(-1, k))
         gamma *= real.T[:, :, None]
         if found is not None:
             which, part = tail.T[has], gamma[has]
@@ -235,21 +245,33 @@ class Model:
         """log10 probability of whole sequences, each of one symbol at least; ``tails`` as for expect."""
         order = np.argsort([-len(s) for s in sequences], kind="stable")
         sizes = np.array([len(sequences[i]) for i in order])
-        flat = np.concatenate([sequences[i] for i in order])
-        at = np.cumsum(sizes) - sizes
-        which = np.concatenate([tails[i] for i in order]) if gains is not None else None
-        total, now, active = np.zeros(len(sizes)), self.start, len(sizes)
-        for t in range(sizes[0]):
-            while sizes[active - 1] <= t:
-                active -= 1
-            e = self.emit[flat[at[:active] + t]]
+        # tokens by place in their sequence, longest sequences first: a step takes one slice of them
+        step, rank = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(len(sizes)), sizes)
+        edges = np.concatenate([[0], np.cumsum(np.bincount(step))])
+        to = edges[step] + rank
+
+        def by_step(values: list[np.ndarray]) -> np.ndarray:
+            out = np.empty(len(to), values[0].dtype)
+            out[to] = np.concatenate([values[i] for i in order])
+            return out
+
+        flat, which = by_step(sequences), by_step(tails) if gains is not None else None
+        scale, now, ones, first = np.empty(len(to)), None, np.ones(len(self.start)), 0
+        while first < sizes[0]:
+            last = max(first + 1, int(np.searchsorted(edges, edges[first] + STEP_TOKENS, "right")) - 1)
+            begin = edges[first]
+            e = self.emit[flat[begin : edges[last]]]
             if which is not None:
-                w = which[at[:active] + t]
+                w = which[begin : edges[last]]
                 e[w >= 0] *= gains[w[w >= 0]]
-            now = self.start * e if t == 0 else (now[:active] @ self.move) * e
-            scale = now.sum(axis=1)
-            total[:active] += np.log10(scale)
-            now = now / scale[:, None]
+            cuts = edges[first : last + 1].tolist()
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                now = np.tile(self.start, (j - i, 1)) if now is None else now[: j - i] @ self.move
+                now *= e[i - begin : j - begin]
+                np.matmul(now, ones, out=scale[i:j])
+                now /= scale[i:j, None]
+            first = last
+        total = np.bincount(rank, np.log10(scale)[to], len(sizes))
         out = np.empty(len(sizes))
         out[order] = total
         return out

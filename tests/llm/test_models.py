@@ -191,3 +191,26 @@ def test_expected_counts_as_brute_force():
             moves[path[t], path[t + 1]] += p
     got = model.expect(seq, real, np.array([True]))
     assert np.allclose(got[:3], words / total) and np.allclose(got[-2:], moves / total)
+
+
+def test_steps_of_many_sequences_as_one_by_one(monkeypatch):
+    """The forward recursion takes tokens step by step from blocks of any size; words are looked up once, by place."""
+    import lociq.llm.hmm as hmm
+
+    rng = np.random.default_rng(3)
+    model, gains = hmm.Model(rng.integers(1, 9, 12).astype(float)), rng.random((5, hmm.STATES)) + 0.5
+    sequences = [rng.integers(0, 12, n).astype("<u2") for n in (1, 40, 3, 3, 17, 1)]
+    tails = [np.where(s == 10, rng.integers(-1, 5, len(s)), -1).astype(np.int32) for s in sequences]
+    expected = []
+    for s, w in zip(sequences, tails, strict=True):
+        now, total = model.start, 0.0
+        for t, (symbol, word) in enumerate(zip(s, w, strict=True)):
+            now = (now if t == 0 else now @ model.move) * model.emit[symbol] * (gains[word] if word >= 0 else 1)
+            total, now = total + math.log10(now.sum()), now / now.sum()
+        expected.append(total)
+    for size in (1, 7, 1 << 16):
+        monkeypatch.setattr(hmm, "STEP_TOKENS", size)
+        assert np.allclose(model.likelihood(sequences, tails, gains), expected, rtol=1e-12)
+    held = {b"b": 5, b"": 3, b"a": 2, b"c": 1}
+    known, counts = hmm.Vocabulary(11, 4, {b"b": 0, b"a": 1}, held, 1, 1).places()
+    assert known == {b"b": 0, b"a": 1, b"c": 2} and counts.tolist() == [5, 2, 1, -1]
