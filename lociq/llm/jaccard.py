@@ -231,18 +231,19 @@ def linked(shared: DataFrame, first: DataFrame, base: DataFrame, k: int, percent
         near = settle(within_bounds(pairs, first, percent), "pairs-in-bounds")
         new = None if links is not None and near.isEmpty() else verified(base, near, k, percent)
         compared = pairs if compared is None else compared.union(pairs)
-        if new is not None and (links is None or not new.isEmpty()):
+        more = new is not None and not new.isEmpty()
+        if more or links is None:
             links = new if links is None else links.union(new)
             found = components(links)
         member = ["key", "node", "n", "left"]
         if heads == 1:  # each list has lost its one head; of two members nothing is left to compare
-            rest = parts.join(head.where("held > 2"), "key").where(F.col("node") != F.col("head.node")).select(member)
+            rest = parts.join(head.where("held > 2"), "key").where(F.col("node") != F.col("head.node")).select(*member, "component")
         else:
-            rest = parts.where(F.col("small") > ALL_HEADS).select(member).join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti")
-        # a class meets its component once, however many lists it is in
-        nested = rest.groupBy("node", "n").agg(F.collect_list(F.struct("key", "left")).alias("lists")).join(found, "node", "left")
-        now = nested.select("node", "n", F.coalesce("component", "node").alias("component"), F.inline("lists")).select(*member, "component")
-        now = settle(now, "members")
+            rest = parts.where(F.col("small") > ALL_HEADS).select(*member, "component").join(head.select("key", F.col("head.node").alias("node")), ["key", "node"], "left_anti")
+        if more:  # a class meets its component once, however many lists it is in
+            nested = rest.groupBy("node", "n").agg(F.collect_list(F.struct("key", "left")).alias("lists")).join(found, "node", "left")
+            rest = nested.select("node", "n", F.coalesce("component", "node").alias("component"), F.inline("lists")).select(*member, "component")
+        now = settle(rest, "members")  # without new links members stay in the components that they have
         sizes = now.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "component")).alias("top"), F.sum("c").alias("size"))
         apart = sizes.where("size > top.c").select("key", F.col("top.component").alias("main"), (F.col("size") - F.col("top.c")).alias("small"))
         parts = settle(now.join(settle(apart, "lists-apart"), "key"), "members-apart")

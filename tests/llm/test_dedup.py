@@ -174,6 +174,30 @@ def test_classes_meet_components_once(spark, frame, monkeypatch):
     assert made and set(made) == {"Aggregate"}
 
 
+def test_members_are_dealt_anew_after_new_links_alone(frame, monkeypatch):
+    """Long lists of texts that aren't alike take several rounds; one that finds no link leaves members in their components."""
+    import lociq.llm.jaccard as module
+
+    rng = random.Random(8)
+    rows = list(enumerate(f"{sentence(rng, 3)} rare words here {sentence(rng, 9)}" for _ in range(60))) + [(100 + i, t) for i, t in planted(3)]
+    settle, linking, dealt = module.settle, [], []
+
+    def seen(df, label):
+        if label == "members":
+            dealt.append("Generate inline" in df._jdf.queryExecution().optimizedPlan().toString())
+        out = settle(df, label)
+        if label == "links-found":
+            linking.append(not out.isEmpty())
+        return out
+
+    monkeypatch.setattr(module, "settle", seen)
+    monkeypatch.setattr(module, "ALL_HEADS", 1)
+    monkeypatch.setattr(module, "boundary", lambda *_: 0)
+    got = similar_components(frame(rows), 3, 90).select("node.doc", "n", "component.doc").collect()
+    assert sorted(map(tuple, got)) == brute_components(rows, 3, 90)
+    assert sum(dealt) == sum(linking) < len(dealt)
+
+
 def test_parities_tell_apart_before_whole_sets_move(spark):
     """Sets that share their first shingles and little else aren't compared whole; no pair at the threshold is ruled out."""
     import lociq.llm.jaccard as module
