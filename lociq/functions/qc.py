@@ -86,10 +86,12 @@ def log_of_odds_ratios(df: DataFrame) -> DataFrame:
 
 
 def drop_all_duplicates(df: DataFrame, key: str = "SNP") -> DataFrame:
-    """Rows whose key occurs once. The keys that do are counted first (map-side), so a key that
-    very many rows share gathers nowhere."""
-    once = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n = 1").select(key)
-    return df.join(once, key, "left_semi")
+    """Rows whose key occurs once; null keys go. df is read once: of each key the number of rows and one of them meet, map-side first, so a
+    key that very many rows share gathers nowhere."""
+    rest = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c != key]
+    one = [F.first(F.struct(*rest)).alias("_one")] if rest else []
+    met = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"), *one).where("_n = 1")
+    return met.select(key, *(["_one.*"] if rest else []))
 
 
 def drop_all_duplicates_by_window(df: DataFrame, key: str = "SNP") -> DataFrame:

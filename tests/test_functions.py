@@ -82,6 +82,13 @@ def test_duplicates_go_altogether(spark):
         assert "b" not in {r.SNP for r in f(df).collect()} and "a" in {r.SNP for r in f(df).collect()}
 
 
+def test_duplicates_are_found_in_one_reading(spark):
+    df = spark.range(6).selectExpr("concat('s', id % 4) AS SNP", "id AS `a.b`", "nullif(id, 3) AS c")
+    got = qc.drop_all_duplicates(df)
+    assert got.columns == ["SNP", "a.b", "c"] and sorted(map(tuple, got.collect())) == [("s2", 2, 2), ("s3", 3, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+
+
 def test_mhc(spark):
     df = spark.createDataFrame([(6, 25_000_000), (6, 34_000_000), (6, 34_000_001), (5, 30_000_000), (None, 1)], "CHR int, BP long")
     assert qc.outside_mhc(df).count() == 3
