@@ -96,6 +96,34 @@ def test_long_chain(spark):
     assert got == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 1001: 1000}
 
 
+def test_links_that_lie_together_need_no_round(spark, monkeypatch):
+    """Lists whose links are read by one task are stars at once, and that nothing is left to do is told without another round."""
+    import lociq.llm.components as module
+
+    settle, written = module.settle, []
+    monkeypatch.setattr(module, "settle", lambda df, label: written.append(label) or settle(df, label))
+    links = [(7, i) for i in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(9, 9), (7, 3), (3, 7)]
+    df = spark.createDataFrame(links, "u long, v long").coalesce(1)
+    want = {**dict.fromkeys(range(40), 0), **dict.fromkeys(range(100, 141), 100)}
+    assert {r.node: r.component for r in components(df).collect()} == want and written == ["links"]
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1 << 16])
+def test_components_of_links_in_chunks(spark, monkeypatch, chunk):
+    import lociq.llm.components as module
+
+    monkeypatch.setattr(module, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)]
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for u, v in links:
+            root[u] = root[v] = min(root[u], root[v])
+    got = components(spark.createDataFrame(links, "u long, v long").repartition(5)).collect()
+    alone = {u for u, v in links if u == v} - {x for u, v in links if u != v for x in (u, v)}
+    assert len(got) == len({r.node for r in got}) and {r.node: r.component for r in got} == {x: r for x, r in root.items() if x not in alone}
+
+
 def brute_passages(rows, size):
     runs, words, whole = defaultdict(list), {}, {}
     for i, t in sorted((i, t) for i, t in rows if t):
