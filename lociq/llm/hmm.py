@@ -406,7 +406,7 @@ def score_texts(docs: DataFrame, rounds: int = ROUNDS, states: int = STATES) ->
     """
     counts = settle(count_words(docs.where(~left_out()).select(F.col("text").cast("string").alias("text"))), "word-counts")
     words = vocabulary(counts)
-    often = filter_bits(counts.where("c > 1").select(F.xxhash64("word").alias("node")))
+    often = filter_bits(counts.where("c > 1").select(F.xxhash64("word").alias("node")), sparse=None)
     chunks = settle_by(encode(docs, words, often), "chunk", "encoded")
     symbols = np.array([*(words.counts[w] for w in words.own), words.other_total, words.counts[b""]], float)
     model, found = fit(chunks, symbols, rounds, states)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 FILTER_WORDS = 1 << 18
+SPARSE = 256
 FAN_IN = 256
 
 
@@ -84,37 +85,47 @@ def discard(*written: DataFrame) -> None:
         fs.delete_dir(path)
 
 
-def filter_bits(keys: DataFrame, column: str = "node") -> np.ndarray:
-    """A Bloom filter of FILTER_WORDS * 64 bits, whatever the table, with one bit for each key of a column of 64-bit hashes."""
-    word, bit = _place(F.col(column))
+def filter_bits(keys: DataFrame, column: str = "node", sparse: int | None = SPARSE) -> np.ndarray:
+    """A Bloom filter of FILTER_WORDS * 64 bits at most, whatever the table, with one bit for each key of a column of 64-bit hashes: it is
+    halved as long as ``sparse`` bits for each that is set are left, not at all if that is None."""
+    word, bit = _place(F.col(column), FILTER_WORDS)
     marks = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()  # FILTER_WORDS rows at most
-    bits = np.zeros(FILTER_WORDS, np.int64)
+    bits = np.zeros(FILTER_WORDS, "<i8")
     bits[marks.column("word").to_numpy()] = marks.column("bits").to_numpy()
+    places = np.flatnonzero(np.unpackbits(bits.view(np.uint8), bitorder="little"))
+    words = FILTER_WORDS
+    while sparse and words > 2 and words * 32 >= sparse * len(places):
+        words //= 2
+    if words < FILTER_WORDS:
+        small = np.zeros(words * 64, np.uint8)
+        small[places // (FILTER_WORDS // words)] = 1
+        bits = np.packbits(small, bitorder="little").view("<i8")
     return bits
 
 
 def in_filter(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which of some unsigned hashes may be among the keys of a filter."""
-    shift = np.uint64(65 - FILTER_WORDS.bit_length())
+    shift = np.uint64(65 - len(bits).bit_length())
     return (bits.view(np.uint64)[keys >> shift] >> ((keys >> (shift - np.uint64(6))) & np.uint64(63))) & np.uint64(1) == 1
 
 
 def may_hold(keys: DataFrame, column: str = "node") -> Callable[[Column], Column]:
-    """Whether a value may be among the 64-bit hashes in a column of a written table, as a condition, by a filter of fixed size. It says
+    """Whether a value may be among the 64-bit hashes in a column of a written table, as a condition, by a filter of bounded size. It says
     yes of every key, and of some others, the more the fuller the filter is: what follows must rule these out."""
-    table = pa.table({"bits": pa.array([filter_bits(keys, column)], pa.list_(pa.int64()))})
+    bits = filter_bits(keys, column)
+    table = pa.table({"bits": pa.array([bits], pa.list_(pa.int64()))})
     held = keys.sparkSession.createDataFrame(table).scalar()
 
     def condition(key: Column) -> Column:
-        word, bit = _place(key)
+        word, bit = _place(key, len(bits))
         return F.get(held, word).bitwiseAND(bit) != 0
 
     return condition
 
 
-def _place(key: Column) -> tuple[Column, Column]:
-    """Word and bit of a hash: its highest bits tell the word, the next six the bit."""
-    shift = 65 - FILTER_WORDS.bit_length()
+def _place(key: Column, words: int) -> tuple[Column, Column]:
+    """Word and bit of a hash in a filter of so many words: its highest bits tell the word, the next six the bit."""
+    shift = 65 - words.bit_length()
     at = F.shiftrightunsigned(key, shift - 6).bitwiseAND(63).cast("int")
     return F.shiftrightunsigned(key, shift).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), at)
 

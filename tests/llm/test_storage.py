@@ -45,6 +45,18 @@ def test_filters_lose_nothing(spark, monkeypatch, words):
     assert rows.where(may_hold(none)(F.col("node"))).count() == 0 and matching(rows, none, ["node"]).count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 50, 3000])
+def test_filters_of_few_keys_are_small(spark, n):
+    """A filter goes into every task that asks it, and through the driver: that of a few keys doesn't take the room of millions."""
+    rows = settle(spark.range(20000).select(F.xxhash64("id").alias("node"), "id"), "rows")
+    keys = settle(rows.where(F.col("id") < n), "keys")
+    bits, nodes = filter_bits(keys), np.array([r.node for r in rows.orderBy("id").collect()], np.int64).view(np.uint64)
+    assert len(bits) * 64 <= max(128, 512 * n) < storage.FILTER_WORDS * 64
+    held = in_filter(bits, nodes)
+    assert held[:n].all() and held[n:].mean() < 0.01
+    assert rows.where(may_hold(keys)(F.col("node"))).count() == held.sum()
+
+
 def test_rows_of_one_id_are_told_apart(spark):
     """Two texts whose 32-bit hashes are equal, both without an id."""
     texts = ["alpha beta gamma delta 186041 epsilon 1473258679 zeta eta theta 5767276", "alpha beta gamma delta 239968 epsilon 1900306592 zeta eta theta 7439013"]
